@@ -6,12 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions.tables import table, texts
-from pagewright.llm import nearcopies
+from pagewright.llm import nearcopies, scannoise
 
 #: p4: at least 40 words, three-word shingles, half of them in common.
 NEAR = nearcopies.Params(threshold=0.5, shingle=3, min_words=40)
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scannoise.found(texts(spark, sf_dir), table(spark, sf_dir, "files"), table(spark, sf_dir, "lexicon"))
+
+
+def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scannoise.repaired(texts(spark, sf_dir), table(spark, sf_dir, "files"), table(spark, sf_dir, "lexicon"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs, members = nearcopies.similar_pairs(texts(spark, sf_dir), NEAR)
     return nearcopies.expanded(pairs, members)
@@ -22,7 +30,7 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p4_found": p4_found, "p4_groups": p4_groups}
+    return {"p1_found": p1_found, "p1_repaired": p1_repaired, "p4_found": p4_found, "p4_groups": p4_groups}
 
 
 def oracle_sql() -> dict[str, str]:
