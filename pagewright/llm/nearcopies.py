@@ -1,7 +1,7 @@
 """Near-duplicate texts: a chosen-path similarity join over word shingles.
 
 Every distinct text (by its sequence of words) gets T minwise tokens of its
-shingle set and a 128-bit sketch of one-bit minwise hashes. R independent
+shingle set and a 192-bit sketch of one-bit minwise hashes. R independent
 trees begin at a root that holds all texts; a node branches its texts by
 selected minwise tokens, a small node compares all its texts by their sketches.
 A pair above the threshold stays together in a branch with a probability of
@@ -31,32 +31,35 @@ from pyspark.sql import functions as F
 from pagewright.functions.scratch import written
 from pagewright.llm.shingles import mix, shingle_hashes, word_hashes
 
-SIG = "tbl string, row_uid long, c1 long, c2 long, s1 long, s2 long, mh array<int>"
-ROWS = "node long, depth int, path array<int>, tbl string, id long, s1 long, s2 long"
+SIG = "tbl string, row_uid long, c1 long, c2 long, s1 long, s2 long, s3 long, mh array<int>"
+SKETCH = ["s1", "s2", "s3"]
+BITS = 64 * len(SKETCH)
+ROWS = "node long, path array<int>, tbl string, id long, s1 long, s2 long, s3 long"
 
 
 @dataclass(frozen=True)
 class Params:
     """threshold: least Jaccard similarity; shingle: words in a shingle; min_words: shorter texts
-    are left out; tokens: T; trees: R; branches: of a large node; node_limit: texts compared
-    exhaustively in a node; sample_rows: texts looked at for hot nodes; sketch_bits: of 128 that
-    must agree."""
+    are left out; tokens: T; trees: R; branches: of a large node; node_limit: size from which a node
+    that the sample shows is branched (one that comes out up to twice as large is still compared
+    exhaustively); sample_rows: texts looked at for hot nodes."""
 
     threshold: float = 0.8
     shingle: int = 5
     min_words: int = 5
     tokens: int = 24
-    trees: int = 12
+    trees: int = 9
     branches: int = 3
-    node_limit: int = 600
+    node_limit: int = 250
     max_depth: int = 6
-    sample_rows: int = 20_000
+    sample_rows: int = 40_000
     seed: int = 11
 
     @property
     def sketch_bits(self) -> int:
-        p = (1 + self.threshold) / 2  # of agreeing bits at the threshold
-        return int(128 * p - 3.3 * np.sqrt(128 * p * (1 - p)))
+        """Bits that must agree: at the threshold, fewer agree once in about 400 pairs."""
+        p = (1 + self.threshold) / 2
+        return int(BITS * p - 2.8 * np.sqrt(BITS * p * (1 - p)))
 
     def children(self, path: tuple[int, ...]) -> list[int]:
         """The tokens by which a node with this path branches."""
@@ -81,8 +84,8 @@ def _minima(h: np.ndarray, first: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 
 def signatures(texts: DataFrame, p: Params) -> DataFrame:
     """tbl, row_uid, text -> a row for each text of at least min_words words: two halves of a hash of
-    its words (c1, c2), of its sketch (s1, s2), and its minwise tokens."""
-    seeds = np.random.default_rng(p.seed).integers(1, 1 << 63, 64 + (p.tokens + 1) // 2, dtype=np.uint64)
+    its words (c1, c2), its sketch (s1, s2, s3) and its minwise tokens."""
+    seeds = np.random.default_rng(p.seed).integers(1, 1 << 63, BITS // 2 + (p.tokens + 1) // 2, dtype=np.uint64)
     least = max(p.min_words, p.shingle)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,9 +104,9 @@ def signatures(texts: DataFrame, p: Params) -> DataFrame:
                     c2 = np.add.reduceat(mix(words + place), start)
                 h, m = shingle_hashes(words, counts, p.shingle)
                 low = _minima(h, np.cumsum(m) - m, seeds)
-                bits = (low[:, p.tokens : p.tokens + 128] & 1).astype(np.uint8)
+                bits = (low[:, p.tokens : p.tokens + BITS] & 1).astype(np.uint8)
                 sketch = np.packbits(bits, axis=1).view(np.int64)
-                yield pd.DataFrame({"tbl": pdf.tbl.values, "row_uid": pdf.row_uid.values, "c1": c1.view(np.int64), "c2": c2.view(np.int64), "s1": sketch[:, 0], "s2": sketch[:, 1], "mh": list(low[:, : p.tokens].view(np.int32))})
+                yield pd.DataFrame({"tbl": pdf.tbl.values, "row_uid": pdf.row_uid.values, "c1": c1.view(np.int64), "c2": c2.view(np.int64), **{s: sketch[:, i] for i, s in enumerate(SKETCH)}, "mh": list(low[:, : p.tokens].view(np.int32))})
 
     least_chars = 2 * least - 1
     return texts.where(F.length("text") >= least_chars).select("tbl", "row_uid", "text").mapInPandas(run, SIG)
@@ -162,9 +165,9 @@ def _node_rows(reps: DataFrame, p: Params, hot: np.ndarray) -> DataFrame:
             for tbl, g in pdf.groupby("tbl"):
                 mh = np.array(list(g.mh), np.int64).astype(np.uint32)
                 for path, key, at in _walk(p, mh, _salt(str(tbl)), hot, [(i,) for i in range(p.trees)]):
-                    yield pd.DataFrame({"node": key.view(np.int64), "depth": len(path), "path": [np.array(path, np.int32)] * len(key), "tbl": tbl, "id": g.row_uid.values[at], "s1": g.s1.values[at], "s2": g.s2.values[at]})
+                    yield pd.DataFrame({"node": key.view(np.int64), "path": [np.array(path, np.int32)] * len(key), "tbl": tbl, "id": g.row_uid.values[at], **{s: g[s].values[at] for s in SKETCH}})
 
-    return reps.select("tbl", "row_uid", "s1", "s2", "mh").mapInPandas(run, ROWS)
+    return reps.select("tbl", "row_uid", *SKETCH, "mh").mapInPandas(run, ROWS)
 
 
 def _next_rows(big: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
@@ -177,13 +180,13 @@ def _next_rows(big: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
                 mh = np.array(list(g.mh), np.int64).astype(np.uint32)
                 starts = [(*path, c) for c in p.children(path)]
                 for to, key, at in _walk(p, mh, _salt(str(tbl)), none, starts):
-                    yield pd.DataFrame({"node": key.view(np.int64), "depth": len(to), "path": [np.array(to, np.int32)] * len(key), "tbl": tbl, "id": g.id.values[at], "s1": g.s1.values[at], "s2": g.s2.values[at]})
+                    yield pd.DataFrame({"node": key.view(np.int64), "path": [np.array(to, np.int32)] * len(key), "tbl": tbl, "id": g.id.values[at], **{s: g[s].values[at] for s in SKETCH}})
 
     both = big.join(reps.select(F.col("tbl"), F.col("row_uid").alias("id"), "mh"), ["tbl", "id"])
-    return both.select("tbl", "path", "id", "s1", "s2", "mh").mapInPandas(run, ROWS)
+    return both.select("tbl", "path", "id", *SKETCH, "mh").mapInPandas(run, ROWS)
 
 
-def _pairs_within(node: np.ndarray, a1: np.ndarray, a2: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+def _pairs_within(node: np.ndarray, sketch: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of pairs of one node whose sketches agree; rows are sorted by node."""
     left, right = [], []
     n, d = len(node), 1
@@ -191,7 +194,7 @@ def _pairs_within(node: np.ndarray, a1: np.ndarray, a2: np.ndarray, least: int)
     while len(at):  # those that have a row of their node at distance d
         at = at[at + d < n]
         at = at[node[at] == node[at + d]]
-        agree = 128 - np.bitwise_count(a1[at] ^ a1[at + d]).astype(np.int16) - np.bitwise_count(a2[at] ^ a2[at + d])
+        agree = BITS - sum(np.bitwise_count(s[at] ^ s[at + d]).astype(np.int16) for s in sketch)
         ok = at[agree >= least]
         left.append(ok)
         right.append(ok + d)
@@ -204,15 +207,15 @@ def _pairs_within(node: np.ndarray, a1: np.ndarray, a2: np.ndarray, least: int)
 def _compare(rows: DataFrame, p: Params, last: bool) -> DataFrame:
     """Rows shuffled and sorted by node -> pairs (path null), and the rows of nodes beyond the limit as they are
     (b null). On the last round nothing is beyond it."""
-    least, limit = p.sketch_bits, p.node_limit
-    cols = ["node", "path", "tbl", "id", "s1", "s2"]
+    least, limit = p.sketch_bits, 2 * p.node_limit
+    cols = ["node", "path", "tbl", "id", *SKETCH]
 
     def found(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = _pairs_within(pdf.node.values, pdf.s1.values.view(np.uint64), pdf.s2.values.view(np.uint64), least)
-        ids = pdf.id.values
+        i, j = _pairs_within(pdf.node.values, [pdf[s].values.view(np.uint64) for s in SKETCH], least)
+        ids = pdf.id.values  # those of a text delivered twice are equal
         a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
         out = pd.DataFrame({"tbl": pdf.tbl.values[i], "a": a, "b": b})
-        return out.drop_duplicates().assign(node=0, path=None, s1=0, s2=0)
+        return out[a != b].drop_duplicates().assign(node=0, path=None, **dict.fromkeys(SKETCH, 0))
 
     def through(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf.rename(columns={"id": "a"}).assign(b=pd.array([None] * len(pdf), "Int64"))
@@ -251,8 +254,8 @@ def _compare(rows: DataFrame, p: Params, last: bool) -> DataFrame:
         if kept is not None and len(kept):
             yield found(kept)
 
-    out = "node long, path array<int>, tbl string, a long, b long, s1 long, s2 long"
-    order = ["node", "path", "tbl", "a", "b", "s1", "s2"]
+    out = "node long, path array<int>, tbl string, a long, b long, s1 long, s2 long, s3 long"
+    order = ["node", "path", "tbl", "a", "b", *SKETCH]
     return rows.select(*cols).repartition("node").sortWithinPartitions("node").mapInPandas(lambda it: (x[order] for x in run(it)), out)
 
 
@@ -308,42 +311,40 @@ def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
 BROADCAST_IDS = 500_000
 
 
-def similar_pairs(texts: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
-    """(pairs, members) of tbl, row_uid, text. Pairs: tbl, a, b, similarity between representatives,
-    one for each sequence of words; members: tbl, row_uid, rep of every text with enough words.
+def similar_pairs(texts: DataFrame, p: Params) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs, copies, compared) of tbl, row_uid, text. Pairs: tbl, a, b, similarity between representatives,
+    one for each sequence of words; copies: tbl, row_uid, rep where several rows have one representative;
+    compared: tbl, row_uid of every text with enough words (twice, if it was delivered twice).
 
     Null and empty texts have no words and never appear; a row_uid that is repeated counts once;
     further columns are ignored; empty input gives empty tables."""
     sig = written(signatures(texts, p), "signatures")
-    firsts = sig.groupBy("tbl", "c1", "c2").agg(F.min("row_uid").alias("rep"))
-    members = written(sig.select("tbl", "c1", "c2", "row_uid").distinct().join(firsts, ["tbl", "c1", "c2"]).select("tbl", "row_uid", "rep"), "members")
-    copies = members.where("row_uid != rep")
-    n = copies.count()
-    copies = copies.select("tbl", "row_uid")
-    reps = sig.join(F.broadcast(copies) if n <= BROADCAST_IDS else copies, ["tbl", "row_uid"], "left_anti").dropDuplicates(["tbl", "row_uid"])
+    firsts = sig.groupBy("tbl", "c1", "c2").agg(F.min("row_uid").alias("rep"), F.max("row_uid").alias("hi")).where("rep != hi").drop("hi")
+    copies = written(sig.select("tbl", "c1", "c2", "row_uid").join(firsts, ["tbl", "c1", "c2"]).select("tbl", "row_uid", "rep").distinct(), "copies")
+    later = copies.where("row_uid != rep").select("tbl", "row_uid")
+    reps = sig.join(F.broadcast(later) if later.count() <= BROADCAST_IDS else later, ["tbl", "row_uid"], "left_anti")
     found = written(candidate_pairs(reps, p), "candidates")
     ids = found.select("tbl", F.explode(F.array("a", "b")).alias("row_uid")).distinct()
     few = ids.count() <= BROADCAST_IDS
     used = texts.where(F.col("text").isNotNull()).select("tbl", "row_uid", "text").join(F.broadcast(ids) if few else ids, ["tbl", "row_uid"])
-    sets = written(shingle_sets(used, p.shingle).dropDuplicates(["tbl", "row_uid"]), "sets")
+    sets = written(shingle_sets(used, p.shingle), "sets")
     a = sets.select("tbl", F.col("row_uid").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select("tbl", F.col("row_uid").alias("b"), F.col("shingles").alias("sb"))
     both = found.join(a, ["tbl", "a"]).join(b, ["tbl", "b"])
     shared = F.size(F.array_intersect("sa", "sb"))
     pairs = both.withColumn("shared", shared).withColumn("similarity", F.col("shared") / (F.size("sa") + F.size("sb") - F.col("shared")))
-    return pairs.where(F.col("similarity") >= p.threshold).select("tbl", "a", "b", "similarity"), members
+    pairs = pairs.where(F.col("similarity") >= p.threshold).select("tbl", "a", "b", "similarity").distinct()
+    return pairs, copies, sig.select("tbl", "row_uid")
 
 
-def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
+def expanded(pairs: DataFrame, copies: DataFrame) -> DataFrame:
     """Pairs of rows: those of linked representatives, and those of one representative."""
-    one = members.where("row_uid is not null")
-    several = one.groupBy("tbl", "rep").count().where("count > 1").select("tbl", "rep")
-    own = several.select("tbl", F.col("rep").alias("a"), F.col("rep").alias("b"))
+    own = copies.where("row_uid = rep").select("tbl", F.col("rep").alias("a"), F.col("rep").alias("b"))
     links = pairs.select("tbl", "a", "b").unionByName(own)
-    left = one.select("tbl", F.col("rep").alias("a"), F.col("row_uid").alias("x"))
-    right = one.select("tbl", F.col("rep").alias("b"), F.col("row_uid").alias("y"))
-    all_pairs = links.join(left, ["tbl", "a"]).join(right, ["tbl", "b"]).where("a != b or x < y")
-    return all_pairs.select("tbl", F.least("x", "y").alias("uid_a"), F.greatest("x", "y").alias("uid_b"))
+    left = copies.select("tbl", F.col("rep").alias("a"), F.col("row_uid").alias("x"))
+    right = copies.select("tbl", F.col("rep").alias("b"), F.col("row_uid").alias("y"))
+    rows = links.join(left, ["tbl", "a"], "left").join(right, ["tbl", "b"], "left").withColumn("x", F.coalesce("x", "a")).withColumn("y", F.coalesce("y", "b"))
+    return rows.where("a != b or x < y").select("tbl", F.least("x", "y").alias("uid_a"), F.greatest("x", "y").alias("uid_b"))
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -366,9 +367,10 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 def groups(texts: DataFrame, p: Params) -> DataFrame:
     """A row for each text with enough words: tbl, row_uid, group_uid (least id of its group), links (number of
     different texts it is similar to)."""
-    pairs, members = similar_pairs(texts, p)
+    pairs, copies, compared = similar_pairs(texts, p)
     pairs = written(pairs, "pairs")
     ends = pairs.select("tbl", F.explode(F.array("a", "b")).alias("rep")).groupBy("tbl", "rep").agg(F.count("*").alias("links"))
     roots = components(pairs).select("tbl", F.col("node").alias("rep"), "root")
-    out = members.join(ends, ["tbl", "rep"], "left").join(roots, ["tbl", "rep"], "left")
+    out = compared.distinct().join(copies, ["tbl", "row_uid"], "left").withColumn("rep", F.coalesce("rep", "row_uid"))
+    out = out.join(ends, ["tbl", "rep"], "left").join(roots, ["tbl", "rep"], "left")
     return out.select("tbl", "row_uid", F.coalesce("root", "rep").alias("group_uid"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -21,8 +21,8 @@ def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs, members = nearcopies.similar_pairs(texts(spark, sf_dir), NEAR)
-    return nearcopies.expanded(pairs, members)
+    pairs, copies, _ = nearcopies.similar_pairs(texts(spark, sf_dir), NEAR)
+    return nearcopies.expanded(pairs, copies)
 
 
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
