@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions.tables import table, texts
-from pagewright.llm import nearcopies, scannoise
+from pagewright.llm import lookalike, nearcopies, scannoise, splitting, stuffing
 
 #: p4: at least 40 words, three-word shingles, half of them in common.
 NEAR = nearcopies.Params(threshold=0.5, shingle=3, min_words=40)
@@ -20,6 +20,16 @@ def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scannoise.repaired(texts(spark, sf_dir), table(spark, sf_dir, "files"), table(spark, sf_dir, "lexicon"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = lookalike.same_look(table(spark, sf_dir, "blocks"), "block_uid", "text")
+    return pairs.select(F.col("a").alias("block_uid_a"), F.col("b").alias("block_uid_b"))
+
+
+def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "blocks").where("text is not null").select("block_uid", "text").dropDuplicates(["block_uid"])
+    return lookalike.with_forms(b, "text").select("block_uid", "look", "fold")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs, copies, _ = nearcopies.similar_pairs(texts(spark, sf_dir), NEAR)
     return nearcopies.expanded(pairs, copies)
@@ -29,9 +39,33 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.groups(texts(spark, sf_dir), NEAR)
 
 
+def _limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = table(spark, sf_dir, "size_limits").where("limit_name in ('block_split', 'chunk_split')")
+    return named.select(F.split("applies_to", r"\.")[0].alias("tbl"), "max_size", "overlap_size")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.above_limit(texts(spark, sf_dir), _limits(spark, sf_dir))
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split(texts(spark, sf_dir), _limits(spark, sf_dir))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.spam(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lexicon"))
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lexicon"))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_repaired": p1_repaired, "p4_found": p4_found, "p4_groups": p4_groups}
+    return {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_forms": p2_forms, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p8_found": p8_found, "p8_scores": p8_scores}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p5_found": """SELECT DISTINCT 'blocks' AS tbl, block_uid AS row_uid FROM blocks WHERE length(text) > (SELECT max_size FROM size_limits WHERE limit_name = 'block_split')
+            UNION ALL SELECT DISTINCT 'chunks', chunk_uid FROM chunks WHERE length(text) > (SELECT max_size FROM size_limits WHERE limit_name = 'chunk_split')""",
+    }
