@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions.tables import table, texts
-from pagewright.llm import lookalike, nearcopies, scannoise, splitting, stuffing
+from pagewright.llm import lookalike, mixing, nearcopies, packing, scannoise, splitting, stuffing
+from pagewright.llm.tokens import with_lengths
 
 #: p4: at least 40 words, three-word shingles, half of them in common.
 NEAR = nearcopies.Params(threshold=0.5, shingle=3, min_words=40)
@@ -52,6 +53,27 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split(texts(spark, sf_dir), _limits(spark, sf_dir))
 
 
+def _capacities(spark: SparkSession, sf_dir: str) -> dict[str, int]:
+    named = table(spark, sf_dir, "size_limits").where("limit_name in ('pack_small', 'pack_large')")
+    return {r.limit_name: r.max_size for r in named.orderBy("limit_name").collect()}
+
+
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), _capacities(spark, sf_dir), with_lengths)
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill(p6_packed(spark, sf_dir), _capacities(spark, sf_dir))
+
+
+def p7_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.selection(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), with_lengths)
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(p7_selected(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.spam(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lexicon"))
 
@@ -61,7 +83,7 @@ def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_forms": p2_forms, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p8_found": p8_found, "p8_scores": p8_scores}
+    return {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_forms": p2_forms, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_selected": p7_selected, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores}
 
 
 def oracle_sql() -> dict[str, str]:
