@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagewright.plans import nested
+from pagewright.plans import nested, reading
 
-MODULES = [nested]
+MODULES = [nested, reading]
 
 
 def queries() -> dict:
