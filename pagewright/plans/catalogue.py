@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagewright.plans import nested, reading
+from pagewright.plans import inspecting, laying_out, nested, reading
 
-MODULES = [nested, reading]
+MODULES = [nested, reading, inspecting, laying_out]
 
 
 def queries() -> dict:
