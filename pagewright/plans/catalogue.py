@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagewright.plans import inspecting, laying_out, nested, reading
+from pagewright.plans import exporting, inspecting, laying_out, nested, reading
 
-MODULES = [nested, reading, inspecting, laying_out]
+MODULES = [nested, reading, inspecting, laying_out, exporting]
 
 
 def queries() -> dict:

@@ -125,7 +125,7 @@ def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "blocks").select("doc_id", "page_index", "pos", "block_id", F.when(F.lower("block_type") == "heading", F.coalesce("heading_level", F.lit(1))).alias("heading_level")).distinct()
-    return L.hierarchy(b, ["page_index", "pos"])
+    return L.hierarchy(b)
 
 
 _HIER = """WITH b AS (SELECT DISTINCT doc_id, page_index, pos, block_id, CASE WHEN lower(block_type) = 'heading' THEN coalesce(heading_level, 1) END AS lv FROM blocks),
