@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagewright.plans import exporting, inspecting, laying_out, nested, reading
+from pagewright.plans import exporting, inspecting, laying_out, measuring, nested, others, reading
 
-MODULES = [nested, reading, inspecting, laying_out, exporting]
+MODULES = [nested, reading, inspecting, laying_out, exporting, measuring, others]
 
 
 def queries() -> dict:
