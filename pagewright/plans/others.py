@@ -88,7 +88,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     px = "px AS (SELECT vec_id AS image_id, list_transform(embedding, lambda x: (floor(abs(x::DOUBLE) * 255 + 0.5::DOUBLE))::BIGINT % 256) AS p FROM embeddings), g AS (SELECT image_id, i // 8 AS y, i % 8 AS x, p[i + 1]::DOUBLE AS v, p FROM px, range(64) r(i))"
     at = lambda dy, dx: f"p[((y + {dy}) * 8 + x + {dx} + 1)::INT]"
-    jobs = f"j AS (SELECT user_id AS job_id, ts AS at, event_id AS seq, {_JOB} AS status FROM events), s AS (SELECT job_id, coalesce(arg_min(status, row(at, seq)) FILTER (status IN ('COMPLETED', 'FAILED', 'CANCELLED')), arg_max(status, row(at, seq))) AS status FROM j GROUP BY 1)"
+    jobs = f"j AS (SELECT user_id AS job_id, ts AS tm, event_id AS seq, {_JOB} AS status FROM events), s AS (SELECT job_id, coalesce(arg_min(status, row(tm, seq)) FILTER (status IN ('COMPLETED', 'FAILED', 'CANCELLED')), arg_max(status, row(tm, seq))) AS status FROM j GROUP BY 1)"
     return {
         "image_stats": f"WITH {px}, m AS (SELECT image_id, avg(v) AS mean, stddev_pop(v) AS std FROM g GROUP BY 1), l AS (SELECT image_id, var_pop({at(-1, 0)} + {at(1, 0)} + {at(0, -1)} + {at(0, 1)} - 4 * v) AS blur FROM g WHERE x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 6 GROUP BY 1), dx AS (SELECT image_id, var_pop(abs({at(0, 1)} - v)) AS a FROM g WHERE x < 7 GROUP BY 1), dy AS (SELECT image_id, var_pop(abs({at(1, 0)} - v)) AS b FROM g WHERE y < 7 GROUP BY 1) SELECT image_id, round(mean + 1e-9::DOUBLE, 3) AS mean, round(std + 1e-9::DOUBLE, 3) AS std, round(blur + 1e-9::DOUBLE, 3) AS blur, round((a + b) / 2 + 1e-9::DOUBLE, 3) AS noise FROM m JOIN l USING (image_id) JOIN dx USING (image_id) JOIN dy USING (image_id)",
         "job_states": f"WITH {jobs} SELECT * FROM s",

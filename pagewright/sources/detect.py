@@ -53,12 +53,12 @@ def detect(content: Column, path: Column, override: Column | None = None) -> Col
     head = F.substring(content, 1, HEADER)
     code = F.hex(head)
     ext = F.coalesce(suffix(path), F.lit(""))
-    text = F.decode(head, "UTF-8")
+    text = F.make_valid_utf8(head.cast("string"))
     start = F.lower(F.decode(F.substring(content, 1, 256), "ISO-8859-1"))
     begins = F.regexp_replace(start, r"^\s+", "")
     by_ext = _from_map(ext, EXTENSIONS)
     latin = F.decode(head, "ISO-8859-1")
-    is_text = ~latin.contains("\u0000") & F.is_valid_utf8(head)
+    is_text = ~latin.contains("\u0000") & F.is_valid_utf8(head.cast("string"))
     first = F.slice(F.filter(F.transform(F.split(text, LINE_END, -1), strip), lambda x: x != ""), 1, 5)
     marked = F.exists(first, lambda x: x.startswith("# ") | x.startswith("## ") | x.startswith(FENCE))
     out = None

@@ -86,7 +86,7 @@ def image_blocks(files: DataFrame) -> DataFrame:
 
 def blocks(files: DataFrame) -> DataFrame:
     """doc_id, format, content -> blocks, by the source of each format."""
-    text = F.decode("content", "UTF-8")
+    text = F.make_valid_utf8(F.col("content").cast("string"))  # broken bytes are replaced
     cols = [c.split()[0] for c in BLOCKS.split(", ")]
     plain = lambda kind, f, name: f(files.where(F.col("format") == kind).select("doc_id", text.alias(name))).select(*cols)
     parts = [plain("txt", txt_blocks, "text"), plain("markdown", markdown_blocks, "text"), plain("html", html_blocks, "html"), office_blocks(files), image_blocks(files)]
