@@ -51,9 +51,10 @@ _COMPOUND = re.compile(r"(?<![\w-])[^\W\d_]+(?:-[^\W\d_]+)+(?![\w-])")
 _ROMAN = r"m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
 _PAGE_LINE = re.compile(rf"(?:(?:{PAGE_WORDS})\b\.?\s*)?(?:nr\.?|no\.?|n°)?\s*(?P<n>\d{{1,6}}|(?=[mdclxvi]){_ROMAN})(?:\s*(?:{OF_WORDS})\s*(?:\d{{1,6}}|(?=[mdclxvi]){_ROMAN}))?", re.I)
 _EDGE_NUMBER = re.compile(r"^\W*\d{1,6}\W+|\W+\d{1,6}\W*$")
-_CUT = re.compile(rf"([^\W_|]*(?:\|[^\W_|]*)*)([{MARKS}])[ \t]*$")
+_LAST = re.compile(r"((?:[^\W_]|\|)*)$")
 _DIGIT_OR_BAR = re.compile(r"[\d|]")
 _HAS_LETTER = re.compile(r"[^\W\d_]")
+_NO_LETTER, _NO_GLYPH = re.compile(r"[\W\d_]+"), re.compile(r"[^\w|]+|_+")
 _SKELETON = str.maketrans(STROKES)
 
 EVENTS = "kind string, tbl string, row_uid long, doc_id long, line int, lang string, a string, keys array<string>, n long"
@@ -83,12 +84,13 @@ def page_number(line: str) -> int | None:
 
 def letters(s: str) -> str:
     """Its letters alone, in one typography: digits, spaces and ornaments are masked."""
-    return "".join(c for c in unicodedata.normalize("NFKC", s).casefold() if c.isalpha())
+    return _NO_LETTER.sub("", s.lower() if s.isascii() else unicodedata.normalize("NFKC", s).casefold())
 
 
 def header_keys(line: str) -> list[str]:
     """What a line is compared with a title by: its letters, and the strokes of what is between page numbers."""
-    inner = "".join(c for c in unicodedata.normalize("NFKC", _EDGE_NUMBER.sub("", line)).casefold() if c.isalnum() or c == "|")
+    inner = _EDGE_NUMBER.sub("", line)
+    inner = _NO_GLYPH.sub("", inner.lower() if inner.isascii() else unicodedata.normalize("NFKC", inner).casefold())
     return [letters(line), "~" + skeleton(inner)]
 
 
@@ -104,8 +106,25 @@ def _continuation(lines: list[str], i: int) -> list[tuple[int, str]]:
     return out
 
 
-def _scan(text: str, page_index: int | None, known: dict[str, list[str]], totals: Counter, compounds: Counter) -> tuple[list, str | None]:
-    """(events as (kind, line, a, keys, n), language) of one text."""
+def _may_be_misread(w: str, text: str) -> bool:
+    """Whether a word outside the lexicon may be misread: no name, code, or part of a path or formula."""
+    glyphs = _DIGIT_OR_BAR.search(w)
+    if not w.islower() and (not glyphs and w[0].isupper() or w.isupper() or any(c.isupper() for c in w[1:])):
+        return False
+    if glyphs and not any(c.islower() for c in w):
+        return False
+    at = text.find(w)
+    while at >= 0:  # one place where it stands as a word is enough
+        before, after = text[at - 1 : at] if at else "", text[at + len(w) : at + len(w) + 1]
+        if not (before and (before.isalnum() or before in "(/+@|") or after and (after.isalnum() or after in "/+@=|") or glyphs and before == "-"):
+            return True
+        at = text.find(w, at + 1)
+    return False
+
+
+def _scan(text: str, page_index: int | None, known: dict[str, list[str]], longest: list[int], totals: Counter, compounds: Counter) -> tuple[list, str | None]:
+    """(events as (kind, line, a, keys, n), language) of one text. longest: the lengths of the longest title's keys;
+    no longer line can be a header."""
     lines = _BREAK.split(text)
     found: list[tuple] = []
     fragments: list[tuple[int, str]] = []
@@ -117,9 +136,12 @@ def _scan(text: str, page_index: int | None, known: dict[str, list[str]], totals
             n = page_number(line)
             if n is not None:
                 found.append(("page", i, None, None, n - (page_index or 0)))
-            elif len(line) <= 200 and _HAS_LETTER.search(line):
-                found.append(("line", i, None, header_keys(line), None))
-            m = _CUT.search(line)
+            else:
+                keys = [k for k, most in zip(header_keys(line), longest, strict=True) if 3 < len(k) <= most]
+                if keys:
+                    found.append(("line", i, None, keys, None))
+            end = line.rstrip(" \t")
+            m = _LAST.search(end[-60:-1]) if end[-1] in MARKS else None
             if m and m[1] and _HAS_LETTER.search(m[1]) and i + 1 < len(lines):
                 after = _continuation(lines, i)
                 go_on = [w for _, w in after if w and (w[0].islower() or not w[0].isalpha() and not w.isdigit())]
@@ -128,25 +150,7 @@ def _scan(text: str, page_index: int | None, known: dict[str, list[str]], totals
                     fragments += [(i, m[1]), *after]
                     words.add((m[1] + go_on[0]).lower())
     dropped = Counter(w for _, w in fragments)
-    seen: Counter = Counter()
-    for m in _TOKEN.finditer(text):
-        w = m[0]
-        seen[w] += 1
-        if w[0].isupper() and not _DIGIT_OR_BAR.search(w) or w.isdigit():
-            continue
-        if len(w) > 40 or w in words:
-            continue
-        low = w.lower()
-        if low in known:
-            continue
-        at, end = m.start(), m.end()
-        if w.isupper() or (text[at - 1 : at] in ("(", "/", "+", "@") and at) or text[end : end + 1] in ("/", "+", "@", "="):
-            continue
-        if _DIGIT_OR_BAR.search(w) and (text[at - 1 : at] == "-" and at or not any(c.islower() for c in w)):
-            continue
-        if any(c.isupper() for c in w[1:]):
-            continue
-        words.add(w)
+    seen = Counter(_TOKEN.findall(text))
     votes: Counter = Counter()
     for w, k in seen.items():
         low = w.lower()
@@ -155,7 +159,10 @@ def _scan(text: str, page_index: int | None, known: dict[str, list[str]], totals
             totals[low] += k
             for x in langs:
                 votes[x] += k
-    compounds.update(m[0].lower() for m in _COMPOUND.finditer(text)) if "-" in text else None
+        elif len(w) <= 40 and w not in words and not w.isdigit() and _may_be_misread(w, text):
+            words.add(w)
+    if "-" in text:
+        compounds.update(m.lower() for m in _COMPOUND.findall(text))
     for w in words:
         low = w.lower()
         if low not in known and not (dropped.get(w, 0) and dropped[w] >= seen[w]):
@@ -163,8 +170,22 @@ def _scan(text: str, page_index: int | None, known: dict[str, list[str]], totals
     return found, max(votes.items(), key=lambda x: (x[1], x[0]))[0] if votes else None
 
 
-def events(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """tbl, row_uid, doc_id, page_index, text -> events. The lexicon is a small table of fixed size."""
+@F.pandas_udf(T.StringType())
+def _skeleton_of(s: pd.Series) -> pd.Series:
+    return s.map(skeleton, na_action="ignore")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _keys_of(s: pd.Series) -> pd.Series:
+    return s.map(header_keys, na_action="ignore")
+
+
+def events(texts: DataFrame, lexicon: DataFrame, files: DataFrame) -> DataFrame:
+    """tbl, row_uid, doc_id, page_index, text -> events. The lexicon is a small table of fixed size; of the files only the
+    greatest lengths of their titles' keys are gathered."""
+    title_keys = files.where("title is not null").select(_keys_of("title").alias("k"))
+    most = title_keys.agg(F.max(F.length(F.col("k")[0])).alias("a"), F.max(F.length(F.col("k")[1])).alias("b")).first()
+    longest = [most.a or 0, most.b or 0]
     known: dict[str, list[str]] = {}
     for r in lexicon.select("lang", "word").distinct().collect():
         known.setdefault(r.word, []).append(r.lang)
@@ -174,7 +195,7 @@ def events(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
         for pdf in batches:
             out = []
             for tbl, uid, doc, page, text in zip(pdf.tbl, pdf.row_uid, pdf.doc_id, pdf.page_index, pdf.text, strict=True):
-                got, lang = _scan(text, None if pd.isna(page) else int(page), known, totals, compounds)
+                got, lang = _scan(text, None if pd.isna(page) else int(page), known, longest, totals, compounds)
                 out += [(kind, tbl, uid, None if pd.isna(doc) else int(doc), line, lang, a, keys, n) for kind, line, a, keys, n in got]
             if out:
                 yield _frame(out)
@@ -190,16 +211,6 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pdf
 
 
-@F.pandas_udf(T.StringType())
-def _skeleton_of(s: pd.Series) -> pd.Series:
-    return s.map(skeleton, na_action="ignore")
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _keys_of(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: list(dict.fromkeys(k for k in header_keys(x) if len(k) > 3)), na_action="ignore")
-
-
 def misreadings(ev: DataFrame, lexicon: DataFrame) -> DataFrame:
     """lang, a (word as read), form (the word meant)."""
     words = ev.where("kind = 'word'").groupBy("lang", "a").agg(F.sum("n").alias("n"))
@@ -214,7 +225,7 @@ def misreadings(ev: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 def header_lines(ev: DataFrame, files: DataFrame) -> DataFrame:
     """tbl, row_uid, line of running headers. Joined on file and key, so that a file of many rows is spread."""
-    titles = files.where("title is not null").select("doc_id", "title").distinct().select("doc_id", F.explode(_keys_of("title")).alias("key")).distinct()
+    titles = files.where("title is not null").select("doc_id", "title").distinct().select("doc_id", F.explode(_keys_of("title")).alias("key")).where("length(key) > 3").distinct()
     lines = ev.where("kind = 'line'").select("tbl", "row_uid", "doc_id", "line", F.explode("keys").alias("key"))
     return lines.join(titles, ["doc_id", "key"]).select("tbl", "row_uid", "line").distinct()
 
@@ -240,7 +251,7 @@ def found(texts: DataFrame, files: DataFrame, lexicon: DataFrame) -> DataFrame:
 
     Null and empty texts have none; a text delivered twice counts once; texts without page_index are taken to be on
     the first page; files without title have no header; further columns are ignored."""
-    ev = written(events(texts, lexicon), "events")
+    ev = written(events(texts, lexicon, files), "events")
     return _kinds(ev, misreadings(ev, lexicon), files)
 
 
@@ -287,7 +298,7 @@ def repaired(texts: DataFrame, files: DataFrame, lexicon: DataFrame) -> DataFram
     Paragraphs are kept apart by a line break; lines of figures stay lines. Texts without noise and with
     one line come out as they are. Null texts come out null; a text delivered twice comes out once."""
     one = texts.select("tbl", "row_uid", "doc_id", "page_index", "text").dropDuplicates(["tbl", "row_uid"])
-    ev = written(events(one, lexicon), "events")
+    ev = written(events(one, lexicon, files), "events")
     key = ["tbl", "row_uid", "line"]
     off = header_lines(ev, files).unionByName(page_lines(ev)).distinct().withColumn("off", F.lit(True))
     cut = cuts(ev)
