@@ -36,6 +36,7 @@ _HTML = re.compile(r"<[^>\n]{1,300}>")
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 _LIST = re.compile(r"\s*[,|;/•·–>]\s*|\s{2,}|\t")
+_MAYBE_LINK, _TARGET, _DIGIT = re.compile(r"\.[A-Za-z]"), re.compile(r"\]\([^)]*\)"), re.compile(r"\d")
 _LEET = str.maketrans("013457", "oleast")
 KINDS = ("listed", "small", "other", "number", "link", "tag")
 
@@ -49,6 +50,7 @@ class Lexicon:
         self.langs: dict[str, set[str]] = {}
         for lang, word in rows:
             self.langs.setdefault(word, set()).add(lang)
+        self.small = {w for w in self.langs if len(w) <= 3}
 
     def language(self, words: Counter) -> str | None:
         votes: Counter = Counter()
@@ -58,62 +60,92 @@ class Lexicon:
         return max(votes.items(), key=lambda x: (x[1], x[0]))[0] if votes else None
 
 
-def _is_prose(words: list[str], low: list[str], known: dict, repeated: set[str]) -> bool:
-    """Whether words between two marks are (part of) a sentence: most words of content are of the
-    language's common stock or names, small words bind them, and it isn't one of the page's repeated phrases."""
-    content = [(w, x) for w, x in zip(words, low, strict=True) if len(x) > 3 and not any(c.isdigit() for c in x)]
-    small = sum(len(x) <= 3 and x in known for x in low)
-    if not content:
+def _is_prose(words: list[str], low: list[str], known: dict, small: set[str]) -> bool:
+    """Whether words between two marks are (part of) a sentence: small words bind them, and most words of content are
+    of the language's common stock; a word with a capital may be a name and counts half."""
+    if small.isdisjoint(low):
         return False
-    good = sum(1.0 if x in known else 0.5 if w[0].isupper() and not w.isupper() else 0.0 for w, x in content)
-    return small > 0 and good >= 0.5 * len(content)
+    content = good = 0.0
+    for w, x in zip(words, low, strict=True):
+        if x in known:
+            if len(x) > 3:
+                content += 1
+                good += 1
+        elif len(x) > 3 and (x.isalpha() or not _DIGIT.search(x)):
+            content += 1
+            if w is not x and w[0] != x[0] and not w.isupper():
+                good += 0.5
+    return content > 0 and good >= 0.5 * content
+
+
+def _loose(w: str) -> str:
+    """A word without the disguises of spam: digits for letters, numbers at its ends."""
+    return w if w.isalpha() else w.translate(_LEET).strip("0123456789")
+
+
+def _read_line(line: str) -> tuple[str, int, int, int, int]:
+    """(the line without links and tags, links with anchors, words of anchors, bare links, tags)."""
+    links = anchored = bare = tags = 0
+    if _MAYBE_LINK.search(line) or "](" in line or "<" in line:
+        if "](" in line or "<" in line:
+            for m in _ANCHOR.finditer(line):
+                links += 1
+                anchored += len(_WORD.findall(_HTML.sub(" ", _TARGET.sub(" ", m[0]))))
+            if links:
+                line = _ANCHOR.sub(" ", line)
+        line, bare = _URL.subn(" ", line)
+        if "<" in line:
+            line = _HTML.sub(" ", line)
+    if "#" in line or "@" in line:
+        line, tags = _TAG.subn(" ", line)
+    return line, links, anchored, bare, tags
 
 
 def judge(text: str, lex: Lexicon) -> tuple:
     """(language, words, words that belong to no sentence, spectrum, shares of the kinds) of a page."""
-    known = lex.langs
-    plain = _ANCHOR.sub(" ", _URL.sub(" ", text))
-    all_low = [w.lower() for w in _WORD.findall(plain)]
-    counts = Counter(all_low)
-    loose = Counter(w.translate(_LEET).strip("0123456789") for w in all_low)
-    total = len(all_low)
+    known, small = lex.langs, lex.small
+    counts: Counter = Counter()
+    read = []
+    for line in text.splitlines():
+        rest, *links = _read_line(line)
+        parts = []
+        for part in _SENTENCE.split(rest):
+            ws = _WORD.findall(part)
+            if ws:
+                low = [w.lower() for w in ws]
+                counts.update(low)
+                parts.append((part, ws, low))
+        if parts or any(links):
+            read.append((parts, *links))
+    total = sum(counts.values())
+    loose: Counter = Counter()
+    for w, n in counts.items():
+        loose[_loose(w)] += n
     often = max(3, math.ceil(0.01 * total))
     repeated = {w for w, n in loose.items() if n >= often and len(w) > 2 and w not in known}
+    stuffing = {w for w in counts if _loose(w) in repeated} if repeated else set()
     kinds: Counter = Counter()
+    for w, n in counts.items():
+        kinds["number" if w[0].isdigit() else "small" if w in small else "listed" if w in known else "other"] += n
     spam = words = 0
-    for line in text.splitlines():
-        if not line.strip():
-            continue
-        links = anchored = 0
-        for m in _ANCHOR.finditer(line):
-            links += 1
-            anchored += max(0, len(_WORD.findall(_HTML.sub(" ", re.sub(r"\]\([^)]*\)", " ", m[0])))))
-        rest = _ANCHOR.sub(" ", line)
-        bare = len(_URL.findall(rest))
-        rest = _HTML.sub(" ", _URL.sub(" ", rest))
-        tags = _TAG.findall(rest)
-        rest = _TAG.sub(" ", rest)
+    for parts, links, anchored, bare, tags in read:
         sentence_words = keyword_words = 0
-        for part in _SENTENCE.split(rest):
-            ws = _WORD.findall(part)
-            if not ws:
-                continue
-            low = [w.lower() for w in ws]
-            for x in low:
-                kinds["number" if x[0].isdigit() else "small" if len(x) <= 3 and x in known else "listed" if x in known else "other"] += 1
-            items = [i for i in _LIST.split(part.strip()) if i]
-            listed = len(items) >= 4 and sum(len(_WORD.findall(i)) for i in items) <= 3 * len(items) and not any(x in known for x in low if len(x) <= 3)
-            if not listed and _is_prose(ws, low, known, repeated):
+        for part, ws, low in parts:
+            bound = not small.isdisjoint(low)
+            listed = False
+            if not bound and len(ws) >= 4:
+                items = [i for i in _LIST.split(part.strip()) if i]
+                listed = len(items) >= 4 and len(ws) <= 3 * len(items)
+            if not listed and _is_prose(ws, low, known, small):
                 sentence_words += len(ws)
-            elif listed or any(x.translate(_LEET).strip("0123456789") in repeated for x in low) or len(ws) >= 4 and not any(len(x) <= 3 and x in known for x in low):
+            elif listed or not stuffing.isdisjoint(low) or len(ws) >= 4 and not bound:
                 keyword_words += len(ws)
             else:
                 sentence_words += len(ws)
-        here = links + bare
-        kinds["link"] += here + anchored
-        kinds["tag"] += len(tags)
-        words += sentence_words + keyword_words + here + anchored + len(tags)
-        spam += keyword_words + len(tags) + anchored + links
+        kinds["link"] += links + bare + anchored
+        kinds["tag"] += tags
+        words += sentence_words + keyword_words + links + bare + anchored + tags
+        spam += keyword_words + tags + anchored + links
         if sentence_words < 4:  # a link that no sentence goes with
             spam += bare
     spectrum = sorted(Counter(counts.values()).items(), reverse=True)
