@@ -34,7 +34,7 @@ def with_lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     The vocabulary is read on the driver and sent with the tasks; its size is fixed, below a megabyte."""
     with open(vocabulary, "rb") as f:
         data = f.read()
-    rest = [c for c in docs.columns if c != "text"]
+    rest = [c for c in docs.columns if c not in ("text", "n_tokens")]
     out = T.StructType([*docs.select(*rest).schema.fields, T.StructField("n_tokens", T.IntegerType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
