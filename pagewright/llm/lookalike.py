@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagewright.functions.scratch import written
+
 # Letters of other scripts that look like a Latin letter (Cyrillic, Greek, Armenian, Cherokee, phonetic).
 LETTERS = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ү": "Y", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W", "Ӏ": "I", "Ѵ": "V",
@@ -113,6 +115,7 @@ def same_look(df: DataFrame, key: str, column: str) -> DataFrame:
     one = df.where(F.col(column).isNotNull()).select(F.col(key).alias("uid"), F.col(column).alias("text"))
     ids = one.withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit(7), "text"))
     formed = with_forms(ids, "text", "look", None).where("look != ''").select("uid", "t1", "t2", F.xxhash64("look").alias("f1"), F.xxhash64(F.lit(7), "look").alias("f2"))
+    formed = written(formed, "forms")
     several = formed.groupBy("f1", "f2").agg(F.min("t1").alias("lo"), F.max("t1").alias("hi"), F.min("t2").alias("lo2"), F.max("t2").alias("hi2")).where("lo != hi or lo2 != hi2").select("f1", "f2")
     rows = formed.join(several, ["f1", "f2"], "left_semi").distinct()
     a = rows.select("f1", "f2", F.col("uid").alias("a"), F.col("t1").alias("x1"), F.col("t2").alias("x2"))
