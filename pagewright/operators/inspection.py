@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pagewright.functions.means import mean
+
 # Thresholds of the rules below.
 FULL_TEXT, SOME_TEXT, DENSE = 50, 20, 2500.0
 CAPABILITY_MS = 15
@@ -60,12 +62,12 @@ def page_path(c: Column) -> Column:
 
 def document_routing(pages: DataFrame, category: DataFrame) -> DataFrame:
     """Pages with complexity and flags, category of documents -> doc_id, kind, average complexity, path."""
-    g = pages.groupBy("doc_id").agg(F.bool_or("has_formulas").alias("formulas"), F.bool_or("has_tables").alias("tables"), F.bool_or("has_figures").alias("figures"), F.avg("complexity").alias("avg"))
+    g = pages.groupBy("doc_id").agg(F.bool_or("has_formulas").alias("formulas"), F.bool_or("has_tables").alias("tables"), F.bool_or("has_figures").alias("figures"), mean(F.col("complexity"), 6).alias("avg"), mean(F.col("complexity"), 6, 2).alias("avg_complexity"))
     g = g.join(category.select("doc_id", "category"), "doc_id")
-    avg = F.round("avg", 6)
+    avg = F.col("avg")
     kind = F.when(F.col("category") == "SCANNED", "SCANNED").when(F.col("formulas"), "TECHNICAL_REPORT").when(F.col("tables") & (avg > 0.5), "FORM_INVOICE").when(F.col("figures") & (avg > 0.4), "COMPLEX_MULTI_COLUMN").otherwise("DIGITAL_PDF")
     path = F.when(avg >= 0.7, "vlm_fallback").when(kind.isin("SCANNED", "COMPLEX_MULTI_COLUMN", "TECHNICAL_REPORT"), "deep").otherwise("fast")
-    return g.select("doc_id", kind.alias("kind"), F.round("avg", 2).alias("avg_complexity"), path.alias("path"))
+    return g.select("doc_id", kind.alias("kind"), "avg_complexity", path.alias("path"))
 
 
 def capabilities() -> Column:
@@ -81,16 +83,15 @@ def planned_ms(steps: Column) -> Column:
 
 def quality_gate(regions: DataFrame, least: float = 0.70, retries: int = 0, most_retries: int = 2, escalation: bool = True) -> DataFrame:
     """doc_id, page_index, confidence of regions -> the pages' mean confidence and whether they are done again."""
-    units = F.round(F.col("confidence") * 10_000).cast("long")  # means of whole numbers don't depend on the order of rows
-    g = regions.groupBy("doc_id", "page_index").agg(F.sum(units).alias("s"), F.count(units).alias("n"))
-    conf = F.when(F.col("n") == 0, 1.0).otherwise(F.floor((2 * F.col("s") + F.col("n")) / (2 * F.col("n"))) / 10_000.0)
+    g = regions.groupBy("doc_id", "page_index").agg(mean(F.col("confidence"), 4).alias("mean"))
+    conf = F.coalesce("mean", F.lit(1.0))
     again = F.lit(retries < most_retries and escalation) & (conf < least)
     return g.select("doc_id", "page_index", conf.alias("confidence"), again.alias("escalate"))
 
 
 def summary(pages: DataFrame) -> DataFrame:
     """One row a document: page counts and what is recommended."""
-    g = pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("pages"), F.bool_or(F.col("scan_prob") > 0.5).alias("is_scanned"), F.bool_or("has_tables").alias("has_tables"), F.bool_or("has_formulas").alias("has_formulas"), F.round(F.avg("ratio"), 4).alias("avg_ratio"), F.count_if(F.col("images") > 0).cast("int").alias("pages_with_images"))
+    g = pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("pages"), F.bool_or(F.col("scan_prob") > 0.5).alias("is_scanned"), F.bool_or("has_tables").alias("has_tables"), F.bool_or("has_formulas").alias("has_formulas"), mean(F.col("ratio"), 4).alias("avg_ratio"), F.count_if(F.col("images") > 0).cast("int").alias("pages_with_images"))
     return g.withColumn("recommended_fast_path", ~F.col("is_scanned") & (F.col("avg_ratio") >= 0.85))
 
 

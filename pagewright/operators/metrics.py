@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagewright.functions.means import units
 from pagewright.functions.ranks import at_ranks
 
 # Limits of the regression gate.
@@ -115,7 +116,8 @@ def table_similarity(ref: DataFrame, hyp: DataFrame) -> DataFrame:
     s = size(ref, "a").join(size(hyp, "b"), "table_id")
     grid = 1 - (F.abs(F.col("ar") - F.col("br")) + F.abs(F.col("ac") - F.col("bc"))) / (F.col("ar") + F.col("ac") + F.col("br") + F.col("bc"))
     both = ref.select("table_id", "row_index", "col_index", F.col("text").alias("x")).join(hyp.select("table_id", "row_index", "col_index", F.col("text").alias("y")), ["table_id", "row_index", "col_index"])
-    cell = both.groupBy("table_id").agg(F.avg(1 - F.least(F.lit(1.0), character_error_rate(F.col("x"), F.col("y")))).alias("cells"))
+    right = units(1 - F.least(F.lit(1.0), character_error_rate(F.col("x"), F.col("y"))), 4)
+    cell = both.groupBy("table_id").agg((F.sum(right) / (F.count("*") * 10_000.0)).alias("cells"))
     return s.join(cell, "table_id", "left").select("table_id", F.round(0.5 * grid + 0.5 * F.coalesce("cells", F.lit(0.0)), 4).alias("similarity"))
 
 

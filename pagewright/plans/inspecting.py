@@ -36,7 +36,7 @@ _FULL = f"""{_PAGES}, b AS (SELECT doc_id, page_index, bool_or(lower(block_type)
     x AS (SELECT *, least(1.0::DOUBLE, 0.4::DOUBLE * (1.0::DOUBLE - ratio) + 0.3::DOUBLE * scan_prob + 0.2::DOUBLE * image_density + 0.1::DOUBLE * has_tables::INT + 0.1::DOUBLE * has_figures::INT + 0.15::DOUBLE * has_formulas::INT) AS complexity FROM c)"""
 _CATEGORY = """g AS (SELECT doc_id, count(*) AS n, count_if(content_type = 'SCANNED_IMAGE_ONLY') AS scanned, count_if(content_type IN ('SCANNED_IMAGE_ONLY', 'EMPTY')) AS no_text, count_if(content_type = 'DIGITAL_TEXT_ONLY') AS digital, count_if(content_type IN ('DIGITAL_TEXT_ONLY', 'HYBRID')) AS with_text, avg(coverage) AS coverage, max(chars) AS most FROM p GROUP BY 1),
     k AS (SELECT *, CASE WHEN scanned = n AND coverage >= 0.70 THEN 'IMAGE_ONLY' WHEN no_text / n >= 0.75 THEN 'SCANNED' WHEN digital = n OR (with_text = n AND coverage < 0.35) THEN 'DIGITALLY_GENERATED' ELSE 'HYBRID' END AS category FROM g)"""
-_ROUTED = f"""{_FULL}, {_CATEGORY}, r AS (SELECT doc_id, bool_or(has_formulas) AS fo, bool_or(has_tables) AS ta, bool_or(has_figures) AS fi, round(avg(complexity), 6) AS a, round(avg(complexity), 2) AS avg_complexity FROM x GROUP BY 1),
+_ROUTED = f"""{_FULL}, {_CATEGORY}, r AS (SELECT doc_id, bool_or(has_formulas) AS fo, bool_or(has_tables) AS ta, bool_or(has_figures) AS fi, floor((2 * sum(round(complexity * 1e6::DOUBLE)::BIGINT)::BIGINT + count(*)) / (2 * count(*))) / 1e6::DOUBLE AS a, floor((2 * sum(round(complexity * 1e6::DOUBLE)::BIGINT)::BIGINT + count(*) * 10000) / (2 * count(*) * 10000)) / 100.0::DOUBLE AS avg_complexity FROM x GROUP BY 1),
     s AS (SELECT r.*, CASE WHEN category = 'SCANNED' THEN 'SCANNED' WHEN fo THEN 'TECHNICAL_REPORT' WHEN ta AND a > 0.5 THEN 'FORM_INVOICE' WHEN fi AND a > 0.4 THEN 'COMPLEX_MULTI_COLUMN' ELSE 'DIGITAL_PDF' END AS kind FROM r JOIN k USING (doc_id))"""
 
 
@@ -121,7 +121,7 @@ def oracle_sql() -> dict[str, str]:
         "decision_trace": f"WITH {_ROUTED}, t AS (SELECT doc_id, {doc} AS doc_path FROM s) SELECT doc_id, page_index, {path} AS path, doc_path, CASE WHEN doc_path = 'fast' THEN 85.0::DOUBLE ELSE 0.0::DOUBLE END AS resource_savings_pct FROM x JOIN t USING (doc_id)",
         "page_plan": f"""WITH {_FULL}, y AS (SELECT *, list_filter([CASE WHEN ratio >= 0.8 AND scan_prob < 0.2 THEN 'NATIVE_TEXT' ELSE 'OCR' END, CASE WHEN {layout} THEN 'LAYOUT' END, CASE WHEN has_tables THEN 'TABLE' END, CASE WHEN has_figures THEN 'FIGURE' END, CASE WHEN has_formulas THEN 'FORMULA' END], lambda v: v IS NOT NULL) AS l FROM x)
             SELECT doc_id, page_index, array_to_string(l, ',') AS steps, (len(l) * 15)::INT AS planned_ms FROM y""",
-        "inspect_summary": f"WITH {_FULL}, z AS (SELECT doc_id, count(*)::INT AS pages, bool_or(scan_prob > 0.5) AS is_scanned, bool_or(has_tables) AS has_tables, bool_or(has_formulas) AS has_formulas, round(avg(ratio), 4) AS avg_ratio, count_if(images > 0)::INT AS pages_with_images FROM x GROUP BY 1) SELECT *, NOT is_scanned AND avg_ratio >= 0.85 AS recommended_fast_path FROM z",
+        "inspect_summary": f"WITH {_FULL}, z AS (SELECT doc_id, count(*)::INT AS pages, bool_or(scan_prob > 0.5) AS is_scanned, bool_or(has_tables) AS has_tables, bool_or(has_formulas) AS has_formulas, floor((2 * sum(round(ratio * 10000)::BIGINT)::BIGINT + count(*)) / (2 * count(*))) / 10000.0::DOUBLE AS avg_ratio, count_if(images > 0)::INT AS pages_with_images FROM x GROUP BY 1) SELECT *, NOT is_scanned AND avg_ratio >= 0.85 AS recommended_fast_path FROM z",
         "quality_gate": "WITH b AS (SELECT DISTINCT block_uid, doc_id, page_index, provenance.confidence AS c FROM blocks), h AS (SELECT doc_id, page_index, sum(round(c * 10000)::BIGINT)::BIGINT AS s, count(c) AS n FROM b GROUP BY 1, 2), g AS (SELECT doc_id, page_index, CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE floor((2 * s + n) / (2 * n)) / 10000.0::DOUBLE END AS confidence FROM h) SELECT *, confidence < 0.70 AS escalate FROM g",
         "page_class_check": f"WITH q AS (SELECT DISTINCT doc_id, page_index, coalesce(page_class, 'NONE') AS guessed, coalesce(char_count, 0) AS chars, coalesce(image_count, 0) AS images FROM raw_pages), {_PAGES}, j AS (SELECT q.doc_id, q.page_index, guessed, content_type AS ruled FROM q JOIN p ON q.doc_id = p.doc_id AND q.page_index = p.page_index AND q.chars = p.chars AND q.images = p.images) SELECT guessed, ruled, count(*) AS pages FROM j GROUP BY ROLLUP (guessed, ruled)",
         "provider_choice": _PROVIDERS_SQL,

@@ -158,7 +158,7 @@ def oracle_sql() -> dict[str, str]:
         "regression_gate": f"WITH {_PAIRS}, {_WORDS} SELECT block_uid, {_CER} <= 0.15 AND {_WER} <= 0.25 AS passed FROM v",
         "ngram_scores": f"WITH {_PAIRS}, {_WORDS}, n AS (SELECT block_uid, a, b, {grams} FROM v) SELECT block_uid, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0::DOUBLE ELSE round(CASE WHEN len(b) >= len(a) THEN 1.0::DOUBLE ELSE exp(1 - len(a) / len(b)::DOUBLE) END * exp((ln({prec(1)}) + ln({prec(2)}) + ln({prec(3)}) + ln({prec(4)})) / 4), 4) END, 3) AS bleu FROM n",
         "box_overlap": f"WITH {jit}, i AS (SELECT block_uid, greatest(0, least(r, jr) - greatest(l, jl)) * greatest(0, least(b, jb) - greatest(t, jt)) AS x, greatest(0, r - l) * greatest(0, b - t) + greatest(0, jr - jl) * greatest(0, jb - jt) AS s FROM j) SELECT block_uid, CASE WHEN x > 0 AND s - x > 0 THEN round(round(x / (s - x)::DOUBLE, 6), 3) ELSE 0.0::DOUBLE END AS iou FROM i",
-        "table_similarity": f"WITH {_GRIDS}, s AS (SELECT * FROM (SELECT table_id, max(r) + 1 AS ar, max(c) + 1 AS ac FROM ref GROUP BY 1) JOIN (SELECT table_id, max(r) + 1 AS br, max(c) + 1 AS bc FROM hyp GROUP BY 1) USING (table_id)), q AS (SELECT a.table_id, avg(1 - least(1.0::DOUBLE, round(levenshtein(a.x, b.x) / length(a.x)::DOUBLE, 4))) AS cells FROM ref a JOIN hyp b ON a.table_id = b.table_id AND a.r = b.r AND a.c = b.c GROUP BY 1) SELECT table_id, round(round(0.5::DOUBLE * (1 - (abs(ar - br) + abs(ac - bc)) / (ar + ac + br + bc)::DOUBLE) + 0.5::DOUBLE * coalesce(cells, 0.0::DOUBLE), 4), 3) AS similarity FROM s LEFT JOIN q USING (table_id)",
+        "table_similarity": f"WITH {_GRIDS}, s AS (SELECT * FROM (SELECT table_id, max(r) + 1 AS ar, max(c) + 1 AS ac FROM ref GROUP BY 1) JOIN (SELECT table_id, max(r) + 1 AS br, max(c) + 1 AS bc FROM hyp GROUP BY 1) USING (table_id)), q AS (SELECT a.table_id, sum(round((1 - least(1.0::DOUBLE, round(levenshtein(a.x, b.x) / length(a.x)::DOUBLE, 4))) * 10000)::BIGINT)::BIGINT / (count(*) * 10000.0::DOUBLE) AS cells FROM ref a JOIN hyp b ON a.table_id = b.table_id AND a.r = b.r AND a.c = b.c GROUP BY 1) SELECT table_id, round(round(0.5::DOUBLE * (1 - (abs(ar - br) + abs(ac - bc)) / (ar + ac + br + bc)::DOUBLE) + 0.5::DOUBLE * coalesce(cells, 0.0::DOUBLE), 4), 3) AS similarity FROM s LEFT JOIN q USING (table_id)",
         "table_cells": f"WITH {_GRIDS}, n AS (SELECT table_id, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM (SELECT table_id, count(*) AS a FROM ref GROUP BY 1) FULL JOIN (SELECT table_id, count(*) AS b FROM hyp GROUP BY 1) USING (table_id)), h AS (SELECT table_id, count(*) AS hits FROM hyp WHERE EXISTS (SELECT 1 FROM ref WHERE ref.table_id = hyp.table_id AND ref.x = hyp.x) GROUP BY 1) SELECT table_id, round(coalesce(hits, 0) / greatest(a, b)::DOUBLE, 4) AS score FROM n LEFT JOIN h USING (table_id)",
         "structure_scores": "WITH d AS (SELECT DISTINCT block_uid, doc_id, lower(block_type) AS kind, provenance.provider AS pr FROM blocks), j AS (SELECT doc_id, kind, count(*) AS a, count(pr) AS b FROM d GROUP BY 1, 2), g AS (SELECT doc_id, sum(least(a, b))::DOUBLE AS m, sum(a) AS na, sum(b) AS nb FROM j GROUP BY 1), s AS (SELECT doc_id, CASE WHEN nb > 0 THEN m / nb ELSE 0.0::DOUBLE END AS p, CASE WHEN na > 0 THEN m / na ELSE 0.0::DOUBLE END AS r FROM g) SELECT doc_id, round(p, 4) AS precision, round(r, 4) AS recall, round(2 * p * r / greatest(p + r, 1e-6::DOUBLE), 4) AS f1 FROM s",
         "formula_scores": r"WITH c AS (SELECT DISTINCT chunk_uid, text FROM chunks WHERE chunk_type = 'formula'), x AS (SELECT chunk_uid, trim(regexp_replace(regexp_replace(text, '^\$+|\$+$', '', 'g'), '\s+', ' ', 'g')) AS ref, trim(regexp_replace(regexp_replace('$$' || text || '  + x$$', '^\$+|\$+$', '', 'g'), '\s+', ' ', 'g')) AS hyp FROM c) SELECT chunk_uid, ref = hyp AS exact, greatest(0.0::DOUBLE, round(1 - " + _CER + ", 4)) AS similarity FROM x",
