@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 # Line ends; white space that is stripped; letters with case.
 LINE_END = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
 SPACE = r"[\s\u000b\u001c-\u001f\u0085   -     　]"
+SPACES = "\t\n\u000b\u000c\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 CASED = r"\p{Lu}\p{Ll}\p{Lt}"
 # What marks a string or a key as secret.
 SECRET_PARTS = ("hf_", "sk-")
@@ -22,7 +23,7 @@ REDACTED = "[REDACTED_SECRET]"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def lines(c: Column) -> Column:
