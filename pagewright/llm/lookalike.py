@@ -92,15 +92,16 @@ def _distinct(f):
 look_udf = F.pandas_udf(_distinct(look), T.StringType())
 fold_udf = F.pandas_udf(_distinct(fold), T.StringType())
 
-#: Texts that are their own form: printable ASCII, single spaces, none at the ends.
-PLAIN = r"^(?:[!-~]+(?: [!-~]+)*)?$"
+#: What keeps a text from being its own form: anything but printable ASCII, two spaces, spaces at the ends. A plain search,
+#: as repeated groups would take stack for every word of a long text.
+NOT_PLAIN = r"[^ -~]|  |^ | $"
 
 
 def with_forms(df: DataFrame, column: str, look_as: str = "look", fold_as: str | None = "fold") -> DataFrame:
     """Adds the forms of a text column; null stays null, an empty text stays empty. Columns of the same
     names are replaced. Plain texts never leave the JVM."""
     text = F.col(column)
-    plain = text.rlike(PLAIN)
+    plain = ~text.rlike(NOT_PLAIN)
     out = df.withColumn(look_as, F.when(plain, text).otherwise(look_udf(F.when(~plain, text))))
     if fold_as:
         out = out.withColumn(fold_as, F.when(plain, F.lower(text)).otherwise(fold_udf(F.when(~plain, text))))

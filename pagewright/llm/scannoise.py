@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pagewright.functions.scratch import written
+from pagewright.functions.strings import strip
 
 # Marks of division at a line end; ornaments about page numbers; words for "page" and "of".
 MARKS = "-‐‑¬­"
@@ -46,11 +47,11 @@ STROKES = {
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 _BREAK = re.compile(LINE_BREAK)
 _WORD = re.compile(r"[^\W_|]*(?:\|[^\W_|]*)*")
-_TOKEN = re.compile(r"[^\W_|]+(?:\|+[^\W_|]*)*|\|+[^\W\d_|]+(?:\|+[^\W_|]*)*")
+_TOKEN = re.compile(r"[^\W_|]+(?:\|+[^\W_|]*)*|(?<!\|)\|+[^\W\d_|]+(?:\|+[^\W_|]*)*")
 _COMPOUND = re.compile(r"(?<![\w-])[^\W\d_]+(?:-[^\W\d_]+)+(?![\w-])")
 _ROMAN = r"m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
 _PAGE_LINE = re.compile(rf"(?:(?:{PAGE_WORDS})\b\.?\s*)?(?:nr\.?|no\.?|n°)?\s*(?P<n>\d{{1,6}}|(?=[mdclxvi]){_ROMAN})(?:\s*(?:{OF_WORDS})\s*(?:\d{{1,6}}|(?=[mdclxvi]){_ROMAN}))?", re.I)
-_EDGE_NUMBER = re.compile(r"^\W*\d{1,6}\W+|\W+\d{1,6}\W*$")
+_EDGE_NUMBER = re.compile(r"\W*\d{1,6}\W+")
 _LAST = re.compile(r"((?:[^\W_]|\|)*)$")
 _DIGIT_OR_BAR = re.compile(r"[\d|]")
 _HAS_LETTER = re.compile(r"[^\W\d_]")
@@ -89,7 +90,9 @@ def letters(s: str) -> str:
 
 def header_keys(line: str) -> list[str]:
     """What a line is compared with a title by: its letters, and the strokes of what is between page numbers."""
-    inner = _EDGE_NUMBER.sub("", line)
+    first, last = _EDGE_NUMBER.match(line), _EDGE_NUMBER.match(line[::-1])
+    a, b = first.end() if first else 0, len(line) - (last.end() if last else 0)
+    inner = line[a:b] if a < b else line
     inner = _NO_GLYPH.sub("", inner.lower() if inner.isascii() else unicodedata.normalize("NFKC", inner).casefold())
     return [letters(line), "~" + skeleton(inner)]
 
@@ -306,7 +309,7 @@ def repaired(texts: DataFrame, files: DataFrame, lexicon: DataFrame) -> DataFram
     lines = one.where(is_multi).select("tbl", "row_uid", F.posexplode(F.split("text", LINE_BREAK, -1)).alias("line", "s"))
     lines = lines.join(off, key, "left").where("off is null").join(cut, key, "left")
     w = Window.partitionBy("tbl", "row_uid").orderBy("line")
-    s = F.regexp_replace("s", r"^\s+|\s+$", "")
+    s = strip(F.col("s"))
     bare = F.when(F.col("keep").isNotNull(), F.when(F.col("keep"), F.regexp_replace(s, f"[{MARKS}]$", "-")).otherwise(F.regexp_replace(s, f"[{MARKS}]$", ""))).otherwise(s)
     lines = lines.withColumn("out", bare).withColumn("alone", _tabular(F.col("s"))).where(F.col("out") != "")
     lines = lines.withColumn("before_line", F.lag("line").over(w)).withColumn("before_cut", F.lag("keep").over(w)).withColumn("before_alone", F.lag("alone").over(w))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 BOUNDARIES = [
     r"(?:\r\n|[\n\r])[ \t]*(?:\r\n|[\n\r])+\s*",  # paragraphs
     r"(?:\r\n|[\n\r  ])[ \t]*",  # lines
-    r"[.!?…]+[\"'”’»)\]]*\s+|[。！？]+[」』）]*",  # sentences
+    r"(?<![.!?…])[.!?…]+[\"'”’»)\]]*\s+|[。！？]+[」』）]*",  # sentences
     r"[;:,]\s+|[，、；：]|\s[–—-]\s",  # clauses
     r"\s+",  # words
 ]

@@ -28,8 +28,8 @@ from pyspark.sql.window import Window
 from pagewright.functions.scratch import written
 
 # What begins or is a link, a tag, an attribute.
-URL = r"(?:https?://|www\.)[^\s<>()\[\]\"']+|(?<![\w@])(?:[\w-]+\.)+(?:com|org|net|info|biz|io|example|test|invalid|[a-z]{2})(?:/[^\s<>()\[\]\"']*)?(?![\w.-])"
-ANCHOR = r"\[[^\]\n]{0,300}\]\([^)\s]*\)|<a\b[^>]*>[^<\n]{0,300}</a>"
+URL = r"(?:https?://|www\.)[^\s<>()\[\]\"']+|(?<![\w@.-])(?:[\w-]+\.)+(?:com|org|net|info|biz|io|example|test|invalid|[a-z]{2})(?:/[^\s<>()\[\]\"']*)?(?![\w.-])"
+ANCHOR = r"\[[^\]\n]{0,300}\]\([^)\s]*\)|<a\b[^>\n]{0,2000}>[^<\n]{0,300}</a>"
 TAG = r"(?<!\w)[#@][^\W\d_][\w-]*"
 _URL, _ANCHOR, _TAG = re.compile(URL, re.I), re.compile(ANCHOR, re.I), re.compile(TAG)
 _HTML = re.compile(r"<[^>\n]{1,300}>")

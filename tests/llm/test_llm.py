@@ -130,7 +130,7 @@ def test_look_is_stable(s):
 
 
 def test_same_look(spark):
-    texts = [(1, "Box A"), (2, "Bоx A"), (3, "Box A"), (3, "Box A"), (4, None), (5, ""), (6, " "), (7, "BOX A"), (8, "Box​ A"), (9, "x" * 200_000), (10, "ｘ" * 200_000)]
+    texts = [(1, "Box A"), (2, "Bоx A"), (3, "Box A"), (3, "Box A"), (4, None), (5, ""), (6, " "), (7, "BOX A"), (8, "Box​ A"), (9, "x y " * 200_000 + "z"), (10, "ｘ y " * 200_000 + "z")]
     df = spark.createDataFrame([(i, t, "c", 1) for i, t in texts], "block_uid long, text string, look string, uid int")
     assert {(r.a, r.b) for r in lookalike.same_look(df, "block_uid", "text").collect()} == {(1, 2), (2, 3), (1, 8), (3, 8), (2, 8), (9, 10)}
     assert lookalike.same_look(df.where("false"), "block_uid", "text").count() == 0
@@ -286,3 +286,22 @@ def test_spam(spark):
     got = {r.doc_id for r in stuffing.spam(docs.union(docs.limit(3)), lexicon(spark)).collect()}
     assert got == set(range(len(spam)))
     assert stuffing.spam(docs.where("false"), lexicon(spark)).count() == 0
+
+
+# Long runs of one kind of character
+
+
+@pytest.mark.parametrize("run", [" ", ".", "|", "-", "a.", "[", "<a ", "# ", "1", "l1", "\n", "\t", "('", "a-"])
+def test_long_runs(run):
+    """No pattern takes more than linear time, about."""
+    import time
+    from collections import Counter
+
+    text = "x" + run * 60_000 + "y"
+    began = time.process_time()
+    scannoise._scan(text, 0, {"x": ["en"]}, [100, 200], Counter(), Counter())
+    stuffing.judge(text, stuffing.Lexicon([("en", "x")]))
+    splitting.pieces(text, 1500, 150)
+    lookalike.look(text)
+    word_hashes([text])
+    assert time.process_time() - began < 15
