@@ -5,9 +5,9 @@ ends, lines that may be headers or page numbers, words outside the lexicon, coun
 known words and of hyphenated compounds. Whatever needs the whole corpus then happens
 on events in SQL:
 
-* misread words: words are grouped by a skeleton in which confusable glyphs are one;
-  within a group and the language of the text around, a rare form whose group has a
-  much more frequent form is a misreading of it;
+* misread words: words are grouped by a skeleton, the strokes they are made of; within a
+  group and the language of the text around, a rare form is a misreading of a much more frequent
+  one from which it differs by glyphs that look alike, place by place;
 * headers: lines whose letters, digits masked, are those of the file's title;
 * page numbers: lines of nothing but a number, in the offset usual in their file;
 * cuts: a mark of division at a line end, unless the parts are a compound that is
@@ -44,6 +44,10 @@ STROKES = {
     "h": "b", "9": "g", "e": "c", "d": "cI", "w": "vv", "t": "f", "8": "B", "2": "z",
 }
 
+# Single glyphs that look alike, as one of them; groups of glyphs that look like others, in those terms.
+ALIKE = {"0": "o", "1": "i", "|": "i", "l": "i", "5": "s", "6": "b", "h": "b", "9": "g", "e": "c", "t": "f", "8": "B", "2": "z"}
+GROUPS = [("m", "rn"), ("d", "ci"), ("w", "vv"), ("u", "ii"), ("n", "ri"), ("nn", "rm")]
+
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 _BREAK = re.compile(LINE_BREAK)
 _WORD = re.compile(r"[^\W_|]*(?:\|[^\W_|]*)*")
@@ -56,6 +60,7 @@ _LAST = re.compile(r"((?:[^\W_]|\|)*)$")
 _DIGIT_OR_BAR = re.compile(r"[\d|]")
 _HAS_LETTER = re.compile(r"[^\W\d_]")
 _NO_LETTER, _NO_GLYPH = re.compile(r"[\W\d_]+"), re.compile(r"[^\w|]+|_+")
+_ALIKE = str.maketrans(ALIKE)
 _SKELETON = str.maketrans(STROKES)
 
 EVENTS = "kind string, tbl string, row_uid long, doc_id long, line int, lang string, a string, keys array<string>, n long"
@@ -66,6 +71,21 @@ def skeleton(word: str) -> str:
     return word.translate(_SKELETON)
 
 
+def confusable(read: str, meant: str) -> bool:
+    """Whether one word is the other with glyphs, or groups of them, replaced by ones that look alike, place by place."""
+    a, b = read.translate(_ALIKE), meant.translate(_ALIKE)
+    rules = [*GROUPS, *((y, x) for x, y in GROUPS)]
+    reach = [{0}] + [set() for _ in range(len(a))]  # places in b that each place in a can meet
+    for i in range(len(a) + 1):
+        for j in sorted(reach[i]):
+            if i < len(a) and j < len(b) and a[i] == b[j]:
+                reach[i + 1].add(j + 1)
+            for x, y in rules:
+                if a.startswith(x, i) and b.startswith(y, j):
+                    reach[i + len(x)].add(j + len(y))
+    return len(b) in reach[len(a)]
+
+
 def roman(s: str) -> int:
     value = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
     x = [value[c] for c in s.lower()]
@@ -130,7 +150,7 @@ def _scan(text: str, page_index: int | None, known: dict[str, list[str]], longes
     no longer line can be a header."""
     lines = _BREAK.split(text)
     found: list[tuple] = []
-    fragments: list[tuple[int, str]] = []
+    fragments: list[str] = []
     words: set[str] = set()
     if len(lines) > 1:
         for i, line in enumerate(lines):
@@ -150,9 +170,10 @@ def _scan(text: str, page_index: int | None, known: dict[str, list[str]], longes
                 go_on = [w for _, w in after if w and (w[0].islower() or not w[0].isalpha() and not w.isdigit())]
                 if go_on:
                     found.append(("cut", i, (m[1] + go_on[0]).lower(), [skeleton(f"{m[1]}-{w}".lower()) for w in go_on], None))
-                    fragments += [(i, m[1]), *after]
+                    # another line's word may be the rest too, if headers lie between; a word of some length is no mere rest
+                    fragments += [m[1], go_on[0], *(w for _, w in after if w != go_on[0] and len(w) < 6)]
                     words.add((m[1] + go_on[0]).lower())
-    dropped = Counter(w for _, w in fragments)
+    dropped = Counter(fragments)
     seen = Counter(_TOKEN.findall(text))
     votes: Counter = Counter()
     for w, k in seen.items():
@@ -178,6 +199,11 @@ def _skeleton_of(s: pd.Series) -> pd.Series:
     return s.map(skeleton, na_action="ignore")
 
 
+@F.pandas_udf(T.BooleanType())
+def _confusable(read: pd.Series, meant: pd.Series) -> pd.Series:
+    return pd.Series([confusable(a, b) for a, b in zip(read, meant, strict=True)], index=read.index, dtype=bool)
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _keys_of(s: pd.Series) -> pd.Series:
     return s.map(header_keys, na_action="ignore")
@@ -220,10 +246,11 @@ def misreadings(ev: DataFrame, lexicon: DataFrame) -> DataFrame:
     known = lexicon.select("lang", F.col("word").alias("a")).distinct().join(ev.where("kind = 'known'").groupBy("a").agg(F.sum("n").alias("n")), "a")
     forms = words.withColumn("listed", F.lit(False)).unionByName(known.withColumn("listed", F.lit(True)))
     forms = forms.withColumn("skeleton", _skeleton_of("a")).withColumn("clean", ~F.col("a").rlike(r"[0-9|]"))
-    best = forms.where("clean and (listed or n >= 8)").groupBy("lang", "skeleton").agg(F.max_by(F.struct("a", "n"), F.struct("n", "a")).alias("best"))
-    rare = forms.where("not listed and (length(a) >= 3 or not clean)").join(best, ["lang", "skeleton"]).where("a != best.a")
+    frequent = forms.where("clean and (listed or n >= 8)").select("lang", "skeleton", F.col("a").alias("form"), F.col("n").alias("form_n"))
+    rare = forms.where("not listed and (length(a) >= 3 or not clean)").join(frequent, ["lang", "skeleton"]).where("a != form")
     ratio = F.when(~F.col("clean"), 1).when(F.length("a") >= 4, 5).otherwise(20)
-    return rare.where(F.col("best.n") >= F.col("n") * ratio).select("lang", "a", F.col("best.a").alias("form"))
+    rare = rare.where(F.col("form_n") >= F.col("n") * ratio).where(_confusable("a", "form"))
+    return rare.groupBy("lang", "a").agg(F.max_by("form", F.struct("form_n", "form")).alias("form"))
 
 
 def header_lines(ev: DataFrame, files: DataFrame) -> DataFrame:

@@ -181,6 +181,14 @@ def test_page_numbers(line, n):
     assert scannoise.page_number(line) == n
 
 
+@pytest.mark.parametrize(
+    "read, meant, yes",
+    [("c0ntract", "contract", True), ("rnargin", "margin", True), ("retums", "returns", True), ("clepot", "depot", True), ("coliimn", "column", True), ("cacbe", "cache", True), ("manuscnto", "manuscrito", True), ("varme", "vanne", True), ("railvvay", "railway", True), ("schedlue", "schedule", False), ("full", "flur", False), ("drawnig", "drawing", False), ("pal", "par", False)],
+)
+def test_confusable(read, meant, yes):
+    assert scannoise.confusable(read, meant) is yes
+
+
 # Splitting
 
 
