@@ -15,7 +15,6 @@ sentences or not. In SQL:
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -60,22 +59,18 @@ class Lexicon:
         return max(votes.items(), key=lambda x: (x[1], x[0]))[0] if votes else None
 
 
-def _is_prose(words: list[str], low: list[str], known: dict, small: set[str]) -> bool:
-    """Whether words between two marks are (part of) a sentence: small words bind them, and most words of content are
-    of the language's common stock; a word with a capital may be a name and counts half."""
-    if small.isdisjoint(low):
-        return False
-    content = good = 0.0
+def _content(words: list[str], low: list[str], known: dict) -> tuple[list[str], float]:
+    """(words of content, how many of them a sentence may have): those of the common stock, and by half those that may be
+    names as they have a capital."""
+    content, good = [], 0.0
     for w, x in zip(words, low, strict=True):
-        if x in known:
-            if len(x) > 3:
-                content += 1
+        if len(x) > 3 and (x in known or x.isalpha() or not _DIGIT.search(x)):
+            content.append(x)
+            if x in known:
                 good += 1
-        elif len(x) > 3 and (x.isalpha() or not _DIGIT.search(x)):
-            content += 1
-            if w is not x and w[0] != x[0] and not w.isupper():
+            elif w[0] != x[0] and not w.isupper():
                 good += 0.5
-    return content > 0 and good >= 0.5 * content
+    return content, good
 
 
 def _loose(w: str) -> str:
@@ -83,22 +78,27 @@ def _loose(w: str) -> str:
     return w if w.isalpha() else w.translate(_LEET).strip("0123456789")
 
 
-def _read_line(line: str) -> tuple[str, int, int, int, int]:
-    """(the line without links and tags, links with anchors, words of anchors, bare links, tags)."""
-    links = anchored = bare = tags = 0
+def _read_line(line: str) -> tuple[str, int, int, int]:
+    """(the line without links and tags, words of links with their anchor texts, words of bare links, tags)."""
+    named = bare = tags = 0
     if _MAYBE_LINK.search(line) or "](" in line or "<" in line:
         if "](" in line or "<" in line:
             for m in _ANCHOR.finditer(line):
-                links += 1
-                anchored += len(_WORD.findall(_HTML.sub(" ", _TARGET.sub(" ", m[0]))))
-            if links:
+                named += len(_WORD.findall(m[0]))
+            if named:
                 line = _ANCHOR.sub(" ", line)
-        line, bare = _URL.subn(" ", line)
+
+        def link(m: re.Match) -> str:
+            nonlocal bare
+            bare += len(_WORD.findall(m[0]))
+            return " "
+
+        line = _URL.sub(link, line)
         if "<" in line:
             line = _HTML.sub(" ", line)
     if "#" in line or "@" in line:
         line, tags = _TAG.subn(" ", line)
-    return line, links, anchored, bare, tags
+    return line, named, bare, tags
 
 
 def judge(text: str, lex: Lexicon) -> tuple:
@@ -117,37 +117,53 @@ def judge(text: str, lex: Lexicon) -> tuple:
                 parts.append((part, ws, low))
         if parts or any(links):
             read.append((parts, *links))
-    total = sum(counts.values())
-    loose: Counter = Counter()
-    for w, n in counts.items():
-        loose[_loose(w)] += n
-    often = max(3, math.ceil(0.01 * total))
-    repeated = {w for w, n in loose.items() if n >= often and len(w) > 2 and w not in known}
-    stuffing = {w for w in counts if _loose(w) in repeated} if repeated else set()
     kinds: Counter = Counter()
     for w, n in counts.items():
         kinds["number" if w[0].isdigit() else "small" if w in small else "listed" if w in known else "other"] += n
-    spam = words = 0
-    for parts, links, anchored, bare, tags in read:
-        sentence_words = keyword_words = 0
+    # first, each part by itself: a list of short items; a sentence, bound by small words, most content common, little of it repeated
+    loose: Counter = Counter()
+    judged = []
+    for parts, *links in read:
+        row = []
         for part, ws, low in parts:
             bound = not small.isdisjoint(low)
+            content, good = _content(ws, low, known)
             listed = False
-            if not bound and len(ws) >= 4:
+            if len(ws) >= 4:
                 items = [i for i in _LIST.split(part.strip()) if i]
                 listed = len(items) >= 4 and len(ws) <= 3 * len(items)
-            if not listed and _is_prose(ws, low, known, small):
-                sentence_words += len(ws)
-            elif listed or not stuffing.isdisjoint(low) or len(ws) >= 4 and not bound:
-                keyword_words += len(ws)
+            prose = bound and bool(content) and not listed and good >= 0.5 * len(content) and not (len(content) >= 4 and len(set(content)) <= 0.6 * len(content))
+            if not prose:
+                loose.update(_loose(x) for x in low if len(x) > 2)
+            row.append((len(ws), low, content, bound, listed, prose))
+        judged.append((row, *links))
+    # then by what is repeated in parts that are no sentences: those words are the page's keywords
+    keywords = {w for w, n in loose.items() if n >= 3 and len(w) > 3 or n >= 3 and w and w not in small}
+    sums = []
+    for row, named, bare, tags in judged:
+        sentence_words = keyword_words = 0
+        for n, low, content, bound, listed, prose in row:
+            if prose:
+                stuffed = bool(keywords) and sum(_loose(x) in keywords for x in content) >= 0.6 * len(content)
             else:
-                sentence_words += len(ws)
-        kinds["link"] += links + bare + anchored
+                stuffed = listed or bool(named or bare) or n >= 4 and not bound or any(_loose(x) in keywords for x in low)
+            if stuffed:
+                keyword_words += n
+            else:
+                sentence_words += n
+        sums.append((sentence_words, keyword_words, named, bare, tags, len(row)))
+    # a list of readings, whose links come with sentences, is no spam; among links that don't, one sentence is a link's text
+    linked = [x for x in sums if x[2] or x[3]]
+    lone = sum(x[0] < 4 for x in linked)
+    readings = lone < 0.2 * len(linked)
+    spam = words = 0
+    for sentence_words, keyword_words, named, bare, tags, parts in sums:
+        kinds["link"] += named + bare
         kinds["tag"] += tags
-        words += sentence_words + keyword_words + links + bare + anchored + tags
-        spam += keyword_words + tags + anchored + links
-        if sentence_words < 4:  # a link that no sentence goes with
-            spam += bare
+        words += sentence_words + keyword_words + named + bare + tags
+        spam += keyword_words + named + tags + (0 if readings and sentence_words >= 4 else bare)
+        if not readings and bare and parts == 1:
+            spam += sentence_words
     spectrum = sorted(Counter(counts.values()).items(), reverse=True)
     n = sum(kinds.values())
     return lex.language(counts), words, min(spam, words), spectrum, [kinds[k] / n if n else 0.0 for k in KINDS]
