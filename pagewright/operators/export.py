@@ -141,16 +141,32 @@ def rag_chunks(blocks: DataFrame) -> DataFrame:
     return _chunk_rows(b)
 
 
-def nested_chunks(blocks: DataFrame) -> DataFrame:
-    """As rag_chunks, with the headings that enclose a chunk only: the last of each level above the last heading's."""
-    w = Window.partitionBy("doc_id").orderBy("page_index", "pos").rowsBetween(Window.unboundedPreceding, 0)
-    b = blocks.withColumn("chunk_text", _chunk_text()).withColumn("at", F.struct("page_index", "pos"))
+def nested_chunks(blocks: DataFrame, pages_in_block: int = 200) -> DataFrame:
+    """As rag_chunks, with the headings that enclose a chunk only: the last of each level above the last heading's.
+
+    The last heading of each level is found within blocks of pages and carried over from the blocks before, so that no
+    window holds more than a block of a document."""
+    keys = ["doc_id", "_part"]
+    b = blocks.withColumn("chunk_text", _chunk_text()).withColumn("_part", F.floor(F.col("page_index") / pages_in_block))
     level = F.when((_kind() == "heading") & (F.trim("chunk_text") != ""), F.coalesce("heading_level", F.lit(1)))
-    b = b.withColumn("lv", level)
-    for i in range(1, 7):
-        b = b.withColumn(f"h{i}", F.last(F.when(F.col("lv") == i, F.struct("at", F.col("chunk_text").alias("t"))), ignorenulls=True).over(w))
-        b = b.withColumn(f"u{i}", F.last(F.when(F.col("lv") < i, F.col("at")), ignorenulls=True).over(w)) if i > 1 else b.withColumn("u1", F.lit(None).cast("struct<page_index:int,pos:int>"))
-    open_ = [F.when(F.col(f"u{i}").isNull() | (F.col(f"h{i}.at") > F.col(f"u{i}")), F.col(f"h{i}.t")) for i in range(1, 7)]
+    heading = F.struct("page_index", "pos", F.col("chunk_text").alias("t"))
+    levels = range(1, 7)
+    own = {i: F.when(F.col("_level") == i, heading) for i in levels}
+    b = b.withColumn("_level", level)
+    inside = Window.partitionBy(*keys).orderBy("page_index", "pos")
+    before = Window.partitionBy("doc_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = b.groupBy(*keys).agg(*[F.max(own[i]).alias(f"_s{i}") for i in levels])
+    carried = sums.select(*keys, *[F.max(f"_s{i}").over(before).alias(f"_c{i}") for i in levels])
+    b = b.select("*", *[F.max(own[i]).over(inside).alias(f"_h{i}") for i in levels]).join(carried, keys)
+    last = {i: F.coalesce(f"_h{i}", f"_c{i}") for i in levels}
+    at = {i: F.struct(last[i]["page_index"], last[i]["pos"]) for i in levels}
+    open_ = [last[1]["t"]]
+    for i in levels[1:]:
+        above = [last[k].isNull() | (at[i] > at[k]) for k in range(1, i)]
+        ok = above[0]
+        for c in above[1:]:
+            ok = ok & c
+        open_.append(F.when(ok, last[i]["t"]))
     return _chunk_rows(b.withColumn("heading_hierarchy", F.array_compact(F.array(*open_))))
 
 

@@ -9,7 +9,7 @@ from pagewright.functions import geometry as G
 from pagewright.functions import strings as S
 from pagewright.functions.ranks import at_ranks
 from pagewright.functions.running import running_count
-from pagewright.operators import export, imaging, inspection, layout, metrics, registry
+from pagewright.operators import export, imaging, inspection, layout, metrics, registry, reports
 from pagewright.operators.shred import columns_of, flat_table, numbered, shred
 from pagewright.sources import files, text
 from pagewright.sources.detect import detect
@@ -225,6 +225,31 @@ def test_registry(spark):
     assert registry.applied(spark.createDataFrame([("a",)], "text string"), r.choose("ocr")).first().text == "A"
 
 
+def test_reports(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "ok"), (2, "oversized"), (3, "ok")], "doc_id long, status string")
+    blocks = spark.createDataFrame([(1, 0), (1, 1)], "doc_id long, page_index int")
+    got = reports.process_results(blocks, docs)
+    assert {(r.doc_id, r.status, r.error, r.blocks, r.pages) for r in got.collect()} == {(1, "completed", None, 2, 2), (2, "failed", "oversized", 0, 0), (3, "failed", "no content", 0, 0)}
+    with pytest.raises(RuntimeError):
+        reports.raise_on_failure(got)
+    lines = [r.text for r in reports.markdown_report(got, ["doc_id", "status"], ["doc_id"]).collect()]
+    assert lines == ["| doc_id | status |", "| --- | --- |", "| 1 | completed |", "| 2 | failed |", "| 3 | failed |"]
+    bodies = spark.createDataFrame([(1, "x")], "doc_id long, body string")
+    path = str(tmp_path / "out")
+    reports.write_documents(bodies, path)
+    reports.write_documents(bodies.withColumn("body", F.lit("y")), path)
+    assert spark.read.text(path).first().value == "x"
+    reports.write_table(bodies.withColumn("case_id", F.lit("c")), str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == list(reports.COLUMNS)
+
+
+def test_polygon_and_labels(spark):
+    pts = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((1.0, 4.0), (3.0, 2.0), (2.0, 5.0))])
+    assert tuple(one(spark, *[c.alias(n) for c, n in zip(G.polygon_box(pts), "ltrb", strict=True)])) == (1.0, 2.0, 3.0, 5.0)
+    r = one(spark, layout.label_category(F.lit(" Section-header ")).alias("a"), layout.label_category(F.lit(9), layout.DOCLAYNET).alias("b"), layout.label_category(F.lit("x")).alias("c"))
+    assert tuple(r) == ("HEADING", "PARAGRAPH", "UNKNOWN")
+
+
 def test_jobs_stream(spark, tmp_path):
     assert step(None, "QUEUED") == "QUEUED" and step("COMPLETED", "RUNNING") == "COMPLETED" and step("QUEUED", "CANCELLED") == "CANCELLED"
     from pagewright.streaming.jobs import job_states
