@@ -84,7 +84,8 @@ def suffix(c: Column) -> Column:
 
 
 def utc_stamp(c: Column) -> Column:
-    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """Whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def signature(secret: str):
