@@ -37,7 +37,7 @@ def export_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def export_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = E.document_of(E.text_pages(_blocks(spark, sf_dir).where("text is null or not text rlike '[^\\\\x00-\\\\x7f]'")), sep="\n").join(_names(spark, sf_dir), "doc_id")
+    d = E.document_of(E.text_pages(_blocks(spark, sf_dir)), sep="\n").join(_names(spark, sf_dir), "doc_id")
     return _digest(d.withColumn("body", F.concat(F.lit("DOCUMENT: "), "doc_name", F.lit("\n" + "=" * 40 + "\n"), "body")))
 
 
