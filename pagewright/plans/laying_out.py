@@ -182,7 +182,7 @@ def cell_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     tabs = b.where("lower(block_type) = 'table'").select(*L.PAGE, F.col("block_uid").alias("table_id"), *[F.col(x).alias(f"t_{x}") for x in L.BOX])
     whole = tabs.select("table_id", F.lit("c").alias("cell_id"), F.lit(0).alias("pos"), F.lit("").alias("text"), *[F.col(f"t_{x}").alias(x) for x in L.BOX])
     right = whole.withColumn("cell_id", F.lit("d")).withColumn("pos", F.lit(1)).withColumn("left", (F.col("left") + F.col("right")) / 2)
-    texts = b.where("text is not null").join(tabs.select(*L.PAGE, "table_id"), L.PAGE).select("table_id", F.col("block_uid").alias("text_id"), F.substring("text", 1, 20).alias("text"), *L.BOX)
+    texts = b.where("text is not null").join(tabs.select(*L.PAGE, "table_id"), L.PAGE).select("table_id", F.col("block_uid").alias("text_id"), "text", *L.BOX)
     return L.cell_texts(whole.unionByName(right), texts).select("table_id", "cell_id", "text")
 
 

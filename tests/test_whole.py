@@ -29,3 +29,11 @@ def test_text_of_all_letters(run):
     (r,) = run("export_text", blocks=(blocks, BLOCK), files=([(1, "f.pdf")], "doc_id long, doc_name string"))
     body = "DOCUMENT: f.pdf\n" + "=" * 40 + "\n--- Page 1 ---\nSTRASSE\nnaïve café\nplain\n図 1"
     assert (r.digest, r.n_chars) == (hashlib.md5(body.encode()).hexdigest(), len(body))
+
+
+def test_whole_texts_of_cells(run):
+    long = "A text of more than twenty characters, to its last word"
+    blocks = [block(1, 0, "table", None, (0.0, 0.0, 1.0, 0.5, True)), block(2, 1, "text", long, (0.1, 0.1, 0.3, 0.2, True)), block(3, 2, "text", "second " + long, (0.1, 0.3, 0.3, 0.4, True))]
+    pages = ([(1, 0, 600.0, 800.0, 0)], "doc_id long, page_index int, width double, height double, rotation int")
+    got = {r.cell_id: r.text for r in run("cell_text", blocks=(blocks, BLOCK), raw_pages=pages)}
+    assert got == {"c": f"{long} second {long}", "d": ""}
