@@ -37,3 +37,9 @@ def test_whole_texts_of_cells(run):
     pages = ([(1, 0, 600.0, 800.0, 0)], "doc_id long, page_index int, width double, height double, rotation int")
     got = {r.cell_id: r.text for r in run("cell_text", blocks=(blocks, BLOCK), raw_pages=pages)}
     assert got == {"c": f"{long} second {long}", "d": ""}
+
+
+def test_table_of_every_order(run):
+    lines = [(k, n, 10 * k + n, "N") for k in (1, 2, 3, 4) for n in (1, 2)]
+    got = {r.table_id: r.body for r in run("table_markdown", lineitem=(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string"))}
+    assert got == {k: f"| {10 * k + 1} | N |\n| --- | --- |\n| {10 * k + 2} | N |" for k in (1, 2, 3, 4)}
