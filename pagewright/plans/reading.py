@@ -58,7 +58,7 @@ def detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.when(k == 0, F.unhex(F.lit("255044462D312E37"))).when(k == 1, F.unhex(F.lit("89504E470D0A1A0A"))).when(k == 2, F.unhex(F.lit("504B0304776F72642F"))).when(k == 3, F.encode(F.lit("  <!DOCTYPE HTML>"), "UTF-8"))
     head = head.when(k == 4, F.unhex(F.lit("524946460000000057454250"))).when(k == 5, F.unhex(F.lit("6100"))).otherwise(F.encode(F.lit(""), "UTF-8"))
     ext = F.when(k == 6, ".md").when(k == 7, ".pdf").when(k == 8, ".htm").otherwise("")
-    d = d.select("doc_id", F.concat(head, F.encode(F.substring("text", 1, 400), "UTF-8")).alias("content"), F.concat(F.lit("in/doc"), F.col("doc_id").cast("string"), ext).alias("path"))
+    d = d.select("doc_id", F.concat(head, F.encode("text", "UTF-8")).alias("content"), F.concat(F.lit("in/doc"), F.col("doc_id").cast("string"), ext).alias("path"))
     out = d.select("doc_id", detect(F.col("content"), F.col("path")).alias("a"))
     return out.select("doc_id", "a.format", "a.confidence", "a.method", "a.error")
 

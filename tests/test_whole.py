@@ -43,3 +43,10 @@ def test_table_of_every_order(run):
     lines = [(k, n, 10 * k + n, "N") for k in (1, 2, 3, 4) for n in (1, 2)]
     got = {r.table_id: r.body for r in run("table_markdown", lineitem=(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string"))}
     assert got == {k: f"| {10 * k + 1} | N |\n| --- | --- |\n| {10 * k + 2} | N |" for k in (1, 2, 3, 4)}
+
+
+def test_formats_by_the_whole_header(run):
+    """A mark after 400 characters counts, one after 2,048 bytes doesn't; a letter cut at the header's end is no text."""
+    docs = [(9, "a" * 500 + "\n# Title"), (10, "a" * 2047 + "é"), (11, "a" * 2048 + "\n# Title"), (12, "é" * 1024 + "\n# Title")]
+    got = {r.doc_id: (r.format, r.confidence, r.error) for r in run("detect_format", documents=(docs, "doc_id long, text string"))}
+    assert got == {9: ("markdown", 0.75, None), 10: (None, None, "unsupported"), 11: ("txt", 0.5, None), 12: ("txt", 0.5, None)}
