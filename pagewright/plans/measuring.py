@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from pagewright.functions import geometry as G
 from pagewright.functions.tables import table
 from pagewright.operators import metrics as M
+from pagewright.plans.laying_out import _boxes as boxes
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +55,7 @@ def ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _jittered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of pages, and the same moved and resized a little, in whole thousandths."""
-    b = table(spark, sf_dir, "blocks").where("bbox.is_normalized").select("block_uid", "doc_id", "page_index", "pos", F.lower("block_type").alias("kind"), *[F.floor(F.col(f"bbox.box_{x}") * 1000 + 0.5).alias(x) for x in ("left", "top", "right", "bottom")]).distinct()
+    b = boxes(spark, sf_dir).select("block_uid", "doc_id", "page_index", "pos", F.lower("block_type").alias("kind"), *[F.floor(F.col(x) * 1000 + 0.5).alias(x) for x in ("left", "top", "right", "bottom")])
     k = F.col("block_uid") % 7
     return b.withColumn("jl", F.col("left") + k * 4).withColumn("jt", F.col("top") - k).withColumn("jr", F.col("right") + k).withColumn("jb", F.col("bottom") + k * 2)
 

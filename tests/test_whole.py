@@ -50,3 +50,18 @@ def test_formats_by_the_whole_header(run):
     docs = [(9, "a" * 500 + "\n# Title"), (10, "a" * 2047 + "é"), (11, "a" * 2048 + "\n# Title"), (12, "é" * 1024 + "\n# Title")]
     got = {r.doc_id: (r.format, r.confidence, r.error) for r in run("detect_format", documents=(docs, "doc_id long, text string"))}
     assert got == {9: ("markdown", 0.75, None), 10: (None, None, "unsupported"), 11: ("txt", 0.5, None), 12: ("txt", 0.5, None)}
+
+
+@pytest.mark.parametrize("name", ["layout_scores", "layout_map", "layout_scores_by_score"])
+def test_pages_of_boxes_in_points(run, name):
+    blocks = [block(7, 0, "text", "a", (60.0, 720.0, 300.0, 640.0, False)), block(14, 0, "text", "b", (0.1, 0.1, 0.5, 0.2, True), 1), block(21, 0, "text", "c", (0.1, 0.1, 0.5, 0.2, None), 2)]
+    pages = ([(1, i, 600.0, 800.0, 0) for i in range(3)], "doc_id long, page_index int, width double, height double, rotation int")
+    got = run(name, blocks=(blocks, BLOCK), raw_pages=pages)
+    assert {(r.case_id, r.map if name == "layout_map" else r.f1) for r in got} == {(f"1/{i}", 1.0) for i in range(3)}
+
+
+def test_overlap_of_boxes_in_points(run):
+    blocks = [block(3, 0, "text", "a", (60.0, 720.0, 300.0, 640.0, False)), block(10, 1, "text", "b", (0.1, 0.1, 0.5, 0.2, True)), block(17, 2, "text", "c", (0.1, 0.1, 0.5, 0.2, None))]
+    pages = ([(1, 0, 600.0, 800.0, 0)], "doc_id long, page_index int, width double, height double, rotation int")
+    # All are 100, 100, 500, 200 in thousandths, moved to 112, 97, 503, 206.
+    assert {r.block_uid: r.iou for r in run("box_overlap", blocks=(blocks, BLOCK), raw_pages=pages)} == {u: round(388 * 100 / (400 * 100 + 391 * 109 - 388 * 100), 3) for u in (3, 10, 17)}
