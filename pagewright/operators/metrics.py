@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,13 +13,14 @@ from pyspark.sql import types as T
 
 from pagewright.functions.means import units
 from pagewright.functions.ranks import at_ranks
+from pagewright.functions.strings import SPACE
 
 # Limits of the regression gate.
 LIMITS = {"cer": 0.15, "wer": 0.25, "layout_f1": 0.70, "latency_increase": 0.20}
 
 
 def normalized_text(c: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(c, f"{SPACE}+", " ")))
 
 
 @F.pandas_udf(T.StringType())
@@ -31,21 +33,45 @@ def _rate(edits: Column, size: Column, other: Column) -> Column:
     return F.when(size == 0, F.when(other == 0, 0.0).otherwise(1.0)).otherwise(F.round(edits / size, 4))
 
 
-def character_error_rate(ref: Column, hyp: Column) -> Column:
+def edits(a: Sequence, b: Sequence) -> int:
+    """Edit distance of texts or lists, a whole column of the table at a time as bits of a number."""
+    if len(a) == 0 or len(b) == 0:
+        return len(a) or len(b)
+    at: dict = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    every, last, n = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
+    up, down = every, 0
+    for y in b:
+        eq = at.get(y, 0)
+        same = (((eq & up) + up) ^ up) | eq | down
+        more, less = down | every & ~(same | up), up & same
+        n += ((more & last) != 0) - ((less & last) != 0)
+        more, less = (more << 1 | 1) & every, less << 1 & every
+        same = eq | down
+        up, down = less | every & ~(same | more), more & same
+    return n
+
+
+@F.pandas_udf(T.IntegerType())
+def text_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """As levenshtein, for long texts."""
+    return pd.Series([None if x is None or y is None else edits(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+
+def character_error_rate(ref: Column, hyp: Column, distance: Callable[[Column, Column], Column] = F.levenshtein) -> Column:
     """Edits per character of the reference, 4 places; may exceed 1."""
-    return _rate(F.levenshtein(ref, hyp), F.length(ref), F.length(hyp))
+    return _rate(distance(ref, hyp), F.length(ref), F.length(hyp))
 
 
 def words(c: Column) -> Column:
     return F.filter(F.split(c, " "), lambda w: w != "")
 
 
-def sequence_distance(a: Column, b: Column) -> Column:
-    """Edit distance of two arrays of strings: each distinct element becomes one character."""
-    every = F.array_distinct(F.concat(a, b))
-    code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(every, w) + 0x4E00), 4, "0")), "UTF-16BE")
-    as_text = lambda x: F.array_join(F.transform(x, code), "")
-    return F.levenshtein(as_text(a), as_text(b))
+@F.pandas_udf(T.IntegerType())
+def sequence_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Edit distance of two arrays of strings."""
+    return pd.Series([None if x is None or y is None else edits(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
 def word_error_rate(ref: Column, hyp: Column) -> Column:
@@ -128,18 +154,19 @@ def cell_precision(ref: DataFrame, hyp: DataFrame) -> DataFrame:
     return n.join(hits, "table_id", "left").select("table_id", F.round(F.coalesce("hits", F.lit(0)) / F.greatest("a", "b"), 4).alias("score"))
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _clipped(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.Series:
+    """How many n-grams of b are in a, each as often as it is there at most; for n up to most."""
+    grams = lambda x, n: Counter(zip(*[x[i:] for i in range(n)]))
+    return pd.Series([None if x is None or y is None else [(grams(x, n) & grams(y, n)).total() for n in range(1, m + 1)] for x, y, m in zip(a, b, most, strict=True)])
+
+
 def ngram_score(ref: Column, hyp: Column, most: int = 4) -> Column:
     """Geometric mean of clipped n-gram precisions (at least 1e-9) with a penalty for brevity, of arrays of words."""
-
-    def grams(x: Column, n: int) -> Column:
-        at = F.when(F.size(x) >= n, F.sequence(F.lit(1), F.size(x) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.array_join(F.slice(x, i, n), "\u001f"))
+    clipped = _clipped(ref, hyp, F.lit(most))
 
     def precision(n: int) -> Column:
-        a, b = grams(ref, n), grams(hyp, n)
-        count = lambda xs, w: F.size(F.filter(xs, lambda y: y == w))
-        clipped = F.aggregate(F.array_distinct(b), F.lit(0), lambda s, w: s + F.least(count(a, w), count(b, w)))
-        return F.greatest(F.when(F.size(b) > 0, clipped / F.size(b)).otherwise(0.0), F.lit(1e-9))
+        return F.greatest(F.when(F.size(hyp) >= n, clipped[n - 1] / (F.size(hyp) - n + 1)).otherwise(0.0), F.lit(1e-9))
 
     logs = [F.log(precision(n)) for n in range(1, most + 1)]
     brief = F.when(F.size(hyp) >= F.size(ref), 1.0).otherwise(F.exp(1 - F.size(ref) / F.greatest(F.size(hyp), F.lit(1))))

@@ -13,8 +13,8 @@ from pagewright.plans.laying_out import _boxes as boxes
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each heading and the next one of its file, other letters than ASCII as question marks (SQL engines count them apart)."""
-    b = table(spark, sf_dir, "blocks").where("lower(block_type) = 'heading'").select("block_uid", "doc_id", "page_index", "pos", F.regexp_replace("text", r"[^\x00-\x7f]", "?").alias("ref")).distinct()
+    """Each block with text and the next one of its file, as they are stored."""
+    b = table(spark, sf_dir, "blocks").where("text is not null").select("block_uid", "doc_id", "page_index", "pos", F.col("text").alias("ref")).distinct()
     w = Window.partitionBy("doc_id").orderBy("page_index", "pos")
     return b.withColumn("hyp", F.lead("ref").over(w)).where("hyp is not null").select("block_uid", M.normalized_text(F.col("ref")).alias("ref"), M.normalized_text(F.col("hyp")).alias("hyp"))
 
@@ -39,7 +39,7 @@ def text_norm_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _pairs(spark, sf_dir)
-    cer, wer = M.character_error_rate(F.col("ref"), F.col("hyp")), M.word_error_rate(F.col("ref"), F.col("hyp"))
+    cer, wer = M.character_error_rate(F.col("ref"), F.col("hyp"), M.text_distance), M.word_error_rate(F.col("ref"), F.col("hyp"))
     return p.select("block_uid", cer.alias("cer"), wer.alias("wer")).withColumn("char_accuracy", M.accuracy(F.col("cer"))).withColumn("word_accuracy", M.accuracy(F.col("wer")))
 
 

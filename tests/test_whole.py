@@ -1,10 +1,13 @@
 """Queries over small tables in which a part left out would show."""
 
 import hashlib
+from decimal import ROUND_HALF_UP, Decimal
+from itertools import pairwise
 
 import pytest
 
 import __spark_entry__ as entry
+from pagewright.operators import metrics
 
 QUERIES = entry.queries()
 BLOCK = "block_uid long, doc_id long, page_index int, pos int, block_id string, block_type string, text string, heading_level int, ordered boolean, list_items array<struct<text:string,marker:string,reading_order_index:int>>, provenance struct<provider:string,stage:string>, bbox struct<box_left:double,box_top:double,box_right:double,box_bottom:double,is_normalized:boolean>"
@@ -65,3 +68,51 @@ def test_overlap_of_boxes_in_points(run):
     pages = ([(1, 0, 600.0, 800.0, 0)], "doc_id long, page_index int, width double, height double, rotation int")
     # All are 100, 100, 500, 200 in thousandths, moved to 112, 97, 503, 206.
     assert {r.block_uid: r.iou for r in run("box_overlap", blocks=(blocks, BLOCK), raw_pages=pages)} == {u: round(388 * 100 / (400 * 100 + 391 * 109 - 388 * 100), 3) for u in (3, 10, 17)}
+
+
+def slow_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+TEXTS = ["é è", "à\u00a0 ü", "Größe der 図 表", "größe  der 表", "a b c d e f", "a b c d x f", "", "Ünd " * 60, "und " * 55 + "図"]
+
+
+def test_edits():
+    for a in TEXTS:
+        for b in TEXTS:
+            assert metrics.edits(a, b) == slow_edits(a, b)
+            assert metrics.edits(a.split(), b.split()) == slow_edits(a.split(), b.split())
+
+
+def half_up(x, places):
+    return float(Decimal(repr(x)).quantize(Decimal(10) ** -places, ROUND_HALF_UP))
+
+
+def expected_rates(a, b):
+    a, b = (" ".join(x.split()).lower() for x in (a, b))
+    rate = lambda x, y: half_up(slow_edits(x, y) / len(x), 4) if x else float(bool(y))
+    return rate(a, b), rate(a.split(), b.split())
+
+
+def stored(texts):
+    return [block(i, i, ("heading", "paragraph", "caption")[i % 3], x) for i, x in enumerate(texts)]
+
+
+def test_rates_of_texts_as_stored(run):
+    got = {r.block_uid: (r.cer, r.wer) for r in run("text_error_rates", blocks=(stored(TEXTS), BLOCK))}
+    assert got == {i: expected_rates(*x) for i, x in enumerate(pairwise(TEXTS))}
+
+
+def test_gate_of_texts_as_stored(run):
+    got = {r.block_uid: r.passed for r in run("regression_gate", blocks=(stored(["né", "nè", "nè"]), BLOCK))}
+    assert got == {0: False, 1: True}
+
+
+def test_ngrams_of_texts_as_stored(run):
+    got = {r.block_uid: r.bleu for r in run("ngram_scores", blocks=(stored(["né a b c d", "nè a b c d", "nè a b c d", "x"]), BLOCK))}
+    assert got == {0: round((4 / 5 * 3 / 4 * 2 / 3 * 1 / 2) ** 0.25, 3), 1: 1.0, 2: 0.0}
