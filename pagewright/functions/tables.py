@@ -15,3 +15,20 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "blocks").select(F.lit("blocks").alias("tbl"), F.col("block_uid").alias("row_uid"), "doc_id", "page_index", "text")
     c = table(spark, sf_dir, "chunks").select(F.lit("chunks").alias("tbl"), F.col("chunk_uid").alias("row_uid"), "doc_id", "page_index", "text")
     return b.unionByName(c)
+
+
+#: Repeated keys that are broadcast at most (16 bytes each).
+BROADCAST_KEYS = 1_000_000
+
+
+def once(df: DataFrame, key: str) -> DataFrame:
+    """One row for each value of a key whose repeated rows are equal. Where few keys repeat, only their rows are
+    shuffled: the other rows, with their long texts, stay where they are."""
+    many = df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
+    n = many.count()
+    if n == 0:
+        return df
+    if n > BROADCAST_KEYS:
+        return df.dropDuplicates([key])
+    again = F.broadcast(many)
+    return df.join(again, key, "left_anti").unionByName(df.join(again, key, "left_semi").dropDuplicates([key]))

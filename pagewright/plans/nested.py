@@ -2,57 +2,85 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions.scratch import written
 from pagewright.functions.tables import table
-from pagewright.operators.shred import flat_table, numbered, shred
+from pagewright.operators.shred import column, every_table, flat_table, last_name, shred, there
 
 REPEATED = ("pages", "blocks", "children", "items", "cells")
 
 
 def _rows(spark: SparkSession, sf_dir: str, leaves: list[str] | None) -> DataFrame:
-    return written(numbered(shred(table(spark, sf_dir, "doc_records"), "pages", REPEATED, leaves)), "levels")
+    return written(shred(table(spark, sf_dir, "doc_records"), "pages", REPEATED, leaves), "shredded")
 
 
-def _pages(rows: DataFrame, fields: dict[str, str] | None = None) -> DataFrame:
-    p = flat_table(rows, ["pages"], {"pageindex": "own_index"} | (fields or {}))
-    own = F.expr("try_cast(trim(own_index) AS int)")
-    return p.withColumn("page_index", F.coalesce(own, F.col("place")).cast("int")).drop("own_index")
+def _own_or_place(own: Column, place: Column) -> Column:
+    """A page's own index, else its place."""
+    return F.coalesce(F.trim(own).try_cast("int"), place)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks (item_pos -1), and list items and cells with their place, linked to page and enclosing block."""
+    """Blocks (item_pos -1), and list items and cells with their place, linked to page and enclosing block.
+
+    Links are followed within a record before instances become rows: each owner's row meets that of its parent, in
+    which an instance is found by its number."""
     rows = _rows(spark, sf_dir, ["id", "pageindex"])
-    pages = _pages(rows).select("rec_id", F.col("n").alias("top_n"), "page_index")
-    blocks = flat_table(rows, ["blocks", "children"], {"id": "block_id"})
-    above = blocks.select("rec_id", F.col("path").alias("parent_path"), F.col("n").alias("parent_n"), F.col("block_id").alias("parent_id"))
-    blocks = blocks.join(pages, ["rec_id", "top_n"]).join(above, ["rec_id", "parent_path", "parent_n"], "left").withColumn("parent_id", F.coalesce("parent_id", F.lit("")))
-    owner = blocks.select("rec_id", F.col("path").alias("parent_path"), F.col("n").alias("parent_n"), "page_index", "block_id", "parent_id")
-    items = flat_table(rows, ["items", "cells"], {}).join(owner, ["rec_id", "parent_path", "parent_n"])
-    both = blocks.withColumn("item_pos", F.lit(-1)).select("rec_id", "page_index", "block_id", "parent_id", "item_pos")
-    return both.unionByName(items.select("rec_id", "page_index", "block_id", "parent_id", F.col("place").cast("int").alias("item_pos"))).distinct()
+    indexes = F.transform(F.arrays_zip(there(column("pageindex")).alias("own"), there(F.col("place")).alias("place")), lambda x: _own_or_place(x["own"], x["place"]))
+    pages = rows.where("owner = 'pages'").select("rec_id", indexes.alias("pages"))
+    above = rows.where(last_name().isin("blocks", "children")).select("rec_id", F.col("owner").alias("parent"), there(column("id")).alias("parent_ids"))
+    mine = rows.where(last_name().isin("blocks", "children")).join(pages, "rec_id").join(above, ["rec_id", "parent"], "left")
+    z = F.arrays_zip(there(F.col("top_n")).alias("top"), there(F.col("parent_n")).alias("up"), there(column("id")).alias("id"))
+    one = lambda x: F.struct(F.get("pages", x["top"] - 1).alias("page_index"), x["id"].alias("block_id"), F.coalesce(F.get("parent_ids", x["up"] - 1), F.lit("")).alias("parent_id"))
+    blocks = mine.select("rec_id", "owner", F.transform(z, one).alias("blocks"))
+    whole = blocks.select("rec_id", F.inline("blocks"), F.lit(-1).alias("item_pos"))
+    parts = rows.where(last_name().isin("items", "cells")).select("rec_id", F.col("parent").alias("owner"), F.arrays_zip(there(F.col("parent_n")).alias("up"), there(F.col("place")).alias("place")).alias("z"))
+    held = lambda x: F.struct(F.get("blocks", x["up"] - 1).alias("b"), x["place"].alias("item_pos"))
+    items = parts.join(blocks, ["rec_id", "owner"]).select("rec_id", F.inline(F.transform("z", held))).select("rec_id", "b.page_index", "b.block_id", "b.parent_id", "item_pos")
+    return whole.unionByName(items).distinct()
 
 
 def p3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = {"width": "width", "height": "height", "rotation": "rotation"}
-    return _pages(_rows(spark, sf_dir, ["pageindex", *fields]), fields).select("rec_id", "n", "page_index", "place", *fields.values())
+    p = flat_table(_rows(spark, sf_dir, ["pageindex", *fields]), ["pages"], {"pageindex": "own_index"} | fields)
+    return p.withColumn("page_index", _own_or_place(F.col("own_index"), F.col("place"))).select("rec_id", "n", "page_index", "place", *fields.values())
 
 
 def p3_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks with their boxes. Where some records hold a box as an object and others as an array of its sides, boxes are
+    a table of their own, from which each block gets its sides by name or by place."""
+    sides = ("left", "top", "right", "bottom")
     fields = {"id": "block_id", "blocktype": "block_type", "text": "text", "caption": "caption", "readingorderindex": "reading_order_index"}
-    fields |= {f"bbox.{k}": f"box_{k}" for k in ("left", "top", "right", "bottom")} | {"provenance.provider": "provider", "provenance.confidence": "confidence"}
-    return flat_table(_rows(spark, sf_dir, list(fields)), ["blocks", "children"], fields)
+    fields |= {f"bbox.{k}": f"box_{k}" for k in sides} | {"provenance.provider": "provider", "provenance.confidence": "confidence"}
+    rows = _rows(spark, sf_dir, [*fields, *sides, "value"])
+    blocks = flat_table(rows, ["blocks", "children"], fields)
+    parts = flat_table(rows, ["bbox"], {k: k for k in (*sides, "value")})
+    named = [F.max(F.coalesce(F.col(k), F.when(F.col("place") == i, F.col("value")))).alias(f"own_{k}") for i, k in enumerate(sides)]
+    boxes = parts.groupBy("rec_id", F.col("parent_path").alias("path"), F.col("parent_n").alias("n")).agg(*named)
+    both = blocks.join(boxes, ["rec_id", "path", "n"], "left")
+    return both.select(*[F.coalesce(f"box_{c[4:]}", f"own_{c[4:]}").alias(c) if c[4:] in sides else c for c in blocks.columns])
 
 
 def p3_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = {"text": "text", "marker": "marker", "rowindex": "row_index", "colindex": "col_index"}
+    fields = {"text": "text", "marker": "marker", "rowindex": "row_index", "colindex": "col_index", "rowspan": "row_span", "colspan": "col_span"}
     return flat_table(_rows(spark, sf_dir, list(fields)), ["items", "cells"], fields)
 
 
+def p3_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every table of every record: a row for each instance with all its leaves (as JSON, absent ones left out)."""
+    r = every_table(_rows(spark, sf_dir, None))
+    return r.withColumn("fields", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("fields")))))
+
+
+def p3_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves of the records' metadata, one a row."""
+    rows = every_table(_rows(spark, sf_dir, None)).where("path = ''")
+    return rows.select("rec_id", F.explode("fields").alias("field", "value")).where("field like 'metadata.%' and value is not null")
+
+
 def queries() -> dict:
-    return {"p3_found": p3_found, "p3_pages": p3_pages, "p3_blocks": p3_blocks, "p3_items": p3_items}
+    return {"p3_found": p3_found, "p3_pages": p3_pages, "p3_blocks": p3_blocks, "p3_items": p3_items, "p3_rows": p3_rows, "p3_metadata": p3_metadata}
 
 
 def oracle_sql() -> dict[str, str]:

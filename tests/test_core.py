@@ -1,16 +1,22 @@
 """Rules of single operators on small cases whose results are known."""
 
+import itertools
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as G
+from pagewright.functions import scratch
 from pagewright.functions import strings as S
 from pagewright.functions.ranks import at_ranks
 from pagewright.functions.running import running_count
 from pagewright.operators import export, imaging, inspection, layout, metrics, registry, reports
-from pagewright.operators.shred import columns_of, flat_table, numbered, shred
+from pagewright.functions.skew import split_join
+from pagewright.functions.tables import once
+from pagewright.operators.shred import Shape, columns_of, every_table, flat_table, learned, schema_of, shred
+from pagewright.plans.nested import p3_found
 from pagewright.sources import files, text
 from pagewright.sources.detect import detect
 from pagewright.streaming import ingest
@@ -278,13 +284,59 @@ REPEATED = ("pages", "blocks", "children", "items", "cells")
 
 def shredded(spark, payloads, columns="rec_id long, payload string"):
     df = spark.createDataFrame(payloads, columns)
-    return numbered(shred(df, "pages", REPEATED))
+    return shred(df, "pages", REPEATED)
 
 
 def test_shred_levels():
-    rows = columns_of('{"pages": [{"blocks": [{"id": "a", "items": [{"text": "x"}, {"text": "y"}]}, {"id": "b"}]}, {}]}', "pages", frozenset(REPEATED))
-    texts = [(rep, d, v) for path, owner, leaf, seq, rep, d, *_, v in rows if path == "pages.blocks.items.text"]
-    assert texts == [(0, 4, "x"), (3, 4, "y"), (2, 2, None), (1, 1, None)]
+    record = '{"pages": [{"blocks": [{"id": "a", "items": [{"text": "x"}, {"text": "y"}]}, {"id": "b"}]}, {}]}'
+    shape = learned([record, '{"pages": [{"blocks": [{"caption": "c"}]}]}'], "pages", frozenset(REPEATED))
+    groups = {g.path: g for g in columns_of(record, "pages", shape)}
+    items = groups["pages.blocks.items"]
+    assert list(zip(items.rep, items.leaves["text"][0], items.leaves["text"][1], strict=True)) == [(0, 4, "x"), (3, 4, "y"), (2, 2, None), (1, 1, None)]
+    assert groups["pages.blocks"].leaves["caption"] == ([2, 2, 1], [None] * 3)  # a column of another record
+    assert Shape.of_rows(shape.rows()) == shape
+
+
+def walked(rec, payload):
+    """p3_found of one record whose fields are spelt plainly, by walking it."""
+    out = set()
+    listed = lambda v: v if isinstance(v, list) else [] if v is None else [v]
+
+    def block(x, page, parent):
+        if x is None:
+            return
+        out.add((rec, page, x.get("id"), parent, -1))
+        for name in ("items", "cells"):
+            out.update((rec, page, x.get("id"), parent, i) for i, y in enumerate(listed(x.get(name))) if y is not None)
+        for y in listed(x.get("children")):
+            block(y, page, x.get("id"))
+
+    for i, p in enumerate(listed(payload["pages"])):
+        if p is not None:
+            for x in listed(p.get("blocks")):
+                block(x, p.get("page_index", i), "")
+    return out
+
+
+def test_shred_against_a_walk(spark, tmp_path):
+    rnd = random.Random(5)
+    ids = itertools.count()
+    some = lambda xs: rnd.choice([xs, xs, xs, xs[0] if xs else None, None])
+
+    def block(depth):
+        b = {"id": f"b{next(ids)}"}
+        for name in ("items", "cells"):
+            if rnd.random() < 0.5:
+                b[name] = some([rnd.choice([None, {"text": "t"}, "plain"]) for _ in range(rnd.randint(0, 3))])
+        if depth < 5 and rnd.random() < 0.5:
+            b["children"] = some([block(depth + 1) for _ in range(rnd.randint(0, 3))])
+        return b
+
+    docs = [{"pages": some([{"blocks": some([block(0) for _ in range(rnd.randint(0, 3))])} | ({"page_index": rnd.randint(0, 9)} if rnd.random() < 0.5 else {}) for _ in range(rnd.randint(0, 4))])} for _ in range(120)]
+    spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "rec_id long, payload string").write.parquet(str(tmp_path / "doc_records.parquet"))
+    got = [tuple(r) for r in p3_found(spark, str(tmp_path)).collect()]
+    want = set().union(*(walked(i, d) for i, d in enumerate(docs)))
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 500
 
 
 def test_shred_cases(spark):
@@ -309,9 +361,51 @@ def test_shred_empty_and_clashing(spark):
 
 def test_shred_deep_and_long(spark):
     deep = '{"id": "x"}'
-    for i in range(300):
+    for i in range(20_000):
         deep = '{"id": "%d", "children": [%s]}' % (i, deep)
-    got = flat_table(shredded(spark, [(1, '{"pages": [{"blocks": [%s]}]}' % deep)]), ["blocks", "children"], {"id": "i"})
-    assert got.count() == 301
+    record = '{"a": {"b": {"c": {"d": {"e": {"pages": [{"blocks": [%s]}]}}}}}}' % deep
+    for _ in range(4):
+        record = record if len(record) > 2_000_000 else json.dumps(record)
+    got = flat_table(shredded(spark, [(1, record), (2, '{"pages": [{"blocks": [{"id": "y"}]}]}')]), ["blocks", "children"], {"id": "i"})
+    assert got.groupBy("rec_id").count().orderBy("rec_id").collect()[0]["count"] == 20_001 and got.where("top_n != 1").count() == 0
     long = json.dumps({"pages": [{"blocks": [{"id": "a", "text": "y" * 2_000_000}]}]})
     assert len(flat_table(shredded(spark, [(1, long)]), ["blocks"], {"text": "t"}).first().t) == 2_000_000
+
+
+def test_shred_every_table(spark):
+    rows = [(1, '{"Metadata": {"id": "m", "n": 1.5}, "pages": [{"blocks": [{"id": "a", "bbox": [1, 2]}]}]}'), (2, '{"pages": [{"blocks": {"id": "b", "bbox": {"left": 3}}}]}')]
+    got = {(r.rec_id, r.path, r.place, tuple(sorted((k, v) for k, v in r.fields.items() if v is not None))) for r in every_table(shredded(spark, rows)).collect()}
+    assert got == {
+        (1, "", 0, (("metadata.id", "m"), ("metadata.n", "1.5"))), (1, "pages", 0, ()), (1, "pages.blocks", 0, (("id", "a"),)), (1, "pages.blocks.bbox", 0, (("value", "1"),)), (1, "pages.blocks.bbox", 1, (("value", "2"),)),
+        (2, "", 0, ()), (2, "pages", 0, ()), (2, "pages.blocks", 0, (("id", "b"),)), (2, "pages.blocks.bbox", 0, (("left", "3"),)),
+    }
+    assert schema_of(spark.createDataFrame(rows, "rec_id long, payload string"), "pages", REPEATED).fields["pages"].fields["blocks"].fields["bbox"].scalar
+
+
+# Keys that hold many rows
+
+
+def test_split_join(spark):
+    """Half of all rows have one key; no part of it holds more than its share."""
+    big = spark.range(4000).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
+    small = spark.createDataFrame([(0, "a"), (0, "b"), (1, "c"), (None, "d")], "k long, v string")
+    for n in (100, 10**6):
+        got = split_join(big, small, ["k"], ["id"], n)
+        assert got.columns == ["k", "id", "v"] and got.count() == 4001
+        parts = got.where("k = 0").groupBy(F.spark_partition_id()).count().collect()
+        assert n > 4000 or len(parts) > 1
+    assert split_join(big.where("false"), small, ["k"], ["id"]).count() == 0
+
+
+def test_once(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (1, "a"), (3, None)], "k long, v string")
+    assert sorted(tuple(r) for r in once(df, "k").collect()) == [(1, "a"), (2, "b"), (3, None)]
+
+
+def test_scratch_needs_a_shared_folder():
+    class Cluster:
+        conf = {}  # noqa: RUF012
+        sparkContext = type("C", (), {"master": "spark://host:7077", "applicationId": "a"})  # noqa: N815
+
+    with pytest.raises(RuntimeError):
+        scratch.shared_dir(Cluster)
