@@ -21,14 +21,16 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 BROADCAST_KEYS = 1_000_000
 
 
-def once(df: DataFrame, key: str) -> DataFrame:
-    """One row for each value of a key whose repeated rows are equal. Where few keys repeat, only their rows are
-    shuffled: the other rows, with their long texts, stay where they are."""
-    many = df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
+def once(df: DataFrame, *keys: str) -> DataFrame:
+    """One row for each value of the keys, whose repeated rows are equal. Where few keys repeat, only their rows are
+    shuffled: the other rows, with their long texts, stay where they are. Null keys count as values."""
+    many = df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*[F.col(k).alias(f"_{k}") for k in keys])
     n = many.count()
     if n == 0:
         return df
     if n > BROADCAST_KEYS:
-        return df.dropDuplicates([key])
-    again = F.broadcast(many)
-    return df.join(again, key, "left_anti").unionByName(df.join(again, key, "left_semi").dropDuplicates([key]))
+        return df.dropDuplicates(list(keys))
+    again, same = F.broadcast(many), F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return df.join(again, same, "left_anti").unionByName(df.join(again, same, "left_semi").dropDuplicates(list(keys)))

@@ -62,6 +62,15 @@ class Shape:
             yield p, s.repeats, s.scalar, s.recursive
             todo += [(f"{p}.{k}" if p else k, x) for k, x in s.fields.items()]
 
+    def pruned(self, leaves: frozenset[str] | None, owners: frozenset[str] | None, inner: str = "") -> Shape:
+        """Only the columns wanted: leaves, by their path below their owner, of owners, by their last name, and what holds them."""
+        out = Shape({}, self.repeats, self.scalar and (leaves is None or (inner or "value") in leaves), self.recursive)
+        for k, s in self.fields.items():
+            below = s.pruned(leaves, owners, "" if s.repeats else f"{inner}.{k}" if inner else k)
+            if below.fields or (owners is None or k in owners if s.repeats else below.scalar):
+                out.fields[k] = below
+        return out
+
     @staticmethod
     def of_rows(rows: Iterable[tuple[str, bool, bool, bool]]) -> Shape:
         root = Shape()
@@ -136,13 +145,14 @@ def _learn(x, shape: Shape, repeated: frozenset[str], name: str = "") -> None:
 class _Group:
     """An owner's columns of one record."""
 
-    __slots__ = ("depth", "dfn", "leaves", "outer", "owner_rep", "path", "rep")
+    __slots__ = ("below", "depth", "dfn", "leaves", "outer", "owner_rep", "path", "rep")
 
     def __init__(self, path: str, owner_rep: int, depth: int, outer: _Group | None) -> None:
         self.path, self.owner_rep, self.depth, self.outer = path, owner_rep, depth, outer
         self.rep: list[int] = []
         self.dfn: list[int] = []
         self.leaves: dict[str, tuple[list[int], list]] = {}
+        self.below: dict[tuple[str, str, bool], _Group] = {}
 
 
 def _text(x) -> str | None:
@@ -154,34 +164,32 @@ def _text(x) -> str | None:
 
 
 class _Columns:
-    def __init__(self, keep) -> None:
+    def __init__(self) -> None:
         self.groups: dict[str, _Group] = {}
-        self.keep = keep
 
-    def under(self, g: _Group, inner: str, name: str, again: bool) -> tuple[_Group, int]:
-        """The group of a repeated field below g; again: the field is g's own name. And how many names it adds."""
-        if again:
-            base, _, nth = g.path.partition("^")
-            path, names = f"{base}^{int(nth or 1) + 1}", 1
-        else:
-            path, names = ".".join(x for x in (g.path, inner, name) if x), inner.count(".") + 2 if inner else 1
-        found = self.groups.get(path)
+    def under(self, g: _Group, inner: str, name: str, again: bool) -> _Group:
+        """The group of a repeated field below g; again: the field is g's own name."""
+        found = g.below.get((inner, name, again))
         if found is None:
-            found = self.groups[path] = _Group(path, g.owner_rep + 1, g.depth + names, g)
-        return found, names
+            if again:
+                base, _, nth = g.path.partition("^")
+                path, names = f"{base}^{int(nth or 1) + 1}", 1
+            else:
+                path, names = ".".join(x for x in (g.path, inner, name) if x), inner.count(".") + 2 if inner else 1
+            found = g.below[inner, name, again] = self.groups[path] = _Group(path, g.owner_rep + 1, g.depth + names, g)
+        return found
 
     def put(self, g: _Group, leaf: str, depth: int, value) -> None:
-        if self.keep(leaf):
-            col = g.leaves.get(leaf)
-            if col is None:
-                col = g.leaves[leaf] = ([], [])
-            col[0].append(depth)
-            col[1].append(value)
+        col = g.leaves.get(leaf)
+        if col is None:
+            col = g.leaves[leaf] = ([], [])
+        col[0].append(depth)
+        col[1].append(value)
 
     def absent(self, shape: Shape, g: _Group, inner: str, name: str, rep: int, depth: int, again: bool = False) -> None:
         """An entry in every column below a field that isn't there; of a field within itself, in the field's alone."""
         if shape.repeats:
-            g, _ = self.under(g, inner, name, again)
+            g = self.under(g, inner, name, again)
             g.rep.append(rep)
             g.dfn.append(depth)
             inner = ""
@@ -212,7 +220,7 @@ class _Columns:
             self.items(have.get(name), shape, g, "", name, rep, depth, True)
 
     def items(self, v, s: Shape, g: _Group, inner: str, name: str, rep: int, depth: int, again: bool) -> None:
-        mine, names = self.under(g, inner, name, again)
+        mine = self.under(g, inner, name, again)
         values = v if isinstance(v, list) else [] if v is None else [v]
         if not values:
             self.absent(s, g, inner, name, rep, depth, again)
@@ -234,9 +242,9 @@ def learned(payloads: Iterable[str | None], root: str, repeated: frozenset[str])
     return shape
 
 
-def columns_of(payload: str | None, root: str, shape: Shape, keep=lambda leaf: True) -> list[_Group]:
+def columns_of(payload: str | None, root: str, shape: Shape) -> list[_Group]:
     """One record's columns, by owner; none if the payload is no complete record."""
-    cols = _Columns(keep)
+    cols = _Columns()
     for x in _unwrapped(_parse(payload), root):
         top = cols.groups.setdefault("", _Group("", 0, 0, None))
         top.rep.append(0)
@@ -323,19 +331,15 @@ def schema_of(records: DataFrame, root: str, repeated: Iterable[str]) -> Shape:
     return Shape.of_rows(tuple(r) for r in got)
 
 
-def shred(records: DataFrame, root: str, repeated: Iterable[str], leaves: Iterable[str] | None = None, shape: Shape | None = None) -> DataFrame:
+def shred(records: DataFrame, root: str, repeated: Iterable[str], leaves: Iterable[str] | None = None, owners: Iterable[str] | None = None, shape: Shape | None = None) -> DataFrame:
     """rec_id, payload -> a row for each record and owner (see SHREDDED); owner '' is the record itself.
 
     root: the field by which the record is known inside wrappers; leaves: only these columns of each owner;
-    shape: the schema, if it is known. Records that are null, empty or cut off have no rows, however
+    owners: only those with these last names, and their ancestors; shape: the schema, if it is known. Records that are null, empty or cut off have no rows, however
     deep they nest the others have all; a rec_id that is repeated is one record; further columns are ignored."""
-    wanted = None if leaves is None else frozenset(leaves)
     base = plain_name(root)
     shape = schema_of(records, root, repeated) if shape is None else shape
-    plan = list(shape.rows())
-
-    def keep(leaf: str) -> bool:
-        return wanted is None or leaf in wanted
+    plan = list(shape.pruned(None if leaves is None else frozenset(leaves), None if owners is None else frozenset(owners)).rows())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _deep()
@@ -343,7 +347,7 @@ def shred(records: DataFrame, root: str, repeated: Iterable[str], leaves: Iterab
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                got = [(rec, columns_of(p, base, schema, keep)) for rec, p in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+                got = [(rec, columns_of(p, base, schema)) for rec, p in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
                 yield _batch(got)
 
     one = once(records.where("payload is not null and rec_id is not null").select("rec_id", "payload"), "rec_id")

@@ -12,8 +12,8 @@ from pagewright.operators.shred import column, every_table, flat_table, last_nam
 REPEATED = ("pages", "blocks", "children", "items", "cells")
 
 
-def _rows(spark: SparkSession, sf_dir: str, leaves: list[str] | None) -> DataFrame:
-    return written(shred(table(spark, sf_dir, "doc_records"), "pages", REPEATED, leaves), "shredded")
+def _rows(spark: SparkSession, sf_dir: str, leaves: list[str] | None, owners: list[str] | None = None) -> DataFrame:
+    return written(shred(table(spark, sf_dir, "doc_records"), "pages", REPEATED, leaves, owners), "shredded")
 
 
 def _own_or_place(own: Column, place: Column) -> Column:
@@ -26,7 +26,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Links are followed within a record before instances become rows: each owner's row meets that of its parent, in
     which an instance is found by its number."""
-    rows = _rows(spark, sf_dir, ["id", "pageindex"])
+    rows = _rows(spark, sf_dir, ["id", "pageindex"], ["blocks", "children", "items", "cells"])
     indexes = F.transform(F.arrays_zip(there(column("pageindex")).alias("own"), there(F.col("place")).alias("place")), lambda x: _own_or_place(x["own"], x["place"]))
     pages = rows.where("owner = 'pages'").select("rec_id", indexes.alias("pages"))
     above = rows.where(last_name().isin("blocks", "children")).select("rec_id", F.col("owner").alias("parent"), there(column("id")).alias("parent_ids"))
@@ -43,7 +43,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = {"width": "width", "height": "height", "rotation": "rotation"}
-    p = flat_table(_rows(spark, sf_dir, ["pageindex", *fields]), ["pages"], {"pageindex": "own_index"} | fields)
+    p = flat_table(_rows(spark, sf_dir, ["pageindex", *fields], ["pages"]), ["pages"], {"pageindex": "own_index"} | fields)
     return p.withColumn("page_index", _own_or_place(F.col("own_index"), F.col("place"))).select("rec_id", "n", "page_index", "place", *fields.values())
 
 
@@ -53,7 +53,7 @@ def p3_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     sides = ("left", "top", "right", "bottom")
     fields = {"id": "block_id", "blocktype": "block_type", "text": "text", "caption": "caption", "readingorderindex": "reading_order_index"}
     fields |= {f"bbox.{k}": f"box_{k}" for k in sides} | {"provenance.provider": "provider", "provenance.confidence": "confidence"}
-    rows = _rows(spark, sf_dir, [*fields, *sides, "value"])
+    rows = _rows(spark, sf_dir, [*fields, *sides, "value"], ["blocks", "children", "bbox"])
     blocks = flat_table(rows, ["blocks", "children"], fields)
     parts = flat_table(rows, ["bbox"], {k: k for k in (*sides, "value")})
     named = [F.max(F.coalesce(F.col(k), F.when(F.col("place") == i, F.col("value")))).alias(f"own_{k}") for i, k in enumerate(sides)]
@@ -64,7 +64,7 @@ def p3_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = {"text": "text", "marker": "marker", "rowindex": "row_index", "colindex": "col_index", "rowspan": "row_span", "colspan": "col_span"}
-    return flat_table(_rows(spark, sf_dir, list(fields)), ["items", "cells"], fields)
+    return flat_table(_rows(spark, sf_dir, list(fields), ["items", "cells"]), ["items", "cells"], fields)
 
 
 def p3_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ def p3_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaves of the records' metadata, one a row."""
-    rows = every_table(_rows(spark, sf_dir, None)).where("path = ''")
+    rows = every_table(_rows(spark, sf_dir, None, [])).where("path = ''")
     return rows.select("rec_id", F.explode("fields").alias("field", "value")).where("field like 'metadata.%' and value is not null")
 
 
