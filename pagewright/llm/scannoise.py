@@ -7,9 +7,12 @@ on events in SQL:
 
 * misread words: words are grouped by a skeleton, the strokes they are made of; within a
   group and the language of the text around, a rare form is a misreading of a much more frequent
-  one from which it differs by glyphs that look alike, place by place;
+  one from which it differs by glyphs that look alike, place by place. Of several such forms the one is
+  meant that the words before and after support most often, counted over all texts; a word with a
+  capital, which may be a name, is a misreading only with such support;
 * headers: lines whose letters, digits masked, are those of the file's title;
-* page numbers: lines of nothing but a number, in the offset usual in their file;
+* page numbers: lines of nothing but a number, in the offset usual in their file, or of a Roman
+  numeral, as front matter is numbered by itself;
 * cuts: a mark of division at a line end, unless the parts are a compound that is
   written with a hyphen within lines elsewhere.
 
@@ -31,7 +34,9 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pagewright.functions.scratch import written
+from pagewright.functions.skew import split_join
 from pagewright.functions.strings import strip
+from pagewright.functions.tables import once
 
 # Marks of division at a line end; ornaments about page numbers; words for "page" and "of".
 MARKS = "-‐‑¬­"
@@ -56,13 +61,30 @@ _COMPOUND = re.compile(r"(?<![\w-])[^\W\d_]+(?:-[^\W\d_]+)+(?![\w-])")
 _ROMAN = r"m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
 _PAGE_LINE = re.compile(rf"(?:(?:{PAGE_WORDS})\b\.?\s*)?(?:nr\.?|no\.?|n°)?\s*(?P<n>\d{{1,6}}|(?=[mdclxvi]){_ROMAN})(?:\s*(?:{OF_WORDS})\s*(?:\d{{1,6}}|(?=[mdclxvi]){_ROMAN}))?", re.I)
 _EDGE_NUMBER = re.compile(r"\W*\d{1,6}\W+")
-_LAST = re.compile(r"((?:[^\W_]|\|)*)$")
 _DIGIT_OR_BAR = re.compile(r"[\d|]")
 _HAS_LETTER = re.compile(r"[^\W\d_]")
 _NO_LETTER, _NO_GLYPH = re.compile(r"[\W\d_]+"), re.compile(r"[^\w|]+|_+")
 _ALIKE = str.maketrans(ALIKE)
 _SKELETON = str.maketrans(STROKES)
-
+_FRONT = re.compile(r"[ivxl]{2,}|[IVXL]{2,}")
+#: A line longer than this, its runs of spaces one, is no page number: the longest word, numeral, word and numeral are shorter.
+_LONGEST = 60
+
+#: Between a cut word and its rest stand at most a header and a line of the page's own, so the rest begins one of the next lines
+#: that hold text and are no page number.
+LINES_TO_REST = 3
+#: Times a word outside the lexicon must occur to be a form that others are misread for; times a compound must be written with its
+#: hyphen within lines to keep it at a line end.
+FREQUENT, COMPOUND = 8, 2
+#: How many times as often as the misreading the form meant occurs: for words with digits or bars, from four letters on, shorter ones.
+RATIOS = (1, 5, 20)
+#: Pairs of known words counted in a task before they are passed on.
+_PAIRS = 1_000_000
+#: Misread words that are broadcast at most; beyond it their join is shuffled.
+BROADCAST_WORDS = 500_000
+
+#: The language of a text without a known word: its words are compared with those of all languages.
+ANY = "?"
 EVENTS = "kind string, tbl string, row_uid long, doc_id long, line int, lang string, a string, keys array<string>, n long"
 
 
@@ -95,14 +117,19 @@ def roman(s: str) -> int:
 def page_number(line: str) -> int | None:
     """The number of a line that holds nothing but a page number, else None."""
     s = line.strip().strip(ORNAMENTS)
-    if not s or len(s) > 30:
-        return None
-    m = _PAGE_LINE.fullmatch(s)
+    if len(s) > _LONGEST:
+        s = " ".join(s.split())
+    m = _PAGE_LINE.fullmatch(s) if 0 < len(s) <= _LONGEST else None
     if not m or m["n"].lower() in ("", "d", "c", "m", "l") and not m["n"].isdigit():
         return None
     return int(m["n"]) if m["n"].isdigit() else roman(m["n"])
 
 
+def is_front(line: str) -> bool:
+    """Whether the line is a page number of front matter: a small Roman numeral of several letters and one case."""
+    return bool(_FRONT.fullmatch(line.strip().strip(ORNAMENTS)))
+
+
 def letters(s: str) -> str:
     """Its letters alone, in one typography: digits, spaces and ornaments are masked."""
     return _NO_LETTER.sub("", s.lower() if s.isascii() else unicodedata.normalize("NFKC", s).casefold())
@@ -117,81 +144,125 @@ def header_keys(line: str) -> list[str]:
     return [letters(line), "~" + skeleton(inner)]
 
 
-def _continuation(lines: list[str], i: int) -> list[tuple[int, str]]:
-    """First words of the next three lines that hold text: where a word cut at the end of line i may go on."""
+def _continuation(lines: list[str], i: int) -> list[str]:
+    """First words of the next lines that hold text and are no page number: where a word cut at the end of line i may go on."""
     out = []
     for j in range(i + 1, len(lines)):
         s = lines[j].lstrip()
         if s and page_number(s) is None:
-            out.append((j, _WORD.match(s)[0]))
-            if len(out) == 3:
+            out.append(_WORD.match(s)[0])
+            if len(out) == LINES_TO_REST:
                 break
     return out
 
 
-def _may_be_misread(w: str, text: str) -> bool:
-    """Whether a word outside the lexicon may be misread: no name, code, or part of a path or formula."""
+def _last_word(line: str, end: int) -> str:
+    """The word that ends there."""
+    i = end
+    while i and (line[i - 1].isalnum() or line[i - 1] == "|"):
+        i -= 1
+    return line[i:end]
+
+
+def _kind_of(w: str, confused: frozenset[str]) -> str | None:
+    """Of a word outside the lexicon: 'word' if it may be misread, 'name' if it may be but begins with a capital,
+    None if it is a code, an abbreviation, or a name that has no look-alike in the lexicon."""
     glyphs = _DIGIT_OR_BAR.search(w)
-    if not w.islower() and (not glyphs and w[0].isupper() or w.isupper() or any(c.isupper() for c in w[1:])):
-        return False
-    if glyphs and not any(c.islower() for c in w):
-        return False
-    at = text.find(w)
-    while at >= 0:  # one place where it stands as a word is enough
-        before, after = text[at - 1 : at] if at else "", text[at + len(w) : at + len(w) + 1]
-        if not (before and (before.isalnum() or before in "(/+@|") or after and (after.isalnum() or after in "/+@=|") or glyphs and before == "-"):
-            return True
-        at = text.find(w, at + 1)
-    return False
-
-
-def _scan(text: str, page_index: int | None, known: dict[str, list[str]], longest: list[int], totals: Counter, compounds: Counter) -> tuple[list, str | None]:
-    """(events as (kind, line, a, keys, n), language) of one text. longest: the lengths of the longest title's keys;
-    no longer line can be a header."""
+    if w.islower() or glyphs and any(c.islower() for c in w) and not any(c.isupper() for c in w[1:]):
+        return "word"
+    if glyphs or w.isupper() or not w[0].isupper() or any(c.isupper() for c in w[1:]):
+        return None
+    return "name" if skeleton(w.lower()) in confused else None
+
+
+def _apart(text: str, a: int, b: int, glyphs) -> bool:
+    """Whether text[a:b] stands as a word: not within a path, an address or a formula."""
+    before, after = text[a - 1 : a] if a else "", text[b : b + 1]
+    return not (before and (before.isalnum() or before in "(/+@|") or after and (after.isalnum() or after in "/+@=|") or glyphs and before == "-")
+
+
+class _Counts:
+    """What a task counts over its texts: known words, pairs of them that follow one another, compounds."""
+
+    def __init__(self) -> None:
+        self.known: Counter = Counter()
+        self.pairs: Counter = Counter()
+        self.compounds: Counter = Counter()
+
+    def pair_rows(self) -> list[tuple]:
+        rows = [("pair", None, None, None, None, None, a, [b], n) for (a, b), n in self.pairs.items() if a and b]
+        self.pairs.clear()
+        return rows
+
+    def rows(self) -> list[tuple]:
+        rows = [("known", None, None, None, None, None, w, None, n) for w, n in self.known.items()]
+        return rows + self.pair_rows() + [("compound", None, None, None, None, None, skeleton(w), None, n) for w, n in self.compounds.items()]
+
+
+def _scan(text: str, page_index: int | None, known: dict[str, list[str]], confused: frozenset[str], longest: list[int], counts: _Counts) -> tuple[list, str]:
+    """(events as (kind, line, a, keys, n), language) of one text. confused: skeletons of known words; longest: the lengths
+    of the longest title's keys, as no longer line can be a header."""
     lines = _BREAK.split(text)
     found: list[tuple] = []
     fragments: list[str] = []
-    words: set[str] = set()
+    joined: set[str] = set()
     if len(lines) > 1:
         for i, line in enumerate(lines):
             if not line.strip():
                 continue
             n = page_number(line)
             if n is not None:
-                found.append(("page", i, None, None, n - (page_index or 0)))
+                found.append(("page", i, "front" if is_front(line) else None, None, n - (page_index or 0)))
             else:
                 keys = [k for k, most in zip(header_keys(line), longest, strict=True) if 3 < len(k) <= most]
                 if keys:
                     found.append(("line", i, None, keys, None))
             end = line.rstrip(" \t")
-            m = _LAST.search(end[-60:-1]) if end[-1] in MARKS else None
-            if m and m[1] and _HAS_LETTER.search(m[1]) and i + 1 < len(lines):
+            last = _last_word(end, len(end) - 1) if end[-1] in MARKS and i + 1 < len(lines) else ""
+            if last and _HAS_LETTER.search(last):
                 after = _continuation(lines, i)
-                go_on = [w for _, w in after if w and (w[0].islower() or not w[0].isalpha() and not w.isdigit())]
+                go_on = [w for w in after if w and (w[0].islower() or not w[0].isalpha() and not w.isdigit())]
                 if go_on:
-                    found.append(("cut", i, (m[1] + go_on[0]).lower(), [skeleton(f"{m[1]}-{w}".lower()) for w in go_on], None))
+                    found.append(("cut", i, (last + go_on[0]).lower(), [skeleton(f"{last}-{w}".lower()) for w in go_on], None))
                     # another line's word may be the rest too, if headers lie between; a word of some length is no mere rest
-                    fragments += [m[1], go_on[0], *(w for _, w in after if w != go_on[0] and len(w) < 6)]
-                    words.add((m[1] + go_on[0]).lower())
+                    fragments += [last, go_on[0], *(w for w in after if w != go_on[0] and len(w) < 6)]
+                    joined.add((last + go_on[0]).lower())
     dropped = Counter(fragments)
-    seen = Counter(_TOKEN.findall(text))
+    tokens = _TOKEN.findall(text)
+    seen = Counter(tokens)
     votes: Counter = Counter()
+    stock, maybe = {}, {}
     for w, k in seen.items():
         low = w.lower()
         langs = known.get(low)
         if langs:
-            totals[low] += k
+            counts.known[low] += k
+            stock[w] = low
             for x in langs:
                 votes[x] += k
-        elif len(w) <= 40 and w not in words and not w.isdigit() and _may_be_misread(w, text):
-            words.add(w)
+        elif not w.isdigit() and not (dropped.get(w, 0) >= k):
+            kind = _kind_of(w, confused)
+            if kind:
+                maybe[w] = kind
+    near = [stock.get(w, "") for w in tokens]
+    counts.pairs.update(zip(near, near[1:], strict=False))
+    if maybe:  # one place where a word stands as such is enough; all its places tell what is about it
+        stands, about = set(), {}
+        for i, m in enumerate(_TOKEN.finditer(text)):
+            w = m[0]
+            if w in maybe:
+                if w not in stands and _apart(text, m.start(), m.end(), _DIGIT_OR_BAR.search(w)):
+                    stands.add(w)
+                keys = about.setdefault(w, set())
+                if i and near[i - 1]:
+                    keys.add("<" + near[i - 1])
+                if i + 1 < len(near) and near[i + 1]:
+                    keys.add(">" + near[i + 1])
+        found += [(maybe[w], None, w.lower(), sorted(about[w]), seen[w]) for w in stands]
     if "-" in text:
-        compounds.update(m.lower() for m in _COMPOUND.findall(text))
-    for w in words:
-        low = w.lower()
-        if low not in known and not (dropped.get(w, 0) and dropped[w] >= seen[w]):
-            found.append(("word", None, low, None, max(1, seen[w])))
-    return found, max(votes.items(), key=lambda x: (x[1], x[0]))[0] if votes else None
+        counts.compounds.update(m.lower() for m in _COMPOUND.findall(text))
+    found += [("word", None, w, None, max(1, seen[w])) for w in joined if w not in known and w not in maybe]
+    return found, max(votes.items(), key=lambda x: (x[1], x[0]))[0] if votes else ANY
 
 
 @F.pandas_udf(T.StringType())
@@ -216,19 +287,22 @@ def events(texts: DataFrame, lexicon: DataFrame, files: DataFrame) -> DataFrame:
     most = title_keys.agg(F.max(F.length(F.col("k")[0])).alias("a"), F.max(F.length(F.col("k")[1])).alias("b")).first()
     longest = [most.a or 0, most.b or 0]
     known: dict[str, list[str]] = {}
-    for r in lexicon.select("lang", "word").distinct().collect():
+    for r in lexicon.where("word is not null").select("lang", "word").distinct().collect():
         known.setdefault(r.word, []).append(r.lang)
+    confused = frozenset(map(skeleton, known))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals, compounds = Counter(), Counter()
+        counts = _Counts()
         for pdf in batches:
             out = []
             for tbl, uid, doc, page, text in zip(pdf.tbl, pdf.row_uid, pdf.doc_id, pdf.page_index, pdf.text, strict=True):
-                got, lang = _scan(text, None if pd.isna(page) else int(page), known, longest, totals, compounds)
+                got, lang = _scan(text, None if pd.isna(page) else int(page), known, confused, longest, counts)
                 out += [(kind, tbl, uid, None if pd.isna(doc) else int(doc), line, lang, a, keys, n) for kind, line, a, keys, n in got]
+            if len(counts.pairs) > _PAIRS:
+                out += counts.pair_rows()
             if out:
                 yield _frame(out)
-        yield _frame([("known", None, None, None, None, None, w, None, n) for w, n in totals.items()] + [("compound", None, None, None, None, None, skeleton(w), None, n) for w, n in compounds.items()])
+        yield _frame(counts.rows())
 
     return texts.where(F.length("text") > 0).select("tbl", "row_uid", "doc_id", "page_index", "text").mapInPandas(run, EVENTS)
 
@@ -241,37 +315,54 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def misreadings(ev: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """lang, a (word as read), form (the word meant)."""
-    words = ev.where("kind = 'word'").groupBy("lang", "a").agg(F.sum("n").alias("n"))
-    known = lexicon.select("lang", F.col("word").alias("a")).distinct().join(ev.where("kind = 'known'").groupBy("a").agg(F.sum("n").alias("n")), "a")
-    forms = words.withColumn("listed", F.lit(False)).unionByName(known.withColumn("listed", F.lit(True)))
+    """kind ('word' or 'name'), lang, a (word as read), form (the word meant)."""
+    words = ev.where("kind in ('word', 'name')").groupBy("kind", "lang", "a").agg(F.sum("n").alias("n"))
+    listed = lexicon.where("word is not null").select("lang", F.col("word").alias("a")).distinct()
+    listed = listed.unionByName(listed.select(F.lit(ANY).alias("lang"), "a").distinct())
+    known = listed.join(F.broadcast(ev.where("kind = 'known'").groupBy("a").agg(F.sum("n").alias("n"))), "a")  # at most the lexicon's words
+    forms = words.withColumn("listed", F.lit(False)).unionByName(known.select(F.lit("known").alias("kind"), "lang", "a", "n", F.lit(True).alias("listed")))
     forms = forms.withColumn("skeleton", _skeleton_of("a")).withColumn("clean", ~F.col("a").rlike(r"[0-9|]"))
-    frequent = forms.where("clean and (listed or n >= 8)").select("lang", "skeleton", F.col("a").alias("form"), F.col("n").alias("form_n"))
-    rare = forms.where("not listed and (length(a) >= 3 or not clean)").join(frequent, ["lang", "skeleton"]).where("a != form")
-    ratio = F.when(~F.col("clean"), 1).when(F.length("a") >= 4, 5).otherwise(20)
-    rare = rare.where(F.col("form_n") >= F.col("n") * ratio).where(_confusable("a", "form"))
-    return rare.groupBy("lang", "a").agg(F.max_by("form", F.struct("form_n", "form")).alias("form"))
+    frequent = forms.where(F.col("clean") & (F.col("listed") | (F.col("kind") == "word") & (F.col("n") >= FREQUENT))).select("lang", "skeleton", F.col("a").alias("form"), F.col("n").alias("form_n"), F.col("listed").alias("form_listed"))
+    rare = forms.where("not listed and (length(a) >= 3 or not clean)").join(frequent, ["lang", "skeleton"]).where("a != form and (form_listed or kind = 'word')")
+    ratio = F.when(~F.col("clean"), RATIOS[0]).when(F.length("a") >= 4, RATIOS[1]).otherwise(RATIOS[2])
+    rare = rare.where(F.col("form_n") >= F.col("n") * ratio).where(_confusable("a", "form")).select("kind", "lang", "a", "form", "form_n")
+    rare = written(rare, "rare")
+    pairs = ev.where("kind = 'pair'").groupBy("a", F.col("keys")[0].alias("b")).agg(F.sum("n").alias("n"))
+    beside = pairs.select(F.explode(F.array(F.struct(F.col("b").alias("form"), F.concat(F.lit("<"), "a").alias("key")), F.struct(F.col("a").alias("form"), F.concat(F.lit(">"), "b").alias("key")))).alias("x"), "n").select("x.*", "n")
+    about = ev.where("kind in ('word', 'name')").select("kind", "lang", "a", F.explode("keys").alias("key")).groupBy("kind", "lang", "a", "key").agg(F.count("*").alias("times"))
+    support = rare.join(about, ["kind", "lang", "a"]).join(beside, ["form", "key"]).groupBy("kind", "lang", "a", "form").agg(F.sum("times").alias("support"))
+    best = rare.join(support, ["kind", "lang", "a", "form"], "left").withColumn("support", F.coalesce("support", F.lit(0)))
+    return best.where("kind = 'word' or support > 0").groupBy("kind", "lang", "a").agg(F.max_by("form", F.struct("support", "form_n", "form")).alias("form"))
+
+
+def with_forms(ev: DataFrame, miss: DataFrame) -> DataFrame:
+    """Events of misread words with the form meant. The misread words are counted before they are broadcast."""
+    few = miss.count() <= BROADCAST_WORDS
+    return ev.where("kind in ('word', 'name')").join(F.broadcast(miss) if few else miss, ["kind", "lang", "a"])
 
 
 def header_lines(ev: DataFrame, files: DataFrame) -> DataFrame:
-    """tbl, row_uid, line of running headers. Joined on file and key, so that a file of many rows is spread."""
+    """tbl, row_uid, line of running headers. Lines meet titles on file and key; those of a file with many are split."""
     titles = files.where("title is not null").select("doc_id", "title").distinct().select("doc_id", F.explode(_keys_of("title")).alias("key")).where("length(key) > 3").distinct()
     lines = ev.where("kind = 'line'").select("tbl", "row_uid", "doc_id", "line", F.explode("keys").alias("key"))
-    return lines.join(titles, ["doc_id", "key"]).select("tbl", "row_uid", "line").distinct()
+    return split_join(lines, titles, ["doc_id", "key"], ["tbl", "row_uid", "line"]).select("tbl", "row_uid", "line").distinct()
 
 
 def page_lines(ev: DataFrame) -> DataFrame:
-    """tbl, row_uid, line of page numbers: those that differ from the page's place by what is usual in the file, or by one."""
-    got = ev.where("kind = 'page'")
-    per = got.groupBy("doc_id", "n").agg(F.countDistinct("row_uid", "tbl").alias("times"))
-    usual = per.groupBy("doc_id").agg(F.max_by("n", F.struct("times", -F.abs(F.col("n") - 1))).alias("usual"))
-    return got.join(usual, "doc_id").where("n = usual or n = 1").select("tbl", "row_uid", "line").distinct()
+    """tbl, row_uid, line of page numbers: those that differ from the page's place by what is usual in the file, or by
+    one, and Roman numerals of front matter. Only files whose usual difference isn't one are looked up; their lines are split."""
+    got = ev.where("kind = 'page'").select("tbl", "row_uid", "doc_id", "line", "n", "a")
+    per = got.where("a is null").groupBy("doc_id", "n").agg(F.countDistinct("row_uid", "tbl").alias("times"))
+    usual = per.groupBy("doc_id").agg(F.max_by("n", F.struct("times", -F.abs(F.col("n") - 1))).alias("n")).where("n != 1")
+    plain = got.where("n = 1 or a is not null").select("tbl", "row_uid", "line")
+    other = split_join(got.where("n != 1 and a is null"), usual, ["doc_id", "n"], ["tbl", "row_uid", "line"]).select("tbl", "row_uid", "line")
+    return plain.unionByName(other).distinct()
 
 
 def cuts(ev: DataFrame) -> DataFrame:
     """tbl, row_uid, line, keep: cuts at line ends; keep where the parts are a compound with a hyphen."""
     got = ev.where("kind = 'cut'").select("tbl", "row_uid", "line", F.posexplode("keys").alias("nth", "key"))
-    compounds = ev.where("kind = 'compound'").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n")).where("n >= 2")
+    compounds = ev.where("kind = 'compound'").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n")).where(F.col("n") >= COMPOUND)
     marked = got.join(compounds, "key", "left")
     return marked.groupBy("tbl", "row_uid", "line").agg(F.max(F.col("n").isNotNull()).alias("keep"))
 
@@ -282,13 +373,10 @@ def found(texts: DataFrame, files: DataFrame, lexicon: DataFrame) -> DataFrame:
     Null and empty texts have none; a text delivered twice counts once; texts without page_index are taken to be on
     the first page; files without title have no header; further columns are ignored."""
     ev = written(events(texts, lexicon, files), "events")
-    return _kinds(ev, misreadings(ev, lexicon), files)
-
-
-def _kinds(ev: DataFrame, miss: DataFrame, files: DataFrame) -> DataFrame:
+    miss = written(misreadings(ev, lexicon), "misread")
     row = lambda df, noise: df.select("tbl", "row_uid", F.lit(noise).alias("noise"))
     parts = [
-        row(ev.where("kind = 'word'").join(miss, ["lang", "a"]), "misread"),
+        row(with_forms(ev, miss), "misread"),
         row(header_lines(ev, files), "header"),
         row(page_lines(ev), "page_no"),
         row(cuts(ev).where("not keep"), "hyphen"),
@@ -327,23 +415,29 @@ def repaired(texts: DataFrame, files: DataFrame, lexicon: DataFrame) -> DataFram
 
     Paragraphs are kept apart by a line break; lines of figures stay lines. Texts without noise and with
     one line come out as they are. Null texts come out null; a text delivered twice comes out once."""
-    one = texts.select("tbl", "row_uid", "doc_id", "page_index", "text").dropDuplicates(["tbl", "row_uid"])
+    one = once(texts.select("tbl", "row_uid", "doc_id", "page_index", "text"), "tbl", "row_uid")
     ev = written(events(one, lexicon, files), "events")
-    key = ["tbl", "row_uid", "line"]
-    off = header_lines(ev, files).unionByName(page_lines(ev)).distinct().withColumn("off", F.lit(True))
-    cut = cuts(ev)
+    miss = written(misreadings(ev, lexicon), "misread")
     is_multi = F.coalesce(F.col("text").rlike(LINE_BREAK), F.lit(False))
-    lines = one.where(is_multi).select("tbl", "row_uid", F.posexplode(F.split("text", LINE_BREAK, -1)).alias("line", "s"))
-    lines = lines.join(off, key, "left").where("off is null").join(cut, key, "left")
-    w = Window.partitionBy("tbl", "row_uid").orderBy("line")
+    # a line's mark (left out, or cut and whether its hyphen is kept) goes before it in one sorted sequence of the text, so that lines are shuffled once
+    lines = one.where(is_multi).select("tbl", "row_uid", F.posexplode(F.split("text", LINE_BREAK, -1)).alias("line", "s"), F.lit(1).alias("after"))
+    off = header_lines(ev, files).unionByName(page_lines(ev)).distinct().select("tbl", "row_uid", "line", F.lit(True).alias("off"), F.lit(None).cast("boolean").alias("keep"))
+    cut = cuts(ev).select("tbl", "row_uid", "line", F.lit(None).cast("boolean").alias("off"), "keep")
+    marks = off.unionByName(cut).groupBy("tbl", "row_uid", "line").agg(F.max("off").alias("off"), F.max("keep").alias("keep")).withColumn("after", F.lit(0))
+    both = lines.unionByName(marks, allowMissingColumns=True)
+    w = Window.partitionBy("tbl", "row_uid").orderBy("line", "after")
+    mine = F.lag("line").over(w) == F.col("line")
+    both = both.withColumn("off", F.when(mine, F.lag("off").over(w))).withColumn("keep", F.when(mine, F.lag("keep").over(w))).where("after = 1")
     s = strip(F.col("s"))
     bare = F.when(F.col("keep").isNotNull(), F.when(F.col("keep"), F.regexp_replace(s, f"[{MARKS}]$", "-")).otherwise(F.regexp_replace(s, f"[{MARKS}]$", ""))).otherwise(s)
-    lines = lines.withColumn("out", bare).withColumn("alone", _tabular(F.col("s"))).where(F.col("out") != "")
-    lines = lines.withColumn("before_line", F.lag("line").over(w)).withColumn("before_cut", F.lag("keep").over(w)).withColumn("before_alone", F.lag("alone").over(w))
+    both = both.withColumn("out", bare).withColumn("alone", _tabular(F.col("s")))
+    kept = both.withColumn("there", F.col("off").isNull() & (F.col("out") != ""))
+    v = Window.partitionBy("tbl", "row_uid", "there").orderBy("line")
+    kept = kept.withColumn("before_line", F.lag("line").over(v)).withColumn("before_cut", F.lag("keep").over(v)).withColumn("before_alone", F.lag("alone").over(v))
     gap = F.when(F.col("before_line").isNull(), "").when(F.col("before_cut").isNotNull(), "").when(F.col("alone") | F.col("before_alone"), "\n").otherwise(" ")
-    joined = lines.withColumn("out", F.concat(gap, "out")).groupBy("tbl", "row_uid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "out"))), lambda x: x["out"]), "").alias("joined"))
-    forms = ev.where("kind = 'word'").join(misreadings(ev, lexicon), ["lang", "a"]).groupBy("tbl", "row_uid").agg(F.collect_set(F.struct("a", "form")).alias("forms"))
-    base = one.select("tbl", "row_uid", F.when(~is_multi, F.col("text")).alias("text"), is_multi.alias("multi"))
-    base = base.join(joined, ["tbl", "row_uid"], "left").join(forms, ["tbl", "row_uid"], "left")
-    text = F.when(F.col("multi"), F.coalesce("joined", F.lit(""))).otherwise(F.col("text"))
-    return base.select("tbl", "row_uid", F.when(F.col("forms").isNull(), text).otherwise(_with_forms(text, "forms")).alias("repaired"))
+    pieces = F.collect_list(F.when(F.col("there"), F.struct("line", F.concat(gap, "out").alias("out"))))
+    joined = kept.groupBy("tbl", "row_uid").agg(F.array_join(F.transform(F.array_sort(pieces), lambda x: x["out"]), "").alias("text"))
+    texts_ = joined.unionByName(one.where(~is_multi).select("tbl", "row_uid", "text"))
+    forms = with_forms(ev, miss).groupBy("tbl", "row_uid").agg(F.collect_set(F.struct("a", "form")).alias("forms"))
+    base = texts_.join(forms, ["tbl", "row_uid"], "left")
+    return base.select("tbl", "row_uid", F.when(F.col("forms").isNull(), F.col("text")).otherwise(_with_forms("text", "forms")).alias("repaired"))
