@@ -1,16 +1,19 @@
 """Keyword-stuffed and link-list pages.
 
-Each page is read once and becomes a few numbers: the spectrum of its words (how many
-words occur how often), the shares of its words by kind, and the words that belong to
-sentences or not. In SQL:
+Each page is read once and becomes its word counts: how often each word of the common stock
+occurs, how many other words, numbers, words of links and tags there are, and its spectrum (how many words
+occur how often). In SQL, over all pages:
 
 * windows over the spectrum give each frequency its rank; the slope and the residual of the
   line through log frequency over log rank describe the page's rank-frequency curve;
-* the kinds of words of a page are compared (Kullback-Leibler divergence) with those of prose of
-  the same language and a comparable length;
-* pages whose slope, residual or divergence is extreme for their language and length are
-  flagged, and of those, the ones are spam in which more than half of the words belong
-  to repeated keywords, links, tags or attributes.
+* the page's distribution over the words is compared (Kullback-Leibler divergence) with that of the
+  prose of its language;
+* a page is flagged if slope, residual or divergence is extreme for pages of the same language and
+  comparable length. What is usual is learnt twice: from all pages, by medians and quartiles, then from
+  those that weren't extreme, so that spam doesn't set the measure, and no other count chooses the prose.
+
+Flagged pages are read again, whole: of those the ones are spam in which more than half of the words
+belong to repeated keywords, links, tags or attributes. Pages that aren't flagged never get there.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,18 +31,25 @@ from pagewright.functions.scratch import written
 
 # What begins or is a link, a tag, an attribute.
 URL = r"(?:https?://|www\.)[^\s<>()\[\]\"']+|(?<![\w@.-])(?:[\w-]+\.)+(?:com|org|net|info|biz|io|example|test|invalid|[a-z]{2})(?:/[^\s<>()\[\]\"']*)?(?![\w.-])"
-ANCHOR = r"\[[^\]\n]{0,300}\]\([^)\s]*\)|<a\b[^>\n]{0,2000}>[^<\n]{0,300}</a>"
+ANCHOR = r"\[[^\[\]\n]*\]\([^()\s]*\)|<a\b[^<>\n]*>[^<\n]*</a>"
 TAG = r"(?<!\w)[#@][^\W\d_][\w-]*"
 _URL, _ANCHOR, _TAG = re.compile(URL, re.I), re.compile(ANCHOR, re.I), re.compile(TAG)
-_HTML = re.compile(r"<[^>\n]{1,300}>")
+_HTML = re.compile(r"<[^<>\n]+>")
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 _LIST = re.compile(r"\s*[,|;/•·–>]\s*|\s{2,}|\t")
 _MAYBE_LINK, _TARGET, _DIGIT = re.compile(r"\.[A-Za-z]"), re.compile(r"\]\([^)]*\)"), re.compile(r"\d")
 _LEET = str.maketrans("013457", "oleast")
-KINDS = ("listed", "small", "other", "number", "link", "tag")
+#: What isn't a word of the common stock, before the words in a page's distribution.
+LINK, TAGGED, NUMBER, OTHER = range(4)
+#: How far from what is usual is extreme: slope and residual, in robust deviations; divergence, in nats above the median.
+REACH, EXCESS = 4.0, 0.25
+#: Fewer pages of one language and length than this say nothing: the measure is then that of the length in any language.
+FEW = 20
+#: The language of a page without any common word: it is measured by the prose of all languages.
+ANY = "?"
 
-PAGES = "doc_id long, lang string, words long, spam long, spectrum array<struct<f:int,k:int>>, " + ", ".join(f"{k} double" for k in KINDS)
+PAGES = "doc_id long, lang string, words long, ids array<int>, ns array<int>, spectrum array<struct<f:int,k:int>>"
 
 
 class Lexicon:
@@ -50,13 +60,7 @@ class Lexicon:
         for lang, word in rows:
             self.langs.setdefault(word, set()).add(lang)
         self.small = {w for w in self.langs if len(w) <= 3}
-
-    def language(self, words: Counter) -> str | None:
-        votes: Counter = Counter()
-        for w, n in words.items():
-            for x in self.langs.get(w, ()):
-                votes[x] += n
-        return max(votes.items(), key=lambda x: (x[1], x[0]))[0] if votes else None
+        self.ids = {w: OTHER + 1 + i for i, w in enumerate(sorted(self.langs))}
 
 
 def _content(words: list[str], low: list[str], known: dict) -> tuple[list[str], float]:
@@ -78,48 +82,69 @@ def _loose(w: str) -> str:
     return w if w.isalpha() else w.translate(_LEET).strip("0123456789")
 
 
-def _read_line(line: str) -> tuple[str, int, int, int]:
-    """(the line without links and tags, words of links with their anchor texts, words of bare links, tags)."""
+def _without_links(text: str) -> tuple[str, int, int, int]:
+    """(the text without links and tags, words of links with their anchor texts, words of bare links, tags). An anchor
+    text holds no bracket."""
     named = bare = tags = 0
-    if _MAYBE_LINK.search(line) or "](" in line or "<" in line:
-        if "](" in line or "<" in line:
-            for m in _ANCHOR.finditer(line):
+    if _MAYBE_LINK.search(text) or "](" in text or "<" in text:
+        if "](" in text or "<" in text:
+            for m in _ANCHOR.finditer(text):
                 named += len(_WORD.findall(m[0]))
             if named:
-                line = _ANCHOR.sub(" ", line)
+                text = _ANCHOR.sub(" ", text)
 
         def link(m: re.Match) -> str:
             nonlocal bare
             bare += len(_WORD.findall(m[0]))
             return " "
 
-        line = _URL.sub(link, line)
-        if "<" in line:
-            line = _HTML.sub(" ", line)
-    if "#" in line or "@" in line:
-        line, tags = _TAG.subn(" ", line)
-    return line, named, bare, tags
+        text = _URL.sub(link, text)
+        if "<" in text:
+            text = _HTML.sub(" ", text)
+    if "#" in text or "@" in text:
+        text, tags = _TAG.subn(" ", text)
+    return text, named, bare, tags
 
 
-def judge(text: str, lex: Lexicon) -> tuple:
-    """(language, words, words that belong to no sentence, spectrum, shares of the kinds) of a page."""
+def counted(text: str, lex: Lexicon) -> tuple[str, int, dict[int, int], list[tuple[int, int]]]:
+    """(language, words, how many of each kind or common word, spectrum) of a page."""
+    rest, named, bare, tags = _without_links(text)
+    counts = Counter(map(str.lower, _WORD.findall(rest)))
+    dist: Counter = Counter()
+    votes: Counter = Counter()
+    for w, n in counts.items():
+        i = lex.ids.get(w)
+        if i is None:
+            dist[NUMBER if w[0].isdigit() else OTHER] += n
+        else:
+            dist[i] += n
+            for x in lex.langs[w]:
+                votes[x] += n
+    if named + bare:
+        dist[LINK] = named + bare
+    if tags:
+        dist[TAGGED] = tags
+    spectrum = Counter(counts.values())
+    for n in (named + bare, tags):  # as words that are repeated
+        if n:
+            spectrum[n] += 1
+    lang = max(votes.items(), key=lambda x: (x[1], x[0]))[0] if votes else ANY
+    return lang, sum(dist.values()), dist, sorted(spectrum.items(), reverse=True)
+
+
+def judge(text: str, lex: Lexicon) -> tuple[int, int]:
+    """(words, words that belong to no sentence) of a page."""
     known, small = lex.langs, lex.small
-    counts: Counter = Counter()
     read = []
     for line in text.splitlines():
-        rest, *links = _read_line(line)
+        rest, *links = _without_links(line)
         parts = []
         for part in _SENTENCE.split(rest):
             ws = _WORD.findall(part)
             if ws:
-                low = [w.lower() for w in ws]
-                counts.update(low)
-                parts.append((part, ws, low))
+                parts.append((part, ws, [w.lower() for w in ws]))
         if parts or any(links):
             read.append((parts, *links))
-    kinds: Counter = Counter()
-    for w, n in counts.items():
-        kinds["number" if w[0].isdigit() else "small" if w in small else "listed" if w in known else "other"] += n
     # first, each part by itself: a list of short items; a sentence, bound by small words, most content common, little of it repeated
     loose: Counter = Counter()
     judged = []
@@ -158,70 +183,120 @@ def judge(text: str, lex: Lexicon) -> tuple:
     readings = lone < 0.2 * len(linked)
     spam = words = 0
     for sentence_words, keyword_words, named, bare, tags, parts in sums:
-        kinds["link"] += named + bare
-        kinds["tag"] += tags
         words += sentence_words + keyword_words + named + bare + tags
         spam += keyword_words + named + tags + (0 if readings and sentence_words >= 4 else bare)
         if not readings and bare and parts == 1:
             spam += sentence_words
-    spectrum = sorted(Counter(counts.values()).items(), reverse=True)
-    n = sum(kinds.values())
-    return lex.language(counts), words, min(spam, words), spectrum, [kinds[k] / n if n else 0.0 for k in KINDS]
+    return words, min(spam, words)
 
 
-def pages(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """doc_id, text -> a row of numbers for each page with text. The lexicon is a small table of fixed size."""
-    lex = Lexicon([(r.lang, r.word) for r in lexicon.select("lang", "word").distinct().collect()])
+def _lexicon(lexicon: DataFrame) -> Lexicon:
+    """The lexicon is a small table of fixed size."""
+    return Lexicon([(r.lang, r.word) for r in lexicon.where("word is not null").select("lang", "word").distinct().collect()])
+
+
+def pages(docs: DataFrame, lex: Lexicon) -> DataFrame:
+    """doc_id, text -> the word counts of each page with text; a page without words has none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for doc, text in zip(pdf.doc_id, pdf.text, strict=True):
-                lang, words, spam, spectrum, shares = judge(text, lex)
-                out.append((doc, lang, words, spam, [{"f": f, "k": k} for f, k in spectrum], *shares))
-            yield pd.DataFrame(out, columns=["doc_id", "lang", "words", "spam", "spectrum", *KINDS])
+                lang, words, dist, spectrum = counted(text, lex)
+                if words:
+                    out.append((doc, lang, words, list(dist), list(dist.values()), [{"f": f, "k": k} for f, k in spectrum]))
+            yield pd.DataFrame(out, columns=["doc_id", "lang", "words", "ids", "ns", "spectrum"])
 
     return docs.where(F.length("text") > 0).select("doc_id", "text").mapInPandas(run, PAGES)
 
 
 def curves(read: DataFrame) -> DataFrame:
-    """Adds slope and residual of the rank-frequency curve; a page whose words all occur equally often is flat."""
+    """doc_id, slope and residual of the rank-frequency curve; a page whose words all occur equally often is flat."""
     s = read.select("doc_id", F.explode("spectrum").alias("s")).select("doc_id", "s.f", "s.k")
     w = Window.partitionBy("doc_id").orderBy(F.desc("f"))
     s = s.withColumn("last", F.sum("k").over(w)).withColumn("x", F.log(F.col("last") - (F.col("k") - 1) / 2)).withColumn("y", F.log("f"))
-    fit = s.groupBy("doc_id").agg(F.regr_slope("y", "x").alias("slope"), F.sqrt(F.regr_syy("y", "x") * (1 - F.coalesce(F.regr_r2("y", "x"), F.lit(1.0))) / F.count("*")).alias("residual"))
-    return read.drop("spectrum").join(fit, "doc_id", "left").fillna(0.0, ["slope", "residual"])
-
-
-def scored(docs: DataFrame, lexicon: DataFrame, reach: float = 1.0) -> DataFrame:
-    """doc_id, words, spam_share, slope, residual, divergence and whether each is extreme for the page's language
-    and length, among pages that are mostly sentences; where there are fewer than 20 such pages, among those of that length in
-    any language. `reach`: how many robust deviations from the median are extreme; low, as a check on the words follows."""
-    read = written(pages(docs, lexicon), "pages")
-    c = curves(read).withColumn("language", F.coalesce("lang", F.lit("?"))).withColumn("size", F.least(F.floor(F.log2(F.greatest("words", F.lit(1)))), F.lit(16)).cast("int"))
-    share = F.col("spam") / F.greatest("words", F.lit(1))
-    c = c.withColumn("spam_share", share)
-    prose = c.where("spam_share <= 0.5")
-    what = [F.struct(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(x) for x in ("slope", "residual")], *[F.percentile_approx(k, 0.5, 1000).alias(k) for k in KINDS]).alias("usual"), F.count("*").alias("pages")]
-    own = prose.groupBy("language", "size").agg(*what).where("pages >= 20").drop("pages")
-    every = prose.groupBy("size").agg(*what).select("size", F.col("usual").alias("usual_of_all"))
-    overall = prose.agg(*what).select(F.col("usual").alias("usual_at_any_length"))
-    d = c.join(own, ["language", "size"], "left").join(every, "size", "left").join(F.broadcast(overall), how="left").withColumn("usual", F.coalesce("usual", "usual_of_all", "usual_at_any_length"))
-    q = [F.col(k) + 0.01 for k in KINDS]
-    m = [F.coalesce(F.col(f"usual.{k}"), F.lit(0.0)) + 0.01 for k in KINDS]
-    total_q, total_m = sum(q[1:], q[0]), sum(m[1:], m[0])
-    terms = [a / total_q * F.log((a / total_q) / (b / total_m)) for a, b in zip(q, m, strict=True)]
-    d = d.withColumn("divergence", sum(terms[1:], terms[0]))
-
-    def far(x: str):
+    left = F.regr_syy("y", "x") * (1 - F.coalesce(F.regr_r2("y", "x"), F.lit(1.0))) / F.count("*")
+    return s.groupBy("doc_id").agg(F.coalesce(F.regr_slope("y", "x"), F.lit(0.0)).alias("slope"), F.coalesce(F.sqrt(F.greatest(left, F.lit(0.0))), F.lit(0.0)).alias("residual"))
+
+
+def _distributions(prose: DataFrame, size: int) -> DataFrame:
+    """lang, norm: the share of each kind and word in the prose of a language, and of all languages (ANY). A row a
+    language of the lexicon, of `size` numbers each."""
+    got = prose.select("lang", F.explode(F.arrays_zip("ids", "ns")).alias("x")).groupBy("lang", "x.ids").agg(F.sum("x.ns").alias("n")).collect()
+    sums: dict[str, list[float]] = {ANY: [0.5] * size}
+    for r in got:
+        for lang in {r.lang, ANY}:
+            sums.setdefault(lang, [0.5] * size)[r.ids] += r.n
+    return prose.sparkSession.createDataFrame([(k, [x / sum(v) for x in v]) for k, v in sums.items()], "lang string, norm array<double>")
+
+
+def _diverged(read: DataFrame, norms: DataFrame) -> DataFrame:
+    """Adds the divergence of each page from its language's prose."""
+    of_any = F.broadcast(norms.where(F.col("lang") == ANY).select(F.col("norm").alias("any_norm")))
+    d = read.join(F.broadcast(norms.where(F.col("lang") != ANY)), "lang", "left").join(of_any).withColumn("norm", F.coalesce("norm", "any_norm"))
+    term = lambda acc, x: acc + x["ns"] / F.col("words") * F.log(x["ns"] / F.col("words") / F.get("norm", x["ids"]))
+    return d.withColumn("divergence", F.aggregate(F.arrays_zip("ids", "ns"), F.lit(0.0), term)).drop("norm", "any_norm")
+
+
+def _judged(d: DataFrame, prose: Column | None = None) -> DataFrame:
+    """Adds whether slope, residual and divergence are extreme for the page's language and length, measured by the pages
+    for which `prose` holds. The measures have a row for each language and length."""
+    base = d.where(F.col("lang") != ANY) if prose is None else d.where((F.col("lang") != ANY) & prose)
+    measures = ("slope", "residual", "divergence")
+    what = [F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(x) for x in measures]
+    own = base.groupBy("lang", "size").agg(F.struct(*what).alias("own"), F.count("*").alias("pages")).where(F.col("pages") >= FEW).drop("pages")
+    same = base.groupBy("size").agg(F.struct(*what).alias("same"), F.count("*").alias("pages")).where(F.col("pages") >= FEW).drop("pages")
+    every = base.agg(F.struct(*what).alias("every"))
+    j = d.join(F.broadcast(own), ["lang", "size"], "left").join(F.broadcast(same), "size", "left").join(F.broadcast(every), how="left").withColumn("usual", F.coalesce("own", "same", "every"))
+
+    def far(x: str) -> Column:
         q = F.col(f"usual.{x}")
-        return F.coalesce(F.abs(F.col(x) - q[1]) > reach * F.greatest(q[2] - q[0], F.lit(1e-6)) / 1.35, F.lit(True))
+        return F.coalesce(F.abs(F.col(x) - q[1]) > REACH * F.greatest(q[2] - q[0], F.lit(1e-6)) / 1.35, F.lit(True))
+
+    over = F.col("divergence") - F.col("usual.divergence")[1]
+    j = j.withColumn("far_slope", far("slope")).withColumn("far_residual", far("residual")).withColumn("diverges", F.coalesce(over > EXCESS, F.lit(True)))
+    return j.withColumn("flagged", F.col("far_slope") | F.col("far_residual") | F.col("diverges")).drop("own", "same", "every", "usual")
+
 
-    return d.select("doc_id", "language", "words", "spam_share", "slope", "residual", "divergence", far("slope").alias("far_slope"), far("residual").alias("far_residual"), (F.col("divergence") > 0.05).alias("diverges"))
+def scored(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """doc_id, lang, words, slope, residual, divergence, which of them are extreme, and whether the page is flagged.
+
+    Null, empty and wordless texts have no row; a doc_id that is repeated counts and comes out as often as it is there;
+    further columns are ignored. A page without a common word is measured by the prose of all languages, and where
+    there is no prose at all every page is flagged."""
+    lex = _lexicon(lexicon)
+    read = written(pages(docs, lex), "pages")
+    size = F.least(F.floor(F.log2("words")), F.lit(30)).cast("int")
+    fit = curves(read.dropDuplicates(["doc_id"]))
+    base = written(read.drop("spectrum").join(fit, "doc_id").withColumn("size", size), "curves")
+    wide = OTHER + 1 + len(lex.ids)
+    first = _judged(_diverged(base, _distributions(base, wide)))
+    d = _diverged(base, _distributions(first.where("not flagged"), wide))
+    ok = first.where("not flagged").select("doc_id", F.lit(True).alias("prose"))
+    kept = written(d.drop("ids", "ns").join(ok.distinct(), "doc_id", "left"), "divergence")
+    out = _judged(kept, F.coalesce(F.col("prose"), F.lit(False)))
+    return out.select("doc_id", "lang", "words", "slope", "residual", "divergence", "far_slope", "far_residual", "diverges", "flagged")
+
+
+#: Flagged pages that are broadcast at most (8 bytes each); beyond it their join is shuffled.
+BROADCAST_IDS = 1_000_000
 
 
 def spam(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """doc_id of spam pages. Null and empty texts are none; a doc_id that is repeated comes out once; pages too short to have
-    a curve are judged by divergence alone; further columns are ignored."""
-    s = scored(docs, lexicon)
-    return s.where("(far_slope or far_residual or diverges) and spam_share > 0.5").select("doc_id").distinct()
+    """doc_id of spam pages: flagged ones of whose words more than half belong to no sentence. Null and empty texts are
+    none; a doc_id that is repeated comes out once; further columns are ignored."""
+    lex = _lexicon(lexicon)
+    flagged = written(scored(docs, lexicon).where("flagged").select("doc_id").distinct(), "flagged")
+    ids = F.broadcast(flagged) if flagged.count() <= BROADCAST_IDS else flagged
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            hits = []
+            for doc, text in zip(pdf.doc_id, pdf.text, strict=True):
+                words, stuffed = judge(text, lex)
+                if 2 * stuffed > words:
+                    hits.append(doc)
+            yield pd.DataFrame({"doc_id": pd.array(hits, "Int64")})
+
+    texts = docs.where(F.length("text") > 0).select("doc_id", "text").join(ids, "doc_id")
+    return texts.mapInPandas(run, "doc_id long").distinct()

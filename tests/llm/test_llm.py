@@ -308,6 +308,7 @@ def test_long_runs(run):
     began = time.process_time()
     scannoise._scan(text, 0, {"x": ["en"]}, frozenset("x"), [100, 200], scannoise._Counts())
     stuffing.judge(text, stuffing.Lexicon([("en", "x")]))
+    stuffing.counted(text, stuffing.Lexicon([("en", "x")]))
     splitting.pieces(text, 1500, 150)
     lookalike.look(text)
     word_hashes([text])
