@@ -39,6 +39,7 @@ SHREDDED = (
 #: Paths a schema may have; more mean that names of fields hold data, which should be turned into values first.
 MAX_PATHS = 100_000
 _DROP = re.compile(r"[\W_]+")
+_NTH = re.compile(r"(.*?)(?:\^(\d+))?")
 
 
 @lru_cache(maxsize=100_000)
@@ -172,7 +173,7 @@ class _Columns:
         found = g.below.get((inner, name, again))
         if found is None:
             if again:
-                base, _, nth = g.path.partition("^")
+                base, nth = _NTH.fullmatch(g.path).groups()
                 path, names = f"{base}^{int(nth or 1) + 1}", 1
             else:
                 path, names = ".".join(x for x in (g.path, inner, name) if x), inner.count(".") + 2 if inner else 1
