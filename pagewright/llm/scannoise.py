@@ -27,6 +27,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +58,7 @@ LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 _BREAK = re.compile(LINE_BREAK)
 _WORD = re.compile(r"[^\W_|]*(?:\|[^\W_|]*)*")
 _TOKEN = re.compile(r"[^\W_|]+(?:\|+[^\W_|]*)*|(?<!\|)\|+[^\W\d_|]+(?:\|+[^\W_|]*)*")
+_PLAIN = re.compile(r"[^\W_]+")  # the tokens of a text without bars
 _COMPOUND = re.compile(r"(?<![\w-])[^\W\d_]+(?:-[^\W\d_]+)+(?![\w-])")
 _ROMAN = r"m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
 _PAGE_LINE = re.compile(rf"(?:(?:{PAGE_WORDS})\b\.?\s*)?(?:nr\.?|no\.?|n°)?\s*(?P<n>\d{{1,6}}|(?=[mdclxvi]){_ROMAN})(?:\s*(?:{OF_WORDS})\s*(?:\d{{1,6}}|(?=[mdclxvi]){_ROMAN}))?", re.I)
@@ -65,7 +67,10 @@ _DIGIT_OR_BAR = re.compile(r"[\d|]")
 _HAS_LETTER = re.compile(r"[^\W\d_]")
 _NO_LETTER, _NO_GLYPH = re.compile(r"[\W\d_]+"), re.compile(r"[^\w|]+|_+")
 _ALIKE = str.maketrans(ALIKE)
-_SKELETON = str.maketrans(STROKES)
+_SKELETON = str.maketrans({k: v for k, v in STROKES.items() if len(v) == 1})
+_WIDER = [(k, v) for k, v in STROKES.items() if len(v) > 1]
+_NO_ASCII_LETTER = bytes(i for i in range(128) if not chr(i).isalpha())
+_NO_ASCII_GLYPH = bytes(i for i in range(128) if not chr(i).isalnum() and chr(i) != "|")
 _FRONT = re.compile(r"[ivxl]{2,}|[IVXL]{2,}")
 #: A line longer than this, its runs of spaces one, is no page number: the longest word, numeral, word and numeral are shorter.
 _LONGEST = 60
@@ -90,7 +95,10 @@ EVENTS = "kind string, tbl string, row_uid long, doc_id long, line int, lang str
 
 def skeleton(word: str) -> str:
     """The word's strokes; words that scanners confuse have the same."""
-    return word.translate(_SKELETON)
+    word = word.translate(_SKELETON)
+    for glyph, strokes in _WIDER:  # none of which is a glyph of the table itself
+        word = word.replace(glyph, strokes)
+    return word
 
 
 def confusable(read: str, meant: str) -> bool:
@@ -132,7 +140,7 @@ def is_front(line: str) -> bool:
 
 def letters(s: str) -> str:
     """Its letters alone, in one typography: digits, spaces and ornaments are masked."""
-    return _NO_LETTER.sub("", s.lower() if s.isascii() else unicodedata.normalize("NFKC", s).casefold())
+    return s.lower().encode().translate(None, _NO_ASCII_LETTER).decode() if s.isascii() else _NO_LETTER.sub("", unicodedata.normalize("NFKC", s).casefold())
 
 
 def header_keys(line: str) -> list[str]:
@@ -140,7 +148,7 @@ def header_keys(line: str) -> list[str]:
     first, last = _EDGE_NUMBER.match(line), _EDGE_NUMBER.match(line[::-1])
     a, b = first.end() if first else 0, len(line) - (last.end() if last else 0)
     inner = line[a:b] if a < b else line
-    inner = _NO_GLYPH.sub("", inner.lower() if inner.isascii() else unicodedata.normalize("NFKC", inner).casefold())
+    inner = inner.lower().encode().translate(None, _NO_ASCII_GLYPH).decode() if inner.isascii() else _NO_GLYPH.sub("", unicodedata.normalize("NFKC", inner).casefold())
     return [letters(line), "~" + skeleton(inner)]
 
 
@@ -181,27 +189,74 @@ def _apart(text: str, a: int, b: int, glyphs) -> bool:
     return not (before and (before.isalnum() or before in "(/+@|") or after and (after.isalnum() or after in "/+@=|") or glyphs and before == "-")
 
 
+class _Stock(dict):
+    """Known words as they stand in texts -> their number from 1 on; 0 for others."""
+
+    def __init__(self, known: dict[str, list[str]]) -> None:
+        self.words = ["", *sorted(known)]
+        self.number = {w: i for i, w in enumerate(self.words) if i}
+        self.langs = sorted({x for v in known.values() for x in v}, reverse=True)  # of equal votes the last name's win
+        self.votes = np.zeros((len(self.words), len(self.langs)), np.int32)
+        for w, v in known.items():
+            for x in v:
+                self.votes[self.number[w], self.langs.index(x)] = 1
+        self.confused = frozenset(map(skeleton, known))
+        self.kinds: dict[str, str | None] = {}
+
+    def __missing__(self, w: str) -> int:
+        n = self.number.get(w.lower(), 0)
+        if n:
+            self[w] = n
+        return n
+
+    def kind(self, w: str) -> str | None:
+        if w not in self.kinds:
+            if len(self.kinds) > 200_000:
+                self.kinds.clear()
+            self.kinds[w] = _kind_of(w, self.confused)
+        return self.kinds[w]
+
+
 class _Counts:
     """What a task counts over its texts: known words, pairs of them that follow one another, compounds."""
 
-    def __init__(self) -> None:
-        self.known: Counter = Counter()
+    def __init__(self, stock: _Stock) -> None:
+        self.stock = stock
+        self.known = np.zeros(len(stock.words), np.int64)
         self.pairs: Counter = Counter()
         self.compounds: Counter = Counter()
 
+    def languages(self, numbers: list[int], ends: list[int]) -> list[str]:
+        """Counts a batch's words, laid end to end, and gives each text's language."""
+        if not numbers:
+            return [ANY] * len(ends)
+        n, size = np.array(numbers), len(self.stock.words)
+        self.known += np.bincount(n, minlength=size)
+        last = np.zeros(len(n), bool)
+        last[np.array(ends)[np.array(ends) > 0] - 1] = True
+        both = np.flatnonzero((n[:-1] > 0) & (n[1:] > 0) & ~last[:-1])
+        for code, k in zip(*np.unique(n[both] * size + n[both + 1], return_counts=True), strict=True):
+            self.pairs[int(code)] += int(k)
+        sums = np.concatenate([np.zeros((1, len(self.stock.langs)), np.int64), np.cumsum(self.stock.votes[n], axis=0)])
+        e = np.array(ends)
+        votes = sums[e] - sums[np.r_[0, e[:-1]]]
+        return [self.stock.langs[i] if v else ANY for i, v in zip(votes.argmax(axis=1), votes.max(axis=1), strict=True)]
+
     def pair_rows(self) -> list[tuple]:
-        rows = [("pair", None, None, None, None, None, a, [b], n) for (a, b), n in self.pairs.items() if a and b]
+        words, size = self.stock.words, len(self.stock.words)
+        rows = [("pair", None, None, None, None, None, words[c // size], [words[c % size]], n) for c, n in self.pairs.items()]
         self.pairs.clear()
         return rows
 
     def rows(self) -> list[tuple]:
-        rows = [("known", None, None, None, None, None, w, None, n) for w, n in self.known.items()]
+        rows = [("known", None, None, None, None, None, self.stock.words[i], None, int(self.known[i])) for i in np.flatnonzero(self.known) if i]
         return rows + self.pair_rows() + [("compound", None, None, None, None, None, skeleton(w), None, n) for w, n in self.compounds.items()]
 
 
-def _scan(text: str, page_index: int | None, known: dict[str, list[str]], confused: frozenset[str], longest: list[int], counts: _Counts) -> tuple[list, str]:
-    """(events as (kind, line, a, keys, n), language) of one text. confused: skeletons of known words; longest: the lengths
-    of the longest title's keys, as no longer line can be a header."""
+def _scan(text: str, page_index: int | None, longest: list[int], counts: _Counts) -> tuple[list[tuple], list[int]]:
+    """(events as (kind, line, a, keys, n), numbers of the words) of one text. longest: the lengths of the longest title's
+    keys, as no longer line can be a header."""
+    stock = counts.stock
     lines = _BREAK.split(text)
     found: list[tuple] = []
     fragments: list[str] = []
@@ -227,42 +282,37 @@ def _scan(text: str, page_index: int | None, known: dict[str, list[str]], confus
                     # another line's word may be the rest too, if headers lie between; a word of some length is no mere rest
                     fragments += [last, go_on[0], *(w for w in after if w != go_on[0] and len(w) < 6)]
                     joined.add((last + go_on[0]).lower())
-    dropped = Counter(fragments)
-    tokens = _TOKEN.findall(text)
-    seen = Counter(tokens)
-    votes: Counter = Counter()
-    stock, maybe = {}, {}
-    for w, k in seen.items():
-        low = w.lower()
-        langs = known.get(low)
-        if langs:
-            counts.known[low] += k
-            stock[w] = low
-            for x in langs:
-                votes[x] += k
-        elif not w.isdigit() and not (dropped.get(w, 0) >= k):
-            kind = _kind_of(w, confused)
-            if kind:
-                maybe[w] = kind
-    near = [stock.get(w, "") for w in tokens]
-    counts.pairs.update(zip(near, near[1:], strict=False))
+    token = _TOKEN if "|" in text else _PLAIN
+    tokens = token.findall(text)
+    numbers = list(map(stock.__getitem__, tokens))
+    seen = Counter([w for w, n in zip(tokens, numbers, strict=True) if not n])
+    maybe = {}
+    if seen:
+        dropped = Counter(fragments)
+        for w, k in seen.items():
+            if not w.isdigit() and dropped[w] < k:
+                kind = stock.kind(w)
+                if kind:
+                    maybe[w] = kind
     if maybe:  # one place where a word stands as such is enough; all its places tell what is about it
-        stands, about = set(), {}
-        for i, m in enumerate(_TOKEN.finditer(text)):
+        stands, about = set(), {w: set() for w in maybe}
+        for m in token.finditer(text):
             w = m[0]
-            if w in maybe:
-                if w not in stands and _apart(text, m.start(), m.end(), _DIGIT_OR_BAR.search(w)):
-                    stands.add(w)
-                keys = about.setdefault(w, set())
-                if i and near[i - 1]:
-                    keys.add("<" + near[i - 1])
-                if i + 1 < len(near) and near[i + 1]:
-                    keys.add(">" + near[i + 1])
+            if w in maybe and w not in stands and _apart(text, m.start(), m.end(), _DIGIT_OR_BAR.search(w)):
+                stands.add(w)
+                if len(stands) == len(maybe):
+                    break
+        for i, w in enumerate(tokens):
+            if w in stands:
+                if i and numbers[i - 1]:
+                    about[w].add("<" + stock.words[numbers[i - 1]])
+                if i + 1 < len(numbers) and numbers[i + 1]:
+                    about[w].add(">" + stock.words[numbers[i + 1]])
         found += [(maybe[w], None, w.lower(), sorted(about[w]), seen[w]) for w in stands]
     if "-" in text:
         counts.compounds.update(m.lower() for m in _COMPOUND.findall(text))
-    found += [("word", None, w, None, max(1, seen[w])) for w in joined if w not in known and w not in maybe]
-    return found, max(votes.items(), key=lambda x: (x[1], x[0]))[0] if votes else ANY
+    found += [("word", None, w, None, max(1, seen[w])) for w in joined if w not in stock.number and w not in maybe]
+    return found, numbers
 
 
 @F.pandas_udf(T.StringType())
@@ -289,19 +339,23 @@ def events(texts: DataFrame, lexicon: DataFrame, files: DataFrame) -> DataFrame:
     known: dict[str, list[str]] = {}
     for r in lexicon.where("word is not null").select("lang", "word").distinct().collect():
         known.setdefault(r.word, []).append(r.lang)
-    confused = frozenset(map(skeleton, known))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = _Counts()
+        counts = _Counts(_Stock(known))
         for pdf in batches:
-            out = []
+            out, numbers, ends = [], [], []
             for tbl, uid, doc, page, text in zip(pdf.tbl, pdf.row_uid, pdf.doc_id, pdf.page_index, pdf.text, strict=True):
-                got, lang = _scan(text, None if pd.isna(page) else int(page), known, confused, longest, counts)
-                out += [(kind, tbl, uid, None if pd.isna(doc) else int(doc), line, lang, a, keys, n) for kind, line, a, keys, n in got]
+                got, ns = _scan(text, None if pd.isna(page) else int(page), longest, counts)
+                key = tbl, uid, None if pd.isna(doc) else int(doc), len(ends)
+                out += [(key, *x) for x in got]
+                numbers += ns
+                ends.append(len(numbers))
+            langs = counts.languages(numbers, ends)
+            rows = [(kind, tbl, uid, doc, line, langs[at], a, keys, n) for (tbl, uid, doc, at), kind, line, a, keys, n in out]
             if len(counts.pairs) > _PAIRS:
-                out += counts.pair_rows()
-            if out:
-                yield _frame(out)
+                rows += counts.pair_rows()
+            if rows:
+                yield _frame(rows)
         yield _frame(counts.rows())
 
     return texts.where(F.length("text") > 0).select("tbl", "row_uid", "doc_id", "page_index", "text").mapInPandas(run, EVENTS)

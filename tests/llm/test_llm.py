@@ -306,7 +306,7 @@ def test_long_runs(run):
 
     text = "x" + run * 60_000 + "y"
     began = time.process_time()
-    scannoise._scan(text, 0, {"x": ["en"]}, frozenset("x"), [100, 200], scannoise._Counts())
+    scannoise._scan(text, 0, [100, 200], scannoise._Counts(scannoise._Stock({"x": ["en"]})))
     stuffing.judge(text, stuffing.Lexicon([("en", "x")]))
     stuffing.counted(text, stuffing.Lexicon([("en", "x")]))
     splitting.pieces(text, 1500, 150)
