@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagewright.functions.scratch import written
+from pagewright.functions.tables import once
 
 # What begins or is a link, a tag, an attribute.
 URL = r"(?:https?://|www\.)[^\s<>()\[\]\"']+|(?<![\w@.-])(?:[\w-]+\.)+(?:com|org|net|info|biz|io|example|test|invalid|[a-z]{2})(?:/[^\s<>()\[\]\"']*)?(?![\w.-])"
@@ -238,15 +239,25 @@ def _diverged(read: DataFrame, norms: DataFrame) -> DataFrame:
     return d.withColumn("divergence", F.aggregate(F.arrays_zip("ids", "ns"), F.lit(0.0), term)).drop("norm", "any_norm")
 
 
-def _judged(d: DataFrame, prose: Column | None = None) -> DataFrame:
-    """Adds whether slope, residual and divergence are extreme for the page's language and length, measured by the pages
-    for which `prose` holds. The measures have a row for each language and length."""
-    base = d.where(F.col("lang") != ANY) if prose is None else d.where((F.col("lang") != ANY) & prose)
-    measures = ("slope", "residual", "divergence")
-    what = [F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(x) for x in measures]
-    own = base.groupBy("lang", "size").agg(F.struct(*what).alias("own"), F.count("*").alias("pages")).where(F.col("pages") >= FEW).drop("pages")
-    same = base.groupBy("size").agg(F.struct(*what).alias("same"), F.count("*").alias("pages")).where(F.col("pages") >= FEW).drop("pages")
-    every = base.agg(F.struct(*what).alias("every"))
+MEASURES = ("slope", "residual", "divergence")
+
+
+def _measures(prose: DataFrame) -> DataFrame:
+    """lang, size, slope, residual, divergence: quartiles of the pages of each language and length, of each length (lang null),
+    and of all (both null). The rows are as few as languages times powers of two, and are gathered."""
+    what = [F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(x) for x in MEASURES]
+    by = prose.where(F.col("lang") != ANY)
+    got = by.groupingSets([["lang", "size"], ["size"], []], "lang", "size").agg(*what, F.count("*").alias("pages")).where((F.col("pages") >= FEW) | F.col("size").isNull() & (F.col("pages") > 0))
+    rows = [tuple(r) for r in got.select("lang", "size", *MEASURES).collect()]
+    return prose.sparkSession.createDataFrame(rows, "lang string, size int, " + ", ".join(f"{x} array<double>" for x in MEASURES))
+
+
+def _judged(d: DataFrame, measures: DataFrame) -> DataFrame:
+    """Adds whether slope, residual and divergence are extreme for the page's language and length."""
+    usual = F.struct(*MEASURES)
+    own = measures.where("lang is not null").select("lang", "size", usual.alias("own"))
+    same = measures.where("lang is null and size is not null").select("size", usual.alias("same"))
+    every = measures.where("size is null").select(usual.alias("every"))
     j = d.join(F.broadcast(own), ["lang", "size"], "left").join(F.broadcast(same), "size", "left").join(F.broadcast(every), how="left").withColumn("usual", F.coalesce("own", "same", "every"))
 
     def far(x: str) -> Column:
@@ -261,21 +272,19 @@ def _judged(d: DataFrame, prose: Column | None = None) -> DataFrame:
 def scored(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     """doc_id, lang, words, slope, residual, divergence, which of them are extreme, and whether the page is flagged.
 
-    Null, empty and wordless texts have no row; a doc_id that is repeated counts and comes out as often as it is there;
-    further columns are ignored. A page without a common word is measured by the prose of all languages, and where
-    there is no prose at all every page is flagged."""
+    Null, empty and wordless texts have no row; a doc_id that is repeated is one page; further columns are ignored. A page
+    without a common word is measured by the prose of all languages, and where there is no prose at all every page is flagged."""
     lex = _lexicon(lexicon)
-    read = written(pages(docs, lex), "pages")
-    size = F.least(F.floor(F.log2("words")), F.lit(30)).cast("int")
-    fit = curves(read.dropDuplicates(["doc_id"]))
-    base = written(read.drop("spectrum").join(fit, "doc_id").withColumn("size", size), "curves")
+    read = written(pages(once(docs.select("doc_id", "text"), "doc_id"), lex), "pages")
     wide = OTHER + 1 + len(lex.ids)
-    first = _judged(_diverged(base, _distributions(base, wide)))
-    d = _diverged(base, _distributions(first.where("not flagged"), wide))
-    ok = first.where("not flagged").select("doc_id", F.lit(True).alias("prose"))
-    kept = written(d.drop("ids", "ns").join(ok.distinct(), "doc_id", "left"), "divergence")
-    out = _judged(kept, F.coalesce(F.col("prose"), F.lit(False)))
-    return out.select("doc_id", "lang", "words", "slope", "residual", "divergence", "far_slope", "far_residual", "diverges", "flagged")
+    size = F.least(F.floor(F.log2("words")), F.lit(30)).cast("int")
+    base = _diverged(read.drop("spectrum"), _distributions(read, wide)).join(curves(read), "doc_id").withColumn("size", size)
+    base = written(base, "curves")
+    first = _judged(base, _measures(base))
+    again = _diverged(first.drop("divergence"), _distributions(first.where("not flagged"), wide))
+    kept = written(again.select("doc_id", "lang", "size", "words", *MEASURES, "flagged"), "divergence")
+    out = _judged(kept.drop("flagged"), _measures(kept.where("not flagged")))
+    return out.select("doc_id", "lang", "words", *MEASURES, "far_slope", "far_residual", "diverges", "flagged")
 
 
 #: Flagged pages that are broadcast at most (8 bytes each); beyond it their join is shuffled.
