@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagewright.functions.scratch import written
+from pagewright.functions.skew import PART_ROWS, split_join
 
 # Letters of other scripts that look like a Latin letter (Cyrillic, Greek, Armenian, Cherokee, phonetic).
 LETTERS = {
@@ -108,17 +109,39 @@ def with_forms(df: DataFrame, column: str, look_as: str = "look", fold_as: str |
     return out
 
 
-def same_look(df: DataFrame, key: str, column: str) -> DataFrame:
-    """Pairs of rows whose texts differ but look the same: a, b (a < b).
-
-    One row per distinct text is grouped by its form first; only forms with several texts are expanded into
-    rows. Null texts have no pairs, nor have texts in which there is nothing to see; rows of equal texts are no pair; a key that is repeated counts once."""
+def _formed(df: DataFrame, key: str, column: str) -> DataFrame:
+    """uid, t1, t2 (the text, hashed), f1, f2 (its form, hashed) of every row with text; a row that is repeated once or more."""
     one = df.where(F.col(column).isNotNull()).select(F.col(key).alias("uid"), F.col(column).alias("text"))
     ids = one.withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit(7), "text"))
-    formed = with_forms(ids, "text", "look", None).where("look != ''").select("uid", "t1", "t2", F.xxhash64("look").alias("f1"), F.xxhash64(F.lit(7), "look").alias("f2"))
-    formed = written(formed, "forms")
+    return with_forms(ids, "text", "look", None).select("uid", "t1", "t2", F.xxhash64("look").alias("f1"), F.xxhash64(F.lit(7), "look").alias("f2"), (F.col("look") != "").alias("seen"))
+
+
+def classes(df: DataFrame, key: str, column: str, part_rows: int = PART_ROWS) -> DataFrame:
+    """A row for each key with a text: uid, class_uid (the least key whose text looks like it), texts (different texts of
+    the class) and links (those that differ from its own). Counts are made per form before rows meet them; a form that many
+    rows share is split."""
+    formed = written(_formed(df, key, column).distinct(), "forms")
+    kinds = formed.groupBy("f1", "f2", "t1", "t2").agg(F.min("uid").alias("uid"))
+    of = kinds.groupBy("f1", "f2").agg(F.min("uid").alias("class_uid"), F.count("*").alias("texts"))
+    out = split_join(formed, of, ["f1", "f2"], ["uid"], part_rows)
+    return out.select("uid", "class_uid", "texts", (F.col("texts") - 1).alias("links"))
+
+
+def same_look(df: DataFrame, key: str, column: str, part_rows: int = PART_ROWS) -> DataFrame:
+    """Pairs of rows whose texts differ but look the same: a, b (a < b).
+
+    Different texts of one form are paired first, one row a text; pairs of texts become pairs of rows by two joins, in which
+    a text that many rows have is split. Null texts have no pairs, nor have texts in which there is nothing
+    to see; rows of equal texts are no pair; a key that is repeated counts once."""
+    formed = written(_formed(df, key, column).where("seen").drop("seen"), "forms")
     several = formed.groupBy("f1", "f2").agg(F.min("t1").alias("lo"), F.max("t1").alias("hi"), F.min("t2").alias("lo2"), F.max("t2").alias("hi2")).where("lo != hi or lo2 != hi2").select("f1", "f2")
-    rows = formed.join(several, ["f1", "f2"], "left_semi").distinct()
-    a = rows.select("f1", "f2", F.col("uid").alias("a"), F.col("t1").alias("x1"), F.col("t2").alias("x2"))
-    b = rows.select("f1", "f2", F.col("uid").alias("b"), F.col("t1").alias("y1"), F.col("t2").alias("y2"))
-    return a.join(b, ["f1", "f2"]).where("a < b and (x1 != y1 or x2 != y2)").select("a", "b")
+    rows = written(formed.join(several, ["f1", "f2"], "left_semi").distinct(), "alike")
+    kinds = rows.select("f1", "f2", "t1", "t2").distinct()
+    x = kinds.select("f1", "f2", F.struct("t1", "t2").alias("x"))
+    y = kinds.select("f1", "f2", F.struct("t1", "t2").alias("y"))
+    pairs = x.join(y, ["f1", "f2"]).where("x < y").select("x", "y")
+    mine = rows.select(F.struct("t1", "t2").alias("x"), F.col("uid").alias("a"))
+    half = written(split_join(mine, pairs, ["x"], ["a"], part_rows).select("a", "y"), "halves")
+    theirs = rows.select(F.struct("t1", "t2").alias("y"), F.col("uid").alias("b"))
+    both = split_join(half, theirs, ["y"], ["a"], part_rows)
+    return both.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

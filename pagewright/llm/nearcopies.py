@@ -295,16 +295,16 @@ def candidate_pairs(reps: DataFrame, p: Params) -> DataFrame:
 
 
 def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
-    """tbl, row_uid -> its set of shingles as 32-bit hashes, sorted."""
+    """tbl, row_uid -> its set of shingles as 64-bit hashes, sorted."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             words, counts = word_hashes(list(pdf.text))
             h, m = shingle_hashes(words, counts, k)
             ends = np.cumsum(m)
-            yield pd.DataFrame({"tbl": pdf.tbl.values, "row_uid": pdf.row_uid.values, "shingles": [np.unique((x >> np.uint64(32)).astype(np.uint32)).view(np.int32) for x in np.split(h, ends[:-1])] if len(ends) else []})
+            yield pd.DataFrame({"tbl": pdf.tbl.values, "row_uid": pdf.row_uid.values, "shingles": [np.unique(x).view(np.int64) for x in np.split(h, ends[:-1])] if len(ends) else []})
 
-    return texts.select("tbl", "row_uid", "text").mapInPandas(run, "tbl string, row_uid long, shingles array<int>")
+    return texts.select("tbl", "row_uid", "text").mapInPandas(run, "tbl string, row_uid long, shingles array<long>")
 
 
 #: Ids that are broadcast at most (16 bytes each); beyond it their join is shuffled.
@@ -347,11 +347,11 @@ def expanded(pairs: DataFrame, copies: DataFrame) -> DataFrame:
     return rows.where("a != b or x < y").select("tbl", F.least("x", "y").alias("uid_a"), F.greatest("x", "y").alias("uid_b"))
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of tbl, a, b: tbl, node, root (the least id), by alternating large-star and
-    small-star steps; each step is written, and hubs only ever send their least neighbour."""
+    small-star steps until nothing changes; each step is written, and hubs only ever send their least neighbour."""
     e = written(edges.select("tbl", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select("tbl", F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("tbl", "u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both.join(low, ["tbl", "u"]).where("v > u").select("tbl", F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()

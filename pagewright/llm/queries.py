@@ -31,6 +31,12 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.with_forms(b, "text").select("block_uid", "look", "fold")
 
 
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each block with text: the class of texts that look like it, and how many different texts are in it."""
+    c = lookalike.classes(table(spark, sf_dir, "blocks"), "block_uid", "text")
+    return c.select(F.col("uid").alias("block_uid"), F.col("class_uid").alias("class_block_uid"), "texts", "links")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs, copies, _ = nearcopies.similar_pairs(texts(spark, sf_dir), NEAR)
     return nearcopies.expanded(pairs, copies)
@@ -74,6 +80,10 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(p7_selected(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p7_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.level_shares(p7_selected(spark, sf_dir))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.spam(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lexicon"))
 
@@ -83,7 +93,7 @@ def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_forms": p2_forms, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_selected": p7_selected, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores}
+    return {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_forms": p2_forms, "p2_classes": p2_classes, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_selected": p7_selected, "p7_shares": p7_shares, "p7_levels": p7_levels, "p8_found": p8_found, "p8_scores": p8_scores}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -133,7 +133,10 @@ def test_same_look(spark):
     texts = [(1, "Box A"), (2, "Bоx A"), (3, "Box A"), (3, "Box A"), (4, None), (5, ""), (6, " "), (7, "BOX A"), (8, "Box​ A"), (9, "x y " * 200_000 + "z"), (10, "ｘ y " * 200_000 + "z")]
     df = spark.createDataFrame([(i, t, "c", 1) for i, t in texts], "block_uid long, text string, look string, uid int")
     assert {(r.a, r.b) for r in lookalike.same_look(df, "block_uid", "text").collect()} == {(1, 2), (2, 3), (1, 8), (3, 8), (2, 8), (9, 10)}
+    assert {(r.a, r.b) for r in lookalike.same_look(df, "block_uid", "text", 1).collect()} == {(1, 2), (2, 3), (1, 8), (3, 8), (2, 8), (9, 10)}  # every key is split
     assert lookalike.same_look(df.where("false"), "block_uid", "text").count() == 0
+    got = {r.uid: (r.class_uid, r.texts, r.links) for r in lookalike.classes(df, "block_uid", "text", 2).collect()}
+    assert got == {1: (1, 3, 2), 2: (1, 3, 2), 3: (1, 3, 2), 8: (1, 3, 2), 5: (5, 2, 1), 6: (5, 2, 1), 7: (7, 1, 0), 9: (9, 2, 1), 10: (9, 2, 1)}
     forms = {r.block_uid: (r.look, r.fold) for r in lookalike.with_forms(df, "text").collect()}
     assert forms[2] == ("Box A", "box a") and forms[4] == (None, None) and forms[5] == ("", "") and forms[6] == ("", "")
 
@@ -258,12 +261,18 @@ def test_lengths(spark):
 # Mixing
 
 
-def test_budgets():
-    leaves = [("a", "en", 600), ("a", "fr", 400), ("b", "en", 50), ("c", "en", 1000)]
-    b = mixing.budgets(leaves, {"a": (0.5, 1), "b": (0.25, 2), "c": (0.25, 4), "none": (0.1, 4)}, 1000)
-    assert b["b", "en"] == pytest.approx(100)  # all it can give
+def test_budgets(spark):
+    leaves = spark.createDataFrame([("a", "en", "x", 600), ("a", "fr", "x", 300), ("a", "fr", "y", 100), ("b", "en", "x", 50), ("c", "en", "x", 1000)], "source string, lang string, domain string, tokens long")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.25, 2), ("c", 0.25, 4), ("none", 0.1, 4)], "source string, target_share double, max_repeats int")
+    b = {(r.source, r.lang, r.domain): r.budget for r in mixing.budgets(leaves, targets, 1000).collect()}
+    assert b["b", "en", "x"] == pytest.approx(100)  # all it can give
     assert sum(b.values()) == pytest.approx(1000)
-    assert (b["a", "en"] + b["a", "fr"]) / b["c", "en"] == pytest.approx(2) and b["a", "en"] / b["a", "fr"] == pytest.approx(1.5)
+    of_a = b["a", "en", "x"] + b["a", "fr", "x"] + b["a", "fr", "y"]
+    assert of_a / b["c", "en", "x"] == pytest.approx(2) and b["a", "en", "x"] / (b["a", "fr", "x"] + b["a", "fr", "y"]) == pytest.approx(1.5) and b["a", "fr", "x"] / b["a", "fr", "y"] == pytest.approx(3)
+    given = {"lang": spark.createDataFrame([("en", 0.0), ("fr", 1.0)], "lang string, weight double")}
+    w = {(r.source, r.lang, r.domain): r.budget for r in mixing.budgets(leaves, targets, 1000, given).collect()}
+    assert w["a", "fr", "x"] + w["a", "fr", "y"] == pytest.approx(400) and w["a", "en", "x"] == pytest.approx(of_a - 400)  # the shortage goes to the sibling
+    assert sum(r.budget for r in mixing.budgets(leaves, targets, 10**9).collect()) == pytest.approx(1000 + 100 + 4000)  # no more than there is
 
 
 def test_select(spark):
@@ -283,6 +292,16 @@ def test_select(spark):
     assert mixing.select(df.where("false"), targets).count() == 0
 
 
+def test_select_from_small_leaves(spark):
+    """Rounding in thousands of leaves of a document or two doesn't add up."""
+    r = np.random.default_rng(4)
+    docs = [(i, "ab"[i % 2], "en", f"site-{int(r.integers(0, 900))}", int(n)) for i, n in enumerate(r.integers(1, 900, 3000))]
+    df = spark.createDataFrame(docs, "doc_id long, source string, lang string, site string, n_tokens int")
+    targets = spark.createDataFrame([("a", 0.7, 4), ("b", 0.3, 1)], "source string, target_share double, max_repeats int")
+    s = {x.source: x.share for x in mixing.shares(mixing.select(df, targets), targets).collect()}
+    assert s["a"] == pytest.approx(0.7, abs=0.002) and s["b"] == pytest.approx(0.3, abs=0.002)
+
+
 # Stuffed pages
 
 
