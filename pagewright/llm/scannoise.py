@@ -9,7 +9,7 @@ on events in SQL:
   group and the language of the text around, a rare form is a misreading of a much more frequent
   one from which it differs by glyphs that look alike, place by place. Of several such forms the one is
   meant that the words before and after support most often, counted over all texts; a word with a
-  capital, which may be a name, is a misreading only with such support;
+  capital, which may be a name, is a misreading only with such support, a neighbour at each place on average;
 * headers: lines whose letters, digits masked, are those of the file's title;
 * page numbers: lines of nothing but a number, in the offset usual in their file, or of a Roman
   numeral, as front matter is numbered by itself;
@@ -379,14 +379,14 @@ def misreadings(ev: DataFrame, lexicon: DataFrame) -> DataFrame:
     frequent = forms.where(F.col("clean") & (F.col("listed") | (F.col("kind") == "word") & (F.col("n") >= FREQUENT))).select("lang", "skeleton", F.col("a").alias("form"), F.col("n").alias("form_n"), F.col("listed").alias("form_listed"))
     rare = forms.where("not listed and (length(a) >= 3 or not clean)").join(frequent, ["lang", "skeleton"]).where("a != form and (form_listed or kind = 'word')")
     ratio = F.when(~F.col("clean"), RATIOS[0]).when(F.length("a") >= 4, RATIOS[1]).otherwise(RATIOS[2])
-    rare = rare.where(F.col("form_n") >= F.col("n") * ratio).where(_confusable("a", "form")).select("kind", "lang", "a", "form", "form_n")
+    rare = rare.where(F.col("form_n") >= F.col("n") * ratio).where(_confusable("a", "form")).select("kind", "lang", "a", "n", "form", "form_n")
     rare = written(rare, "rare")
     pairs = ev.where("kind = 'pair'").groupBy("a", F.col("keys")[0].alias("b")).agg(F.sum("n").alias("n"))
     beside = pairs.select(F.explode(F.array(F.struct(F.col("b").alias("form"), F.concat(F.lit("<"), "a").alias("key")), F.struct(F.col("a").alias("form"), F.concat(F.lit(">"), "b").alias("key")))).alias("x"), "n").select("x.*", "n")
     about = ev.where("kind in ('word', 'name')").select("kind", "lang", "a", F.explode("keys").alias("key")).groupBy("kind", "lang", "a", "key").agg(F.count("*").alias("times"))
     support = rare.join(about, ["kind", "lang", "a"]).join(beside, ["form", "key"]).groupBy("kind", "lang", "a", "form").agg(F.sum("times").alias("support"))
     best = rare.join(support, ["kind", "lang", "a", "form"], "left").withColumn("support", F.coalesce("support", F.lit(0)))
-    return best.where("kind = 'word' or support > 0").groupBy("kind", "lang", "a").agg(F.max_by("form", F.struct("support", "form_n", "form")).alias("form"))
+    return best.where("kind = 'word' or support >= n").groupBy("kind", "lang", "a").agg(F.max_by("form", F.struct("support", "form_n", "form")).alias("form"))
 
 
 def with_forms(ev: DataFrame, miss: DataFrame) -> DataFrame:

@@ -173,6 +173,17 @@ def test_scan_noise(spark):
     assert fixed[7] == "12.50\n13.75" and fixed[9] is None and fixed[10] == "" and fixed[11] == "the   canal"
 
 
+def test_misread_by_context(spark):
+    """Capitalised words count with support from their neighbours, and of two forms the supported one is meant."""
+    lex = spark.createDataFrame([("en", w, 1) for w in "the contract lists every page bear hear we can of".split()], "lang string, word string, freq long")
+    texts = ["the contract lists every page"] * 30 + ["we can hear the page"] * 30 + ["the bear of the page"] * 40
+    texts += ["Tbe contract lists every page", "we can 6ear the page", "Tbe Xyz", "every page of Hear"]
+    got = {r.row_uid for r in scannoise.found(rows(spark, texts), spark.createDataFrame([], "doc_id long, title string"), lex).where("noise = 'misread'").collect()}
+    assert {100, 101} <= got and 103 not in got
+    fixed = {r.row_uid: r.repaired for r in scannoise.repaired(rows(spark, texts), spark.createDataFrame([], "doc_id long, title string"), lex).collect()}
+    assert fixed[100] == "The contract lists every page" and fixed[101] == "we can hear the page"
+
+
 def test_scan_noise_empty(spark):
     files = spark.createDataFrame([], "doc_id long, title string")
     assert scannoise.found(rows(spark, []), files, lexicon(spark)).count() == 0
