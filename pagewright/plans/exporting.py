@@ -5,52 +5,93 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.functions.scratch import written
 from pagewright.functions.tables import table
 from pagewright.operators import export as E
+from pagewright.operators.shred import flat_table, shred
+from pagewright.plans.laying_out import _SP
+from pagewright.plans.nested import REPEATED
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "blocks").dropDuplicates(["block_uid"])
-    return b.select("block_uid", "doc_id", "page_index", "pos", "block_id", "block_type", "text", "heading_level", "ordered", "list_items", "provenance")
+    return b.select("block_uid", "doc_id", "page_index", "pos", "block_id", "block_type", "text", "heading_level", "ordered", "list_items", "bbox", "provenance")
 
 
-_BLOCKS = "b AS (SELECT DISTINCT block_uid, doc_id, page_index, pos, block_id, lower(block_type) AS k, coalesce(text, '') AS t, heading_level, ordered, coalesce(list_items, []) AS li, coalesce(provenance.provider, 'unknown') AS pr, coalesce(provenance.stage, 'unknown') AS st FROM blocks)"
-_HEADS = "h AS (SELECT doc_id, any_value(doc_name) AS doc_name FROM files GROUP BY 1)"
+_BLOCKS = "b AS (SELECT DISTINCT block_uid, doc_id, page_index, pos, block_id, lower(block_type) AS k, coalesce(text, '') AS t, heading_level, coalesce(greatest(1, least(6, heading_level)), 1) AS lv, coalesce(ordered, false) AS ordered, list_transform(coalesce(list_items, []), lambda x: coalesce(x.text, '')) AS li, bbox, provenance AS pr FROM blocks)"
 
 
-def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "files").groupBy("doc_id").agg(F.max("doc_name").alias("doc_name"))
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "files").groupBy("doc_id").agg(*[F.max(c).alias(c) for c in ("doc_name", "title", "author", "created_at")])
 
 
-def _digest(d: DataFrame) -> DataFrame:
-    return d.select("doc_id", F.md5("body").alias("digest"), F.length("body").alias("n_chars"))
+_FILES = "n AS (SELECT doc_id, max(doc_name) AS doc_name, max(title) AS title, max(author) AS author, max(created_at) AS created_at FROM files GROUP BY 1)"
+
+
+def _digest(parts: DataFrame) -> DataFrame:
+    return parts.select("doc_id", "part", F.md5("body").alias("digest"), F.length("body").alias("n_chars"))
 
 
 def export_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = E.document_of(E.pages_of(_blocks(spark, sf_dir), E.markdown_block(provenance=True))).join(_names(spark, sf_dir), "doc_id")
-    return _digest(d.withColumn("body", F.concat(F.lit("# "), "doc_name", F.lit("\n\n"), "body")))
+    return _digest(E.markdown_parts(_blocks(spark, sf_dir), _files(spark, sf_dir)))
 
 
 def export_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = E.document_of(E.html_pages(_blocks(spark, sf_dir)), sep="\n").join(_names(spark, sf_dir), "doc_id")
-    return _digest(d.withColumn("body", E.html_document(F.col("doc_name"), F.col("body"))))
+    return _digest(E.html_parts(_blocks(spark, sf_dir), _files(spark, sf_dir)))
 
 
 def export_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = E.document_of(E.text_pages(_blocks(spark, sf_dir)), sep="\n").join(_names(spark, sf_dir), "doc_id")
-    return _digest(d.withColumn("body", F.concat(F.lit("DOCUMENT: "), "doc_name", F.lit("\n" + "=" * 40 + "\n"), "body")))
+    return _digest(E.text_parts(_blocks(spark, sf_dir), _files(spark, sf_dir)))
+
+
+def _record_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of nested records, with their list items and cells."""
+    names = {"id": "block_id", "blocktype": "block_type", "text": "text", "level": "heading_level", "caption": "caption", "expression": "expression", "ordered": "ordered", "numrows": "num_rows", "numcols": "num_cols"}
+    parts = {"text": "text", "rowindex": "row_index", "colindex": "col_index", "rowspan": "row_span", "colspan": "col_span"}
+    rows = written(shred(table(spark, sf_dir, "doc_records"), "pages", REPEATED, [*names, *parts, "value"], ["blocks", "children", "items", "cells"]), "shredded")
+    of = [F.col("rec_id"), F.col("parent_path").alias("path"), F.col("parent_n").alias("n")]
+    number = lambda c: F.col(c).try_cast("int").alias(c)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", F.coalesce("text", "value").alias("text")))), lambda x: F.struct(x["text"].alias("text"), F.lit("").alias("marker"), x["place"].alias("reading_order_index")))
+    items = flat_table(rows, ["items"], {"text": "text", "value": "value"}).groupBy(*of).agg(listed.alias("list_items"))
+    cell = F.struct("place", number("row_index"), number("col_index"), number("row_span"), number("col_span"), "text")
+    held = F.transform(F.array_sort(F.collect_list(cell)), lambda x: F.struct(*[x[c].alias(c) for c in ("row_index", "col_index", "row_span", "col_span", "text")]))
+    cells = flat_table(rows, ["cells"], parts).groupBy(*of).agg(held.alias("cells"))
+    b = flat_table(rows, ["blocks", "children"], names).join(items, ["rec_id", "path", "n"], "left").join(cells, ["rec_id", "path", "n"], "left")
+    depth = F.size(F.split("path", r"\.")) * 1_000_000
+    return b.select(
+        F.col("rec_id").alias("doc_id"), (F.col("top_n") - 1).alias("page_index"), (depth + F.col("n")).alias("pos"), "block_id", F.coalesce("block_type", F.lit("text")).alias("block_type"), "text", number("heading_level"),
+        F.col("ordered").try_cast("boolean").alias("ordered"), "list_items", "caption", "expression", number("num_rows"), number("num_cols"), "cells",
+    )
+
+
+def export_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of nested records, tables with their cells, in Markdown, HTML and plain text."""
+    b = written(_record_blocks(spark, sf_dir), "blocks")
+    forms = [(k, E.pages_of(b, f(b))) for k, f in (("markdown", E.markdown_block), ("html", E.html_block), ("text", E.text_block))]
+    out = [_digest(d).withColumn("format", F.lit(k)) for k, d in forms]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def export_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.warnings_of(_blocks(spark, sf_dir)).select("doc_id", "block_id", "warning")
 
 
 def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks written as JSON and read back: the same rows."""
-    b = _blocks(spark, sf_dir).drop("provenance")
+    b = _blocks(spark, sf_dir).drop("provenance", "bbox")
     back = E.parsed_blocks(E.json_blocks(b), b.drop("doc_id", "page_index").schema)
     return back.select("block_uid", "doc_id", "page_index", "pos", "block_id", "block_type", "text", "heading_level", F.size(F.coalesce("list_items", F.array())).alias("n_items"))
 
 
 def rag_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = E.rag_chunks(_blocks(spark, sf_dir))
-    return c.select("chunk_id", "page_index", "chunk_type", "text", F.size("heading_hierarchy").alias("n_headings"), F.md5(F.array_join("heading_hierarchy", "|")).alias("headings"))
+    return c.select("chunk_id", "page_index", "chunk_type", "text", "n_headings", F.col("bbox")[0].alias("box_left"), "formula_latex")
+
+
+def rag_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _blocks(spark, sf_dir)
+    c = E.with_hierarchy(E.rag_chunks(b), E.heading_list(b))
+    return c.select("chunk_id", F.size("heading_hierarchy").alias("n_headings"), F.md5(F.array_join("heading_hierarchy", "|")).alias("headings"))
 
 
 def rag_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,22 +99,23 @@ def rag_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("chunk_id", "chunk_type", F.array_join("heading_hierarchy", " > ").alias("path"))
 
 
-_CHUNKS = f"""{_BLOCKS}, c AS (SELECT *, CASE WHEN k = 'list' THEN coalesce(array_to_string(list_transform(li, lambda x: coalesce(x.text, '')), chr(10)), '') ELSE t END AS ct FROM b),
-    d AS (SELECT *, list(CASE WHEN k = 'heading' THEN ct END) OVER (PARTITION BY doc_id ORDER BY page_index, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hs FROM c),
-    e AS (SELECT *, list_filter(hs, lambda x: x IS NOT NULL AND trim(x) <> '') AS hh FROM d)"""
-_LEVELS = ", ".join(f"last_value(CASE WHEN lv = {i} THEN ct END IGNORE NULLS) OVER w AS h{i}, last_value(CASE WHEN lv = {i} THEN o END IGNORE NULLS) OVER w AS o{i}, last_value(CASE WHEN lv < {i} THEN o END IGNORE NULLS) OVER w AS u{i}" for i in range(1, 7))
+_CHUNKS = rf"{_BLOCKS}, c AS (SELECT *, regexp_replace(CASE WHEN k = 'list' THEN coalesce(array_to_string(li, chr(10)), '') ELSE t END, '^{_SP}+|{_SP}+$', '', 'g') AS ct FROM b)"
+_CHUNK_ID = "doc_id || '_p' || page_index || '_b' || block_id AS chunk_id"
+_CHUNK_TYPE = "CASE WHEN k IN ('heading', 'table', 'figure', 'formula') THEN k ELSE 'paragraph' END AS chunk_type"
+_LEVELS = ", ".join(f"last_value(CASE WHEN hl = {i} THEN ct END IGNORE NULLS) OVER w AS h{i}, last_value(CASE WHEN hl = {i} THEN o END IGNORE NULLS) OVER w AS o{i}, last_value(CASE WHEN hl < {i} THEN o END IGNORE NULLS) OVER w AS u{i}" for i in range(1, 7))
 _PATH = ", ".join(f"CASE WHEN u{i} IS NULL OR o{i} > u{i} THEN h{i} END" for i in range(1, 7))
 
 
 def vector_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks table as records of five vector stores."""
-    c = table(spark, sf_dir, "chunks").select("chunk_uid", "chunk_id", "doc_id", "page_index", "chunk_type", "text", "heading_hierarchy").distinct()
+    c = table(spark, sf_dir, "chunks").select("chunk_uid", "chunk_id", "doc_id", "document_name", "page_index", "chunk_type", "text", "bbox", "heading_hierarchy", "figure_caption").distinct()
+    c = c.withColumn("bbox", F.transform("bbox", lambda x: F.round(x, 4))).withColumn("formula_latex", F.when(F.col("chunk_type") == "formula", F.col("text")))
     kinds = ("langchain", "llamaindex", "qdrant", "pinecone", "chroma")
-    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), E.vector_record(k).alias("record")) for k in kinds]))
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), E.vector_record(k, c).alias("record")) for k in kinds]))
     r = c.select("chunk_uid", rows.alias("r")).select("chunk_uid", "r.kind", "r.record")
     body = F.coalesce(*[F.get_json_object("record", p) for p in ("$.page_content", "$.text", "$.payload.text", "$.metadata.text", "$.document")])
-    page = F.coalesce(*[F.get_json_object("record", f"$.{p}.page_index") for p in ("metadata", "payload")])
-    return r.select("chunk_uid", "kind", F.md5(body).alias("text_digest"), page.cast("int").alias("page_index"))
+    of = lambda f: F.coalesce(*[F.get_json_object("record", f"$.{p}.{f}") for p in ("metadata", "payload", "extra_info")])
+    return r.select("chunk_uid", "kind", F.md5(body).alias("text_digest"), of("page_index").cast("int").alias("page_index"), of("document_id").alias("document_id"), of("document_name").alias("document_name"), of("bbox[0]").cast("double").alias("box_left"), F.md5(of("figure_caption")).alias("caption_digest"))
 
 
 def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,56 +128,90 @@ def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks with a box as overlays of their page, whose size comes with them."""
     b = table(spark, sf_dir, "blocks").where("bbox is not null").dropDuplicates(["block_uid"])
+    pages = table(spark, sf_dir, "raw_pages").groupBy("doc_id", "page_index").agg(F.max("width").alias("width"), F.max("height").alias("height"))
     o = E.overlay([F.col(f"bbox.box_{x}") for x in ("left", "top", "right", "bottom")])
-    return b.select("block_uid", o.alias("o")).select("block_uid", "o.type", "o.colour", F.col("o.bbox")[0].alias("box_left"), "o.text")
+    d = b.join(pages, ["doc_id", "page_index"], "left").select("block_uid", o.alias("o"), "width", "height")
+    return d.select("block_uid", "o.type", "o.color", "o.confidence", F.col("o.bbox")[0].alias("box_left"), "o.text", "width", "height")
 
 
 def figure_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures, of which every other one has a picture, as data and as files."""
     b = _blocks(spark, sf_dir).where("lower(block_type) = 'figure'")
-    return b.select("block_uid", E.data_uri(F.lit("image/png"), F.when(F.col("block_uid") % 2 == 0, F.encode("block_id", "UTF-8"))).alias("uri"))
+    payload = F.when(F.col("block_uid") % 2 == 0, F.encode("block_id", "UTF-8"))
+    a, f = E.asset(F.lit("image/png"), payload, F.col("block_id")), E.asset(F.lit("image/png"), payload, F.col("block_id"), "assets")
+    return b.select("block_uid", a["src"].alias("uri"), a["warning"].alias("warning"), f["path"].alias("path"))
 
 
 def binary_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word files and e-books of pages; whether they are archives."""
     b = _blocks(spark, sf_dir)
-    parts = [E.binary_documents(b, k).select("doc_id", "page_index", F.lit(k).alias("kind"), (F.hex(F.substring("content", 1, 2)) == "504B").alias("is_zip")) for k in ("docx", "epub")]
+    books = E.epub_documents(E.html_parts(b, _files(spark, sf_dir)), _files(spark, sf_dir))
+    parts = [d.select("doc_id", "part", F.lit(k).alias("kind"), (F.hex(F.substring("content", 1, 2)) == "504B").alias("is_zip")) for k, d in (("docx", E.docx_documents(b)), ("epub", books))]
     return parts[0].unionByName(parts[1])
 
 
 def archival_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = E.html_pages(_blocks(spark, sf_dir))
-    return p.select("doc_id", "page_index", F.length(E.archival(F.col("body"))).alias("n_bytes"))
+    f = _files(spark, sf_dir)
+    p = E.archival_parts(E.html_parts(_blocks(spark, sf_dir), f), f)
+    return p.select("doc_id", "part", F.length(F.encode("body", "UTF-8")).alias("n_bytes"))
 
 
 def queries() -> dict:
     return {
-        "export_markdown": export_markdown, "export_html": export_html, "export_text": export_text, "export_json": export_json, "rag_chunks": rag_chunks, "rag_nested": rag_nested, "vector_records": vector_records,
+        "export_markdown": export_markdown, "export_html": export_html, "export_text": export_text, "export_records": export_records, "export_warnings": export_warnings, "export_json": export_json, "rag_chunks": rag_chunks, "rag_hierarchy": rag_hierarchy, "rag_nested": rag_nested, "vector_records": vector_records,
         "table_markdown": table_markdown, "overlay": overlay, "figure_assets": figure_assets, "binary_exports": binary_exports, "archival_export": archival_export,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     nl = "chr(10)"
-    md = f"""CASE k WHEN 'heading' THEN repeat('#', coalesce(heading_level, 1)) || ' ' || t WHEN 'list' THEN coalesce(array_to_string(list_transform(li, lambda x, i: CASE WHEN ordered THEN i || '. ' ELSE '- ' END || coalesce(x.text, '')), {nl}), '')
-        WHEN 'figure' THEN '![' || block_id || '](' || block_id || '.png)' || CASE WHEN t <> '' THEN {nl} || '*' || t || '*' ELSE '' END WHEN 'formula' THEN '$$' || t || '$$' ELSE t END"""
-    data = "' data-provider=\"' || pr || '\" data-stage=\"' || st || '\"'"
-    items = "coalesce(array_to_string(list_transform(li, lambda x: '<li>' || coalesce(x.text, '') || '</li>'), ''), '')"
-    html = f"""CASE k WHEN 'heading' THEN '<h' || coalesce(heading_level, 1) || {data} || '>' || t || '</h' || coalesce(heading_level, 1) || '>' WHEN 'list' THEN CASE WHEN ordered THEN '<ol' || {data} || '>' || {items} || '</ol>' ELSE '<ul' || {data} || '>' || {items} || '</ul>' END
-        WHEN 'table' THEN '<table' || {data} || '>' || t || '</table>' WHEN 'figure' THEN '<figure' || {data} || '><img src="' || block_id || '.png"/>' || CASE WHEN t <> '' THEN '<figcaption>' || t || '</figcaption>' ELSE '' END || '</figure>'
-        WHEN 'formula' THEN '<div class="formula"' || {data} || '>' || t || '</div>' ELSE '<p' || {data} || '>' || t || '</p>' END"""
-    text = f"""CASE k WHEN 'heading' THEN upper(t) WHEN 'list' THEN coalesce(array_to_string(list_transform(li, lambda x: CASE WHEN ordered THEN '- ' ELSE '* ' END || coalesce(x.text, '')), {nl}), '') WHEN 'figure' THEN '[Figure: ' || block_id || ']' WHEN 'formula' THEN 'Equation: ' || t ELSE t END"""
-    name = "n AS (SELECT doc_id, max(doc_name) AS doc_name FROM files GROUP BY 1)"
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    lines = lambda *xs: "[" + ", ".join(xs) + "]"
+    text = lambda x: f"array_to_string({x}, {nl})"
+    drawing = "data:image/svg+xml;utf8,<svg xmlns='http://www.w3.org/2000/svg' width='200' height='80'><rect width='100%' height='100%' fill='%23f3f4f6' rx='4'/><text x='50%' y='50%' dominant-baseline='middle' text-anchor='middle' font-family='sans-serif' font-size='12' fill='%236b7280'>[Missing Image: "
+    missing = quoted(drawing) + " || block_id || ']</text></svg>'"
+    caption = lambda x: f"CASE WHEN t <> '' THEN [{x}] ELSE [] END"
+    note = "CASE WHEN pr IS NOT NULL THEN ['<!-- provenance: provider=' || coalesce(pr.provider, '') || ' stage=' || coalesce(pr.stage, '') || ' -->'] ELSE [] END"
+    starred = caption("'*' || t || '*'")
+    md = f"""list_concat({note}, CASE k WHEN 'heading' THEN [repeat('#', lv) || ' ' || t] WHEN 'list' THEN list_transform(li, lambda x: CASE WHEN ordered THEN '1. ' ELSE '- ' END || x) WHEN 'table' THEN ['*Empty Table*']
+        WHEN 'figure' THEN list_concat(['![' || block_id || '](' || {missing} || ')'], {starred}) WHEN 'formula' THEN ['$$', t, '$$'] ELSE [t] END, [''])"""
+    data = "CASE WHEN pr IS NOT NULL THEN ' data-provider=\"' || coalesce(pr.provider, '') || '\" data-stage=\"' || coalesce(pr.stage, '') || '\"' ELSE '' END"
+    under = caption("'        <figcaption>' || t || '</figcaption>'")
+    html = f"""CASE k WHEN 'heading' THEN ['      <h' || lv || {data} || '>' || t || '</h' || lv || '>'] WHEN 'paragraph' THEN ['      <p' || {data} || '>' || t || '</p>']
+        WHEN 'list' THEN list_concat(['      <' || CASE WHEN ordered THEN 'ol' ELSE 'ul' END || {data} || '>'], list_transform(li, lambda x: '        <li>' || x || '</li>'), ['      </' || CASE WHEN ordered THEN 'ol' ELSE 'ul' END || '>'])
+        WHEN 'table' THEN ['      <table' || {data} || '>', '        <tbody>', '        </tbody>', '      </table>'] WHEN 'figure' THEN list_concat(['      <figure' || {data} || '>', '        <img src="' || {missing} || '" alt="' || block_id || '">'], {under}, ['      </figure>'])
+        WHEN 'formula' THEN ['      <div class="formula"' || {data} || '>$$' || t || '$$</div>'] ELSE ['      <div' || {data} || '>' || t || '</div>'] END"""
+    loud = "t"
+    for letter, big in (("ß", "SS"), ("ﬀ", "FF"), ("ﬁ", "FI"), ("ﬂ", "FL"), ("ﬃ", "FFI"), ("ﬄ", "FFL"), ("ﬅ", "ST"), ("ﬆ", "ST")):  # letters whose capitals are several, which the engines treat differently
+        loud = f"replace({loud}, '{letter}', '{big}')"
+    called = caption("'Caption: ' || t")
+    txt = f"list_concat(CASE k WHEN 'heading' THEN [upper({loud})] WHEN 'list' THEN list_transform(li, lambda x: CASE WHEN ordered THEN '- ' ELSE '* ' END || x) WHEN 'table' THEN [] WHEN 'figure' THEN list_concat(['[Figure: ' || block_id || ']'], {called}) WHEN 'formula' THEN ['Equation: ' || t] ELSE [t] END, [''])"
+    title = "coalesce(nullif(doc_name, ''), 'Document')"
     done = "md5(body) AS digest, length(body)::INT AS n_chars"
+    page = lambda x: f"string_agg({text(x)}, {nl} ORDER BY pos)"
+    about = f"list_concat(['# ' || {title}], CASE WHEN coalesce(author, '') <> '' THEN ['**Author:** ' || author] ELSE [] END, CASE WHEN coalesce(created_at, '') <> '' THEN ['**Date:** ' || created_at] ELSE [] END, [''])"
+    first = lines(*map(quoted, ["<!DOCTYPE html>", "<html>", "<head>", '  <meta charset="utf-8">']), f"'  <title>' || {title} || '</title>'", "'</head>'", "'<body>'", quoted('  <header class="document-header">'), f"'    <h1>' || {title} || '</h1>'")
+    main = quoted('  <main class="document-body">')
+    begin = f"list_concat({first}, CASE WHEN coalesce(author, '') <> '' THEN ['    <p><strong>Author:</strong> ' || author || '</p>'] ELSE [] END, ['  </header>', {main}])"
+    section = f"""'    <section class="page" data-page-index="' || page_index || '">' || {nl} || {page(html)} || {nl} || '    </section>'"""
+    ends = f"'  </main>' || {nl} || '</body>' || {nl} || '</html>'"
+    book = f"p AS (SELECT doc_id, -1 AS part, {text(begin)} AS body FROM n UNION ALL SELECT doc_id, page_index, {section} FROM b GROUP BY doc_id, page_index UNION ALL SELECT doc_id, 2147483647, {ends} FROM n)"
+    frame = quoted('<!DOCTYPE html>\n<html>\n<head>\n  <meta charset="utf-8">\n  <meta name="pdfa-compliance" content="PDF/A-2b">\n  <title>') + " || coalesce(nullif(title, ''), 'PDF/A Document') || " + quoted("</title>\n" + E.ARCHIVAL_STYLE + "</head>\n<body>")
+    colours = "CASE type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in E.COLOURS.items()) + f" ELSE '{E.OTHER_COLOUR}' END"
     return {
-        "export_markdown": f"WITH {_BLOCKS}, {name}, p AS (SELECT doc_id, page_index, string_agg('<!-- ' || pr || ' ' || st || ' -->' || {nl} || {md}, {nl} || {nl} ORDER BY pos) AS body FROM b GROUP BY 1, 2), d AS (SELECT doc_id, string_agg(body, {nl} || {nl} ORDER BY page_index) AS x FROM p GROUP BY 1), e AS (SELECT doc_id, '# ' || doc_name || {nl} || {nl} || x AS body FROM d JOIN n USING (doc_id)) SELECT doc_id, {done} FROM e",
-        "export_html": f"WITH {_BLOCKS}, {name}, p AS (SELECT doc_id, page_index, '<section class=\"page\" data-page=\"' || page_index || '\">' || {nl} || string_agg({html}, {nl} ORDER BY pos) || {nl} || '</section>' AS body FROM b GROUP BY 1, 2), d AS (SELECT doc_id, string_agg(body, {nl} ORDER BY page_index) AS x FROM p GROUP BY 1), e AS (SELECT doc_id, '<!DOCTYPE html>' || {nl} || '<html><head><meta charset=\"utf-8\"><title>' || doc_name || '</title></head><body>' || {nl} || x || {nl} || '</body></html>' AS body FROM d JOIN n USING (doc_id)) SELECT doc_id, {done} FROM e",
-        "export_text": rf"WITH {_BLOCKS}, {name}, a AS (SELECT * FROM b WHERE NOT regexp_matches(t, '[^\x00-\x7f]')), p AS (SELECT doc_id, page_index, '--- Page ' || (page_index + 1) || ' ---' || {nl} || string_agg({text}, {nl} ORDER BY pos) AS body FROM a GROUP BY 1, 2), d AS (SELECT doc_id, string_agg(body, {nl} ORDER BY page_index) AS x FROM p GROUP BY 1), e AS (SELECT doc_id, 'DOCUMENT: ' || doc_name || {nl} || repeat('=', 40) || {nl} || x AS body FROM d JOIN n USING (doc_id)) SELECT doc_id, {done} FROM e",
+        "export_markdown": f"WITH {_BLOCKS}, {_FILES}, p AS (SELECT doc_id, -1 AS part, {text(about)} AS body FROM n UNION ALL SELECT doc_id, page_index, {page(md)} FROM b GROUP BY 1, 2) SELECT doc_id, part, {done} FROM p",
+        "export_html": f"WITH {_BLOCKS}, {_FILES}, {book} SELECT doc_id, part, {done} FROM p",
+        "export_text": f"WITH {_BLOCKS}, {_FILES}, p AS (SELECT doc_id, -1 AS part, 'DOCUMENT: ' || {title} || {nl} || repeat('=', 40) || {nl} AS body FROM n UNION ALL SELECT doc_id, page_index, '--- Page ' || (page_index + 1) || ' ---' || {nl} || {page(txt)} FROM b GROUP BY doc_id, page_index) SELECT doc_id, part, {done} FROM p",
+        "export_warnings": f"WITH {_BLOCKS} SELECT doc_id, block_id, 'Raster image block ''' || block_id || ''' replaced with text placeholder.' AS warning FROM b WHERE k = 'figure'",
         "export_json": "SELECT DISTINCT block_uid, doc_id, page_index, pos, block_id, block_type, text, heading_level, coalesce(len(list_items), 0)::INT AS n_items FROM blocks",
-        "rag_chunks": f"WITH {_CHUNKS} SELECT doc_id || '_p' || page_index || '_b' || block_id AS chunk_id, page_index, CASE WHEN k IN ('heading', 'table', 'figure', 'formula') THEN k ELSE 'paragraph' END AS chunk_type, ct AS text, len(hh)::INT AS n_headings, md5(coalesce(array_to_string(hh, '|'), '')) AS headings FROM e WHERE trim(ct) <> ''",
-        "rag_nested": f"WITH {_BLOCKS}, c AS (SELECT *, CASE WHEN k = 'list' THEN coalesce(array_to_string(list_transform(li, lambda x: coalesce(x.text, '')), chr(10)), '') ELSE t END AS ct, page_index * 100000 + pos AS o FROM b), v AS (SELECT *, CASE WHEN k = 'heading' AND trim(ct) <> '' THEN coalesce(heading_level, 1) END AS lv FROM c), x AS (SELECT *, {_LEVELS} FROM v WINDOW w AS (PARTITION BY doc_id ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT doc_id || '_p' || page_index || '_b' || block_id AS chunk_id, CASE WHEN k IN ('heading', 'table', 'figure', 'formula') THEN k ELSE 'paragraph' END AS chunk_type, coalesce(array_to_string(list_filter([{_PATH}], lambda z: z IS NOT NULL), ' > '), '') AS path FROM x WHERE trim(ct) <> ''",
-        "vector_records": "WITH c AS (SELECT DISTINCT chunk_uid, page_index, text FROM chunks) SELECT chunk_uid, kind, md5(text) AS text_digest, page_index FROM c, (VALUES ('langchain'), ('llamaindex'), ('qdrant'), ('pinecone'), ('chroma')) v(kind)",
-        "table_markdown": "WITH l AS (SELECT *, max(r) OVER (PARTITION BY table_id) = 2 AS span FROM (SELECT l_orderkey AS table_id, l_linenumber - 1 AS r, max(l_partkey)::VARCHAR AS a, max(l_returnflag) AS f FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY 1, 2)), m AS (SELECT table_id, span, max(r) AS r, min(r) AS lo FROM l GROUP BY 1, 2), g AS (SELECT m.table_id, m.span, x.r, coalesce(a, '') AS a, coalesce(f, '') AS f FROM m, LATERAL (SELECT unnest(range(m.r + 1)) AS r) x LEFT JOIN l ON l.table_id = m.table_id AND l.r = x.r), s AS (SELECT table_id, span, r, CASE WHEN span THEN CASE WHEN r = 0 THEN '<tr><th>' || a || '</th><th>' || f || '</th></tr>' ELSE '<tr><td>' || a || '</td><td>' || f || '</td></tr>' END WHEN r = 0 THEN '| ' || a || ' | ' || f || ' |' || chr(10) || '| --- | --- |' ELSE '| ' || a || ' | ' || f || ' |' END AS x FROM g) SELECT table_id, CASE WHEN span THEN '<table>' || chr(10) || string_agg(x, chr(10) ORDER BY r) || chr(10) || '</table>' ELSE string_agg(x, chr(10) ORDER BY r) END AS body FROM s GROUP BY table_id, span",
-        "overlay": "WITH b AS (SELECT DISTINCT block_uid, lower(block_type) AS type, bbox.box_left AS l, coalesce(text, '') AS t FROM blocks WHERE bbox IS NOT NULL) SELECT block_uid, type, CASE type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in E.COLOURS.items()) + " ELSE '#7f7f7f' END AS colour, round(l, 4) AS box_left, substr(t, 1, 100) AS text FROM b",
-        "figure_assets": f"WITH {_BLOCKS} SELECT block_uid, CASE WHEN block_uid % 2 = 0 THEN 'data:image/png;base64,' || base64(encode(block_id)) ELSE 'data:image/svg+xml;base64,' || base64(encode('<svg xmlns=\"http://www.w3.org/2000/svg\"/>')) END AS uri FROM b WHERE k = 'figure'",
-        "archival_export": f"WITH {_BLOCKS}, p AS (SELECT doc_id, page_index, '<section class=\"page\" data-page=\"' || page_index || '\">' || {nl} || string_agg({html}, {nl} ORDER BY pos) || {nl} || '</section>' AS body FROM b GROUP BY 1, 2) SELECT doc_id, page_index, octet_length(encode('<meta name=\"conformance\" content=\"PDF/A\"/>' || {nl} || body))::INT AS n_bytes FROM p",
+        "rag_chunks": f"WITH {_CHUNKS}, d AS (SELECT *, count_if(k = 'heading') OVER (PARTITION BY doc_id ORDER BY page_index, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n_headings FROM c) SELECT {_CHUNK_ID}, page_index, {_CHUNK_TYPE}, ct AS text, n_headings::BIGINT AS n_headings, round(bbox.box_left, 4) AS box_left, CASE WHEN k = 'formula' THEN nullif(t, '') END AS formula_latex FROM d WHERE ct <> ''",
+        "rag_hierarchy": f"WITH {_CHUNKS}, d AS (SELECT *, list_filter(list(CASE WHEN k = 'heading' THEN ct END) OVER (PARTITION BY doc_id ORDER BY page_index, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lambda x: x IS NOT NULL) AS hh FROM c) SELECT {_CHUNK_ID}, len(hh)::INT AS n_headings, md5(coalesce(array_to_string(hh, '|'), '')) AS headings FROM d WHERE ct <> ''",
+        "rag_nested": f"WITH {_CHUNKS}, z AS (SELECT *, page_index * 100000 + pos AS o, CASE WHEN k = 'heading' AND ct <> '' THEN coalesce(heading_level, 1) END AS hl FROM c), x AS (SELECT *, {_LEVELS} FROM z WINDOW w AS (PARTITION BY doc_id ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT {_CHUNK_ID}, {_CHUNK_TYPE}, coalesce(array_to_string(list_filter([{_PATH}], lambda y: y IS NOT NULL), ' > '), '') AS path FROM x WHERE ct <> ''",
+        "vector_records": "WITH c AS (SELECT DISTINCT chunk_uid, page_index, text, doc_id, document_name, bbox, figure_caption FROM chunks) SELECT chunk_uid, kind, md5(text) AS text_digest, page_index, doc_id::VARCHAR AS document_id, document_name, round(bbox[1], 4) AS box_left, md5(figure_caption) AS caption_digest FROM c, (VALUES ('langchain'), ('llamaindex'), ('qdrant'), ('pinecone'), ('chroma')) v(kind)",
+        "table_markdown": "WITH l AS (SELECT *, max(r) OVER (PARTITION BY table_id) = 2 AS span FROM (SELECT l_orderkey AS table_id, l_linenumber - 1 AS r, max(l_partkey)::VARCHAR AS a, max(l_returnflag) AS f FROM lineitem GROUP BY 1, 2)), m AS (SELECT table_id, span, max(r) AS r, min(r) AS lo FROM l GROUP BY 1, 2), g AS (SELECT m.table_id, m.span, x.r, coalesce(a, '') AS a, coalesce(f, '') AS f FROM m, LATERAL (SELECT unnest(range(m.r + 1)) AS r) x LEFT JOIN l ON l.table_id = m.table_id AND l.r = x.r), s AS (SELECT table_id, span, r, CASE WHEN span THEN '    <tr>' || chr(10) || '      <td>' || a || '</td>' || chr(10) || '      <td>' || f || '</td>' || chr(10) || '    </tr>' WHEN r = 0 THEN '| ' || a || ' | ' || f || ' |' || chr(10) || '| --- | --- |' ELSE '| ' || a || ' | ' || f || ' |' END AS x FROM g) SELECT table_id, CASE WHEN span THEN '<table>' || chr(10) || '  <tbody>' || chr(10) || string_agg(x, chr(10) ORDER BY r) || chr(10) || '  </tbody>' || chr(10) || '</table>' ELSE string_agg(x, chr(10) ORDER BY r) END AS body FROM s GROUP BY table_id, span",
+        "overlay": f"WITH b AS (SELECT DISTINCT block_uid, doc_id, page_index, lower(block_type) AS type, bbox.box_left AS l, coalesce(text, '') AS t FROM blocks WHERE bbox IS NOT NULL), g AS (SELECT doc_id, page_index, max(width) AS width, max(height) AS height FROM raw_pages GROUP BY 1, 2) SELECT block_uid, type, {colours} AS color, 0.95::DOUBLE AS confidence, round(l, 4) AS box_left, substr(t, 1, 100) AS text, width, height FROM b LEFT JOIN g USING (doc_id, page_index)",
+        "figure_assets": f"WITH {_BLOCKS} SELECT block_uid, CASE WHEN block_uid % 2 = 0 THEN 'data:image/png;base64,' || base64(encode(block_id)) ELSE {missing} END AS uri, CASE WHEN block_uid % 2 <> 0 THEN 'Image asset ''' || block_id || ''' has no binary content.' END AS warning, CASE WHEN block_uid % 2 = 0 THEN 'assets/' || block_id || '.png' END AS path FROM b WHERE k = 'figure'",
+        "archival_export": f"WITH {_BLOCKS}, {_FILES}, {book} SELECT p.doc_id, part, octet_length(encode(CASE part WHEN -1 THEN {frame} || body WHEN 2147483647 THEN body || '</body>' || {nl} || '</html>' ELSE body END))::INT AS n_bytes FROM p LEFT JOIN n USING (doc_id)",
     }
