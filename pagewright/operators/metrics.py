@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagewright.functions.geometry import iou
 from pagewright.functions.means import units
 from pagewright.functions.ranks import at_ranks
 from pagewright.functions.strings import SPACE
@@ -147,6 +148,29 @@ def table_similarity(ref: DataFrame, hyp: DataFrame) -> DataFrame:
     return s.join(cell, "table_id", "left").select("table_id", F.round(0.5 * grid + 0.5 * F.coalesce("cells", F.lit(0.0)), 4).alias("similarity"))
 
 
+def _tokens(cells: DataFrame, name: str) -> DataFrame:
+    """table_id, token, how often it occurs in the table's cells."""
+    t = cells.select("table_id", F.explode(words(normalized_text(F.col("text")))).alias("token"))
+    return t.groupBy("table_id", "token").agg(F.count("*").alias(name))
+
+
+def table_structure(ref: DataFrame, hyp: DataFrame) -> DataFrame:
+    """Cells of both -> 0.4 for the rows, 0.4 for the columns (less their relative difference), 0.2 for the share of the
+    reference's tokens that the other has; tables that only one side has come out with 0."""
+    size = lambda d, p: d.groupBy("table_id").agg((F.max("row_index") + 1).alias(f"{p}r"), (F.max("col_index") + 1).alias(f"{p}c"))
+    s = size(ref, "a").join(size(hyp, "b"), "table_id", "full")
+    j = _tokens(ref, "a").join(_tokens(hyp, "b"), ["table_id", "token"], "left")
+    t = j.groupBy("table_id").agg(F.sum(F.least("a", F.coalesce("b", F.lit(0)))).alias("common"), F.sum("a").alias("total"))
+    near = lambda x: 1 - F.abs(F.col(f"a{x}") - F.col(f"b{x}")) / F.greatest(f"a{x}", f"b{x}")
+    score = 0.4 * near("r") + 0.4 * near("c") + 0.2 * F.coalesce("common", F.lit(0)) / F.greatest(F.coalesce("total", F.lit(0)), F.lit(1))
+    return s.join(t, "table_id", "left").select("table_id", F.when(F.col("ar").isNull() | F.col("br").isNull(), 0.0).otherwise(F.round(score, 4)).alias("similarity"))
+
+
+def html_similarity(ref: Column, hyp: Column) -> Column:
+    """Of tables given as HTML: 1 if they are equal, else a half."""
+    return F.when(ref == hyp, 1.0).otherwise(0.5)
+
+
 def cell_precision(ref: DataFrame, hyp: DataFrame) -> DataFrame:
     """Share of cells whose text is some cell of the reference, by the larger number of cells."""
     n = ref.groupBy("table_id").agg(F.count("*").alias("a")).join(hyp.groupBy("table_id").agg(F.count("*").alias("b")), "table_id", "full").fillna(0)
@@ -195,6 +219,56 @@ def latency(runs: DataFrame, by: str, value: str) -> DataFrame:
     return at_ranks(runs, by, value, {"median": lambda n: F.floor(n / 2), "p95": at(0.95), "p99": at(0.99)})
 
 
+def performance(runs: DataFrame, by: str, seconds: str, order: list[str], success: Column | None = None, pages: Column | None = None, memory: Column | None = None) -> DataFrame:
+    """Runs of each case -> runs, total_sec, cold_start_sec (the first run's), mean_sec, median_sec, p95_sec, p99_sec, docs_per_sec,
+    pages_per_sec (a mean below a millisecond counts as one) and peak_mb. Failed runs don't count where any succeeded."""
+    ok = F.lit(True) if success is None else success
+    d = runs.withColumn("_ok", F.coalesce(ok, F.lit(False))).withColumn("_s", F.col(seconds).cast("double")).withColumn("_pages", F.lit(1) if pages is None else pages).withColumn("_mb", F.lit(0.0) if memory is None else memory).where("_s is not null")
+    good = d.groupBy(by).agg(F.bool_or("_ok").alias("_any"), F.min_by("_s", F.struct(*order)).alias("_cold"))
+    few = good.count() <= 20_000  # a row for each case
+    d = d.join(F.broadcast(good) if few else good, by).where("_ok or not _any")
+    total = F.sum(units(F.col("_s"), 6)) / 1e6
+    g = d.groupBy(by).agg(F.count("*").alias("runs"), total.alias("_total"), F.max("_pages").alias("_pages"), F.max("_mb").alias("_mb"), F.first("_cold").alias("_cold"))
+    g = g.join(latency(d.select(by, "_s"), by, "_s").drop("n"), by)
+    mean = F.col("_total") / F.col("runs")
+    floor = F.greatest(F.lit(0.001), mean)
+    return g.select(
+        by, "runs", F.round("_total", 4).alias("total_sec"), F.round("_cold", 4).alias("cold_start_sec"), F.round(mean, 4).alias("mean_sec"), *[F.round(x, 4).alias(f"{x}_sec") for x in ("median", "p95", "p99")],
+        F.round(1 / floor, 2).alias("docs_per_sec"), F.round(F.greatest(F.lit(1), F.col("_pages")) / floor, 2).alias("pages_per_sec"), F.round("_mb", 2).alias("peak_mb"),
+    )
+
+
+def inference(runs: DataFrame, by: str, ms: str) -> DataFrame:
+    """Timed runs -> runs, mean_ms, p95_ms and fps, the runs a second of the time they took."""
+    p = at_ranks(runs, by, ms, {"p95": lambda n: F.least(F.floor(n * F.lit(0.95)), n - 1)})
+    g = runs.where(F.col(ms).isNotNull()).groupBy(by).agg((F.sum(units(F.col(ms), 6)) / 1e6).alias("_total"))
+    fps = F.when(F.col("_total") > 0, F.col("n") / (F.col("_total") / 1000)).otherwise(0.0)
+    return p.join(g, by).select(by, F.col("n").alias("runs"), F.round(F.col("_total") / F.col("n"), 2).alias("mean_ms"), F.round("p95", 2).alias("p95_ms"), F.round(fps, 2).alias("fps"))
+
+
+def pipeline_metrics(documents: DataFrame) -> DataFrame:
+    """Processed documents (status, pages, ms) -> one row: documents, those that failed, pages, mean time a page, pages a second."""
+    g = documents.agg(F.count("*").alias("documents"), F.count_if(F.col("status") == "failed").alias("failed"), F.coalesce(F.sum(F.when(F.col("status") != "failed", F.col("pages"))), F.lit(0)).alias("pages"), (F.coalesce(F.sum(units(F.col("ms"), 3)), F.lit(0)) / 1000).alias("total_ms"))
+    per = F.when(F.col("pages") > 0, F.round(F.col("total_ms") / F.col("pages"), 4)).otherwise(0.0)
+    return g.withColumn("ms_per_page", per).withColumn("pages_per_sec", F.when(F.col("total_ms") > 0, F.round(F.col("pages") / (F.col("total_ms") / 1000), 2)).otherwise(0.0))
+
+
+def accuracy_rows(cases: DataFrame, texts: DataFrame, tables: DataFrame, layouts: DataFrame) -> DataFrame:
+    """case_id, success of every case, with what is known of it: texts (case_id, ref, hyp), tables (case_id, nth, similarity;
+    the first counts), layouts (case_id, gt, pred) -> cer, wer, table, layout_map, first_iou; null where there is no ground truth or
+    the case failed."""
+    cer = character_error_rate(normalized_text(F.col("ref")), normalized_text(F.col("hyp")), text_distance)
+    wer = word_error_rate(normalized_text(F.col("ref")), normalized_text(F.col("hyp")))
+    t = texts.where("ref is not null and hyp is not null").select("case_id", cer.alias("cer"), wer.alias("wer"))
+    first = tables.groupBy("case_id").agg(F.min_by("similarity", "nth").alias("table"))
+    m = mean_precision(layout_scores(layouts, (0.5, 0.6, 0.7, 0.8, 0.9))).select("case_id", F.col("map").alias("layout_map"))
+    side = lambda c: tuple(F.get(F.get(c, F.lit(0))["box"], F.lit(i)) for i in range(4))
+    one = layouts.select("case_id", iou(side(F.col("pred")), side(F.col("gt"))).alias("first_iou"))
+    ok = cases.where("success").select("case_id")
+    out = cases.join(ok.join(t, "case_id", "left").join(first, "case_id", "left").join(m, "case_id", "left").join(one, "case_id", "left"), "case_id", "left")
+    return out.select("case_id", "success", "cer", "wer", "table", "layout_map", "first_iou")
+
+
 def compared(results: DataFrame, case: str, adapter: str, value: str, base: str, other: str) -> DataFrame:
     """One row a case: both adapters' values, their relative difference in per cent, and the verdict."""
     p = results.groupBy(case).pivot(adapter, [base, other]).agg(F.first(value))

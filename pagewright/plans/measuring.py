@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from pagewright.functions import geometry as G
 from pagewright.functions.tables import table
 from pagewright.operators import metrics as M
+from pagewright.plans.laying_out import _BOXES, _SP
 from pagewright.plans.laying_out import _boxes as boxes
 
 
@@ -19,18 +20,13 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.withColumn("hyp", F.lead("ref").over(w)).where("hyp is not null").select("block_uid", M.normalized_text(F.col("ref")).alias("ref"), M.normalized_text(F.col("hyp")).alias("hyp"))
 
 
-_PAIRS = r"""h AS (SELECT DISTINCT block_uid, doc_id, page_index, pos, regexp_replace(text, '[^\x00-\x7f]', '?', 'g') AS ref FROM blocks WHERE lower(block_type) = 'heading'),
-    g AS (SELECT *, lead(ref) OVER (PARTITION BY doc_id ORDER BY page_index, pos) AS hyp FROM h),
-    p AS (SELECT block_uid, lower(trim(regexp_replace(ref, '\s+', ' ', 'g'))) AS ref, lower(trim(regexp_replace(hyp, '\s+', ' ', 'g'))) AS hyp FROM g WHERE hyp IS NOT NULL)"""
-_WORDS = """w AS (SELECT *, list_filter(string_split(ref, ' '), lambda x: x <> '') AS a, list_filter(string_split(hyp, ' '), lambda x: x <> '') AS b FROM p),
-    e AS (SELECT *, list_sort(list_distinct(list_concat(a, b))) AS al FROM w),
-    v AS (SELECT *, coalesce(array_to_string(list_transform(a, lambda x: chr((33 + list_position(al, x))::INT)), ''), '') AS sa, coalesce(array_to_string(list_transform(b, lambda x: chr((33 + list_position(al, x))::INT)), ''), '') AS sb FROM e)"""
 _CER = "CASE WHEN length(ref) = 0 THEN CASE WHEN length(hyp) = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END ELSE round(levenshtein(ref, hyp) / length(ref)::DOUBLE, 4) END"
-_WER = "CASE WHEN len(a) = 0 THEN CASE WHEN len(b) = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END ELSE round(levenshtein(sa, sb) / len(a)::DOUBLE, 4) END"
+def _norm(c: str) -> str:
+    return f"lower(trim(regexp_replace({c}, '{_SP}+', ' ', 'g')))"
 
 
 def text_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.trim(F.regexp_replace("text", r"[ \t\n\r]+", " "))).alias("digest"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(M.normalized_text(F.col("text"))).alias("digest"))
 
 
 def text_norm_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +99,11 @@ def table_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("table_id", F.round("similarity", 3).alias("similarity"))
 
 
+def table_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = M.table_structure(*_grids(spark, sf_dir))
+    return s.select("table_id", F.round("similarity", 3).alias("similarity"))
+
+
 def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.cell_precision(*_grids(spark, sf_dir))
 
@@ -135,30 +136,74 @@ def case_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "files").select("doc_id", "doc_name").distinct().crossJoin(F.broadcast(a)).select("doc_id", "adapter", "doc_name")
 
 
+def run_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as runs of their type that took so many seconds; purchases with a value above nothing succeeded."""
+    e = table(spark, sf_dir, "events").where("value is not null")
+    return M.performance(e, "event_type", "value", ["ts", "event_id"], F.col("value") > 1, F.lit(3), F.col("user_id").cast("double"))
+
+
+def inference_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.inference(table(spark, sf_dir, "events"), "event_type", "value")
+
+
 def pipeline_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(F.count("*").alias("runs"), F.count_if(F.col("value") > 0).alias("succeeded"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
+    """Files as processed documents: their pages, and the time of those pages at a fixed rate."""
+    p = table(spark, sf_dir, "raw_pages").select("doc_id", "page_index", F.coalesce("char_count", F.lit(0)).alias("c")).distinct().groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum(F.col("c") * 0.5 + 1).alias("ms"))
+    f = table(spark, sf_dir, "files").select("doc_id").distinct().join(p, "doc_id", "left")
+    return M.pipeline_metrics(f.select(F.when(F.col("pages").isNull(), "failed").otherwise("success").alias("status"), F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("ms", F.lit(0.0)).alias("ms")))
+
+
+def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as cases, of which every seventh failed: boxes, a heading's text and a table each where there are any."""
+    c = _cases(spark, sf_dir)
+    b = boxes(spark, sf_dir).withColumn("case_id", F.concat_ws("/", "doc_id", "page_index"))
+    t = b.where("lower(block_type) = 'heading' and text is not null").groupBy("case_id").agg(F.min_by("text", "pos").alias("ref")).withColumn("hyp", F.concat("ref", F.lit(" x")))
+    tables = b.where("lower(block_type) = 'table'").select("case_id", F.col("pos").alias("nth"), ((F.col("block_uid") % 10) / 10).alias("similarity"))
+    cases = c.select("case_id", (F.pmod(F.xxhash64("case_id"), F.lit(7)) != 0).alias("success"))
+    return M.accuracy_rows(cases, t, tables, c)
+
+
+def first_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of pages as cases that all succeeded, how the first boxes overlap and the first table's score."""
+    c = _cases(spark, sf_dir)
+    b = boxes(spark, sf_dir).withColumn("case_id", F.concat_ws("/", "doc_id", "page_index"))
+    tables = b.where("lower(block_type) = 'table'").select("case_id", F.col("pos").alias("nth"), ((F.col("block_uid") % 10) / 10).alias("similarity"))
+    none = b.where("false").select("case_id", F.col("text").alias("ref"), F.col("text").alias("hyp"))
+    return M.accuracy_rows(c.select("case_id", F.lit(True).alias("success")), none, tables, c).select("case_id", F.round("first_iou", 3).alias("first_iou"), F.col("table").alias("table_score"))
 
 
 def queries() -> dict:
     return {
         "text_norm": text_norm, "text_norm_compat": text_norm_compat, "text_error_rates": text_error_rates, "regression_gate": regression_gate, "ngram_scores": ngram_scores, "box_overlap": box_overlap, "layout_scores": layout_scores,
         "layout_map": layout_map, "layout_scores_by_score": layout_scores_by_score, "table_similarity": table_similarity, "table_cells": table_cells, "structure_scores": structure_scores, "formula_scores": formula_scores,
-        "latency_stats": latency_stats, "bench_compare": bench_compare, "case_grid": case_grid, "pipeline_totals": pipeline_totals,
+        "table_structure": table_structure, "latency_stats": latency_stats, "run_performance": run_performance, "inference_stats": inference_stats, "accuracy": accuracy, "first_boxes": first_boxes, "bench_compare": bench_compare, "case_grid": case_grid, "pipeline_totals": pipeline_totals,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    gram = lambda x, n: f"CASE WHEN len({x}) >= {n} THEN list_transform(range(1, len({x}) - {n} + 2), lambda i: array_to_string({x}[i : i + {n - 1}], chr(31))) ELSE [] END"
-    prec = lambda n: f"greatest(CASE WHEN len(b{n}) > 0 THEN coalesce(list_sum(list_transform(list_distinct(b{n}), lambda y: least(len(list_filter(a{n}, lambda z: z = y)), len(list_filter(b{n}, lambda z: z = y))))), 0) / len(b{n})::DOUBLE ELSE 0.0::DOUBLE END, 1e-9::DOUBLE)"
-    grams = ", ".join(f"{gram('a', n)} AS a{n}, {gram('b', n)} AS b{n}" for n in range(1, 5))
-    jit = "j AS (SELECT *, l + k * 4 AS jl, t - k AS jt, r + k AS jr, b + k * 2 AS jb FROM (SELECT DISTINCT block_uid, block_uid % 7 AS k, floor(bbox.box_left * 1000 + 0.5::DOUBLE)::BIGINT AS l, floor(bbox.box_top * 1000 + 0.5::DOUBLE)::BIGINT AS t, floor(bbox.box_right * 1000 + 0.5::DOUBLE)::BIGINT AS r, floor(bbox.box_bottom * 1000 + 0.5::DOUBLE)::BIGINT AS b FROM blocks WHERE bbox.is_normalized))"
+    jit = f"""{_BOXES}, j AS (SELECT *, l + k * 4 AS jl, t - k AS jt, r + k AS jr, b + k * 2 AS jb FROM (SELECT block_uid, doc_id, page_index, pos, block_type, block_uid % 7 AS k, floor(bl * 1000 + 0.5::DOUBLE)::BIGINT AS l, floor(bt * 1000 + 0.5::DOUBLE)::BIGINT AS t, floor(br * 1000 + 0.5::DOUBLE)::BIGINT AS r, floor(bb * 1000 + 0.5::DOUBLE)::BIGINT AS b FROM boxes)),
+        i AS (SELECT *, greatest(0, least(r, jr) - greatest(l, jl)) * greatest(0, least(b, jb) - greatest(t, jt)) AS x, greatest(0, r - l) * greatest(0, b - t) + greatest(0, jr - jl) * greatest(0, jb - jt) AS s FROM j)"""
+    over = lambda places: f"CASE WHEN x > 0 AND s - x > 0 THEN round(round(x / (s - x)::DOUBLE, {places}), 3) ELSE 0.0::DOUBLE END"
+    gram = lambda side, n: f"SELECT block_uid, '{side}' AS side, {n} AS n, array_to_string({side}[i : i + {n - 1}], chr(31)) AS g FROM (SELECT *, unnest(range(1, greatest(len({side}) - {n} + 2, 1))) AS i FROM w)"
+    grams = " UNION ALL ".join(gram(side, n) for side in "ab" for n in range(1, 5))
+    bleu = f"""WITH p AS (SELECT block_uid, {_norm('ref')} AS ref, {_norm('hyp')} AS hyp FROM (SELECT block_uid, text AS ref, lead(text) OVER (PARTITION BY doc_id ORDER BY page_index, pos) AS hyp FROM (SELECT DISTINCT block_uid, doc_id, page_index, pos, text FROM blocks WHERE text IS NOT NULL)) WHERE hyp IS NOT NULL),
+        w AS (SELECT block_uid, list_filter(string_split(ref, ' '), lambda x: x <> '') AS a, list_filter(string_split(hyp, ' '), lambda x: x <> '') AS b FROM p),
+        g AS ({grams}), c AS (SELECT block_uid, n, g, count_if(side = 'a') AS ca, count_if(side = 'b') AS cb FROM g GROUP BY 1, 2, 3), h AS (SELECT block_uid, n, sum(least(ca, cb)) AS hits FROM c GROUP BY 1, 2),
+        q AS (SELECT w.block_uid, len(a) AS la, len(b) AS lb, r.n, ln(greatest(CASE WHEN len(b) >= r.n THEN coalesce(hits, 0) / (len(b) - r.n + 1)::DOUBLE ELSE 0.0::DOUBLE END, 1e-9::DOUBLE)) AS lp FROM w CROSS JOIN range(1, 5) r(n) LEFT JOIN h ON h.block_uid = w.block_uid AND h.n = r.n),
+        z AS (SELECT block_uid, any_value(la) AS la, any_value(lb) AS lb, max(CASE n WHEN 1 THEN lp END) AS p1, max(CASE n WHEN 2 THEN lp END) AS p2, max(CASE n WHEN 3 THEN lp END) AS p3, max(CASE n WHEN 4 THEN lp END) AS p4 FROM q GROUP BY 1)
+        SELECT block_uid, CASE WHEN la = 0 OR lb = 0 THEN 0.0::DOUBLE ELSE round(round(CASE WHEN lb >= la THEN 1.0::DOUBLE ELSE exp(1 - la / lb::DOUBLE) END * exp((p1 + p2 + p3 + p4) / 4), 4), 3) END AS bleu FROM z"""
+    perf = """WITH e AS (SELECT event_type, event_id, ts, value AS s, value > 1 AS ok, user_id FROM events WHERE value IS NOT NULL), a AS (SELECT event_type, bool_or(ok) AS any_ok, arg_min(s, row(ts, event_id)) AS cold FROM e GROUP BY 1),
+        f AS (SELECT e.*, cold FROM e JOIN a USING (event_type) WHERE ok OR NOT any_ok), g AS (SELECT event_type, count(*) AS runs, sum(round(s * 1e6::DOUBLE)::BIGINT)::BIGINT / 1e6::DOUBLE AS total, any_value(cold) AS cold, max(user_id) AS mb, list_sort(list(s)) AS l FROM f GROUP BY 1)
+        SELECT event_type, runs, round(total, 4) AS total_sec, round(cold, 4) AS cold_start_sec, round(total / runs, 4) AS mean_sec, round(l[(runs // 2 + 1)::INT], 4) AS median_sec, round(l[(least(runs - 1, floor(runs * 0.95::DOUBLE)) + 1)::INT], 4) AS p95_sec, round(l[(least(runs - 1, floor(runs * 0.99::DOUBLE)) + 1)::INT], 4) AS p99_sec,
+        round(1 / greatest(0.001::DOUBLE, total / runs), 2) AS docs_per_sec, round(3 / greatest(0.001::DOUBLE, total / runs), 2) AS pages_per_sec, round(mb::DOUBLE, 2) AS peak_mb FROM g"""
     return {
-        "text_norm": r"SELECT doc_id, md5(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g'))) AS digest FROM documents",
-        "text_error_rates": f"WITH {_PAIRS}, {_WORDS}, r AS (SELECT block_uid, {_CER} AS cer, {_WER} AS wer FROM v) SELECT *, greatest(0.0::DOUBLE, round(1 - cer, 4)) AS char_accuracy, greatest(0.0::DOUBLE, round(1 - wer, 4)) AS word_accuracy FROM r",
-        "regression_gate": f"WITH {_PAIRS}, {_WORDS} SELECT block_uid, {_CER} <= 0.15 AND {_WER} <= 0.25 AS passed FROM v",
-        "ngram_scores": f"WITH {_PAIRS}, {_WORDS}, n AS (SELECT block_uid, a, b, {grams} FROM v) SELECT block_uid, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0::DOUBLE ELSE round(CASE WHEN len(b) >= len(a) THEN 1.0::DOUBLE ELSE exp(1 - len(a) / len(b)::DOUBLE) END * exp((ln({prec(1)}) + ln({prec(2)}) + ln({prec(3)}) + ln({prec(4)})) / 4), 4) END, 3) AS bleu FROM n",
-        "box_overlap": f"WITH {jit}, i AS (SELECT block_uid, greatest(0, least(r, jr) - greatest(l, jl)) * greatest(0, least(b, jb) - greatest(t, jt)) AS x, greatest(0, r - l) * greatest(0, b - t) + greatest(0, jr - jl) * greatest(0, jb - jt) AS s FROM j) SELECT block_uid, CASE WHEN x > 0 AND s - x > 0 THEN round(round(x / (s - x)::DOUBLE, 6), 3) ELSE 0.0::DOUBLE END AS iou FROM i",
+        "text_norm": f"SELECT doc_id, md5({_norm('text')}) AS digest FROM documents",
+        "ngram_scores": bleu,
+        "box_overlap": f"WITH {jit} SELECT block_uid, {over(6)} AS iou FROM i",
+        "first_boxes": f"WITH {jit}, k AS (SELECT doc_id || '/' || page_index AS case_id, arg_min({over(4)}, pos) AS first_iou, arg_min(CASE WHEN lower(block_type) = 'table' THEN (block_uid % 10) / 10::DOUBLE END, pos) FILTER (lower(block_type) = 'table') AS table_score FROM i GROUP BY 1) SELECT * FROM k",
+        "run_performance": perf,
+        "inference_stats": "WITH e AS (SELECT event_type, count(*) AS runs, sum(round(value * 1e6::DOUBLE)::BIGINT)::BIGINT / 1e6::DOUBLE AS total, list_sort(list(value)) AS l FROM events WHERE value IS NOT NULL GROUP BY 1) SELECT event_type, runs, round(total / runs, 2) AS mean_ms, round(l[(least(floor(runs * 0.95::DOUBLE), runs - 1) + 1)::INT], 2) AS p95_ms, round(CASE WHEN total > 0 THEN runs / (total / 1000) ELSE 0 END, 2) AS fps FROM e",
+        "table_structure": f"WITH {_GRIDS}, s AS (SELECT * FROM (SELECT table_id, max(r) + 1 AS ar, max(c) + 1 AS ac FROM ref GROUP BY 1) FULL JOIN (SELECT table_id, max(r) + 1 AS br, max(c) + 1 AS bc FROM hyp GROUP BY 1) USING (table_id)), a AS (SELECT table_id, x, count(*) AS n FROM ref GROUP BY 1, 2), b AS (SELECT table_id, x, count(*) AS m FROM hyp GROUP BY 1, 2), t AS (SELECT a.table_id, sum(least(n, coalesce(m, 0))) AS common, sum(n) AS total FROM a LEFT JOIN b ON a.table_id = b.table_id AND a.x = b.x GROUP BY 1) SELECT table_id, round(CASE WHEN ar IS NULL OR br IS NULL THEN 0.0::DOUBLE ELSE round(0.4::DOUBLE * (1 - abs(ar - br) / greatest(ar, br)::DOUBLE) + 0.4::DOUBLE * (1 - abs(ac - bc) / greatest(ac, bc)::DOUBLE) + 0.2::DOUBLE * coalesce(common, 0) / greatest(coalesce(total, 0), 1), 4) END, 3) AS similarity FROM s LEFT JOIN t USING (table_id)",
         "table_similarity": f"WITH {_GRIDS}, s AS (SELECT * FROM (SELECT table_id, max(r) + 1 AS ar, max(c) + 1 AS ac FROM ref GROUP BY 1) JOIN (SELECT table_id, max(r) + 1 AS br, max(c) + 1 AS bc FROM hyp GROUP BY 1) USING (table_id)), q AS (SELECT a.table_id, sum(round((1 - least(1.0::DOUBLE, round(levenshtein(a.x, b.x) / length(a.x)::DOUBLE, 4))) * 10000)::BIGINT)::BIGINT / (count(*) * 10000.0::DOUBLE) AS cells FROM ref a JOIN hyp b ON a.table_id = b.table_id AND a.r = b.r AND a.c = b.c GROUP BY 1) SELECT table_id, round(round(0.5::DOUBLE * (1 - (abs(ar - br) + abs(ac - bc)) / (ar + ac + br + bc)::DOUBLE) + 0.5::DOUBLE * coalesce(cells, 0.0::DOUBLE), 4), 3) AS similarity FROM s LEFT JOIN q USING (table_id)",
         "table_cells": f"WITH {_GRIDS}, n AS (SELECT table_id, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM (SELECT table_id, count(*) AS a FROM ref GROUP BY 1) FULL JOIN (SELECT table_id, count(*) AS b FROM hyp GROUP BY 1) USING (table_id)), h AS (SELECT table_id, count(*) AS hits FROM hyp WHERE EXISTS (SELECT 1 FROM ref WHERE ref.table_id = hyp.table_id AND ref.x = hyp.x) GROUP BY 1) SELECT table_id, round(coalesce(hits, 0) / greatest(a, b)::DOUBLE, 4) AS score FROM n LEFT JOIN h USING (table_id)",
         "structure_scores": "WITH d AS (SELECT DISTINCT block_uid, doc_id, lower(block_type) AS kind, provenance.provider AS pr FROM blocks), j AS (SELECT doc_id, kind, count(*) AS a, count(pr) AS b FROM d GROUP BY 1, 2), g AS (SELECT doc_id, sum(least(a, b))::DOUBLE AS m, sum(a) AS na, sum(b) AS nb FROM j GROUP BY 1), s AS (SELECT doc_id, CASE WHEN nb > 0 THEN m / nb ELSE 0.0::DOUBLE END AS p, CASE WHEN na > 0 THEN m / na ELSE 0.0::DOUBLE END AS r FROM g) SELECT doc_id, round(p, 4) AS precision, round(r, 4) AS recall, round(2 * p * r / greatest(p + r, 1e-6::DOUBLE), 4) AS f1 FROM s",
@@ -166,5 +211,5 @@ def oracle_sql() -> dict[str, str]:
         "latency_stats": "WITH v AS (SELECT event_type, list_sort(list(value)) AS l, count(value) AS n FROM events WHERE value IS NOT NULL GROUP BY 1) SELECT event_type, n, l[(n // 2 + 1)::INT] AS median, l[(least(n - 1, floor(n * 0.95::DOUBLE)) + 1)::INT] AS p95, l[(least(n - 1, floor(n * 0.99::DOUBLE)) + 1)::INT] AS p99 FROM v",
         "bench_compare": "WITH e AS (SELECT event_type, (sum(CASE WHEN user_id % 2 = 0 THEN round(value * 100)::BIGINT END))::DOUBLE AS base, (sum(CASE WHEN user_id % 2 <> 0 THEN round(value * 100)::BIGINT END))::DOUBLE AS other FROM events GROUP BY 1), p AS (SELECT *, CASE WHEN base <> 0 THEN round((other - base) * 100.0::DOUBLE / base, 2) END AS change_pct FROM e) SELECT event_type, base, other, change_pct, CASE WHEN change_pct < -5 THEN 'better' WHEN change_pct > 5 THEN 'worse' ELSE 'equal' END AS verdict FROM p",
         "case_grid": "SELECT DISTINCT doc_id, adapter, doc_name FROM files, (VALUES ('own'), ('external')) v(adapter)",
-        "pipeline_totals": "SELECT event_type, count(*) AS runs, count_if(value > 0)::BIGINT AS succeeded, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY 1",
+        "pipeline_totals": "WITH p AS (SELECT doc_id, count(*) AS pages, sum(c * 0.5::DOUBLE + 1) AS ms FROM (SELECT DISTINCT doc_id, page_index, coalesce(char_count, 0) AS c FROM raw_pages) GROUP BY 1), f AS (SELECT pages, ms FROM (SELECT DISTINCT doc_id FROM files) LEFT JOIN p USING (doc_id)), g AS (SELECT count(*) AS documents, count_if(pages IS NULL) AS failed, sum(pages)::BIGINT AS pages, sum(ms) AS total_ms FROM f) SELECT *, round(total_ms / pages, 4) AS ms_per_page, round(pages / (total_ms / 1000), 2) AS pages_per_sec FROM g",
     }

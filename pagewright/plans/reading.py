@@ -63,16 +63,16 @@ def detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "a.format", "a.confidence", "a.method", "a.error")
 
 
-_DETECT_SQL = f"""WITH d AS (SELECT doc_id, doc_id % 13 AS k, substr(text, 1, 400) AS t FROM documents WHERE text IS NOT NULL),
-    f AS (SELECT *, list_filter(list_transform(regexp_split_to_array(t, '{_LINES}'), lambda x: {_strip('x')}), lambda x: x <> '')[1:5] AS first,
-      regexp_replace(lower(substr(t, 1, 256)), '^\\s+', '') AS b FROM d),
-    g AS (SELECT *, len(list_filter(first, lambda x: starts_with(x, '# ') OR starts_with(x, '## ') OR starts_with(x, '```'))) > 0 AS marked FROM f)
+_DETECT_SQL = f"""WITH x AS (SELECT doc_id, doc_id % 13 AS k, text, substr(hex(encode(text)), 1, 4096) AS h FROM documents WHERE text IS NOT NULL),
+    c AS (SELECT *, CASE WHEN length(h) < 4096 THEN 0 WHEN regexp_matches(h, '(C[2-9A-F]|[DEF].)$') THEN 1 WHEN regexp_matches(h, '[EF].[89AB].$') THEN 2 WHEN regexp_matches(h, 'F.[89AB].[89AB].$') THEN 3 ELSE 0 END AS cut FROM x),
+    d AS (SELECT *, decode(unhex(substr(h, 1, (length(h) - 2 * cut)::INT))) AS t FROM c),
+    f AS (SELECT *, list_filter(list_transform(regexp_split_to_array(t, '{_LINES}'), lambda x: {_strip('x')}), lambda x: x <> '')[1:5] AS first FROM d),
+    g AS (SELECT *, len(list_filter(first, lambda x: starts_with(x, '# ') OR starts_with(x, '## ') OR starts_with(x, '```'))) > 0 AS marked, k = 5 OR k NOT IN (6, 8) AND k > 4 AND cut > 0 AS bad FROM f)
     SELECT doc_id,
-      CASE k WHEN 0 THEN 'pdf' WHEN 1 THEN 'image' WHEN 2 THEN 'docx' WHEN 3 THEN 'html' WHEN 4 THEN 'image' WHEN 5 THEN NULL WHEN 6 THEN 'markdown' WHEN 8 THEN 'html'
-        ELSE CASE WHEN t = '' THEN NULL WHEN marked THEN 'markdown' ELSE 'txt' END END AS format,
-      CASE k WHEN 0 THEN 1.0 WHEN 1 THEN 1.0 WHEN 2 THEN 0.95 WHEN 3 THEN 0.95 WHEN 4 THEN 1.0 WHEN 5 THEN NULL ELSE CASE WHEN t = '' THEN NULL WHEN k IN (6, 8) THEN 0.85 WHEN marked THEN 0.75 ELSE 0.5 END END::DOUBLE AS confidence,
-      CASE WHEN k < 5 THEN 'magic_bytes' WHEN k = 5 OR t = '' THEN NULL WHEN k IN (6, 8) THEN 'extension' ELSE 'content_heuristics' END AS method,
-      CASE WHEN k = 5 THEN 'unsupported' WHEN k > 5 AND t = '' THEN '0 bytes' END AS error FROM g"""
+      CASE k WHEN 0 THEN 'pdf' WHEN 1 THEN 'image' WHEN 2 THEN 'docx' WHEN 3 THEN 'html' WHEN 4 THEN 'image' ELSE CASE WHEN bad OR t = '' THEN NULL WHEN k = 6 THEN 'markdown' WHEN k = 8 THEN 'html' WHEN marked THEN 'markdown' ELSE 'txt' END END AS format,
+      CASE k WHEN 0 THEN 1.0 WHEN 1 THEN 1.0 WHEN 2 THEN 0.95 WHEN 3 THEN 0.95 WHEN 4 THEN 1.0 ELSE CASE WHEN bad OR t = '' THEN NULL WHEN k IN (6, 8) THEN 0.85 WHEN marked THEN 0.75 ELSE 0.5 END END::DOUBLE AS confidence,
+      CASE WHEN k < 5 THEN 'magic_bytes' WHEN bad OR t = '' THEN NULL WHEN k IN (6, 8) THEN 'extension' ELSE 'content_heuristics' END AS method,
+      CASE WHEN k = 5 THEN 'unsupported' WHEN k > 5 AND t = '' THEN '0 bytes' WHEN bad THEN 'unsupported' END AS error FROM g"""
 
 
 def ingest_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions.strings import stem
@@ -27,11 +29,24 @@ def windowed(events: DataFrame, time: str, by: list[str], length: str, late: str
 
 
 def latest_states(events: DataFrame) -> DataFrame:
-    """job_id, at, status -> the job's state: the last event before any that ends it counts; later ones are ignored."""
-    order = F.struct("at", "seq")
+    """job_id, at, seq, status -> the job's state. The first event that ends it counts; before it a job that runs isn't queued
+    again, so it is RUNNING if it ever was. The same rule as that of the stream (jobs.step)."""
     final = F.col("status").isin(*FINAL)
-    g = events.groupBy("job_id").agg(F.min(F.when(final, F.struct("at", "seq", "status"))).alias("end"), F.max_by("status", order).alias("last"), F.min("at").alias("created"))
-    return g.select("job_id", F.coalesce("end.status", "last").alias("status"), "created", F.col("end.at").alias("ended"))
+    g = events.where(F.col("status").isin(*STATES)).groupBy("job_id").agg(F.min(F.when(final, F.struct("at", "seq", "status"))).alias("end"), F.bool_or(F.col("status") == "RUNNING").alias("ran"), F.min("at").alias("created"))
+    return g.select("job_id", F.coalesce("end.status", F.when(F.col("ran"), "RUNNING").otherwise("QUEUED")).alias("status"), "created", F.col("end.at").alias("ended"))
+
+
+def job(states: DataFrame, job_id) -> DataFrame:
+    return states.where(F.col("job_id") == job_id)
+
+
+def without_job(states: DataFrame, job_id) -> DataFrame:
+    return states.where(F.col("job_id") != job_id)
+
+
+def in_order(results: DataFrame, place: str) -> Iterator[Row]:
+    """Results one by one in the order of their inputs; a driver that wants them as they come reads results.toLocalIterator()."""
+    return results.orderBy(place).toLocalIterator()
 
 
 def counters(states: DataFrame) -> DataFrame:

@@ -240,11 +240,14 @@ def test_reports(spark, tmp_path):
         reports.raise_on_failure(got)
     lines = [r.text for r in reports.markdown_report(got, ["doc_id", "status"], ["doc_id"]).collect()]
     assert lines == ["| doc_id | status |", "| --- | --- |", "| 1 | completed |", "| 2 | failed |", "| 3 | failed |"]
-    bodies = spark.createDataFrame([(1, "x")], "doc_id long, body string")
-    path = str(tmp_path / "out")
-    reports.write_documents(bodies, path)
-    reports.write_documents(bodies.withColumn("body", F.lit("y")), path)
-    assert spark.read.text(path).first().value == "x"
+    bodies = spark.createDataFrame([(1, -1, "x"), (1, 0, "z")], "doc_id long, part int, body string")
+    path = "file://" + str(tmp_path / "out")
+    assert {tuple(r) for r in reports.write_documents(bodies, path).collect()} == {("1.md", True), ("1-0.md", True)}
+    more = bodies.withColumn("body", F.lit("y")).union(spark.createDataFrame([(2, -1, "new")], bodies.schema))
+    assert {tuple(r) for r in reports.write_documents(more, path).collect()} == {("1.md", False), ("1-0.md", False), ("2.md", True)}
+    assert (tmp_path / "out" / "1.md").read_text() == "x" and (tmp_path / "out" / "2.md").read_text() == "new"
+    reports.write_documents(more, path, overwrite=True).collect()
+    assert (tmp_path / "out" / "1.md").read_text() == "y" and len(list((tmp_path / "out").iterdir())) == 3
     reports.write_table(bodies.withColumn("case_id", F.lit("c")), str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == list(reports.COLUMNS)
 
@@ -252,8 +255,11 @@ def test_reports(spark, tmp_path):
 def test_polygon_and_labels(spark):
     pts = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((1.0, 4.0), (3.0, 2.0), (2.0, 5.0))])
     assert tuple(one(spark, *[c.alias(n) for c, n in zip(G.polygon_box(pts), "ltrb", strict=True)])) == (1.0, 2.0, 3.0, 5.0)
-    r = one(spark, layout.label_category(F.lit(" Section-header ")).alias("a"), layout.label_category(F.lit(9), layout.DOCLAYNET).alias("b"), layout.label_category(F.lit("x")).alias("c"))
-    assert tuple(r) == ("HEADING", "PARAGRAPH", "UNKNOWN")
+    r = one(spark, layout.label_category(F.lit(" Section_header ")).alias("a"), layout.label_category(F.lit(9)).alias("b"), layout.label_category(F.lit("x")).alias("c"))
+    assert tuple(r) == ("TITLE", "PARAGRAPH", "UNKNOWN")
+    numbers = [one(spark, layout.label_category(F.lit(i)).alias("c")).c for i in range(12)]
+    assert numbers == ["CAPTION", "FOOTER", "FORMULA", "LIST", "FOOTER", "HEADER", "FIGURE", "TITLE", "TABLE", "PARAGRAPH", "TITLE", "UNKNOWN"]
+    assert one(spark, layout.label_category(F.lit("list_item")).alias("c")).c == "LIST" and one(spark, layout.label_category(F.lit("footnote")).alias("c")).c == "FOOTER"
 
 
 def test_jobs_stream(spark, tmp_path):
@@ -277,6 +283,181 @@ def test_documents_stream(spark, tmp_path):
     assert [(r.doc_id, r.format) for r in spark.table("docs").collect()] == [("a", "markdown")]
 
 
+# Rules whose order or values matter
+
+
+def test_scanned_documents_are_deep(spark):
+    """The kind of a document comes before its average."""
+    pages = spark.createDataFrame([(1, 0, 0.8, False, False, False), (2, 0, 0.8, False, False, False), (3, 0, 0.1, False, False, False), (4, 0, 0.2, False, True, True)], "doc_id long, page_index int, complexity double, has_tables boolean, has_figures boolean, has_formulas boolean")
+    category = spark.createDataFrame([(1, "SCANNED"), (2, "HYBRID"), (3, "DIGITALLY_GENERATED"), (4, "HYBRID")], "doc_id long, category string")
+    got = {r.doc_id: (r.kind, r.path) for r in inspection.document_routing(pages, category).collect()}
+    assert got == {1: ("scanned_document", "deep_ml"), 2: ("digital_pdf", "vlm_fallback"), 3: ("digital_pdf", "fast_path"), 4: ("technical_report", "deep_ml")}
+
+
+def test_native_text_is_of_pdf(spark):
+    df = spark.createDataFrame([("pdf", 0.9, 0.0), ("other", 0.9, 0.0), ("pdf", 0.7, 0.0)], "format string, ratio double, scan_prob double")
+    df = df.withColumns({"image_density": F.lit(0.0), "has_tables": F.lit(False), "has_figures": F.lit(False), "has_formulas": F.lit(True)})
+    assert [r.s for r in df.select(inspection.capabilities().alias("s")).collect()] == [["native_pdf", "formula"], ["ocr", "formula"], ["ocr", "formula"]]
+
+
+def test_provider_chains(spark):
+    known = spark.createDataFrame([("ocr.rapidocr", False, False), ("ocr.tesseract", False, True), ("ocr.remote", True, True), ("vlm.openai", True, False)], "provider_id string, remote boolean, available boolean")
+    schema = "request_id long, capability string, policy string, page_override string, override string, priority array<string>"
+    requests = [(1, "ocr", "local_only", None, None, None), (2, "ocr", "local_only", None, "ocr.remote", None), (3, "ocr", "remote_only", "ocr.rapidocr", "nothing", None), (4, "vlm", "local_only", None, None, ["vlm.openai"]), (5, "figure", "local_preferred", None, None, [])]
+    got = {}
+    for r in inspection.choose_provider(spark.createDataFrame(requests, schema), known).orderBy("request_id", "attempt").collect():
+        got.setdefault(r.request_id, []).append((r.provider_id, r.result, r.why))
+    assert got == {
+        1: [("ocr.rapidocr", "FAILED", "health"), ("ocr.surya", "FAILED", "not registered"), ("ocr.tesseract", "SELECTED", "chain")],
+        2: [("ocr.remote", "SKIPPED", "policy"), ("ocr.rapidocr", "FAILED", "health"), ("ocr.surya", "FAILED", "not registered"), ("ocr.tesseract", "SELECTED", "chain")],
+        3: [("ocr.rapidocr", "SELECTED", "override")],
+        4: [("vlm.openai", "SKIPPED", "policy")],
+        5: [("figure.local", "FAILED", "not registered")],
+    }
+
+
+@pytest.mark.parametrize("words, box, expected", [("3", False, "PARAGRAPH"), ("Methodology", True, "HEADING"), ("acknowledgment", True, "HEADING"), ("figure 2: the parts", True, "CAPTION"), ("IV. Results", True, "HEADING"), ("+ one", True, "LIST")])
+def test_more_classes(spark, words, box, expected):
+    c = layout.semantic_class(F.lit(words), F.lit("text"), F.lit(0.5), F.lit(0.6), F.lit(box))
+    assert one(spark, c.alias("c")).c.category == expected
+
+
+def test_captions_and_sections_by_class(spark):
+    rows = [(1, 0, 0, "f", "figure", None, 0.1, 0.3, 0.9, 0.5), (1, 0, 1, "t", "text", "Figure 1: System Overview", 0.1, 0.55, 0.9, 0.6), (1, 0, 2, "c", "text", "figure 1: what the system does", 0.1, 0.65, 0.9, 0.7)]
+    b = spark.createDataFrame(rows, "doc_id long, page_index int, pos int, block_id string, block_type string, text string, left double, top double, right double, bottom double")
+    b = b.withColumn("c", layout.semantic_class(F.col("text"), F.col("block_type"), F.col("top"), F.col("bottom"), F.lit(True)))
+    (r,) = layout.assigned_captions(layout.spatial_edges(b), b, F.col("c.category") == "CAPTION").collect()
+    assert (r.block_id, r.caption) == ("f", "figure 1: what the system does")
+    s = {x.section_id: (x.title, x.level, x.blocks) for x in layout.sections(b, F.col("c.category") == "HEADING", F.lit(2)).collect()}
+    assert s == {"sec_root": ("Document Body", 1, "f"), "sec_t": ("Figure 1: System Overview", 2, "c")}
+
+
+def test_pdf_parts(spark):
+    chars = spark.createDataFrame([(1, 0, 0, 5.0, 5.0, 9.0, 9.0), (1, 0, 0, 2.0, 6.0, 4.0, 12.0), (1, 0, 0, 0.0, 0.0, 0.0, 0.0), (1, 0, 1, 3.0, 3.0, 3.0, 3.0)], "doc_id long, page_index int, seq int, left double, bottom double, right double, top double")
+    pages = spark.createDataFrame([(1, 0, 600.0, 800.0)], "doc_id long, page_index int, width double, height double")
+    got = {r.seq: (r.left, r.bottom, r.right, r.top) for r in layout.line_boxes(chars, pages).collect()}
+    assert got == {0: (2.0, 5.0, 9.0, 12.0), 1: (0.0, 0.0, 600.0, 800.0)}
+    b = spark.createDataFrame([(1, 0, 0, "a"), (1, 0, 1, "b"), (1, 2, 0, "c")], "doc_id long, page_index int, block int, text string")
+    im = spark.createDataFrame([(1, 0, 0), (1, 3, 0)], "doc_id long, page_index int, image_index int")
+    got = [(r.block_id, r.reading_order_index) for r in layout.assembled(b, im).orderBy("reading_order_index").collect()]
+    assert got == [("p0-b0", 0), ("p0-b1", 1), ("p0-fig0", 2), ("p2-b0", 3), ("p3-fig0", 4)]
+
+
+EXPORTED = "doc_id long, page_index int, pos int, block_id string, block_type string, text string, heading_level int, ordered boolean, list_items array<struct<text:string,marker:string,reading_order_index:int>>, provenance struct<provider:string,stage:string>, caption string, image binary, cells array<struct<row_index:int,col_index:int,row_span:int,col_span:int,text:string>>"
+
+
+def exported(spark):
+    cells = [(0, 0, 1, 1, "old"), (0, 0, 1, 1, "A"), (0, 1, 1, 1, "B"), (1, 1, 1, 1, "d")]
+    rows = [
+        (1, 0, 0, "h", "heading", "Head", 9, None, None, ("p", "OCR"), None, None, None), (1, 0, 1, "l", "list", None, None, True, [("x", "", 0), ("y", "", 1)], None, None, None, None), (1, 0, 2, "t", "table", None, None, None, None, None, None, None, cells),
+        (1, 0, 3, "m", "table", None, None, None, None, None, None, None, [(0, 0, 1, 2, "wide")]), (1, 0, 4, "f", "figure", None, None, None, None, None, "Cap", b"img", None), (1, 0, 5, "e", "formula", "x=1", None, None, None, None, None, None, None), (1, 0, 6, "c", "caption", "Under", None, None, None, None, None, None, None),
+    ]
+    return spark.createDataFrame(rows, EXPORTED)
+
+
+def test_exports(spark):
+    b = exported(spark)
+    files = spark.createDataFrame([(1, "n.pdf", "T", "Me", "2024")], "doc_id long, doc_name string, title string, author string, created_at string")
+    md = {r.part: r.body for r in export.markdown_parts(b, files).collect()}
+    assert md[-1] == "# n.pdf\n**Author:** Me\n**Date:** 2024\n"
+    assert md[0] == (
+        "<!-- provenance: provider=p stage=OCR -->\n###### Head\n\n1. x\n1. y\n\n| A | B |\n| --- | --- |\n|  | d |\n\n<table>\n  <tbody>\n    <tr>\n      <td>wide</td>\n    </tr>\n  </tbody>\n</table>\n\n"
+        "![f](data:image/png;base64,aW1n)\n*Cap*\n\n$$\nx=1\n$$\n\nUnder\n"
+    )
+    txt = {r.part: r.body for r in export.text_parts(b, files).collect()}
+    assert txt[0] == "--- Page 1 ---\nHEAD\n\n- x\n- y\n\nA | B\n | d\n\nwide\n\n[Figure: f]\nCaption: Cap\n\nEquation: x=1\n\nUnder\n"
+    html = export.document_of(export.html_parts(b, files)).first().body.split("\n")
+    assert html[0] == "<!DOCTYPE html>" and html[-1] == "</html>" and '      <h6 data-provider="p" data-stage="OCR">Head</h6>' in html and "            <td>d</td>" in html and "        <figcaption>Cap</figcaption>" in html and "      <div>Under</div>" in html
+    assert {(r.block_id, r.warning[:5]) for r in export.warnings_of(b).collect()} == {("m", "Table"), ("f", "Raste")}
+    whole = export.document_of(export.archival_parts(export.html_parts(b, files), files)).first().body
+    assert whole.startswith('<!DOCTYPE html>\n<html>\n<head>\n  <meta charset="utf-8">\n  <meta name="pdfa') and whole.endswith("</html></body>\n</html>") and "<title>T</title>" in whole
+
+
+def test_binary_exports(spark):
+    import io
+    import zipfile
+
+    z = zipfile.ZipFile(io.BytesIO(bytes(export.docx_documents(exported(spark)).first().content)))
+    doc = z.read("word/document.xml").decode()
+    assert z.read("word/media/image1.png") == b"img" and "<w:tbl>" in doc and "Caption: Cap" in doc and "Equation: x=1" in doc and 'w:val="Heading4"' in doc and "ListNumber" in doc
+    files = spark.createDataFrame([(1, "n.pdf", "T", None, None)], "doc_id long, doc_name string, title string, author string, created_at string")
+    z = zipfile.ZipFile(io.BytesIO(bytes(export.epub_documents(export.html_parts(exported(spark), files), files).first().content)))
+    assert z.namelist()[0] == "mimetype" and "<figcaption>Cap" in z.read("OEBPS/chapter1.xhtml").decode() and "<dc:title>T</dc:title>" in z.read("OEBPS/content.opf").decode()
+
+
+def test_chunks(spark):
+    rows = [(1, p, i, f"b{p}{i}", k, t, lv) for p, i, k, t, lv in ((0, 0, "heading", " One ", 1), (0, 1, "text", "a", None), (0, 2, "heading", " ", 2), (450, 0, "heading", "Two", 2), (450, 1, "text", "b", None), (450, 2, "text", " ", None))]
+    b = spark.createDataFrame(rows, "doc_id long, page_index int, pos int, block_id string, block_type string, text string, heading_level int").withColumn("bbox", F.struct(*[F.lit(0.123456).alias(f"box_{x}") for x in ("left", "top", "right", "bottom")]))
+    c = export.with_hierarchy(export.rag_chunks(b), export.heading_list(b)).orderBy("chunk_id").collect()
+    assert [(r.chunk_id, r.text, r.heading_hierarchy) for r in c] == [("1_p0_bb00", "One", ["One"]), ("1_p0_bb01", "a", ["One"]), ("1_p450_bb4500", "Two", ["One", "", "Two"]), ("1_p450_bb4501", "b", ["One", "", "Two"])]
+    assert c[0].bbox == [0.1235] * 4
+    chunks = spark.createDataFrame([("i", 1, "n", 0, "text", "t")], "chunk_id string, doc_id long, document_name string, page_index int, chunk_type string, text string")
+    r = json.loads(chunks.select(export.vector_record("llamaindex", chunks).alias("r")).first().r)
+    assert r["id_"] == "i" and r["extra_info"]["document_name"] == "n" and r["extra_info"]["table_matrix"] is None
+    t = export.rag_chunks(exported(spark)).where("chunk_type = 'table'").orderBy("chunk_id").collect()
+    assert t[1].table_matrix == [["A", "B"], ["", "d"]] and t[1].text == "A | B\n | d"
+
+
+def test_model_store(spark, tmp_path):
+    m = registry.models(spark)
+    assert m.count() == 10 and registry.of_task(m, "layout").count() == 2
+    path = str(tmp_path / "store")
+    registry.write_store(registry.with_state(registry.without(m, "tesseract"), "easyocr", "disabled"), path)
+    back = {r.model_id: (r.state, r.checksum_sha256) for r in registry.read_store(spark, path).collect()}
+    assert len(back) == 9 and back["easyocr"] == ("disabled", None) and back["slanet_table"][1].startswith("a665")
+    more = spark.createDataFrame([("easyocr", "x", "other"), ("new", "y", "ocr")], "model_id string, provider string, task string")
+    assert registry.registered(m, more).count() == 11
+    assert registry.made({"p": registry.Provider}, "p", {"name": "n", "task": "ocr", "schema": "a int", "make": None}).name == "n"
+    with pytest.raises(LookupError):
+        registry.made({}, "p", {})
+
+
+def test_batch_and_stream_agree_on_states(spark):
+    from pagewright.streaming.ingest import STATES, in_order, latest_states
+
+    rnd = random.Random(3)
+    events = [(j, i, i, rnd.choice(STATES[: rnd.randint(2, 5)])) for j in range(60) for i in range(rnd.randint(1, 5))]
+    want = {}
+    for j, _, _, s in events:
+        want[j] = step(want.get(j), s)
+    df = latest_states(spark.createDataFrame(events, "job_id long, at int, seq int, status string"))
+    assert {r.job_id: r.status for r in df.collect()} == want
+    assert [r.job_id for r in in_order(df, "job_id")] == sorted(want)
+
+
+def test_listing(spark):
+    import datetime
+
+    day = lambda n: datetime.datetime(2024, 1, n)
+    rows = [("a", "zeta.pdf", False, day(1)), ("b", "Alpha.pdf", False, day(3)), ("c", "sub", True, day(2)), ("d", ".hidden.pdf", False, day(4)), ("e", "beta.txt", False, day(5)), ("f", "alpha.md", False, day(6))]
+    f = spark.createDataFrame(rows, "path string, name string, is_dir boolean, modified timestamp")
+    shown = lambda d: [r.name for r in d.orderBy("place").collect()]
+    assert shown(reports.listing(f)) == ["sub", "alpha.md", "Alpha.pdf", "beta.txt", "zeta.pdf"]
+    assert shown(reports.listing(f, "a", [".pdf"])) == ["Alpha.pdf", "zeta.pdf"] and shown(reports.listing(f, by="time"))[:2] == ["sub", "alpha.md"]
+    assert reports.matching(f, ["name"], "ALPHA").count() == 2 and reports.matching(f, ["name"], "").count() == 6
+
+
+def test_performance(spark):
+    rows = [("a", 1, 4.0, True), ("a", 2, 1.0, True), ("a", 3, 2.0, True), ("a", 4, 3.0, True), ("a", 5, 9.0, False), ("b", 1, 0.0001, False)]
+    r = {x.case: x for x in metrics.performance(spark.createDataFrame(rows, "case string, at int, s double, ok boolean"), "case", "s", ["at"], F.col("ok"), F.lit(2)).collect()}
+    a, b = r["a"], r["b"]
+    assert (a.runs, a.total_sec, a.cold_start_sec, a.mean_sec, a.median_sec, a.p95_sec, a.docs_per_sec, a.pages_per_sec) == (4, 10.0, 4.0, 2.5, 3.0, 4.0, 0.4, 0.8)
+    assert b.runs == 1 and b.docs_per_sec == 1000.0
+    one_out = spark.createDataFrame([("x", float(v)) for v in [*range(1000), 10**15]], "k string, v double")
+    assert metrics.latency(one_out, "k", "v").first()[1:] == (1001, 500.0, 950.0, 990.0)
+
+
+def test_accuracy_rows(spark):
+    box = "array<struct<type:string,box:array<double>>>"
+    cases = spark.createDataFrame([("a", True), ("b", False), ("c", True)], "case_id string, success boolean")
+    texts = spark.createDataFrame([("a", "abc", "axc"), ("b", "x", "x")], "case_id string, ref string, hyp string")
+    tables = spark.createDataFrame([("a", 2, 0.1), ("a", 1, 0.7)], "case_id string, nth int, similarity double")
+    lay = spark.createDataFrame([("a", [("t", [0.0, 0.0, 2.0, 2.0])], [("t", [1.0, 1.0, 3.0, 3.0])])], f"case_id string, gt {box}, pred {box}")
+    got = {r.case_id: tuple(r)[2:] for r in metrics.accuracy_rows(cases, texts, tables, lay).collect()}
+    assert got == {"a": (0.3333, 1.0, 0.7, 0.0, 0.1429), "b": (None,) * 5, "c": (None,) * 5}
+    assert tuple(one(spark, metrics.html_similarity(F.lit("<t>"), F.lit("<t>")).alias("a"), metrics.html_similarity(F.lit("<t>"), F.lit("<u>")).alias("b"))) == (1.0, 0.5)
+
+
 # Nested records
 
 REPEATED = ("pages", "blocks", "children", "items", "cells")

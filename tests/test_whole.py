@@ -27,11 +27,14 @@ def run(spark, tmp_path):
     return result
 
 
+FILES = "doc_id long, doc_name string, title string, author string, created_at string"
+
+
 def test_text_of_all_letters(run):
     blocks = [block(1, 0, "heading", "Straße"), block(2, 1, "paragraph", "naïve café"), block(3, 2, "paragraph", "plain"), block(4, 3, "caption", "図 1")]
-    (r,) = run("export_text", blocks=(blocks, BLOCK), files=([(1, "f.pdf")], "doc_id long, doc_name string"))
-    body = "DOCUMENT: f.pdf\n" + "=" * 40 + "\n--- Page 1 ---\nSTRASSE\nnaïve café\nplain\n図 1"
-    assert (r.digest, r.n_chars) == (hashlib.md5(body.encode()).hexdigest(), len(body))
+    got = {r.part: (r.digest, r.n_chars) for r in run("export_text", blocks=(blocks, BLOCK), files=([(1, "f.pdf", None, None, None)], FILES))}
+    head, page = "DOCUMENT: f.pdf\n" + "=" * 40 + "\n", "--- Page 1 ---\nSTRASSE\n\nnaïve café\n\nplain\n\n図 1\n"
+    assert got == {-1: (hashlib.md5(head.encode()).hexdigest(), len(head)), 0: (hashlib.md5(page.encode()).hexdigest(), len(page))}
 
 
 def test_whole_texts_of_cells(run):
