@@ -79,9 +79,50 @@ def p3_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("rec_id", F.explode("fields").alias("field", "value")).where("field like 'metadata.%' and value is not null")
 
 
+def _plain(name: str) -> str:
+    return f"lower(regexp_replace({name}, '[^a-zA-Z0-9]', '', 'g'))"
+
+
+def _member(v: str, name: str) -> str:
+    """JSON path of the member of an object by its plain name."""
+    return f"('$.\"' || list_filter(json_keys({v}), lambda k: {_plain('k')} = '{name}')[-1] || '\"')"
+
+
+def _get(v: str, name: str) -> str:
+    """A member's plain value as a string."""
+    at = _member(v, name)
+    return f"CASE WHEN json_type({v}) = 'OBJECT' AND json_type({v}, {at}) NOT IN ('OBJECT', 'ARRAY') THEN json_extract_string({v}, {at}) END"
+
+
+_HAS_PAGES = f"len(list_filter(json_keys(n.v), lambda k: {_plain('k')} = 'pages')) > 0"
+# Records are walked from their root: wrappers are opened, then pages, blocks and their parts follow; o is the way to a node, by places.
+_WALK = f"""n AS (SELECT DISTINCT rec_id, 'top' AS st, payload::JSON AS v, NULL::INT AS page, NULL::VARCHAR AS bid, ''::VARCHAR AS parent, NULL::INT AS pos, ''::VARCHAR AS p, []::INT[] AS o, ''::VARCHAR AS pp, []::INT[] AS po FROM doc_records WHERE json_valid(payload)
+  UNION ALL SELECT rec_id, st2, v2, CASE st2 WHEN 'page' THEN CASE WHEN regexp_matches(trim(own), '^[+-]?[0-9]+$') THEN trim(own)::INT ELSE idx END ELSE page END, CASE st2 WHEN 'block' THEN id2 ELSE bid END, CASE WHEN st = 'block' AND st2 = 'blocks' THEN coalesce(bid, '') ELSE parent END, idx,
+    CASE WHEN st2 = 'pages' THEN 'pages' WHEN st = 'page' THEN 'pages.blocks' WHEN st = 'block' AND st2 = 'parts' THEN p || '.' || name WHEN st = 'block' THEN CASE WHEN p = 'pages.blocks' THEN 'pages.blocks.children' WHEN p = 'pages.blocks.children' THEN p || '^2' ELSE 'pages.blocks.children^' || (split_part(p, '^', 2)::INT + 1) END ELSE p END,
+    CASE WHEN st IN ('pages', 'blocks', 'parts') THEN list_append(o, idx) ELSE o END, CASE WHEN st2 IN ('pages', 'blocks', 'parts') THEN p ELSE pp END, CASE WHEN st2 IN ('pages', 'blocks', 'parts') THEN o ELSE po END
+  FROM (SELECT n.*, try_cast(e.key::VARCHAR AS INT) AS idx, {_plain('e.key::VARCHAR')} AS name,
+      CASE WHEN st = 'top' AND json_type(n.v) = 'VARCHAR' THEN 'top' WHEN st IN ('top', 'wrap') AND json_type(n.v) = 'OBJECT' AND {_HAS_PAGES} THEN CASE WHEN name = 'pages' AND e.type <> 'NULL' THEN 'pages' END
+        WHEN st IN ('top', 'wrap') AND e.type IN ('OBJECT', 'ARRAY') THEN 'wrap' WHEN e.type = 'NULL' THEN NULL WHEN st = 'pages' THEN 'page' WHEN st = 'page' AND json_type(n.v) = 'OBJECT' AND name = 'blocks' THEN 'blocks' WHEN st = 'blocks' THEN 'block'
+        WHEN st = 'block' AND json_type(n.v) = 'OBJECT' AND name = 'children' THEN 'blocks' WHEN st = 'block' AND json_type(n.v) = 'OBJECT' AND name IN ('items', 'cells') THEN 'parts' WHEN st = 'parts' THEN 'part' END AS st2,
+      CASE WHEN st IN ('top', 'wrap') AND json_type(n.v) = 'OBJECT' AND {_HAS_PAGES} OR st IN ('page', 'block') THEN CASE WHEN e.type = 'ARRAY' THEN e.value ELSE json_array(e.value) END ELSE e.value END AS v2, {_get('e.value', 'pageindex')} AS own, {_get('e.value', 'id')} AS id2
+    FROM n, json_each(CASE WHEN json_type(n.v) IN ('OBJECT', 'ARRAY') THEN n.v WHEN st = 'top' AND json_type(n.v) = 'VARCHAR' AND json_valid(json_extract_string(n.v, '$')) THEN json_array(json_extract_string(n.v, '$')::JSON) ELSE '[]'::JSON END) e) WHERE st2 IS NOT NULL)"""
+_NUMBERED = f"""{_WALK}, i AS (SELECT *, row_number() OVER (PARTITION BY rec_id, p ORDER BY o) AS nth FROM n WHERE st IN ('page', 'block', 'part')),
+    l AS (SELECT i.*, u.nth AS up, t.nth AS top FROM i LEFT JOIN i u ON u.rec_id = i.rec_id AND u.p = i.pp AND u.o = i.po LEFT JOIN i t ON t.rec_id = i.rec_id AND t.p = 'pages' AND t.o = i.o[1:1])"""
+_LINKS = "rec_id, p AS path, nth::INT AS n, pp AS parent_path, up::INT AS parent_n, top::INT AS top_n, pos AS place"
+
+
 def queries() -> dict:
     return {"p3_found": p3_found, "p3_pages": p3_pages, "p3_blocks": p3_blocks, "p3_items": p3_items, "p3_rows": p3_rows, "p3_metadata": p3_metadata}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    box = f"json_extract(v, {_member('v', 'bbox')})"
+    side = lambda name, i: f"CASE json_type({box}) WHEN 'ARRAY' THEN json_extract_string({box}, '$[{i}]') ELSE {_get(box, name)} END AS box_{name}"
+    origin = f"json_extract(v, {_member('v', 'provenance')})"
+    fields = lambda *xs: ", ".join(f"{_get('v', k)} AS {c}" for k, c in xs)
+    return {
+        "p3_found": f"WITH RECURSIVE {_WALK} SELECT DISTINCT rec_id, page AS page_index, bid AS block_id, parent AS parent_id, CASE st WHEN 'part' THEN pos ELSE -1 END AS item_pos FROM n WHERE st IN ('block', 'part')",
+        "p3_pages": f"WITH RECURSIVE {_NUMBERED} SELECT rec_id, nth::INT AS n, page AS page_index, pos AS place, {fields(('width', 'width'), ('height', 'height'), ('rotation', 'rotation'))} FROM l WHERE st = 'page'",
+        "p3_blocks": f"WITH RECURSIVE {_NUMBERED} SELECT {_LINKS}, {fields(('id', 'block_id'), ('blocktype', 'block_type'), ('text', 'text'), ('caption', 'caption'), ('readingorderindex', 'reading_order_index'))}, {', '.join(side(x, i) for i, x in enumerate(('left', 'top', 'right', 'bottom')))}, {_get(origin, 'provider')} AS provider, {_get(origin, 'confidence')} AS confidence FROM l WHERE st = 'block'",
+        "p3_items": f"WITH RECURSIVE {_NUMBERED} SELECT {_LINKS}, {fields(('text', 'text'), ('marker', 'marker'), ('rowindex', 'row_index'), ('colindex', 'col_index'), ('rowspan', 'row_span'), ('colspan', 'col_span'))} FROM l WHERE st = 'part'",
+    }

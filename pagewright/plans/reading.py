@@ -112,7 +112,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
+    inner, outer = (bytes(x ^ b for x in b"k".ljust(64, b"\0")).hex() for b in (0x36, 0x5C))
     return {
+        "signatures": f"SELECT DISTINCT doc_id, sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode(doc_name)))) AS signature FROM files",
         "txt_blocks": f"WITH {_KEPT} SELECT doc_id, 0 AS page_index, pos::INT AS pos, 'txt_b_' || pos AS block_id, 'paragraph' AS block_type, s AS text FROM ls",
         "md_blocks": f"""WITH {_KEPT}, k AS (SELECT *, starts_with(s, '#') AS h, regexp_matches(s, '^[*+-] ') AS b FROM ls)
             SELECT doc_id, pos::INT AS pos, CASE WHEN h THEN 'md_h_' WHEN b THEN 'md_l_' ELSE 'md_p_' END || pos AS block_id, CASE WHEN h THEN 'heading' WHEN b THEN 'list' ELSE 'paragraph' END AS block_type,
