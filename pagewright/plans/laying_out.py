@@ -326,6 +326,13 @@ def oracle_sql() -> dict[str, str]:
         "caption_probe": f"WITH {_NEAR} SELECT doc_id, page_index, block_id, caption_id FROM nr WHERE distance < 0.08 QUALIFY row_number() OVER (PARTITION BY doc_id, page_index, block_id ORDER BY cap_pos) = 1",
         "page_sections": f"WITH {_CLASSED}, h0 AS (SELECT *, category = 'HEADING' OR lower(block_type) = 'heading' AS h, coalesce(CASE WHEN lower(block_type) = 'heading' THEN heading_level ELSE retyped_level END, 1) AS lv FROM rl), h1 AS (SELECT *, count_if(h) OVER (PARTITION BY doc_id, page_index ORDER BY pos) AS section FROM h0), g AS (SELECT doc_id, page_index, section::INT AS section, max(CASE WHEN h THEN block_id END) AS id, max(CASE WHEN h THEN text END) AS title, max(CASE WHEN h THEN lv END) AS level, coalesce(string_agg(CASE WHEN NOT h THEN block_id END, ',' ORDER BY pos), '') AS blocks FROM h1 GROUP BY 1, 2, 3) SELECT doc_id, page_index, section, CASE WHEN section = 0 THEN 'sec_root' ELSE 'sec_' || id END AS section_id, CASE WHEN section = 0 THEN 'Document Body' ELSE title END AS title, CASE WHEN section = 0 THEN 1 ELSE level END::INT AS level, blocks FROM g",
         "doc_hierarchy": _HIER,
+        "reading_order": f"""WITH RECURSIVE {_BOXES}, s AS (SELECT *, greatest(0.01::DOUBLE, br - bl) AS width, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY bl, bt, pos) AS rn FROM boxes),
+            f AS (SELECT doc_id, page_index, rn, block_id, bl, bt, [bl] AS lo, [br] AS hi, 1::BIGINT AS c FROM s WHERE rn = 1
+              UNION ALL SELECT doc_id, page_index, rn, block_id, bl, bt, CASE WHEN k IS NULL THEN list_append(lo, bl) ELSE list_transform(lo, lambda x, i: CASE WHEN i = k THEN least(x, bl) ELSE x END) END, CASE WHEN k IS NULL THEN list_append(hi, br) ELSE list_transform(hi, lambda x, i: CASE WHEN i = k THEN greatest(x, br) ELSE x END) END, coalesce(k, len(lo) + 1)
+              FROM (SELECT n.*, f.lo, f.hi, CASE WHEN n.width < 0.75 THEN list_filter(range(1, len(f.lo) + 1), lambda i: least(n.br, f.hi[i]) - greatest(n.bl, f.lo[i]) > 0.3::DOUBLE * n.width OR abs(n.bl - f.lo[i]) < 0.05::DOUBLE)[1] END AS k FROM f JOIN s n ON n.doc_id = f.doc_id AND n.page_index = f.page_index AND n.rn = f.rn + 1)),
+            e AS (SELECT doc_id, page_index, arg_max(lo, rn) AS lo FROM f GROUP BY 1, 2),
+            o AS (SELECT f.*, len(list_filter(range(1, len(e.lo) + 1), lambda i: e.lo[i] < e.lo[f.c] OR e.lo[i] = e.lo[f.c] AND i < f.c)) AS col FROM f JOIN e USING (doc_id, page_index))
+            SELECT doc_id, page_index, block_id, col::INT AS column_index, (row_number() OVER (PARTITION BY doc_id, page_index ORDER BY col, bt, bl, rn) - 1)::INT AS sequence_index FROM o""",
         "plain_order": f"WITH {_BOXES} SELECT doc_id, page_index, block_id, (row_number() OVER (PARTITION BY doc_id, page_index ORDER BY coalesce(bt, 0.0::DOUBLE), coalesce(bl, 0.0::DOUBLE), pos) - 1)::INT AS sequence_index FROM placed",
         "order_items": f"WITH {_NEAR}, ca AS ({near}) SELECT doc_id, page_index, block_id, lower(block_type) AS category, round(bt, 4) AS top, round(bl, 4) AS \"left\", caption_id AS caption FROM boxes LEFT JOIN ca USING (doc_id, page_index, block_id)",
         "pdf_blocks": f"WITH RECURSIVE {_MERGED}, im AS (SELECT DISTINCT doc_id, page_index FROM m WHERE page_index % 3 = 0), u AS (SELECT doc_id, page_index, 0 AS part, block AS i, n_chars FROM m UNION ALL SELECT doc_id, page_index, 1, 0, NULL FROM im) SELECT doc_id, page_index, 'p' || page_index || CASE WHEN part = 0 THEN '-b' ELSE '-fig' END || i AS block_id, CASE WHEN part = 0 THEN 'text' ELSE 'figure' END AS block_type, n_chars, row_number() OVER (PARTITION BY doc_id ORDER BY page_index, part, i) - 1 AS reading_order_index FROM u",

@@ -183,6 +183,15 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     jit = f"""{_BOXES}, j AS (SELECT *, l + k * 4 AS jl, t - k AS jt, r + k AS jr, b + k * 2 AS jb FROM (SELECT block_uid, doc_id, page_index, pos, block_type, block_uid % 7 AS k, floor(bl * 1000 + 0.5::DOUBLE)::BIGINT AS l, floor(bt * 1000 + 0.5::DOUBLE)::BIGINT AS t, floor(br * 1000 + 0.5::DOUBLE)::BIGINT AS r, floor(bb * 1000 + 0.5::DOUBLE)::BIGINT AS b FROM boxes)),
         i AS (SELECT *, greatest(0, least(r, jr) - greatest(l, jl)) * greatest(0, least(b, jb) - greatest(t, jt)) AS x, greatest(0, r - l) * greatest(0, b - t) + greatest(0, jr - jl) * greatest(0, jb - jt) AS s FROM j)"""
+    # Greedy matches: of each page's predictions in turn, the best box not yet taken; g holds the candidates, the best first.
+    pairs = f"""{jit}, y AS (SELECT doc_id || '/' || page_index AS id, lower(block_type) AS kind, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY pos) AS nth, l / 1000.0::DOUBLE AS l, t / 1000.0::DOUBLE AS t, r / 1000.0::DOUBLE AS r, b / 1000.0::DOUBLE AS b, jl / 1000.0::DOUBLE AS jl, jt / 1000.0::DOUBLE AS jt, jr / 1000.0::DOUBLE AS jr, jb / 1000.0::DOUBLE AS jb FROM j),
+        v AS (SELECT p.id, p.nth AS pn, q.nth AS gn, least(p.jr, q.r) - greatest(p.jl, q.l) AS w, least(p.jb, q.b) - greatest(p.jt, q.t) AS h, (p.jr - p.jl) * (p.jb - p.jt) + (q.r - q.l) * (q.b - q.t) AS areas FROM y p JOIN y q ON p.id = q.id AND p.kind = q.kind),
+        u AS (SELECT id, pn, gn, round(w * h / (areas - w * h), 4) AS iou FROM v WHERE w > 0 AND h > 0 AND areas - w * h > 0), th AS (SELECT unnest([0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[]) AS least_)"""
+    greedy = lambda before: f"""WITH RECURSIVE {pairs}, g AS (SELECT id, least_, pn, list(gn ORDER BY iou DESC, gn) AS gs, list(iou ORDER BY iou DESC, gn) AS ious FROM u, th WHERE {"iou >= least_" if before else "iou > 0"} GROUP BY 1, 2, 3),
+        z1 AS (SELECT y.id, th.least_, y.nth, g.gs, g.ious FROM y CROSS JOIN th LEFT JOIN g ON g.id = y.id AND g.least_ = th.least_ AND g.pn = y.nth),
+        m AS (SELECT id, least_, 0::BIGINT AS nth, []::BIGINT[] AS taken FROM (SELECT DISTINCT id, least_ FROM z1) UNION ALL SELECT id, least_, nth, CASE WHEN k IS NULL OR ious[k] < least_ THEN taken ELSE list_append(taken, gs[k]) END
+          FROM (SELECT z1.*, m.taken, list_filter(range(1, len(coalesce(z1.gs, [])) + 1), lambda i: NOT list_contains(m.taken, z1.gs[i]))[1] AS k FROM m JOIN z1 ON z1.id = m.id AND z1.least_ = m.least_ AND z1.nth = m.nth + 1)),
+        sc AS (SELECT id AS case_id, least_ AS threshold, max(nth) AS n, max(len(taken))::DOUBLE AS hits FROM m GROUP BY 1, 2), fin AS (SELECT case_id, threshold, round(hits / n, 4) AS precision, round(hits / n, 4) AS recall, round(2 * (hits / n) * (hits / n) / greatest(2 * hits / n, 1e-6::DOUBLE), 4) AS f1 FROM sc)"""
     over = lambda places: f"CASE WHEN x > 0 AND s - x > 0 THEN round(round(x / (s - x)::DOUBLE, {places}), 3) ELSE 0.0::DOUBLE END"
     gram = lambda side, n: f"SELECT block_uid, '{side}' AS side, {n} AS n, array_to_string({side}[i : i + {n - 1}], chr(31)) AS g FROM (SELECT *, unnest(range(1, greatest(len({side}) - {n} + 2, 1))) AS i FROM w)"
     grams = " UNION ALL ".join(gram(side, n) for side in "ab" for n in range(1, 5))
@@ -200,6 +209,9 @@ def oracle_sql() -> dict[str, str]:
         "text_norm": f"SELECT doc_id, md5({_norm('text')}) AS digest FROM documents",
         "ngram_scores": bleu,
         "box_overlap": f"WITH {jit} SELECT block_uid, {over(6)} AS iou FROM i",
+        "layout_scores": f"{greedy(True)} SELECT * FROM fin WHERE threshold = 0.5",
+        "layout_map": f"{greedy(True)} SELECT case_id, round(avg(precision), 4) AS map FROM fin GROUP BY 1",
+        "layout_scores_by_score": f"{greedy(False)} SELECT * FROM fin WHERE threshold = 0.5",
         "first_boxes": f"WITH {jit}, k AS (SELECT doc_id || '/' || page_index AS case_id, arg_min({over(4)}, pos) AS first_iou, arg_min(CASE WHEN lower(block_type) = 'table' THEN (block_uid % 10) / 10::DOUBLE END, pos) FILTER (lower(block_type) = 'table') AS table_score FROM i GROUP BY 1) SELECT * FROM k",
         "run_performance": perf,
         "inference_stats": "WITH e AS (SELECT event_type, count(*) AS runs, sum(round(value * 1e6::DOUBLE)::BIGINT)::BIGINT / 1e6::DOUBLE AS total, list_sort(list(value)) AS l FROM events WHERE value IS NOT NULL GROUP BY 1) SELECT event_type, runs, round(total / runs, 2) AS mean_ms, round(l[(least(floor(runs * 0.95::DOUBLE), runs - 1) + 1)::INT], 2) AS p95_ms, round(CASE WHEN total > 0 THEN runs / (total / 1000) ELSE 0 END, 2) AS fps FROM e",

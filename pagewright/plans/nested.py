@@ -122,6 +122,7 @@ def oracle_sql() -> dict[str, str]:
     fields = lambda *xs: ", ".join(f"{_get('v', k)} AS {c}" for k, c in xs)
     return {
         "p3_found": f"WITH RECURSIVE {_WALK} SELECT DISTINCT rec_id, page AS page_index, bid AS block_id, parent AS parent_id, CASE st WHEN 'part' THEN pos ELSE -1 END AS item_pos FROM n WHERE st IN ('block', 'part')",
+        "p3_metadata": f"WITH RECURSIVE {_WALK}, md AS (SELECT rec_id, 'metadata' AS field, json_extract(v, {_member('v', 'metadata')}) AS x FROM n WHERE st IN ('top', 'wrap') AND json_type(v) = 'OBJECT' AND {_HAS_PAGES} UNION ALL SELECT rec_id, field || '.' || {_plain('e.key::VARCHAR')}, e.value FROM md, json_each(CASE WHEN json_type(x) = 'OBJECT' THEN x ELSE '[]'::JSON END) e) SELECT rec_id, field, json_extract_string(x, '$') AS value FROM md WHERE json_type(x) NOT IN ('OBJECT', 'ARRAY', 'NULL')",
         "p3_pages": f"WITH RECURSIVE {_NUMBERED} SELECT rec_id, nth::INT AS n, page AS page_index, pos AS place, {fields(('width', 'width'), ('height', 'height'), ('rotation', 'rotation'))} FROM l WHERE st = 'page'",
         "p3_blocks": f"WITH RECURSIVE {_NUMBERED} SELECT {_LINKS}, {fields(('id', 'block_id'), ('blocktype', 'block_type'), ('text', 'text'), ('caption', 'caption'), ('readingorderindex', 'reading_order_index'))}, {', '.join(side(x, i) for i, x in enumerate(('left', 'top', 'right', 'bottom')))}, {_get(origin, 'provider')} AS provider, {_get(origin, 'confidence')} AS confidence FROM l WHERE st = 'block'",
         "p3_items": f"WITH RECURSIVE {_NUMBERED} SELECT {_LINKS}, {fields(('text', 'text'), ('marker', 'marker'), ('rowindex', 'row_index'), ('colindex', 'col_index'), ('rowspan', 'row_span'), ('colspan', 'col_span'))} FROM l WHERE st = 'part'",
