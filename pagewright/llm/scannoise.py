@@ -481,17 +481,16 @@ def repaired(texts: DataFrame, files: DataFrame, lexicon: DataFrame) -> DataFram
     both = lines.unionByName(marks, allowMissingColumns=True)
     w = Window.partitionBy("tbl", "row_uid").orderBy("line", "after")
     mine = F.lag("line").over(w) == F.col("line")
-    both = both.withColumn("off", F.when(mine, F.lag("off").over(w))).withColumn("keep", F.when(mine, F.lag("keep").over(w))).where("after = 1")
+    both = both.withColumn("off", F.when(mine, F.lag("off").over(w))).withColumn("keep", F.when(mine, F.lag("keep").over(w)))
     s = strip(F.col("s"))
     bare = F.when(F.col("keep").isNotNull(), F.when(F.col("keep"), F.regexp_replace(s, f"[{MARKS}]$", "-")).otherwise(F.regexp_replace(s, f"[{MARKS}]$", ""))).otherwise(s)
-    both = both.withColumn("out", bare).withColumn("alone", _tabular(F.col("s")))
-    kept = both.withColumn("there", F.col("off").isNull() & (F.col("out") != ""))
-    v = Window.partitionBy("tbl", "row_uid", "there").orderBy("line")
-    kept = kept.withColumn("before_line", F.lag("line").over(v)).withColumn("before_cut", F.lag("keep").over(v)).withColumn("before_alone", F.lag("alone").over(v))
-    gap = F.when(F.col("before_line").isNull(), "").when(F.col("before_cut").isNotNull(), "").when(F.col("alone") | F.col("before_alone"), "\n").otherwise(" ")
+    both = both.withColumn("out", F.when((F.col("after") == 1) & F.col("off").isNull(), bare)).withColumn("there", F.coalesce(F.col("out") != "", F.lit(False)))
+    this = F.struct("keep", _tabular(F.col("s")).alias("alone"))
+    both = both.withColumn("this", F.when(F.col("there"), this)).withColumn("last", F.last("this", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    gap = F.when(F.col("last").isNull(), "").when(F.col("last.keep").isNotNull(), "").when(F.col("this.alone") | F.col("last.alone"), "\n").otherwise(" ")
     pieces = F.collect_list(F.when(F.col("there"), F.struct("line", F.concat(gap, "out").alias("out"))))
-    joined = kept.groupBy("tbl", "row_uid").agg(F.array_join(F.transform(F.array_sort(pieces), lambda x: x["out"]), "").alias("text"))
+    joined = both.groupBy("tbl", "row_uid").agg(F.array_join(F.transform(F.array_sort(pieces), lambda x: x["out"]), "").alias("text"))
     texts_ = joined.unionByName(one.where(~is_multi).select("tbl", "row_uid", "text"))
     forms = with_forms(ev, miss).groupBy("tbl", "row_uid").agg(F.collect_set(F.struct("a", "form")).alias("forms"))
     base = texts_.join(forms, ["tbl", "row_uid"], "left")
-    return base.select("tbl", "row_uid", F.when(F.col("forms").isNull(), F.col("text")).otherwise(_with_forms("text", "forms")).alias("repaired"))
+    return base.select("tbl", "row_uid", F.when(F.col("forms").isNull(), F.col("text")).otherwise(_with_forms(F.when(F.col("forms").isNotNull(), F.col("text")), "forms")).alias("repaired"))  # other texts stay in the JVM
