@@ -233,32 +233,32 @@ def _distributions(prose: DataFrame, size: int) -> DataFrame:
 
 def _diverged(read: DataFrame, norms: DataFrame) -> DataFrame:
     """Adds the divergence of each page from its language's prose."""
-    of_any = F.broadcast(norms.where(F.col("lang") == ANY).select(F.col("norm").alias("any_norm")))
-    d = read.join(F.broadcast(norms.where(F.col("lang") != ANY)), "lang", "left").join(of_any).withColumn("norm", F.coalesce("norm", "any_norm"))
+    known = [r.lang for r in norms.select("lang").collect()]
+    d = read.withColumn("_of", F.when(F.col("lang").isin(known), F.col("lang")).otherwise(ANY)).join(F.broadcast(norms.withColumnRenamed("lang", "_of")), "_of")
     term = lambda acc, x: acc + x["ns"] / F.col("words") * F.log(x["ns"] / F.col("words") / F.get("norm", x["ids"]))
-    return d.withColumn("divergence", F.aggregate(F.arrays_zip("ids", "ns"), F.lit(0.0), term)).drop("norm", "any_norm")
+    return d.withColumn("divergence", F.aggregate(F.arrays_zip("ids", "ns"), F.lit(0.0), term)).drop("norm", "_of")
 
 
 MEASURES = ("slope", "residual", "divergence")
 
 
-def _measures(prose: DataFrame) -> DataFrame:
+def _measures(prose: DataFrame) -> list[tuple]:
     """lang, size, slope, residual, divergence: quartiles of the pages of each language and length, of each length (lang null),
     and of all (both null). The rows are as few as languages times powers of two, and are gathered."""
     what = [F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(x) for x in MEASURES]
     by = prose.where(F.col("lang") != ANY)
     got = by.groupingSets([["lang", "size"], ["size"], []], "lang", "size").agg(*what, F.count("*").alias("pages")).where((F.col("pages") >= FEW) | F.col("size").isNull() & (F.col("pages") > 0))
-    rows = [tuple(r) for r in got.select("lang", "size", *MEASURES).collect()]
-    return prose.sparkSession.createDataFrame(rows, "lang string, size int, " + ", ".join(f"{x} array<double>" for x in MEASURES))
+    return [tuple(r) for r in got.select("lang", "size", *MEASURES).collect()]
 
 
-def _judged(d: DataFrame, measures: DataFrame) -> DataFrame:
+def _judged(d: DataFrame, measures: list[tuple]) -> DataFrame:
     """Adds whether slope, residual and divergence are extreme for the page's language and length."""
-    usual = F.struct(*MEASURES)
-    own = measures.where("lang is not null").select("lang", "size", usual.alias("own"))
-    same = measures.where("lang is null and size is not null").select("size", usual.alias("same"))
-    every = measures.where("size is null").select(usual.alias("every"))
-    j = d.join(F.broadcast(own), ["lang", "size"], "left").join(F.broadcast(same), "size", "left").join(F.broadcast(every), how="left").withColumn("usual", F.coalesce("own", "same", "every"))
+    spark, kinds = d.sparkSession, ", ".join(f"{x} array<double>" for x in MEASURES)
+    own = spark.createDataFrame([r for r in measures if r[0] is not None], f"lang string, size int, {kinds}").select("lang", "size", F.struct(*MEASURES).alias("own"))
+    same = spark.createDataFrame([r[1:] for r in measures if r[0] is None and r[1] is not None], f"size int, {kinds}").select("size", F.struct(*MEASURES).alias("same"))
+    of_all = next((r[2:] for r in measures if r[1] is None), None)
+    every = F.lit(None) if of_all is None else F.struct(*[F.array(*map(F.lit, q)).alias(x) for x, q in zip(MEASURES, of_all, strict=True)])
+    j = d.join(F.broadcast(own), ["lang", "size"], "left").join(F.broadcast(same), "size", "left").withColumn("usual", F.coalesce("own", "same", every))
 
     def far(x: str) -> Column:
         q = F.col(f"usual.{x}")
@@ -266,7 +266,7 @@ def _judged(d: DataFrame, measures: DataFrame) -> DataFrame:
 
     over = F.col("divergence") - F.col("usual.divergence")[1]
     j = j.withColumn("far_slope", far("slope")).withColumn("far_residual", far("residual")).withColumn("diverges", F.coalesce(over > EXCESS, F.lit(True)))
-    return j.withColumn("flagged", F.col("far_slope") | F.col("far_residual") | F.col("diverges")).drop("own", "same", "every", "usual")
+    return j.withColumn("flagged", F.col("far_slope") | F.col("far_residual") | F.col("diverges")).drop("own", "same", "usual")
 
 
 def scored(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
