@@ -1,4 +1,4 @@
-"""Running counts and maxima along a key that may hold a large part of all rows."""
+"""Running counts and maxima, and what comes next, along a key that may hold a large part of all rows."""
 
 from __future__ import annotations
 
@@ -29,3 +29,14 @@ def running_count(df: DataFrame, key: str, block: Column, order: list[str], flag
 def running_max(df: DataFrame, key: str, block: Column, order: list[str], value: Column, name: str) -> DataFrame:
     """Adds the greatest value of the key up to each row; null while there is none."""
     return _running(df, key, block, order, value, name, F.max, F.greatest)
+
+
+def following(df: DataFrame, key: str, block: Column, order: list[str], value: str, name: str) -> DataFrame:
+    """Adds the value of the key's next row; null for the last. Blocks as above: the last row of a block is followed by the
+    first of the next block that has rows."""
+    df = df.withColumn("_block", block)
+    inside = Window.partitionBy(key, "_block").orderBy(*order)
+    first = df.groupBy(key, "_block").agg(F.min_by(value, F.struct(*order)).alias("_first"))
+    after = first.select(key, "_block", F.lead("_first").over(Window.partitionBy(key).orderBy("_block")).alias("_after"))
+    out = df.withColumn("_row", F.lead(F.struct(value)).over(inside)).join(after, [key, "_block"])
+    return out.withColumn(name, F.when(F.col("_row").isNull(), F.col("_after")).otherwise(F.col(f"_row.{value}"))).drop("_block", "_row", "_after")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions.scratch import written
-from pagewright.functions.tables import table
+from pagewright.functions.tables import once, table
 from pagewright.operators import export as E
 from pagewright.operators.shred import flat_table, shred
 from pagewright.plans.laying_out import _SP
@@ -14,8 +14,7 @@ from pagewright.plans.nested import REPEATED
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "blocks").dropDuplicates(["block_uid"])
-    return b.select("block_uid", "doc_id", "page_index", "pos", "block_id", "block_type", "text", "heading_level", "ordered", "list_items", "bbox", "provenance")
+    return once(table(spark, sf_dir, "blocks").select("block_uid", "doc_id", "page_index", "pos", "block_id", "block_type", "text", "heading_level", "ordered", "list_items", "bbox", "provenance"), "block_uid")
 
 
 _BLOCKS = "b AS (SELECT DISTINCT block_uid, doc_id, page_index, pos, block_id, lower(block_type) AS k, coalesce(text, '') AS t, heading_level, coalesce(greatest(1, least(6, heading_level)), 1) AS lv, coalesce(ordered, false) AS ordered, list_transform(coalesce(list_items, []), lambda x: coalesce(x.text, '')) AS li, bbox, provenance AS pr FROM blocks)"
@@ -129,7 +128,7 @@ def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks with a box as overlays of their page, whose size comes with them."""
-    b = table(spark, sf_dir, "blocks").where("bbox is not null").dropDuplicates(["block_uid"])
+    b = once(table(spark, sf_dir, "blocks").where("bbox is not null").select("block_uid", "doc_id", "page_index", "block_id", "block_type", "text", "bbox"), "block_uid")
     pages = table(spark, sf_dir, "raw_pages").groupBy("doc_id", "page_index").agg(F.max("width").alias("width"), F.max("height").alias("height"))
     o = E.overlay([F.col(f"bbox.box_{x}") for x in ("left", "top", "right", "bottom")])
     d = b.join(pages, ["doc_id", "page_index"], "left").select("block_uid", o.alias("o"), "width", "height")

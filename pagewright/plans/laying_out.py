@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as G
-from pagewright.functions.tables import table
+from pagewright.functions.tables import once, table
 from pagewright.operators import layout as L
 
 
 def _all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks once each, with their page's size where it is known."""
-    b = table(spark, sf_dir, "blocks").select("block_uid", "doc_id", "page_index", "pos", "block_id", "block_type", "text", "heading_level", *[F.col(f"bbox.box_{x}").alias(x) for x in L.BOX], F.coalesce("bbox.is_normalized", F.lit(True)).alias("is_normalized"), F.col("bbox").isNotNull().alias("has_box")).dropDuplicates(["block_uid"])
+    b = table(spark, sf_dir, "blocks").select("block_uid", "doc_id", "page_index", "pos", "block_id", "block_type", "text", "heading_level", *[F.col(f"bbox.box_{x}").alias(x) for x in L.BOX], F.coalesce("bbox.is_normalized", F.lit(True)).alias("is_normalized"), F.col("bbox").isNotNull().alias("has_box"))
     p = table(spark, sf_dir, "raw_pages").groupBy("doc_id", "page_index").agg(F.max("width").alias("width"), F.max("height").alias("height"), F.max("rotation").alias("rotation"))
-    return b.join(p, L.PAGE, "left")
+    return once(b, "block_uid").join(p, L.PAGE, "left")
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pagewright.functions import geometry as G
-from pagewright.functions.tables import table
+from pagewright.functions.running import following
+from pagewright.functions.tables import once, table
 from pagewright.operators import metrics as M
 from pagewright.plans.laying_out import _BOXES, _SP
 from pagewright.plans.laying_out import _boxes as boxes
@@ -15,9 +15,9 @@ from pagewright.plans.laying_out import _boxes as boxes
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each block with text and the next one of its file, as they are stored."""
-    b = table(spark, sf_dir, "blocks").where("text is not null").select("block_uid", "doc_id", "page_index", "pos", F.col("text").alias("ref")).distinct()
-    w = Window.partitionBy("doc_id").orderBy("page_index", "pos")
-    return b.withColumn("hyp", F.lead("ref").over(w)).where("hyp is not null").select("block_uid", M.normalized_text(F.col("ref")).alias("ref"), M.normalized_text(F.col("hyp")).alias("hyp"))
+    b = once(table(spark, sf_dir, "blocks").where("text is not null").select("block_uid", "doc_id", "page_index", "pos", F.col("text").alias("ref")), "block_uid")
+    b = following(b, "doc_id", F.floor(F.col("page_index") / 50), ["page_index", "pos"], "ref", "hyp")
+    return b.where("hyp is not null").select("block_uid", M.normalized_text(F.col("ref")).alias("ref"), M.normalized_text(F.col("hyp")).alias("hyp"))
 
 
 _CER = "CASE WHEN length(ref) = 0 THEN CASE WHEN length(hyp) = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END ELSE round(levenshtein(ref, hyp) / length(ref)::DOUBLE, 4) END"
@@ -132,8 +132,8 @@ def bench_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def case_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files times adapters: what a benchmark runs over."""
-    a = spark.createDataFrame([("own",), ("external",)], "adapter string")
-    return table(spark, sf_dir, "files").select("doc_id", "doc_name").distinct().crossJoin(F.broadcast(a)).select("doc_id", "adapter", "doc_name")
+    adapters = F.explode(F.array(F.lit("own"), F.lit("external"))).alias("adapter")
+    return table(spark, sf_dir, "files").select("doc_id", "doc_name").distinct().select("doc_id", adapters, "doc_name")
 
 
 def run_performance(spark: SparkSession, sf_dir: str) -> DataFrame:

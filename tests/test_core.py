@@ -11,7 +11,7 @@ from pagewright.functions import geometry as G
 from pagewright.functions import scratch
 from pagewright.functions import strings as S
 from pagewright.functions.ranks import at_ranks
-from pagewright.functions.running import running_count
+from pagewright.functions.running import following, running_count
 from pagewright.operators import export, imaging, inspection, layout, metrics, registry, reports
 from pagewright.functions.skew import split_join
 from pagewright.functions.tables import once
@@ -122,6 +122,14 @@ def test_running_count(spark):
     assert got == {i: i // 3 + 1 for i in range(50)}
 
 
+def test_following(spark):
+    rows = [("a", i, None if i % 5 == 3 else str(i)) for i in range(23)] + [("b", 7, "x")]
+    df = spark.createDataFrame([r for r in rows if r[0] == "b" or not 8 <= r[1] < 15], "k string, i int, v string")
+    got = {(r.k, r.i): r.n for r in following(df, "k", F.floor(F.col("i") / 4), ["i"], "v", "n").collect()}
+    kept = [r for r in rows if r[0] == "a" and not 8 <= r[1] < 15]
+    assert got == {("b", 7): None} | {("a", x[1]): y[2] for x, y in zip(kept, kept[1:], strict=False)} | {("a", 22): None}
+
+
 def test_content_types(spark):
     df = spark.createDataFrame([(49, 0), (50, 0), (19, 1), (20, 1)], "c int, i int")
     assert [r[0] for r in df.select(inspection.content_type(F.col("c"), F.col("i"))).collect()] == ["EMPTY", "DIGITAL_TEXT_ONLY", "SCANNED_IMAGE_ONLY", "HYBRID"]
