@@ -5,6 +5,8 @@ Images come as grey arrays: flat pixel values (array<double>) with a width. Libr
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,14 +90,21 @@ def _median3(p: np.ndarray) -> np.ndarray:
     return np.median(np.stack([q[i : i + h, j : j + w] for i in range(3) for j in range(3)]), axis=0)
 
 
+def _lanczos(n: int, size: int) -> np.ndarray:
+    """Weights by which n pixels become `size`: a windowed sinc of three lobes, wider where pixels are merged."""
+    scale = n / size
+    wide = max(scale, 1.0)
+    x = (np.arange(n)[None, :] + 0.5 - (np.arange(size)[:, None] + 0.5) * scale) / wide
+    w = np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0.0)
+    return w / w.sum(1, keepdims=True)
+
+
 def _resized(p: np.ndarray, width: int) -> np.ndarray:
-    """Wider by linear interpolation, sides in proportion."""
+    """At least that wide, sides in proportion."""
     if p.shape[1] >= width:
         return p
     h = max(1, round(p.shape[0] * width / p.shape[1]))
-    y, x = np.linspace(0, p.shape[0] - 1, h), np.linspace(0, p.shape[1] - 1, width)
-    rows = np.stack([np.interp(x, np.arange(p.shape[1]), r) for r in p])
-    return np.stack([np.interp(y, np.arange(p.shape[0]), c) for c in rows.T]).T
+    return np.clip(np.rint(_lanczos(p.shape[0], h) @ p @ _lanczos(p.shape[1], width).T), 0, 255)
 
 
 def _rotated(p: np.ndarray, degrees: float) -> np.ndarray:
@@ -151,3 +160,44 @@ def tensor(p: np.ndarray, side: int = 640) -> np.ndarray:
     q = np.stack([np.interp(np.linspace(0, p.shape[1] - 1, side), np.arange(p.shape[1]), r) for r in p])
     q = np.stack([np.interp(np.linspace(0, p.shape[0] - 1, side), np.arange(p.shape[0]), c) for c in q.T]).T / 255.0
     return np.stack([(q - m) / s for m, s in zip(MEAN, STD, strict=True)])[None].astype(np.float32)
+
+
+def png(p: np.ndarray) -> bytes:
+    """A grey image as a PNG file."""
+    rows = np.clip(np.rint(p), 0, 255).astype(np.uint8)
+    raw = np.hstack([np.zeros((rows.shape[0], 1), np.uint8), rows]).tobytes()  # each row begins with its filter, none
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    head = struct.pack(">IIBBBBB", rows.shape[1], rows.shape[0], 8, 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def as_png(images: DataFrame) -> DataFrame:
+    """image_id, width, pixels -> image_id, content: PNG files."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"image_id": pdf.image_id, "content": [png(np.asarray(px, float).reshape(-1, int(w))) for w, px in zip(pdf.width, pdf.pixels, strict=True)]})
+
+    return images.select("image_id", "width", "pixels").mapInPandas(run, "image_id long, content binary")
+
+
+def figure_crops(pages: DataFrame, regions: DataFrame) -> DataFrame:
+    """Rendered pages (doc_id, page_index, width, pixels) and regions found on them (doc_id, page_index, region_idx, category,
+    left, top, right, bottom as shares) -> a figure for each FIGURE region: doc_id, page_index, block_id, width, height, content (PNG).
+    Pages and regions meet on their page; regions of pages that aren't rendered are left out."""
+    r = regions.where("category = 'FIGURE'").groupBy("doc_id", "page_index").agg(F.collect_list(F.struct("region_idx", "left", "top", "right", "bottom")).alias("regions"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for doc, page, w, px, found in zip(pdf.doc_id, pdf.page_index, pdf.width, pdf.pixels, pdf.regions, strict=True):
+                p = np.asarray(px, float).reshape(-1, int(w))
+                for x in found:
+                    part = cropped(p, (x["left"], x["top"], x["right"], x["bottom"]))
+                    rows.append((doc, page, f"fig_ml_{page}_{x['region_idx']}", part.shape[1], part.shape[0], png(part)))
+            yield pd.DataFrame(rows, columns=["doc_id", "page_index", "block_id", "width", "height", "content"])
+
+    return pages.join(r, ["doc_id", "page_index"]).select("doc_id", "page_index", "width", "pixels", "regions").mapInPandas(run, "doc_id long, page_index int, block_id string, width int, height int, content binary")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.functions.strings import suffix
 from pagewright.functions.tables import table
 from pagewright.operators import imaging, registry, reports
-from pagewright.sources.files import cases
+from pagewright.sources.files import cases, properties, refused
 from pagewright.streaming.ingest import counters, job, latest_states
 
 _JOB = "CASE event_id % 5 WHEN 0 THEN 'QUEUED' WHEN 1 THEN 'RUNNING' WHEN 2 THEN 'COMPLETED' WHEN 3 THEN 'FAILED' ELSE 'RUNNING' END"
@@ -94,6 +95,19 @@ def file_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases(f.select("path").unionByName(truth))
 
 
+def refused_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that no source reads as they are: those of a format that needs a decoder, and unknown ones."""
+    f = table(spark, sf_dir, "files").groupBy("doc_id").agg(F.max("mime_type").alias("mime"), F.max("doc_name").alias("name"))
+    return refused(f.select("doc_id", F.lit(None).cast("string").alias("format"), F.when(F.col("doc_id") % 9 != 0, suffix(F.col("name"))).alias("extension"), F.when(F.col("doc_id") % 9 != 0, F.col("mime")).alias("mime")))
+
+
+def file_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The properties of files as a decoder gives them, taken apart."""
+    f = table(spark, sf_dir, "files").groupBy("doc_id").agg(F.max("title").alias("t"), F.max("author").alias("a"), F.max("lang").alias("l"))
+    raw = F.map_from_arrays(F.array(F.lit("Title"), F.lit("Author"), F.lit("Lang")), F.array("t", "a", "l"))
+    return f.select("doc_id", *properties(raw)).select("doc_id", "title", "author", F.col("extra")["Lang"].alias("lang"), F.size("extra").alias("n_extra"))
+
+
 def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that were delivered more than once, and blocks whose page isn't known: what a document must not have."""
     b = table(spark, sf_dir, "blocks")
@@ -111,7 +125,7 @@ def model_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "image_stats": image_stats, "image_plan": image_plan, "image_steps": image_steps, "job_states": job_states, "job_counts": job_counts, "job_list": job_list, "one_job": one_job, "file_times": file_times, "command_search": command_search, "page_workers": page_workers, "recent_files": recent_files, "file_search": file_search, "file_cases": file_cases,
-        "duplicate_ids": duplicate_ids, "model_list": model_list,
+        "refused_files": refused_files, "file_properties": file_properties, "duplicate_ids": duplicate_ids, "model_list": model_list,
     }
 
 
@@ -133,6 +147,8 @@ def oracle_sql() -> dict[str, str]:
         "recent_files": "SELECT doc_id, max(doc_name) AS doc_name FROM files GROUP BY 1 ORDER BY max(received_at) DESC, doc_id LIMIT 20",
         "file_search": f"WITH {named} SELECT doc_id, name, row_number() OVER (ORDER BY is_dir DESC, lower(name), doc_id::VARCHAR) AS place FROM f WHERE contains(lower(name), 'survey') AND NOT starts_with(name, '.') AND (is_dir OR ends_with(lower(name), '.pdf'))",
         "file_cases": r"WITH f AS (SELECT DISTINCT doc_id, 'in/' || lower(doc_name) AS path FROM files), t AS (SELECT regexp_replace(path, '\.[a-z]+$', '') AS stem, regexp_replace(path, '\.[a-z]+$', '.json') AS truth_path FROM f WHERE doc_id % 3 = 0) SELECT regexp_extract(path, '([^/]*)\.[a-z]+$', 1) AS case_id, path, truth_path FROM f LEFT JOIN t ON regexp_replace(path, '\.[a-z]+$', '') = t.stem WHERE regexp_matches(path, '\.(pdf|docx|pptx|png|jpg|jpeg|webp|tif|tiff|html|md|txt)$')",
+        "refused_files": r"SELECT doc_id, CASE WHEN lower(name) LIKE '%.pdf' OR mime = 'application/pdf' THEN 'source of pdf is a placeholder and needs a decoder' ELSE 'unsupported format' END AS error FROM (SELECT doc_id, CASE WHEN doc_id % 9 <> 0 THEN max(mime_type) END AS mime, CASE WHEN doc_id % 9 <> 0 THEN max(doc_name) ELSE '' END AS name FROM files GROUP BY doc_id) WHERE NOT regexp_matches(lower(name), '\.(tif|tiff|png|jpg|jpeg|webp)$') AND coalesce(mime, '') NOT LIKE 'image/%'",
+        "file_properties": "SELECT doc_id, nullif(max(title), '') AS title, nullif(max(author), '') AS author, max(lang) AS lang, 1 AS n_extra FROM files GROUP BY 1",
         "duplicate_ids": "SELECT block_uid AS id, 'delivered again' AS violation FROM blocks GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT DISTINCT block_uid, 'no such page' FROM blocks b WHERE NOT EXISTS (SELECT 1 FROM raw_pages p WHERE p.doc_id = b.doc_id AND p.page_index = b.page_index)",
         "model_list": f"SELECT model_id, architecture, size_bytes, 'ocr_' || model_id AS folder, CASE model_id WHEN 'easyocr' THEN 'disabled' ELSE 'ready' END AS state FROM (VALUES {specs}) v(model_id, architecture, size_bytes, task) WHERE task = 'ocr'",
     }

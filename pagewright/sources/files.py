@@ -147,3 +147,54 @@ def word_rows(words: DataFrame, least: float = 0.0) -> DataFrame:
     """Words of an OCR engine (page_id, pos, text, conf in per cent; below 0 for none) -> the page's text and mean confidence."""
     w = words.where((F.col("conf") >= 0) & (F.trim("text") != "")).withColumn("confidence", F.least(F.lit(1.0), F.col("conf") / 100)).where(F.col("confidence") >= least)
     return w.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("text"), F.round(F.avg("confidence"), 4).alias("confidence"))
+
+
+# The formats that have a source, with the extensions and types by which they are known besides.
+SOURCES = {
+    "txt": ([".txt"], ["text/plain"]),
+    "markdown": ([".md", ".markdown"], ["text/markdown"]),
+    "html": ([".html", ".htm"], ["text/html"]),
+    "docx": ([".docx"], ["application/vnd.openxmlformats-officedocument.wordprocessingml.document"]),
+    "pptx": ([".pptx"], ["application/vnd.openxmlformats-officedocument.presentationml.presentation"]),
+    "image": ([".png", ".jpg", ".jpeg", ".webp", ".tiff", ".tif"], ["image/png", "image/jpeg", "image/webp", "image/tiff"]),
+    "pdf": ([".pdf"], ["application/pdf"]),
+}
+#: Sources that take a file but can't read it here: a decoder must give its lines and images.
+STUBS = ("pdf",)
+
+
+def source_of(fmt: Column, extension: Column, mime: Column) -> Column:
+    """The source for a file: that of its detected format, else the first that knows its extension or type; null for none."""
+    f = F.lower(fmt)
+    out = F.when(f.isin(*SOURCES), f)
+    for name, (extensions, types) in SOURCES.items():
+        out = out.when(F.lower(extension).isin(*extensions) | F.lower(mime).isin(*types), name)
+    return out
+
+
+def refused(files: DataFrame) -> DataFrame:
+    """doc_id, format, extension, mime of files that no source reads -> doc_id, error."""
+    s = source_of(F.col("format"), F.col("extension"), F.col("mime"))
+    stub = F.concat(F.lit("source of "), s, F.lit(" is a placeholder and needs a decoder"))
+    return files.select("doc_id", F.when(s.isNull(), "unsupported format").when(s.isin(*STUBS), stub).alias("error")).where("error is not null")
+
+
+# The entries of a file's properties that have a column of their own.
+PROPERTIES = {"title": "Title", "author": "Author", "subject": "Subject", "creator": "Creator", "producer": "Producer", "creation_date": "CreationDate", "mod_date": "ModDate"}
+
+
+def properties(raw: Column) -> list[Column]:
+    """A decoder's map of properties as columns, blank ones null, and the map of all others."""
+    named = [F.nullif(F.element_at(raw, v), F.lit("")).alias(k) for k, v in PROPERTIES.items()]
+    return [*named, F.map_filter(raw, lambda k, v: ~k.isin(*PROPERTIES.values())).alias("extra")]
+
+
+def sample_cases(spark: SparkSession) -> DataFrame:
+    """The cases a benchmark runs over where no corpus is given: a digital and a scanned document, with their ground truth."""
+    heading, body, scanned = "CI Benchmark Digital Document Header", "Sample paragraph text for testing accuracy.", "Scanned Page Content"
+    element = "struct<type:string,text:string,bbox:array<double>,page_index:int>"
+    rows = [
+        ("ci_digital_doc", "pdf", "CI Digital PDF Fixture", f"{heading} {body}", [("heading", heading, [0.1, 0.1, 0.9, 0.2], 0), ("text", body, [0.1, 0.25, 0.9, 0.5], 0)]),
+        ("ci_scanned_doc", "pdf", "CI Scanned PDF Fixture", scanned, []),
+    ]
+    return spark.createDataFrame(rows, f"case_id string, doc_type string, description string, text_content string, elements array<{element}>")

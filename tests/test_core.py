@@ -4,6 +4,7 @@ import itertools
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -406,6 +407,28 @@ def test_chunks(spark):
     assert t[1].table_matrix == [["A", "B"], ["", "d"]] and t[1].text == "A | B\n | d"
 
 
+def test_png_crops_and_lanczos(spark):
+    import struct
+    import zlib
+
+    page = [float(10 * y + x) for y in range(10) for x in range(8)]
+    pages = spark.createDataFrame([(1, 0, 8, page), (1, 1, 8, page)], "doc_id long, page_index int, width int, pixels array<double>")
+    box = "doc_id long, page_index int, region_idx int, category string, left double, top double, right double, bottom double"
+    (r,) = imaging.figure_crops(pages, spark.createDataFrame([(1, 0, 4, "FIGURE", 0.25, 0.5, 0.75, 0.8), (1, 0, 5, "TABLE", 0.0, 0.0, 1.0, 1.0), (1, 9, 6, "FIGURE", 0.0, 0.0, 1.0, 1.0)], box)).collect()
+    content = bytes(r.content)
+    assert (r.block_id, r.width, r.height) == ("fig_ml_0_4", 4, 3) and content.startswith(b"\x89PNG\r\n\x1a\n") and struct.unpack(">II", content[16:24]) == (4, 3)
+    n = struct.unpack(">I", content[33:37])[0]
+    assert zlib.decompress(content[41 : 41 + n]) == b"".join(bytes([0, *(10 * y + x for x in range(2, 6))]) for y in range(5, 8))
+    w = imaging._lanczos(8, 20)
+    assert w.shape == (20, 8) and abs(w.sum(1) - 1).max() < 1e-12 and (imaging._resized(np.full((3, 4), 7.0), 12) == 7).all()
+    assert bytes(imaging.as_png(pages.select(F.lit(1).cast("long").alias("image_id"), "width", "pixels")).first().content)[:4] == b"\x89PNG"
+
+
+def test_sample_cases(spark):
+    rows = files.sample_cases(spark).collect()
+    assert [r.case_id for r in rows] == ["ci_digital_doc", "ci_scanned_doc"] and [e.bbox for e in rows[0].elements] == [[0.1, 0.1, 0.9, 0.2], [0.1, 0.25, 0.9, 0.5]]
+
+
 def test_model_store(spark, tmp_path):
     m = registry.models(spark)
     assert m.count() == 10 and registry.of_task(m, "layout").count() == 2
