@@ -156,7 +156,7 @@ def _look_sql(text: str) -> str:
     pairs = lookalike.LETTERS | {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)}
     quoted = lambda x: x.replace("'", "''")
     one = f"translate({text}, '{quoted(''.join(pairs))}', '{quoted(''.join(pairs.values()))}')"
-    for x, y in {**accented, "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "…": "...", "‐": "-", "‑": "-", "－": "-", "﹣": "-"}.items():
+    for x, y in {**accented, "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "…": "...", "µ": "μ", "‐": "-", "‑": "-", "－": "-", "﹣": "-"}.items():
         one = f"replace({one}, '{x}', '{y}')"
     seen = rf"regexp_replace({one}, '[\p{{Cf}}\x{{34F}}\x{{115F}}\x{{1160}}\x{{3164}}\x{{FFA0}}\x{{17B4}}\x{{17B5}}\x{{FE00}}-\x{{FE0F}}\x{{180B}}-\x{{180F}}]', '', 'g')"
     spaced = rf"regexp_replace(replace(replace(regexp_replace({seen}, '\p{{Zs}}', ' ', 'g'), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \t]+', ' ', 'g')"
@@ -167,6 +167,7 @@ def oracle_sql() -> dict[str, str]:
     forms = f"f AS (SELECT uid, text, {_look_sql('text')} AS look FROM (SELECT DISTINCT block_uid AS uid, text FROM blocks WHERE text IS NOT NULL))"
     return {
         "p2_found": f"WITH {forms} SELECT a.uid AS block_uid_a, b.uid AS block_uid_b FROM f a JOIN f b ON a.look = b.look AND a.text <> b.text AND a.uid < b.uid WHERE a.look <> ''",
+        "p2_forms": f"WITH {forms} SELECT uid AS block_uid, look, nfc_normalize(replace(replace(replace(lower(look), 'ß', 'ss'), 'ς', 'σ'), 'ſ', 's')) AS fold FROM f",
         "p2_classes": f"WITH {forms}, k AS (SELECT look, min(uid) AS class_block_uid, count(DISTINCT text) AS texts FROM f GROUP BY 1) SELECT uid AS block_uid, class_block_uid, texts, texts - 1 AS links FROM f JOIN k USING (look)",
         "p4_found": f"WITH {_GRAMS}, z AS (SELECT * FROM s), {_SIMILAR} SELECT tbl, x AS uid_a, y AS uid_b FROM e",
         "p4_groups": f"WITH RECURSIVE {_GRAMS}, z AS (SELECT * FROM s WHERE uid = rep), {_SIMILAR}, ways AS (SELECT tbl, x, y FROM e UNION ALL SELECT tbl, y, x FROM e), reach AS (SELECT DISTINCT tbl, x AS a, x AS b FROM ways UNION SELECT r.tbl, r.a, o.y FROM reach r JOIN ways o ON o.tbl = r.tbl AND o.x = r.b), root AS (SELECT tbl, a, min(b) AS root FROM reach GROUP BY 1, 2), n AS (SELECT tbl, x, count(*) AS links FROM ways GROUP BY 1, 2) SELECT s.tbl, s.uid AS row_uid, coalesce(root, rep) AS group_uid, coalesce(links, 0) AS links FROM s LEFT JOIN root ON root.tbl = s.tbl AND root.a = s.rep LEFT JOIN n ON n.tbl = s.tbl AND n.x = s.rep",
