@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,7 +37,6 @@ HYPHENS = "‐‑－﹣"
 UNSEEN_TAGS = {"<wide>", "<narrow>", "<noBreak>", "<compat>", "<small>", "<initial>", "<medial>", "<final>", "<isolated>"}
 
 
-@lru_cache(maxsize=200_000)
 def _unseen(c: str) -> str:
     """The character in its visible form: empty if it is invisible."""
     if c in HYPHENS:
@@ -56,10 +54,24 @@ def _unseen(c: str) -> str:
     return c
 
 
-def _letters(s: str) -> str:
-    return "".join(LETTERS.get(c, c) for c in s)
+class _Visible(dict):
+    """Code points -> their visible form, found out once each, for str.translate."""
 
+    def __missing__(self, point: int) -> str:
+        self[point] = _unseen(chr(point))
+        return self[point]
 
+
+_VISIBLE, _LETTERS = _Visible(), str.maketrans(LETTERS)
+
+
+def _seen(s: str) -> str:
+    parts = unicodedata.normalize("NFD", s.translate(_VISIBLE))
+    return unicodedata.normalize("NFC", parts.translate(_LETTERS))
+
+
+#: A text of Latin letters, with or without accents, each of which is its own form; none of them joins with its neighbours.
+_LATIN = re.compile(f"[\\t\\n\\r -~{''.join(c for c in map(chr, range(0xA1, 0x180)) if _seen(c) == c)}]*")
 _SPACES = re.compile(r"[ \t]+")
 
 
@@ -69,9 +81,8 @@ def look(s: str) -> str:
     Letters are taken apart from their accents before their script is mapped, so that an accented
     look-alike comes out as the accented Latin letter; the result is in composed form. Runs of spaces
     are one space, and spaces at the ends or around line breaks go."""
-    s = "".join(map(_unseen, s))
-    parts = unicodedata.normalize("NFD", s)
-    s = unicodedata.normalize("NFC", _letters(parts))
+    if not _LATIN.fullmatch(s):
+        s = _seen(s)
     lines = _SPACES.sub(" ", s.replace("\r\n", "\n").replace("\r", "\n")).split("\n")
     return "\n".join(x.strip(" ") for x in lines).strip("\n")
 
