@@ -212,5 +212,6 @@ def oracle_sql() -> dict[str, str]:
         "table_markdown": "WITH l AS (SELECT *, max(r) OVER (PARTITION BY table_id) = 2 AS span FROM (SELECT l_orderkey AS table_id, l_linenumber - 1 AS r, max(l_partkey)::VARCHAR AS a, max(l_returnflag) AS f FROM lineitem GROUP BY 1, 2)), m AS (SELECT table_id, span, max(r) AS r, min(r) AS lo FROM l GROUP BY 1, 2), g AS (SELECT m.table_id, m.span, x.r, coalesce(a, '') AS a, coalesce(f, '') AS f FROM m, LATERAL (SELECT unnest(range(m.r + 1)) AS r) x LEFT JOIN l ON l.table_id = m.table_id AND l.r = x.r), s AS (SELECT table_id, span, r, CASE WHEN span THEN '    <tr>' || chr(10) || '      <td>' || a || '</td>' || chr(10) || '      <td>' || f || '</td>' || chr(10) || '    </tr>' WHEN r = 0 THEN '| ' || a || ' | ' || f || ' |' || chr(10) || '| --- | --- |' ELSE '| ' || a || ' | ' || f || ' |' END AS x FROM g) SELECT table_id, CASE WHEN span THEN '<table>' || chr(10) || '  <tbody>' || chr(10) || string_agg(x, chr(10) ORDER BY r) || chr(10) || '  </tbody>' || chr(10) || '</table>' ELSE string_agg(x, chr(10) ORDER BY r) END AS body FROM s GROUP BY table_id, span",
         "overlay": f"WITH b AS (SELECT DISTINCT block_uid, doc_id, page_index, lower(block_type) AS type, bbox.box_left AS l, coalesce(text, '') AS t FROM blocks WHERE bbox IS NOT NULL), g AS (SELECT doc_id, page_index, max(width) AS width, max(height) AS height FROM raw_pages GROUP BY 1, 2) SELECT block_uid, type, {colours} AS color, 0.95::DOUBLE AS confidence, round(l, 4) AS box_left, substr(t, 1, 100) AS text, width, height FROM b LEFT JOIN g USING (doc_id, page_index)",
         "figure_assets": f"WITH {_BLOCKS} SELECT block_uid, CASE WHEN block_uid % 2 = 0 THEN 'data:image/png;base64,' || base64(encode(block_id)) ELSE {missing} END AS uri, CASE WHEN block_uid % 2 <> 0 THEN 'Image asset ''' || block_id || ''' has no binary content.' END AS warning, CASE WHEN block_uid % 2 = 0 THEN 'assets/' || block_id || '.png' END AS path FROM b WHERE k = 'figure'",
+        "binary_exports": "SELECT DISTINCT doc_id, page_index AS part, kind, true AS is_zip FROM blocks, (VALUES ('docx'), ('epub')) v(kind)",
         "archival_export": f"WITH {_BLOCKS}, {_FILES}, {book} SELECT p.doc_id, part, octet_length(encode(CASE part WHEN -1 THEN {frame} || body WHEN 2147483647 THEN body || '</body>' || {nl} || '</html>' ELSE body END))::INT AS n_bytes FROM p LEFT JOIN n USING (doc_id)",
     }

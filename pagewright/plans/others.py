@@ -137,6 +137,7 @@ def oracle_sql() -> dict[str, str]:
     specs = ", ".join(f"('{m[0]}', '{m[3]}', {m[6]}, '{m[4]}')" for m in registry.MODELS)
     return {
         "image_stats": f"WITH {px}, m AS (SELECT image_id, avg(v) AS mean, stddev_pop(v) AS std FROM g GROUP BY 1), l AS (SELECT image_id, var_pop({at(-1, 0)} + {at(1, 0)} + {at(0, -1)} + {at(0, 1)} - 4 * v) AS blur FROM g WHERE x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 6 GROUP BY 1), dx AS (SELECT image_id, var_pop(abs({at(0, 1)} - v)) AS a FROM g WHERE x < 7 GROUP BY 1), dy AS (SELECT image_id, var_pop(abs({at(1, 0)} - v)) AS b FROM g WHERE y < 7 GROUP BY 1) SELECT image_id, round(mean + 1e-9::DOUBLE, 3) AS mean, round(std + 1e-9::DOUBLE, 3) AS std, round(blur + 1e-9::DOUBLE, 3) AS blur, round((a + b) / 2 + 1e-9::DOUBLE, 3) AS noise FROM m JOIN l USING (image_id) JOIN dx USING (image_id) JOIN dy USING (image_id)",
+        "image_steps": "SELECT vec_id AS image_id, 8 AS width, 8 AS height, 'denoise,contrast,threshold' AS applied, 64 AS n_pixels FROM embeddings",
         "job_states": f"WITH {jobs} SELECT job_id, status FROM s",
         "job_list": f"WITH {jobs} SELECT job_id, status FROM s ORDER BY created DESC, job_id LIMIT 100",
         "one_job": f"WITH {jobs} SELECT job_id, status, created FROM s WHERE job_id = 7",
