@@ -10,14 +10,14 @@ from pagewright.functions.tables import once, table
 from pagewright.operators import export as E
 from pagewright.operators.shred import flat_table, shred
 from pagewright.plans.laying_out import _SP
-from pagewright.plans.nested import REPEATED
+from pagewright.plans.nested import _NUMBERED, REPEATED, _get
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(table(spark, sf_dir, "blocks").select("block_uid", "doc_id", "page_index", "pos", "block_id", "block_type", "text", "heading_level", "ordered", "list_items", "bbox", "provenance"), "block_uid")
 
 
-_BLOCKS = "b AS (SELECT DISTINCT block_uid, doc_id, page_index, pos, block_id, lower(block_type) AS k, coalesce(text, '') AS t, heading_level, coalesce(greatest(1, least(6, heading_level)), 1) AS lv, coalesce(ordered, false) AS ordered, list_transform(coalesce(list_items, []), lambda x: coalesce(x.text, '')) AS li, bbox, provenance AS pr FROM blocks)"
+_BLOCKS = "b AS (SELECT DISTINCT block_uid, doc_id, page_index, pos, block_id, lower(block_type) AS k, coalesce(text, '') AS t, heading_level, coalesce(greatest(1, least(6, heading_level)), 1) AS lv, coalesce(ordered, false) AS ordered, list_transform(coalesce(list_items, []), lambda x: coalesce(x.text, '')) AS li, bbox, provenance AS pr, CASE WHEN lower(block_type) = 'figure' THEN text END AS cap, coalesce(text, '') AS ex, []::VARCHAR[][] AS grid, false AS merged FROM blocks)"
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def _record_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.transform(F.array_sort(F.collect_list(cell)), lambda x: F.struct(*[x[c].alias(c) for c in ("row_index", "col_index", "row_span", "col_span", "text")]))
     cells = flat_table(rows, ["cells"], parts).groupBy(*of).agg(held.alias("cells"))
     b = flat_table(rows, ["blocks", "children"], names).join(items, ["rec_id", "path", "n"], "left").join(cells, ["rec_id", "path", "n"], "left")
-    depth = F.size(F.split("path", r"\.")) * 1_000_000
+    depth = (F.size(F.split("path", r"\.")) + F.coalesce(F.regexp_extract("path", r"\^(\d+)", 1).try_cast("int"), F.lit(1))) * 1_000_000
     return b.select(
         F.col("rec_id").alias("doc_id"), (F.col("top_n") - 1).alias("page_index"), (depth + F.col("n")).alias("pos"), "block_id", F.coalesce("block_type", F.lit("text")).alias("block_type"), "text", number("heading_level"),
         F.col("ordered").try_cast("boolean").alias("ordered"), "list_items", "caption", "expression", number("num_rows"), number("num_cols"), "cells",
@@ -171,22 +171,25 @@ def oracle_sql() -> dict[str, str]:
     text = lambda x: f"array_to_string({x}, {nl})"
     drawing = "data:image/svg+xml;utf8,<svg xmlns='http://www.w3.org/2000/svg' width='200' height='80'><rect width='100%' height='100%' fill='%23f3f4f6' rx='4'/><text x='50%' y='50%' dominant-baseline='middle' text-anchor='middle' font-family='sans-serif' font-size='12' fill='%236b7280'>[Missing Image: "
     missing = quoted(drawing) + " || block_id || ']</text></svg>'"
-    caption = lambda x: f"CASE WHEN t <> '' THEN [{x}] ELSE [] END"
+    caption = lambda x: f"CASE WHEN coalesce(cap, '') <> '' THEN [{x}] ELSE [] END"
+    pipe = lambda x: f"'| ' || array_to_string({x}, ' | ') || ' |'"
+    cells = lambda pad: f"flatten(list_transform(grid, lambda r: list_concat(['{pad}<tr>'], list_transform(r, lambda x: '{pad}  <td>' || x || '</td>'), ['{pad}</tr>'])))"
+    tabled = f"CASE WHEN merged THEN list_concat(['<table>', '  <tbody>'], {cells('    ')}, ['  </tbody>', '</table>']) WHEN len(grid) = 0 THEN ['*Empty Table*'] ELSE list_concat([{pipe('grid[1]')}, {pipe("list_transform(grid[1], lambda x: '---')")}], list_transform(grid[2:], lambda r: {pipe('r')})) END"
     note = "CASE WHEN pr IS NOT NULL THEN ['<!-- provenance: provider=' || coalesce(pr.provider, '') || ' stage=' || coalesce(pr.stage, '') || ' -->'] ELSE [] END"
-    starred = caption("'*' || t || '*'")
-    md = f"""list_concat({note}, CASE k WHEN 'heading' THEN [repeat('#', lv) || ' ' || t] WHEN 'list' THEN list_transform(li, lambda x: CASE WHEN ordered THEN '1. ' ELSE '- ' END || x) WHEN 'table' THEN ['*Empty Table*']
-        WHEN 'figure' THEN list_concat(['![' || block_id || '](' || {missing} || ')'], {starred}) WHEN 'formula' THEN ['$$', t, '$$'] ELSE [t] END, [''])"""
+    starred = caption("'*' || cap || '*'")
+    md = f"""list_concat({note}, CASE k WHEN 'heading' THEN [repeat('#', lv) || ' ' || t] WHEN 'list' THEN list_transform(li, lambda x: CASE WHEN ordered THEN '1. ' ELSE '- ' END || x) WHEN 'table' THEN {tabled}
+        WHEN 'figure' THEN list_concat(['![' || block_id || '](' || {missing} || ')'], {starred}) WHEN 'formula' THEN ['$$', ex, '$$'] ELSE [t] END, [''])"""
     data = "CASE WHEN pr IS NOT NULL THEN ' data-provider=\"' || coalesce(pr.provider, '') || '\" data-stage=\"' || coalesce(pr.stage, '') || '\"' ELSE '' END"
-    under = caption("'        <figcaption>' || t || '</figcaption>'")
+    under = caption("'        <figcaption>' || cap || '</figcaption>'")
     html = f"""CASE k WHEN 'heading' THEN ['      <h' || lv || {data} || '>' || t || '</h' || lv || '>'] WHEN 'paragraph' THEN ['      <p' || {data} || '>' || t || '</p>']
         WHEN 'list' THEN list_concat(['      <' || CASE WHEN ordered THEN 'ol' ELSE 'ul' END || {data} || '>'], list_transform(li, lambda x: '        <li>' || x || '</li>'), ['      </' || CASE WHEN ordered THEN 'ol' ELSE 'ul' END || '>'])
-        WHEN 'table' THEN ['      <table' || {data} || '>', '        <tbody>', '        </tbody>', '      </table>'] WHEN 'figure' THEN list_concat(['      <figure' || {data} || '>', '        <img src="' || {missing} || '" alt="' || block_id || '">'], {under}, ['      </figure>'])
-        WHEN 'formula' THEN ['      <div class="formula"' || {data} || '>$$' || t || '$$</div>'] ELSE ['      <div' || {data} || '>' || t || '</div>'] END"""
+        WHEN 'table' THEN list_concat(['      <table' || {data} || '>', '        <tbody>'], {cells('          ')}, ['        </tbody>', '      </table>']) WHEN 'figure' THEN list_concat(['      <figure' || {data} || '>', '        <img src="' || {missing} || '" alt="' || block_id || '">'], {under}, ['      </figure>'])
+        WHEN 'formula' THEN ['      <div class="formula"' || {data} || '>$$' || ex || '$$</div>'] ELSE ['      <div' || {data} || '>' || t || '</div>'] END"""
     loud = "t"
     for letter, big in (("ß", "SS"), ("ﬀ", "FF"), ("ﬁ", "FI"), ("ﬂ", "FL"), ("ﬃ", "FFI"), ("ﬄ", "FFL"), ("ﬅ", "ST"), ("ﬆ", "ST")):  # letters whose capitals are several, which the engines treat differently
         loud = f"replace({loud}, '{letter}', '{big}')"
-    called = caption("'Caption: ' || t")
-    txt = f"list_concat(CASE k WHEN 'heading' THEN [upper({loud})] WHEN 'list' THEN list_transform(li, lambda x: CASE WHEN ordered THEN '- ' ELSE '* ' END || x) WHEN 'table' THEN [] WHEN 'figure' THEN list_concat(['[Figure: ' || block_id || ']'], {called}) WHEN 'formula' THEN ['Equation: ' || t] ELSE [t] END, [''])"
+    called = caption("'Caption: ' || cap")
+    txt = f"list_concat(CASE k WHEN 'heading' THEN [upper({loud})] WHEN 'list' THEN list_transform(li, lambda x: CASE WHEN ordered THEN '- ' ELSE '* ' END || x) WHEN 'table' THEN list_transform(grid, lambda r: array_to_string(r, ' | ')) WHEN 'figure' THEN list_concat(['[Figure: ' || block_id || ']'], {called}) WHEN 'formula' THEN ['Equation: ' || ex] ELSE [t] END, [''])"
     title = "coalesce(nullif(doc_name, ''), 'Document')"
     done = "md5(body) AS digest, length(body)::INT AS n_chars"
     page = lambda x: f"string_agg({text(x)}, {nl} ORDER BY pos)"
@@ -199,7 +202,18 @@ def oracle_sql() -> dict[str, str]:
     book = f"p AS (SELECT doc_id, -1 AS part, {text(begin)} AS body FROM n UNION ALL SELECT doc_id, page_index, {section} FROM b GROUP BY doc_id, page_index UNION ALL SELECT doc_id, 2147483647, {ends} FROM n)"
     frame = quoted('<!DOCTYPE html>\n<html>\n<head>\n  <meta charset="utf-8">\n  <meta name="pdfa-compliance" content="PDF/A-2b">\n  <title>') + " || coalesce(nullif(title, ''), 'PDF/A Document') || " + quoted("</title>\n" + E.ARCHIVAL_STYLE + "</head>\n<body>")
     colours = "CASE type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in E.COLOURS.items()) + f" ELSE '{E.OTHER_COLOUR}' END"
+    whole = lambda x: f"CASE WHEN regexp_matches({x}, '^[+-]?[0-9]+$') THEN {x}::INT END"
+    number = lambda name: whole(_get("v", name))
+    records = f"""{_NUMBERED}, it AS (SELECT rec_id, pp, up, list(coalesce(CASE WHEN json_type(v) IN ('OBJECT', 'ARRAY') THEN {_get('v', 'text')} ELSE json_extract_string(v, '$') END, '') ORDER BY pos) AS li FROM l WHERE st = 'part' AND ends_with(p, '.items') GROUP BY 1, 2, 3),
+        ce AS (SELECT rec_id, pp, up, list({{'r': {number('rowindex')}, 'c': {number('colindex')}, 'span': greatest(coalesce({number('rowspan')}, 1), coalesce({number('colspan')}, 1)), 't': {_get('v', 'text')}}} ORDER BY pos) AS cs FROM l WHERE st = 'part' AND ends_with(p, '.cells') GROUP BY 1, 2, 3),
+        b0 AS (SELECT l.rec_id AS doc_id, (l.top - 1)::INT AS page_index, (len(string_split(l.p, '.')) + CASE WHEN contains(l.p, '^') THEN split_part(l.p, '^', 2)::INT ELSE 1 END) * 1000000 + l.nth AS pos, {_get('v', 'id')} AS block_id, lower(coalesce({_get('v', 'blocktype')}, 'text')) AS k, coalesce({_get('v', 'text')}, '') AS t, coalesce(greatest(1, least(6, {number('level')})), 1) AS lv,
+          coalesce(lower({_get('v', 'ordered')}) IN ('true', 't', 'yes', 'y', '1'), false) AS ordered, coalesce(li, []) AS li, NULL::STRUCT(provider VARCHAR, stage VARCHAR) AS pr, {_get('v', 'caption')} AS cap0, {_get('v', 'text')} AS t0, coalesce({_get('v', 'expression')}, {_get('v', 'text')}, '') AS ex, coalesce(cs, []) AS cs, {number('numrows')} AS nr, {number('numcols')} AS nc
+          FROM l LEFT JOIN it ON it.rec_id = l.rec_id AND it.pp = l.p AND it.up = l.nth LEFT JOIN ce ON ce.rec_id = l.rec_id AND ce.pp = l.p AND ce.up = l.nth WHERE st = 'block'),
+        b1 AS (SELECT *, coalesce(cap0, CASE WHEN k = 'figure' THEN t0 END) AS cap, coalesce(nr, list_max(list_transform(cs, lambda x: x.r + 1)), 0) AS rn, coalesce(nc, list_max(list_transform(cs, lambda x: x.c + 1)), 0) AS cn, len(list_filter(cs, lambda x: x.span > 1)) > 0 AS merged FROM b0),
+        b AS (SELECT *, list_transform(range(rn), lambda i: list_transform(range(cn), lambda j: coalesce(list_filter(cs, lambda x: x.r = i AND x.c = j)[-1].t, ''))) AS grid FROM b1)"""
+    of_records = " UNION ALL ".join(f"SELECT '{name}' AS format, doc_id, page_index AS part, string_agg(body, {nl} ORDER BY pos, body) AS body FROM (SELECT *, {text(x)} AS body FROM b) GROUP BY doc_id, page_index" for name, x in (("markdown", md), ("html", html), ("text", txt)))
     return {
+        "export_records": f"WITH RECURSIVE {records}, z AS ({of_records}) SELECT format, doc_id, part, {done} FROM z",
         "export_markdown": f"WITH {_BLOCKS}, {_FILES}, p AS (SELECT doc_id, -1 AS part, {text(about)} AS body FROM n UNION ALL SELECT doc_id, page_index, {page(md)} FROM b GROUP BY 1, 2) SELECT doc_id, part, {done} FROM p",
         "export_html": f"WITH {_BLOCKS}, {_FILES}, {book} SELECT doc_id, part, {done} FROM p",
         "export_text": f"WITH {_BLOCKS}, {_FILES}, p AS (SELECT doc_id, -1 AS part, 'DOCUMENT: ' || {title} || {nl} || repeat('=', 40) || {nl} AS body FROM n UNION ALL SELECT doc_id, page_index, '--- Page ' || (page_index + 1) || ' ---' || {nl} || {page(txt)} FROM b GROUP BY doc_id, page_index) SELECT doc_id, part, {done} FROM p",
