@@ -184,6 +184,24 @@ def test_misread_by_context(spark):
     assert fixed[100] == "The contract lists every page" and fixed[101] == "we can hear the page"
 
 
+def test_scan_noise_of_a_large_file(spark, monkeypatch):
+    """A file that has most of all lines comes out the same when its lines are split among tasks."""
+    from pagewright.functions.skew import split_join
+
+    texts = [f"{TITLE.upper()}\nthe canal keeps a record\n{i + 40}\nof every page" for i in range(60)] + ["the old archive\nthe canal keeps\n7\na record"] * 3
+    df = spark.createDataFrame([("blocks", i, 777 if i < 60 else i, i if i < 60 else 0, t) for i, t in enumerate(texts)], "tbl string, row_uid long, doc_id long, page_index int, text string")
+    files = spark.createDataFrame([(777, TITLE), (60, "Another"), (61, None)], "doc_id long, title string")
+    whole = {tuple(r) for r in scannoise.found(df, files, lexicon(spark)).collect()}
+    monkeypatch.setattr(scannoise, "split_join", lambda *a, **k: split_join(*a, part_rows=7, **k))
+    assert {tuple(r) for r in scannoise.found(df, files, lexicon(spark)).collect()} == whole
+    assert {r[1] for r in whole if r[2] == "header"} == set(range(60)) and {r[1] for r in whole if r[2] == "page_no"} >= set(range(60))
+
+
+@pytest.mark.parametrize("line, yes", [("xiv", True), ("- VII -", True), ("xiV", False), ("v", False), ("mix", False), ("dix.", False), ("12", False)])
+def test_front_matter(line, yes):
+    assert scannoise.is_front(line) is yes
+
+
 def test_scan_noise_empty(spark):
     files = spark.createDataFrame([], "doc_id long, title string")
     assert scannoise.found(rows(spark, []), files, lexicon(spark)).count() == 0
