@@ -143,13 +143,24 @@ def letters(s: str) -> str:
     return s.lower().encode().translate(None, _NO_ASCII_LETTER).decode() if s.isascii() else _NO_LETTER.sub("", unicodedata.normalize("NFKC", s).casefold())
 
 
-def header_keys(line: str) -> list[str]:
-    """What a line is compared with a title by: its letters, and the strokes of what is between page numbers."""
+def header_keys(line: str, longest: list[int] | None = None) -> list[str]:
+    """What a line is compared with a title by: its letters, and the strokes of what is between page numbers. longest: the
+    lengths above which a key can be no title's; such keys are left out, and not made where it shows before."""
+    plain = letters(line)
+    if longest and len(plain) >= max(longest):  # the strokes of as many letters are longer still
+        return []
     first, last = _EDGE_NUMBER.match(line), _EDGE_NUMBER.match(line[::-1])
     a, b = first.end() if first else 0, len(line) - (last.end() if last else 0)
     inner = line[a:b] if a < b else line
     inner = inner.lower().encode().translate(None, _NO_ASCII_GLYPH).decode() if inner.isascii() else _NO_GLYPH.sub("", unicodedata.normalize("NFKC", inner).casefold())
-    return [letters(line), "~" + skeleton(inner)]
+    if longest is None:
+        return [plain, "~" + skeleton(inner)]
+    keys = [plain] if 3 < len(plain) <= longest[0] else []
+    if len(inner) < longest[1]:  # strokes are never fewer than glyphs
+        strokes = "~" + skeleton(inner)
+        if 3 < len(strokes) <= longest[1]:
+            keys.append(strokes)
+    return keys
 
 
 def _continuation(lines: list[str], i: int) -> list[str]:
@@ -189,6 +200,48 @@ def _apart(text: str, a: int, b: int, glyphs) -> bool:
     return not (before and (before.isalnum() or before in "(/+@|") or after and (after.isalnum() or after in "/+@=|") or glyphs and before == "-")
 
 
+def _standing(text: str, words: list[str], token: re.Pattern) -> list[str]:
+    """Those words that stand as such somewhere. A few are looked for one by one, many in one pass, so that a long text of many
+    words takes no more than its length."""
+    if len(words) > 8:
+        open_ = set(words)
+        for m in token.finditer(text):
+            if m[0] in open_ and _apart(text, m.start(), m.end(), _DIGIT_OR_BAR.search(m[0])):
+                open_.discard(m[0])
+                if not open_:
+                    break
+        return [w for w in words if w not in open_]
+    out = []
+    for w in words:
+        glyphs, at = _DIGIT_OR_BAR.search(w), text.find(w)
+        while at >= 0:
+            if _apart(text, at, at + len(w), glyphs):
+                out.append(w)
+                break
+            at = text.find(w, at + 1)
+    return out
+
+
+def _beside(times: dict[str, int], tokens: list[str], numbers: list[int], words: list[str]) -> dict[str, set[str]]:
+    """The known words before and after each of some words, at all its places; found as above."""
+    keys: dict[str, set[str]] = {w: set() for w in times}
+    if len(times) > 8:
+        places = [(i, w) for i, w in enumerate(tokens) if w in times]
+    else:
+        places = []
+        for w, n in times.items():
+            i = -1
+            for _ in range(n):
+                i = tokens.index(w, i + 1)
+                places.append((i, w))
+    for i, w in places:
+        if i and numbers[i - 1]:
+            keys[w].add("<" + words[numbers[i - 1]])
+        if i + 1 < len(numbers) and numbers[i + 1]:
+            keys[w].add(">" + words[numbers[i + 1]])
+    return keys
+
+
 class _Stock(dict):
     """Known words as they stand in texts -> their number from 1 on; 0 for others."""
 
@@ -205,7 +258,7 @@ class _Stock(dict):
 
     def __missing__(self, w: str) -> int:
         n = self.number.get(w.lower(), 0)
-        if n:
+        if n or len(self) < 500_000:
             self[w] = n
         return n
 
@@ -269,7 +322,7 @@ def _scan(text: str, page_index: int | None, longest: list[int], counts: _Counts
             if n is not None:
                 found.append(("page", i, "front" if is_front(line) else None, None, n - (page_index or 0)))
             else:
-                keys = [k for k, most in zip(header_keys(line), longest, strict=True) if 3 < len(k) <= most]
+                keys = header_keys(line, longest)
                 if keys:
                     found.append(("line", i, None, keys, None))
             end = line.rstrip(" \t")
@@ -285,7 +338,7 @@ def _scan(text: str, page_index: int | None, longest: list[int], counts: _Counts
     token = _TOKEN if "|" in text else _PLAIN
     tokens = token.findall(text)
     numbers = list(map(stock.__getitem__, tokens))
-    seen = Counter([w for w, n in zip(tokens, numbers, strict=True) if not n])
+    seen = Counter([w for w, n in zip(tokens, numbers, strict=True) if not n] if 0 in numbers else ())
     maybe = {}
     if seen:
         dropped = Counter(fragments)
@@ -295,22 +348,11 @@ def _scan(text: str, page_index: int | None, longest: list[int], counts: _Counts
                 if kind:
                     maybe[w] = kind
     if maybe:  # one place where a word stands as such is enough; all its places tell what is about it
-        stands, about = set(), {w: set() for w in maybe}
-        for m in token.finditer(text):
-            w = m[0]
-            if w in maybe and w not in stands and _apart(text, m.start(), m.end(), _DIGIT_OR_BAR.search(w)):
-                stands.add(w)
-                if len(stands) == len(maybe):
-                    break
-        for i, w in enumerate(tokens):
-            if w in stands:
-                if i and numbers[i - 1]:
-                    about[w].add("<" + stock.words[numbers[i - 1]])
-                if i + 1 < len(numbers) and numbers[i + 1]:
-                    about[w].add(">" + stock.words[numbers[i + 1]])
-        found += [(maybe[w], None, w.lower(), sorted(about[w]), seen[w]) for w in stands]
+        stands = _standing(text, list(maybe), token)
+        beside = _beside({w: seen[w] for w in stands}, tokens, numbers, stock.words)
+        found += [(maybe[w], None, w.lower(), sorted(beside[w]), seen[w]) for w in stands]
     if "-" in text:
-        counts.compounds.update(m.lower() for m in _COMPOUND.findall(text))
+        counts.compounds.update(m.lower() for t in text.split() if "-" in t for m in _COMPOUND.findall(t))
     found += [("word", None, w, None, max(1, seen[w])) for w in joined if w not in stock.number and w not in maybe]
     return found, numbers
 

@@ -344,6 +344,17 @@ def test_spam(spark):
     assert stuffing.spam(docs.where("false"), lexicon(spark)).count() == 0
 
 
+def test_many_odd_words():
+    """A long text of many different words takes no more than its length."""
+    import time
+
+    text = " ".join(f"w{chr(97 + i % 26)}q{i}z" for i in range(60_000))
+    began = time.process_time()
+    counts = scannoise._Counts(scannoise._Stock({"x": ["en"]}))
+    got, numbers = scannoise._scan(text, 0, [100, 200], counts)
+    assert len(numbers) == 60_000 and len(got) == 60_000 and time.process_time() - began < 15
+
+
 # Long runs of one kind of character
 
 
