@@ -48,6 +48,11 @@ def write_table(results: DataFrame, path: str, overwrite: bool = False) -> None:
     results.select(*cols).write.mode("overwrite" if overwrite else "ignore").option("header", True).csv(path)
 
 
+def write_json(results: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Results as JSON lines, nulls kept."""
+    results.write.mode("overwrite" if overwrite else "ignore").option("ignoreNullFields", "false").json(path)
+
+
 def markdown_rows(df: DataFrame, columns: list[str]) -> Column:
     """A row of a Markdown table for each row of a DataFrame."""
     return F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), F.lit(" |"))

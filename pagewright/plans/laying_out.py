@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pagewright.functions import geometry as G
 from pagewright.functions.tables import once, table
 from pagewright.operators import layout as L
+from pagewright.sources.files import polygon_regions as polygons
+from pagewright.sources.files import region_text
 
 
 def _all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,6 +252,23 @@ def ocr_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(*L.PAGE, "block_id", F.md5("text").alias("digest"), "reading_order_index", F.col("provenance.confidence").alias("confidence"))
 
 
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with a box as an OCR engine finds them: four corners in pixels, a page of 1000 by 1000 each."""
+    corner = lambda x, y: F.struct((F.col(x) * 1000 + (F.col("block_uid") % 3) * 40).alias("x"), (F.col(y) * 1000).alias("y"))
+    found = F.struct("pos", F.array(corner("left", "top"), corner("right", "top"), corner("right", "bottom"), corner("left", "bottom")).alias("points"), F.col("text").alias("text"), ((F.col("block_uid") % 100) / 100.0).alias("confidence"))
+    b = _boxes(spark, sf_dir).where("text is not null").groupBy(F.concat_ws("/", "doc_id", "page_index").alias("image_id")).agg(F.array_sort(F.collect_list(found)).alias("found"))
+    return b.withColumns({"width": F.lit(1000), "height": F.lit(1000)})
+
+
+def polygon_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = polygons(_found(spark, sf_dir))
+    return r.select("image_id", "region_idx", F.md5("text").alias("digest"), "confidence", *[F.round(x, 3).alias(f"box_{x}") for x in L.BOX])
+
+
+def region_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return region_text(polygons(_found(spark, sf_dir))).select("image_id", F.md5("full_text").alias("digest"))
+
+
 def fallback_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.fallback_regions(table(spark, sf_dir, "raw_pages").select(*L.PAGE).distinct(), 0.93)
 
@@ -297,7 +316,7 @@ def queries() -> dict:
     return {
         "page_boxes": page_boxes, "rotated_boxes": rotated_boxes, "invalid_boxes": invalid_boxes, "semantic_classes": semantic_classes, "spatial_edges": spatial_edges, "neighbour_counts": neighbour_counts,
         "caption_assign": caption_assign, "caption_nearest": caption_nearest, "caption_probe": caption_probe, "page_sections": page_sections, "doc_hierarchy": doc_hierarchy, "reading_order": reading_order, "plain_order": plain_order,
-        "order_items": order_items, "pdf_blocks": pdf_blocks, "region_blocks": region_blocks, "ocr_blocks": ocr_blocks, "fallback_regions": fallback_regions, "table_blocks": table_blocks, "result_blocks": result_blocks,
+        "order_items": order_items, "pdf_blocks": pdf_blocks, "region_blocks": region_blocks, "ocr_blocks": ocr_blocks, "polygon_regions": polygon_regions, "region_texts": region_texts, "fallback_regions": fallback_regions, "table_blocks": table_blocks, "result_blocks": result_blocks,
         "line_merge": line_merge, "grid_cells": grid_cells, "cell_text": cell_text, "region_labels": region_labels, "detections": detections, "figure_classes": figure_classes, "equation_numbers": equation_numbers,
     }
 
@@ -338,6 +357,8 @@ def oracle_sql() -> dict[str, str]:
         "pdf_blocks": f"WITH RECURSIVE {_MERGED}, im AS (SELECT DISTINCT doc_id, page_index FROM m WHERE page_index % 3 = 0), u AS (SELECT doc_id, page_index, 0 AS part, block AS i, n_chars FROM m UNION ALL SELECT doc_id, page_index, 1, 0, NULL FROM im) SELECT doc_id, page_index, 'p' || page_index || CASE WHEN part = 0 THEN '-b' ELSE '-fig' END || i AS block_id, CASE WHEN part = 0 THEN 'text' ELSE 'figure' END AS block_type, n_chars, row_number() OVER (PARTITION BY doc_id ORDER BY page_index, part, i) - 1 AS reading_order_index FROM u",
         "region_blocks": f"WITH {_BOXES}, c AS (SELECT *, {by_name} AS category FROM boxes) SELECT doc_id, page_index, 'layout_block_' || pos AS block_id, {kind} AS block_type, {level} AS heading_level, (block_uid % 100) / 100.0::DOUBLE AS confidence, 'LAYOUT_ANALYSIS' AS stage FROM c",
         "ocr_blocks": f"WITH {_BOXES} SELECT doc_id, page_index, 'p' || page_index || '-ocr-' || pos AS block_id, md5(text) AS digest, pos AS reading_order_index, (block_uid % 100) / 100.0::DOUBLE AS confidence FROM boxes WHERE text IS NOT NULL",
+        "polygon_regions": f"WITH {_BOXES}, q AS (SELECT doc_id || '/' || page_index AS image_id, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY pos) - 1 AS region_idx, text, (block_uid % 100) / 100.0::DOUBLE AS confidence, bl + (block_uid % 3) * 0.04::DOUBLE AS x, br + (block_uid % 3) * 0.04::DOUBLE AS z, bt, bb FROM boxes WHERE text IS NOT NULL) SELECT image_id, region_idx::INT AS region_idx, md5(text) AS digest, confidence, round({_CL.format('x')}, 3) AS box_left, round({_CL.format('bt')}, 3) AS box_top, round({_CL.format('z')}, 3) AS box_right, round({_CL.format('bb')}, 3) AS box_bottom FROM q WHERE confidence >= 0.5",
+        "region_texts": f"WITH {_BOXES} SELECT doc_id || '/' || page_index AS image_id, md5(string_agg(text, chr(10) ORDER BY pos)) AS digest FROM boxes WHERE text IS NOT NULL AND block_uid % 100 >= 50 GROUP BY 1",
         "fallback_regions": "SELECT DISTINCT doc_id, page_index, 0 AS region_idx, 'TITLE' AS category, 0.1::DOUBLE AS \"left\", 0.05::DOUBLE AS top, 0.9::DOUBLE AS \"right\", 0.15::DOUBLE AS bottom, 0.95::DOUBLE AS confidence FROM raw_pages",
         "table_blocks": f"WITH {_BOXES} SELECT doc_id, page_index, block_uid::VARCHAR AS block_id, 4 AS n_cells, '0-0,0-1,1-0,1-1' AS cell_ids FROM boxes WHERE lower(block_type) = 'table'",
         "result_blocks": f"WITH {_NEAR}, ca AS ({nearest}) SELECT doc_id, page_index, block_id, 'figure' AS block_type, caption_id AS content, NULL::VARCHAR AS format, NULL::BOOLEAN AS is_inline FROM boxes LEFT JOIN ca USING (doc_id, page_index, block_id) WHERE lower(block_type) = 'figure' UNION ALL SELECT doc_id, page_index, block_id, 'formula', coalesce(text, 'x'), ['LATEX', 'TEXT', 'MATHML'][(block_uid % 3 + 1)::INT], block_uid % 2 = 0 FROM boxes WHERE lower(block_type) = 'formula'",

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagewright.functions.geometry import normalized, polygon_box
 from pagewright.functions.strings import stem, suffix
 from pagewright.sources.detect import EXTENSIONS, detect
 from pagewright.sources.text import html_blocks, markdown_blocks, txt_blocks
@@ -143,6 +144,22 @@ def remote_ocr(responses: DataFrame) -> DataFrame:
     return responses.select("request_id", "body").mapInPandas(run, "request_id long, pos int, text string, confidence double, bbox array<double>")
 
 
+def polygon_regions(images: DataFrame, least: float = 0.5) -> DataFrame:
+    """What an OCR engine found on images (image_id, width, height in pixels, found: array of points (x, y), text, confidence)
+    -> image_id, region_idx (the place in what was found), text, confidence and box as shares of the image. Regions below the
+    least confidence are left out, as are those without points."""
+    r = images.select("image_id", "width", "height", F.posexplode("found").alias("region_idx", "f")).where((F.col("f.confidence") >= least) & (F.size("f.points") > 0))
+    box = normalized(*[x / F.col(side) for x, side in zip(polygon_box(F.col("f.points")), ("width", "height", "width", "height"), strict=True)])
+    sides = [x.alias(n) for x, n in zip(box, ("left", "top", "right", "bottom"), strict=True)]
+    return r.select("image_id", "region_idx", "f.text", F.round("f.confidence", 4).alias("confidence"), *sides)
+
+
+def region_text(regions: DataFrame) -> DataFrame:
+    """image_id, full_text: the texts of an image's regions, one a line."""
+    lines = F.array_sort(F.collect_list(F.struct("region_idx", "text")))
+    return regions.groupBy("image_id").agg(F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("full_text"))
+
+
 def word_rows(words: DataFrame, least: float = 0.0) -> DataFrame:
     """Words of an OCR engine (page_id, pos, text, conf in per cent; below 0 for none) -> the page's text and mean confidence."""
     w = words.where((F.col("conf") >= 0) & (F.trim("text") != "")).withColumn("confidence", F.least(F.lit(1.0), F.col("conf") / 100)).where(F.col("confidence") >= least)
