@@ -36,8 +36,10 @@ def _rate(edits: Column, size: Column, other: Column) -> Column:
 
 def edits(a: Sequence, b: Sequence) -> int:
     """Edit distance of texts or lists, a whole column of the table at a time as bits of a number."""
-    if len(a) == 0 or len(b) == 0:
-        return len(a) or len(b)
+    if len(a) < len(b):  # one step for each of the fewer, bits for the others
+        a, b = b, a
+    if len(b) == 0:
+        return len(a)
     at: dict = {}
     for i, x in enumerate(a):
         at[x] = at.get(x, 0) | 1 << i
