@@ -77,9 +77,9 @@ def budgets(leaves: DataFrame, targets: DataFrame, total: float | None, weights:
         path, name = list(levels[:depth]), levels[depth - 1]
         nodes = sized.groupBy(*path).agg(F.sum("room").alias("room"), F.sum("tokens").alias("tokens"), F.first("weight").alias("target"), F.first("max_repeats").alias("max_repeats"))
         if depth == 1:
-            every = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("double").alias("parent_budget")) if total is None else None
-            nodes = nodes.withColumn("weight", F.col("target"))
-            nodes = nodes.join(F.broadcast(every)) if every is not None else nodes.withColumn("parent_budget", F.lit(float(total)))
+            if total is None:
+                total = leaves.agg(F.sum("tokens")).first()[0] or 0
+            nodes = nodes.withColumn("weight", F.col("target")).withColumn("parent_budget", F.lit(float(total)))
         else:
             nodes = nodes.withColumn("weight", F.col("tokens"))
             if weights and name in weights:
@@ -140,18 +140,19 @@ def select(sized: DataFrame, targets: DataFrame, total: float | None = None, see
 
 
 def shares(selected: DataFrame, targets: DataFrame) -> DataFrame:
-    """source, target_share, max_repeats, docs, tokens, share, most_times for every target; a source without documents has 0."""
+    """source, target_share, max_repeats, docs, tokens, share, most_times for every target; a source without documents has 0; of an empty selection the shares
+    are null."""
     got = selected.groupBy("source").agg(F.count("*").alias("docs"), F.sum(F.col("n_tokens") * F.col("times")).alias("tokens"), F.max("times").alias("most_times"))
     t = targets.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats").join(F.broadcast(got), "source", "left").fillna(0, ["docs", "tokens", "most_times"])
-    every = got.agg(F.sum("tokens").alias("all_tokens"))
-    return t.join(F.broadcast(every), how="left").select("source", "target_share", "max_repeats", "docs", "tokens", (F.col("tokens") / F.col("all_tokens")).alias("share"), "most_times")
+    every = F.sum("tokens").over(Window.partitionBy(F.lit(0)))  # over the targets, which are few
+    return t.select("source", "target_share", "max_repeats", "docs", "tokens", F.try_divide("tokens", every).alias("share"), "most_times")
 
 
 def level_shares(selected: DataFrame, levels: Sequence[str] = LEVELS[:2]) -> DataFrame:
     """For every node with documents selected: the levels, docs, tokens, and its share of what its parent got."""
     got = selected.groupBy(*levels).agg(F.count("*").alias("docs"), F.sum(F.col("n_tokens") * F.col("times")).alias("tokens"))
     w = Window.partitionBy(*(list(levels[:-1]) or [F.lit(0)]))
-    return got.withColumn("share_of_parent", F.col("tokens") / F.sum("tokens").over(w))
+    return got.withColumn("share_of_parent", F.try_divide("tokens", F.sum("tokens").over(w)))
 
 
 def selection(docs: DataFrame, targets: DataFrame, lengths, total: float | None = None, seed: int = 3) -> DataFrame:

@@ -107,10 +107,9 @@ def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     have = table(spark, sf_dir, "documents").select("doc_id", mixing.source_name(F.col("source")).alias("source"), (F.length("text") > 0).alias("any")).distinct().where("any").groupBy("source").agg(F.count("*").alias("have"))
     s = s.join(have, "source", "left").fillna(0, ["have"])
     used_up = F.col("most_times") >= F.col("max_repeats")
-    s = s.withColumn("ratio", F.col("share") / F.col("target_share"))
-    most = s.agg(F.max("ratio").alias("most"))
-    s = s.join(F.broadcast(most))  # one row
-    in_proportion = (F.col("ratio") >= F.col("most") * 0.97) | used_up | (F.col("have") == 0)
+    s = s.withColumn("ratio", F.try_divide("share", "target_share"))
+    most = F.max("ratio").over(Window.partitionBy(F.lit(0)))  # over the targets, which are few
+    in_proportion = (F.col("ratio") >= most * 0.97) | used_up | (F.col("have") == 0)
     return s.select("source", (F.col("most_times") > F.col("max_repeats")).alias("too_often"), (F.col("docs") > F.col("have")).alias("more_than_there_are"), in_proportion.alias("in_proportion"))
 
 

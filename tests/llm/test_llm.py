@@ -318,7 +318,8 @@ def test_select(spark):
     assert sum(x.tokens for x in s.values()) == pytest.approx(total, rel=0.01)
     again = mixing.select(df, targets).exceptAll(out)
     assert again.count() == 0
-    assert mixing.select(df.where("false"), targets).count() == 0
+    none = mixing.select(df.where("false"), targets)
+    assert none.count() == 0 and {x.share for x in mixing.shares(none, targets).collect()} == {None}
 
 
 def test_select_from_small_leaves(spark):
