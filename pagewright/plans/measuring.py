@@ -227,5 +227,5 @@ def oracle_sql() -> dict[str, str]:
         "latency_stats": "WITH v AS (SELECT event_type, list_sort(list(value)) AS l, count(value) AS n FROM events WHERE value IS NOT NULL GROUP BY 1) SELECT event_type, n, l[(n // 2 + 1)::INT] AS median, l[(least(n - 1, floor(n * 0.95::DOUBLE)) + 1)::INT] AS p95, l[(least(n - 1, floor(n * 0.99::DOUBLE)) + 1)::INT] AS p99 FROM v",
         "bench_compare": "WITH e AS (SELECT event_type, (sum(CASE WHEN user_id % 2 = 0 THEN round(value * 100)::BIGINT END))::DOUBLE AS base, (sum(CASE WHEN user_id % 2 <> 0 THEN round(value * 100)::BIGINT END))::DOUBLE AS other FROM events GROUP BY 1), p AS (SELECT *, CASE WHEN base <> 0 THEN round((other - base) * 100.0::DOUBLE / base, 2) END AS change_pct FROM e) SELECT event_type, base, other, change_pct, CASE WHEN change_pct < -5 THEN 'better' WHEN change_pct > 5 THEN 'worse' ELSE 'equal' END AS verdict FROM p",
         "case_grid": "SELECT DISTINCT doc_id, adapter, doc_name FROM files, (VALUES ('own'), ('external')) v(adapter)",
-        "pipeline_totals": "WITH p AS (SELECT doc_id, count(*) AS pages, sum(c * 0.5::DOUBLE + 1) AS ms FROM (SELECT DISTINCT doc_id, page_index, coalesce(char_count, 0) AS c FROM raw_pages) GROUP BY 1), f AS (SELECT pages, ms FROM (SELECT DISTINCT doc_id FROM files) LEFT JOIN p USING (doc_id)), g AS (SELECT count(*) AS documents, count_if(pages IS NULL) AS failed, sum(pages)::BIGINT AS pages, sum(ms) AS total_ms FROM f) SELECT *, round(total_ms / pages, 4) AS ms_per_page, round(pages / (total_ms / 1000), 2) AS pages_per_sec FROM g",
+        "pipeline_totals": "WITH p AS (SELECT doc_id, count(*) AS pages, sum(c * 0.5::DOUBLE + 1) AS ms FROM (SELECT DISTINCT doc_id, page_index, coalesce(char_count, 0) AS c FROM raw_pages) GROUP BY 1), f AS (SELECT pages, ms FROM (SELECT DISTINCT doc_id FROM files) LEFT JOIN p USING (doc_id)), g AS (SELECT count(*) AS documents, count_if(pages IS NULL)::BIGINT AS failed, sum(pages)::BIGINT AS pages, sum(ms) AS total_ms FROM f) SELECT *, round(total_ms / pages, 4) AS ms_per_page, round(pages / (total_ms / 1000), 2) AS pages_per_sec FROM g",
     }
