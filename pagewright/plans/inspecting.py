@@ -18,11 +18,13 @@ def _formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("doc_id", F.when(pdf, "pdf").otherwise("other").alias("format"))
 
 
-def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages once each; coverage is the share that the boxes of figures take."""
+def _pages(spark: SparkSession, sf_dir: str, formats: bool = False) -> DataFrame:
+    """Pages once each, with their file's format if it is wanted; coverage is the share that the boxes of figures take."""
     p = table(spark, sf_dir, "raw_pages").select("doc_id", "page_index", F.coalesce("char_count", F.lit(0)).alias("chars"), F.coalesce("image_count", F.lit(0)).alias("images")).distinct()
     side = lambda a, b: F.round((F.col(b) - F.col(a)) * 1000).cast("long")
-    areas = L._boxes(spark, sf_dir).where("lower(block_type) = 'figure'").groupBy("doc_id", "page_index").agg(F.collect_list(side("left", "right") * side("top", "bottom") / 1e6).alias("areas"))
+    if formats:  # before anything else is joined, as a split join reads its rows twice
+        p = split_join(p, _formats(spark, sf_dir), ["doc_id"], ["page_index"], how="left").fillna("other", ["format"])
+    areas = L._boxes(spark, sf_dir, "figure").groupBy("doc_id", "page_index").agg(F.collect_list(side("left", "right") * side("top", "bottom") / 1e6).alias("areas"))
     p = p.join(areas, ["doc_id", "page_index"], "left").withColumn("coverage", F.round(I.image_coverage(F.coalesce("areas", F.array().cast("array<double>")), F.lit(1.0)), 6)).drop("areas")
     return p.withColumn("content_type", I.content_type(F.col("chars"), F.col("images"))).withColumn("density", I.text_density(F.col("chars")))
 
@@ -37,8 +39,7 @@ def _full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with their file's format and what their blocks tell: tables, figures, formulas."""
     kind = F.lower("block_type")
     b = table(spark, sf_dir, "blocks").groupBy("doc_id", "page_index").agg(*[F.bool_or(kind == k).alias(f"has_{k}s") for k in ("table", "figure", "formula")])
-    p = _pages(spark, sf_dir).join(b, ["doc_id", "page_index"], "left").fillna(False, ["has_tables", "has_figures", "has_formulas"])
-    p = split_join(p, _formats(spark, sf_dir), ["doc_id"], ["page_index"], how="left").fillna("other", ["format"])
+    p = _pages(spark, sf_dir, formats=True).join(b, ["doc_id", "page_index"], "left").fillna(False, ["has_tables", "has_figures", "has_formulas"])
     return I.characteristics(p).withColumn("complexity", I.complexity())
 
 

@@ -12,9 +12,10 @@ from pagewright.sources.files import polygon_regions as polygons
 from pagewright.sources.files import region_text
 
 
-def _all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks once each, with their page's size where it is known."""
-    b = table(spark, sf_dir, "blocks").select("block_uid", "doc_id", "page_index", "pos", "block_id", "block_type", "text", "heading_level", *[F.col(f"bbox.box_{x}").alias(x) for x in L.BOX], F.coalesce("bbox.is_normalized", F.lit(True)).alias("is_normalized"), F.col("bbox").isNotNull().alias("has_box"))
+def _all(spark: SparkSession, sf_dir: str, kind: str | None = None) -> DataFrame:
+    """Blocks once each (of one type, if it is given), with their page's size where it is known."""
+    b = table(spark, sf_dir, "blocks")
+    b = (b if kind is None else b.where(F.lower("block_type") == kind)).select("block_uid", "doc_id", "page_index", "pos", "block_id", "block_type", "text", "heading_level", *[F.col(f"bbox.box_{x}").alias(x) for x in L.BOX], F.coalesce("bbox.is_normalized", F.lit(True)).alias("is_normalized"), F.col("bbox").isNotNull().alias("has_box"))
     p = table(spark, sf_dir, "raw_pages").groupBy("doc_id", "page_index").agg(F.max("width").alias("width"), F.max("height").alias("height"), F.max("rotation").alias("rotation"))
     return once(b, "block_uid").join(p, L.PAGE, "left")
 
@@ -28,10 +29,10 @@ _RAW = """every AS (SELECT b.*, p.width, p.height, p.rotation FROM (SELECT DISTI
     raw AS (SELECT * FROM every WHERE has_box)"""
 
 
-def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _placed(spark: SparkSession, sf_dir: str, kind: str | None = None) -> DataFrame:
     """All blocks; boxes in thousandths of the page, as whole numbers over 1000, so that sums don't depend on how they are
     made; null for blocks without one."""
-    r = _all(spark, sf_dir)
+    r = _all(spark, sf_dir, kind)
     c = [F.col(x) for x in L.BOX]
     pdf = G.from_pdf(c[0], F.least(c[1], c[3]), c[2], F.greatest(c[1], c[3]), F.coalesce("width", F.lit(612.0)), F.coalesce("height", F.lit(792.0)), F.lit(0))
     plain = G.normalized(*c)
@@ -39,9 +40,9 @@ def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("block_uid", *L.PAGE, "pos", "block_id", "block_type", "text", "heading_level", "has_box", *[F.when(F.col("has_box"), m).alias(x) for m, x in zip(milli, L.BOX, strict=True)])
 
 
-def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _boxes(spark: SparkSession, sf_dir: str, kind: str | None = None) -> DataFrame:
     """Blocks with a box."""
-    return _placed(spark, sf_dir).where("has_box").drop("has_box")
+    return _placed(spark, sf_dir, kind).where("has_box").drop("has_box")
 
 
 _CL = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, {}))"
